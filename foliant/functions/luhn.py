@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _checksum(digits: Column) -> Column:
-    chars = F.split(F.reverse(digits), "(?!^)")
+    chars = F.split(F.reverse(digits), "(?!^)(?!$)")
     parts = F.transform(chars, lambda c, i: _doubled(c.try_cast("int"), i))
     return F.aggregate(parts, F.lit(0), lambda acc, x: acc + x) % 10
 

@@ -67,3 +67,68 @@ tasks as (select *, case when status<>'pending' then 'rev_'||(key%50) end as ass
   case when (status in ('completed','approved') and key%20<>1) or status='in_progress' then created_at + to_minutes(key%240) end as first_touched_at,
   case when status in ('completed','approved') then created_at + to_minutes(key%240+30+key%77) end as resolution_time from rt)"""
 TASKS_AS_OF = "1998-06-30 00:00:00"
+
+OD = f"""od0 as (select o_orderkey as key, 'DOC-'||o_orderkey as document_id,
+  {pick(['invoice', 'invoice', 'invoice', 'receipt', 'contract', 'general_document', 'custom'], 'o_orderkey')} as document_type,
+  cast(o_totalprice as decimal(18,2)) as t, round(cast(o_totalprice as decimal(18,2))*0.08, 2)::decimal(18,2) as tax,
+  cast(o_orderdate as date) as doc_date, cast(o_orderdate as date) + cast(o_orderkey%45 - 5 as integer) as due_date,
+  o_custkey as party, o_orderstatus, o_orderpriority from orders),
+od as (select *, (t - tax)::decimal(18,2) as subtotal, (case when key%7=0 then t+1 else t end)::decimal(18,2) as total from od0)"""
+
+
+def _usd(c: str) -> str:
+    return f"'$'||format('{{:,.2f}}', {c}::double)"
+
+
+def _mdy(c: str) -> str:
+    return f"strftime({c}, '%-m/%-d/%Y')"
+
+
+_NL = "||chr(10)||"
+_PARTY = "'Trader '||party||' Ltd'"
+_TEXTS = {
+    "invoice": _NL.join([
+        "'INVOICE'", f"{pick(['Invoice #: INV-', 'Inv #: INV-', 'Bill Number: INV-', 'Reference: INV-'], 'key')}||key",
+        f"{pick(['From: ', 'Seller: ', 'Bill From: '], 'key')}||{_PARTY}",
+        f"{pick(['Date: ', 'Bill Date: ', 'Issued '], 'key')}||(case when key%4=3 then doc_date::varchar else {_mdy('doc_date')} end)",
+        f"{pick(['Payment Due: ', 'Due: '], 'key')}||{_mdy('due_date')}", f"{pick(['Sub Total: ', 'Net Amount: '], 'key')}||{_usd('subtotal')}",
+        f"{pick(['Sales Tax: ', 'VAT: ', 'Tax (8.0%): '], 'key')}||{_usd('tax')}",
+        f"{pick(['Grand Total: ', 'Amount Due: ', 'Balance: ', 'Pay '], 'key')}||{_usd('total')}", "'Customer: C-'||party", "'Payment terms apply. Thank you'"]),
+    "receipt": _NL.join([
+        f"{pick(['Store: ', 'Shop: '], 'key')}||{_PARTY}", f"'Purchase Date: '||{_mdy('doc_date')}", f"'Total: '||{_usd('total')}",
+        f"'Paid by: '||{pick(['Visa', 'Cash', 'Voucher'], 'key')}", "'Thank you for your transaction'"]),
+    "contract": _NL.join([
+        "'Agreement Title: Supply contract '||key", f"'Between: '||{_PARTY}||' and Buyer '||party", f"'Effective Date: '||{_mdy('doc_date')}",
+        f"'Expires: '||{_mdy('due_date')}", f"'Consideration: '||{_usd('total')}", f"'Governed by: Law '||{pick(['A', 'B'], 'key')}",
+        "'terms and conditions and signature of each party'"]),
+    "general_document": _NL.join([
+        "'Subject: Report '||key", f"'Prepared by: '||{_PARTY}", f"'Created: '||{_mdy('doc_date')}",
+        "'Body: analysis and findings with a conclusion in the executive summary of account '||key", "'Page Count: '||(key%30)"]),
+    "custom": _NL.join(["'Note '||key||' dated '||strftime(doc_date, '%B %-d, %Y')", f"'value of '||{_usd('total')}||' and '||{_usd('tax')}"]),
+}
+TX = OD + ", tx as (select *, case document_type " + " ".join(
+    f"when '{k}' then {v}||chr(10)" for k, v in _TEXTS.items()) + " end as full_text from od)"
+
+FD = OD + """, fd as (select key, document_id, document_type,
+  case when key%13=0 then '' when key%5=0 then 'INV/!' else 'INV-'||key end as invoice_number, doc_date::varchar as invoice_date,
+  case when key%17=0 then 'soon' else strftime(due_date,'%-m/%-d/%Y') end as due_date, '$'||total as total_amount, '$'||subtotal as subtotal, '$'||tax as tax_amount,
+  case when key%9=0 then 'bad-address' else 'c'||key||'@Example.COM' end as email,
+  case when key%8=0 then '12-34' else '(555) 010-'||lpad((key%10000)::varchar,4,'0') end as phone, '4'||lpad(key::varchar,15,'7') as card,
+  (['Visa debit','barter','CASH'])[cast(key%3+1 as integer)] as payment_method,
+  (50+(key*3)%50)/100.0::double as c_number, (50+(key*7)%50)/100.0::double as c_total, (50+(key*9)%50)/100.0::double as c_vendor, (50+(key*11)%50)/100.0::double as c_date from od),
+fv as (unpivot (select key, document_id, document_type, invoice_number, invoice_date, due_date, total_amount, subtotal, tax_amount, email, phone, card, payment_method from fd)
+  on invoice_number, invoice_date, due_date, total_amount, subtotal, tax_amount, email, phone, card, payment_method into name field_name value value)"""
+
+EF = f"""ef as (select 'DOC-'||l_orderkey as document_id, {pick(FIELDS, 'l_linenumber')} as field_name, cast(l_extendedprice as decimal(18,2))::varchar as value,
+  (50 + l_quantity::bigint)/100.0::double as confidence, l_partkey*100000+l_suppkey*100+l_quantity::bigint as pos, l_returnflag<>'R' as valid,
+  case when l_linestatus='O' then 'error' else 'warning' end as severity from lineitem)"""
+
+
+def luhn(digits: str) -> str:
+    """Checksum of a text of digits."""
+    return (f"list_sum(list_transform(range(1, length({digits})+1), lambda i: case when i%2=1 then substr(reverse({digits}),i,1)::int "
+            f"when substr(reverse({digits}),i,1)::int*2>9 then substr(reverse({digits}),i,1)::int*2-9 else substr(reverse({digits}),i,1)::int*2 end)) % 10")
+
+
+def to_date(c: str) -> str:
+    return f"try_strptime({c}, ['%Y-%m-%d','%m/%d/%Y','%m-%d-%Y','%m/%d/%y','%B %d, %Y'])::date"

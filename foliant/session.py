@@ -50,3 +50,11 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder, so lost executors cannot change the rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Input of fewer partitions than cores is dealt out before heavy row work; larger input stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not df.isStreaming and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
