@@ -13,7 +13,7 @@ from foliant import config
 from foliant.config import DocSchema, FieldSpec
 from foliant.functions import parse
 
-TEXT, LOW = "__text", "__low"
+TEXT, LOW, ANY_DATE, ANY_MONEY = "__text", "__low", "__any_date", "__any_money"
 
 
 def field_struct(name, label, value, confidence, source, method) -> Column:
@@ -37,41 +37,50 @@ def extract_structured(spec: FieldSpec, ocr_fields: Column) -> Column:
 def extract_by_label(spec: FieldSpec, text: Column, low: Column, compat: bool = False) -> Column:
     """Strategy 2: name and synonyms in order; the first label with a value of the field's type.
 
-    A plain substring test keeps the pattern from running on texts that lack the label. ``compat``
-    names the field after the label that matched and reads the text in lower case.
+    A plain substring test keeps the pattern from running on texts that lack the label. The hit is
+    then taken apart by one pattern over all labels, which only ever sees the short matched text.
+    ``compat`` names the field after the label that matched and reads the text in lower case.
     """
     text = low if compat else text
     labels = [spec.name, *spec.synonyms]
-    out = None
-    for label in reversed(labels):
-        pattern = label_pattern(label, spec.field_type)
-        source = F.regexp_extract(text, pattern, 0)
-        value = parse.strip(F.regexp_extract(source, pattern, 2))
-        name = label if compat else spec.name
-        branch = F.when(low.contains(label.lower()) & text.rlike(pattern), field_struct(
-            name, F.lit(label), value, F.lit(config.CONF_LABEL), source, "pattern_match"))
-        out = branch if out is None else F.coalesce(branch, out)
-    return out
-
-
-def extract_max_currency(spec: FieldSpec, text: Column) -> Column:
-    """Strategy 3 for money: the largest dollar amount anywhere."""
+    patterns = [label_pattern(x, spec.field_type) for x in labels]
+    source = F.coalesce(*[
+        F.when(low.contains(x.lower()) & text.rlike(p), F.regexp_extract(text, p, 0)) for x, p in zip(labels, patterns)])
+    either = label_pattern(r"\E|\Q".join(labels), spec.field_type)
+
+    def parts(s: Column) -> Column:
+        label = F.lower(F.regexp_extract(s, either, 1))
+        out = field_struct(spec.name, label, parse.strip(F.regexp_extract(s, either, 2)), F.lit(config.CONF_LABEL), s, "pattern_match")
+        return F.when(s.isNotNull(), out.withField("field_name", label) if compat else out)
+
+    return F.transform(F.array(source), parts)[0]
+
+
+def max_currency(text: Column) -> Column:
+    """The largest dollar amount anywhere in a text, as money text."""
     found = F.regexp_extract_all(text, F.lit(config.ANY_CURRENCY), F.lit(0))
     top = F.array_max(F.transform(found, lambda m: F.regexp_replace(m, "[$,]", "").try_cast("decimal(18,2)")))
-    shown = F.concat(F.lit("$"), F.format_number(top, 2))
-    return F.when(text.contains("$") & top.isNotNull(), field_struct(
-        spec.name, F.lit(None), shown, F.lit(config.CONF_CURRENCY), shown, "pattern_currency"))
+    return F.when(text.contains("$"), F.concat(F.lit("$"), F.format_number(top, 2)))
 
 
-def extract_first_date(spec: FieldSpec, text: Column, compat: bool = False) -> Column:
-    """Strategy 3 for dates: the first hit of three patterns in order.
+def first_date(text: Column, compat: bool = False) -> Column:
+    """The first hit of three date patterns in order.
 
     By default a date inside a longer digit run is no hit and ISO dates are a pattern of their own;
     ``compat`` finds ``24-01-15`` in ``2024-01-15``.
     """
     slash, dash, named = config.ANY_DATES
     patterns = [slash, dash, named] if compat else [slash, r"(?<![0-9-])[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", r"(?<![0-9])" + dash, named]
-    hit = F.coalesce(*[F.when(text.rlike(p), F.regexp_extract(text, p, 0)) for p in patterns])
+    return F.coalesce(*[F.when(text.rlike(p), F.regexp_extract(text, p, 0)) for p in patterns])
+
+
+def extract_max_currency(spec: FieldSpec, largest: Column) -> Column:
+    """Strategy 3 for money, from the text's largest amount."""
+    return F.when(largest.isNotNull(), field_struct(spec.name, F.lit(None), largest, F.lit(config.CONF_CURRENCY), largest, "pattern_currency"))
+
+
+def extract_first_date(spec: FieldSpec, hit: Column) -> Column:
+    """Strategy 3 for dates, from the text's first date."""
     return F.when(hit.isNotNull(), field_struct(spec.name, F.lit(None), hit, F.lit(config.CONF_DATE), hit, "pattern_date"))
 
 
@@ -81,13 +90,21 @@ def extract_default(spec: FieldSpec) -> Column | None:
     return field_struct(spec.name, F.lit(None), F.lit(spec.default), F.lit(config.CONF_DEFAULT), F.lit("default"), "default")
 
 
-def cascade(spec: FieldSpec, text: Column, low: Column, ocr_fields: Column | None, compat: bool) -> Column:
+def with_text(docs: DataFrame, text_col: str, compat: bool = False) -> DataFrame:
+    """Adds what all fields of a text share: the text, its lower case, its first date and largest amount."""
+    out = docs.withColumn(TEXT, F.coalesce(text_col, F.lit(""))).withColumn(LOW, F.lower(TEXT))
+    text = F.col(LOW if compat else TEXT)
+    return out.withColumns({ANY_DATE: first_date(text, compat), ANY_MONEY: max_currency(text)})
+
+
+def cascade(spec: FieldSpec, ocr_fields: Column | None = None, compat: bool = False) -> Column:
+    """All strategies in order over a frame prepared by :func:`with_text`."""
     steps = [] if ocr_fields is None else [extract_structured(spec, ocr_fields)]
-    steps.append(extract_by_label(spec, text, low, compat))
+    steps.append(extract_by_label(spec, F.col(TEXT), F.col(LOW), compat))
     if spec.field_type == "currency":
-        steps.append(extract_max_currency(spec, text))
+        steps.append(extract_max_currency(spec, F.col(ANY_MONEY)))
     elif spec.field_type == "date":
-        steps.append(extract_first_date(spec, low if compat else text, compat))
+        steps.append(extract_first_date(spec, F.col(ANY_DATE)))
     default = extract_default(spec)
     return F.coalesce(*steps, *([] if default is None else [default]))
 
@@ -104,14 +121,10 @@ def extract_fields(docs: DataFrame, schemas: dict[str, DocSchema] | None = None,
                    type_col: str = "document_type", ocr_fields_col: str | None = "ocr_fields", compat: bool = False) -> DataFrame:
     """Adds ``fields``: the non-null field values of the document's schema, in schema order, normalised."""
     schemas = config.SCHEMAS if schemas is None else schemas
-    text, low = F.col(TEXT), F.col(LOW)
     ocr = F.col(ocr_fields_col) if ocr_fields_col and ocr_fields_col in docs.columns else None
-    raw = by_type(F.col(type_col), schemas, lambda s: F.array(*[cascade(f, text, low, ocr, compat) for f in s.fields]))
-    out = (
-        docs.withColumn(TEXT, F.coalesce(text_col, F.lit(""))).withColumn(LOW, F.lower(TEXT))
-        .withColumn("fields", F.filter(raw, lambda f: f.isNotNull())).drop(TEXT, LOW)
-    )
-    return out.withColumn("fields", F.transform("fields", normalize_field))
+    raw = by_type(F.col(type_col), schemas, lambda s: F.array(*[cascade(f, ocr, compat) for f in s.fields]))
+    found = F.transform(F.filter(raw, lambda f: f.isNotNull()), normalize_field)
+    return with_text(docs, text_col, compat).withColumn("fields", found).drop(TEXT, LOW, ANY_DATE, ANY_MONEY)
 
 
 def normalize_field(f: Column) -> Column:
@@ -122,7 +135,16 @@ def normalize_field(f: Column) -> Column:
 
 def field_rows(docs: DataFrame, keys: list[str]) -> DataFrame:
     """The long table: one row per document and field."""
-    return docs.select(*keys, F.explode("fields").alias("f")).select(*keys, "f.*")
+    return explode_rows(docs, keys, F.col("fields"))
+
+
+def explode_rows(df: DataFrame, keys: list[str], structs: Column) -> DataFrame:
+    """One row per array element, its struct spread out.
+
+    The outer form keeps the optimizer from testing the array's size below the explode, which would
+    compute an expensive array twice; the empty row it makes is dropped above.
+    """
+    return df.select(*keys, F.explode_outer(structs).alias("__e")).where(F.col("__e").isNotNull()).select(*keys, "__e.*")
 
 
 def by_name(fields: Column, name: str) -> Column:

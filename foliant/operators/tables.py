@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant import config
 from foliant.config import TableSpec
 from foliant.functions import parse
+from foliant.operators.extract import explode_rows
 
 
 def match_table(tables: Column, spec: TableSpec) -> Column:
@@ -35,8 +36,8 @@ def process_table(docs: DataFrame, spec: TableSpec, keys: list[str], tables_col:
             F.col("cells")[j].alias("raw_value"), F.lit(config.CONF_CELL).alias("confidence")))
         for j, c in enumerate(spec.columns)
     ]
-    return rows.select(*keys, F.lit(spec.name).alias("table_name"), (F.col("i") + F.col("s")).alias("row"),
-                       F.inline(F.filter(F.array(*cell), lambda c: c.isNotNull())))
+    numbered = rows.select(*keys, F.lit(spec.name).alias("table_name"), (F.col("i") + F.col("s")).alias("row"), "cells")
+    return explode_rows(numbered, [*keys, "table_name", "row"], F.filter(F.array(*cell), lambda c: c.isNotNull()))
 
 
 def column_sum(tables: Column, spec: TableSpec, column: str) -> Column:

@@ -10,7 +10,7 @@ from foliant.config import DocSchema, FieldSpec
 from foliant.functions import parse, rules
 from foliant.functions.status import infer_field_type
 from foliant.operators import crossfield, tables
-from foliant.operators.extract import by_name, by_type
+from foliant.operators.extract import by_name, by_type, explode_rows
 
 RESULT = "array<struct<field_name:string,is_valid:boolean,severity:string,message:string,rule_name:string,suggested_value:string>>"
 
@@ -53,9 +53,8 @@ def validate_field_rows(rows: DataFrame, as_of, schemas: dict[str, DocSchema] |
     schemas = config.SCHEMAS if schemas is None else schemas
     norm = parse.normalized(F.col("field_name"), F.col("value"), list(config.NORMALIZED_DATES), list(config.NORMALIZED_AMOUNTS))
     v = rules.Value(F.col("value"), F.col("__nd"), F.col("__na"), F.lit(str(as_of)).cast("date"))
-    found = rows.withColumns({"__nd": norm["norm_date"], "__na": norm["norm_amount"]}).select(
-        *keys, F.explode(value_failures(F.col("document_type"), F.col("field_name"), v, schemas, strict)).alias("r"))
-    return found.select(*keys, "r.*")
+    typed = rows.withColumns({"__nd": norm["norm_date"], "__na": norm["norm_amount"]})
+    return explode_rows(typed, list(keys), value_failures(F.col("document_type"), F.col("field_name"), v, schemas, strict))
 
 
 def business_rules(fields: Column, tables_col: Column | None, schema: DocSchema) -> Column:

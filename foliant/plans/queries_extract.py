@@ -61,20 +61,21 @@ def _(spark, d):
 def _(spark, d):
     inv = ocr(spark, d, "full_text").where(F.col("document_type") == "invoice").withColumn("low", F.lower("full_text"))
     hits = F.array(*[X.extract_by_label(s, F.col("full_text"), F.col("low")) for s in config.INVOICE.fields])
-    return inv.select("document_id", F.explode(F.filter(hits, lambda f: f.isNotNull())).alias("f")).select(
-        "document_id", "f.field_name", "f.matched_label", "f.value")
+    return X.explode_rows(inv, ["document_id"], F.filter(hits, lambda f: f.isNotNull())).select("document_id", "field_name", "matched_label", "value")
 
 
 @query("extract_max_currency", f"with {Q.TX} select document_id, {_MAXTXT} as value from tx where contains(full_text,'$')")
 def _(spark, d):
     spec = config.GENERIC.fields[2]
-    return ocr(spark, d, "full_text").select("document_id", X.extract_max_currency(spec, F.col("full_text")).alias("f")).where("f is not null").select("document_id", "f.value")
+    t = X.with_text(ocr(spark, d, "full_text"), "full_text")
+    return t.select("document_id", X.extract_max_currency(spec, F.col(X.ANY_MONEY)).alias("f")).where("f is not null").select("document_id", "f.value")
 
 
 @query("extract_first_date", f"with {Q.TX} select document_id, {_FIRST_DATE} as value from tx")
 def _(spark, d):
     spec = config.GENERIC.fields[1]
-    return ocr(spark, d, "full_text").select("document_id", X.extract_first_date(spec, F.col("full_text")).alias("f")).select("document_id", "f.value")
+    t = X.with_text(ocr(spark, d, "full_text"), "full_text")
+    return t.select("document_id", X.extract_first_date(spec, F.col(X.ANY_DATE)).alias("f")).select("document_id", "f.value")
 
 
 _COMPAT_ISO = "regexp_extract(full_text,'[0-9]{1,2}\\-[0-9]{1,2}\\-[0-9]{2,4}',0)"
@@ -85,14 +86,14 @@ _COMPAT_ISO = "regexp_extract(full_text,'[0-9]{1,2}\\-[0-9]{1,2}\\-[0-9]{2,4}',0
 def _(spark, d):
     spec = config.GENERIC.fields[1]
     t = A.order_docs(spark, d).select("document_id", F.concat(F.lit("issued "), F.col("doc_date").cast("string"), F.lit(" ok")).alias("t"))
-    return t.select("document_id", X.extract_first_date(spec, F.col("t"), compat=True)["value"].alias("value"))
+    return t.select("document_id", X.extract_first_date(spec, X.first_date(F.col("t"), compat=True))["value"].alias("value"))
 
 
 @query("extract_default", f"with {Q.TX}, x as (select document_id, {label_sql(config.FieldSpec('reference', 'text'), 2)} as v from tx) select document_id, coalesce(v,'none') as value, case when v is null then 'default' else 'pattern_match' end as method from x")
 def _(spark, d):
     spec = config.FieldSpec("reference", "text", default="none")
-    t = ocr(spark, d, "full_text").withColumn("low", F.lower("full_text"))
-    return t.select("document_id", X.cascade(spec, F.col("full_text"), F.col("low"), None, False).alias("f")).select("document_id", "f.value", "f.method")
+    t = X.with_text(ocr(spark, d, "full_text"), "full_text")
+    return t.select("document_id", X.cascade(spec).alias("f")).select("document_id", "f.value", "f.method")
 
 
 def cascade_sql(schema, condition):
@@ -198,7 +199,7 @@ def _(spark, d):
    union all select document_id, case when key%5=0 then 'VENDOR_NAME' else 'note' end, (60+(key*7)%40)/100.0::double from od
    union all select document_id, 'total_amount', (60+key%40)/100.0::double from od) select document_id, field_name, round(c,6) as confidence from f where c>=0.8""")
 def _(spark, d):
-    return ocr(spark, d, "ocr_fields").select("document_id", F.explode(X.high_confidence_fields(F.col("ocr_fields"))).alias("f")).select(
+    return ocr(spark, d, "ocr_fields").select("document_id", F.explode_outer(X.high_confidence_fields(F.col("ocr_fields"))).alias("f")).where("f is not null").select(
         "document_id", "f.field_name", F.round("f.confidence", 6).alias("confidence"))
 
 

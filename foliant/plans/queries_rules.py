@@ -74,8 +74,8 @@ result_query("rule_length", lambda: rules.rule_length(val("email"), 10, 17), "fa
              "'Length '||length(email)||' not in range [10, 17]'", where="length(email) not between 10 and 17")
 
 
-@query("pattern_library", f"with {Q.FD}, p(name, regex) as (values " + ",".join(f"('{k}','{v}')" for k, v in config.PATTERNS.items()) + """)
-  select field_name, name as pattern, count(*) as matches from fv, p where regexp_matches(value, regex) group by 1,2""")
+@query("pattern_library", f"with {Q.FD} select field_name, pattern, count(*) as matches from (" + " union all ".join(
+    f"select field_name, '{n}' as pattern from fv where regexp_matches(value, '{p}')" for n, p in config.PATTERNS.items()) + ") group by 1,2")
 def _(spark, d):
     hits = F.filter(F.array(*[F.when(F.col("value").rlike(rules.check_pattern(p)), F.lit(n)) for n, p in config.PATTERNS.items()]), lambda x: x.isNotNull())
     return A.field_values(spark, d).select("field_name", F.explode(hits).alias("pattern")).groupBy("field_name", "pattern").agg(F.count(F.lit(1)).alias("matches"))

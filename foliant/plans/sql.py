@@ -106,7 +106,7 @@ _TEXTS = {
         "'Body: analysis and findings with a conclusion in the executive summary of account '||key", "'Page Count: '||(key%30)"]),
     "custom": _NL.join(["'Note '||key||' dated '||strftime(doc_date, '%B %-d, %Y')", f"'value of '||{_usd('total')}||' and '||{_usd('tax')}"]),
 }
-TX = OD + ", tx as (select *, case document_type " + " ".join(
+TX = OD + ", tx as materialized (select *, case document_type " + " ".join(
     f"when '{k}' then {v}||chr(10)" for k, v in _TEXTS.items()) + " end as full_text from od)"
 
 FD = OD + """, fd as (select key, document_id, document_type,

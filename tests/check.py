@@ -7,7 +7,7 @@ sys.path.insert(0, __file__.rsplit("/", 2)[0])
 
 import __spark_entry__ as entry  # noqa: E402
 from foliant.session import local_session  # noqa: E402
-from tests.compare import compare, connect  # noqa: E402
+from tests.compare import TIMES, compare, connect  # noqa: E402
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
 parts = sys.argv[2:]
@@ -26,7 +26,7 @@ for name, fn in queries.items():
     except Exception as e:  # noqa: BLE001
         diff = [f"{type(e).__name__}: {str(e)[:700]}"]
     flag = "ok  " if not diff else "FAIL"
-    print(f"{flag} {name} {time.time() - t:.2f}s {'' if name in sqls else '(rows only)'}", flush=True)
+    print(f"{flag} {name} {time.time() - t:.2f}s sql {TIMES['sql']:.2f}s {'' if name in sqls else '(rows only)'}", flush=True)
     for d in diff:
         print("     ", d[:900], flush=True)
     if diff:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import time
 
 import duckdb
 
@@ -18,6 +19,8 @@ def connect(sf_dir: str):
     return con
 
 
+TIMES = {"sql": 0.0}
+
 KIND = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE",
         "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
 
@@ -30,9 +33,11 @@ def _norm(v):
 
 def compare(df, con, sql: str) -> list[str]:
     """Differences between the two results, as text; empty if they agree."""
+    t0 = time.time()
     cur = con.execute(sql)
     duck_schema = {d[0]: str(d[1]) for d in cur.description}
     duck = cur.fetchall()
+    TIMES["sql"] = time.time() - t0
     cols = sorted(duck_schema)
     out = []
     if sorted(df.columns) != cols:
