@@ -26,8 +26,10 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     """Import every module that registers queries."""
     from foliant.plans import (  # noqa: F401
+        queries_classify,
         queries_docs,
         queries_extract,
         queries_kpi,
+        queries_review,
         queries_rules,
     )
