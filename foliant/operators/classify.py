@@ -89,7 +89,7 @@ def page_confidence(pages: DataFrame, key: str) -> DataFrame:
 def aggregate_probabilities(pages: DataFrame, key: str, page: str = "page") -> DataFrame:
     """Mean probability per class over all pages of a document; a class a page lacks counts as zero."""
     n = pages.groupBy(key).agg(F.countDistinct(page).alias("__n"))
-    sums = pages.select(key, F.explode("probabilities").alias("document_type", "p")).groupBy(key, "document_type").agg(F.sum("p").alias("__p"))
+    sums = pages.select(key, F.explode_outer("probabilities").alias("document_type", "p")).where(F.col("document_type").isNotNull()).groupBy(key, "document_type").agg(F.sum("p").alias("__p"))
     return sums.join(n, key).select(key, "document_type", (F.col("__p") / F.col("__n")).alias("probability"))
 
 

@@ -98,7 +98,7 @@ def review_priority(results: Column, scores: Column) -> Column:
     return F.when((errors > 0) | (low > 2), "high").when((bad > 0) | (low > 0), "medium").otherwise("low")
 
 
-def pipeline_review_flag(stages: Column, results: Column) -> Column:
+def run_review_flag(stages: Column, results: Column) -> Column:
     failed = F.exists(stages, lambda s: s["status"] == "failed")
     return failed | (F.size(F.filter(results, lambda r: ~F.coalesce(r["valid"], F.lit(False)))) > 2)
 

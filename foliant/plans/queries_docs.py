@@ -368,11 +368,11 @@ def _(spark, d):
 _BADS = "((event_id%3=0)::int+(event_id%5=0)::int+(event_id%4=0)::int+(event_id%2<>0)::int)"
 
 
-@query("pipeline_review_flag", f"select event_id, event_id%11=0 or event_type='error' or {_BADS}>2 as needs_review from events")
+@query("run_review_flag", f"select event_id, event_id%11=0 or event_type='error' or {_BADS}>2 as needs_review from events")
 def _(spark, d):
     out = A.processing_results(spark, d)
     key = F.regexp_extract("blob_name", r"doc_(\d+)", 1).cast("long")
-    return out.select(key.alias("event_id"), R.pipeline_review_flag(F.col("stages"), F.col("validation_results")).alias("needs_review"))
+    return out.select(key.alias("event_id"), R.run_review_flag(F.col("stages"), F.col("validation_results")).alias("needs_review"))
 
 
 @query("derive_metrics_row", f"""select 'inbox_'||event_type||'_doc_'||event_id as document_id, case when event_id%11=0 or event_type='error' then 'failed' when event_type='signup' then 'needs_review' else 'success' end as processing_status,
