@@ -32,4 +32,5 @@ def load() -> None:
         queries_kpi,
         queries_review,
         queries_rules,
+        queries_stream,
     )

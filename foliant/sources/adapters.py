@@ -111,14 +111,18 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document per order with the figures its text and field maps are made of."""
+    return order_docs_from(table(spark, sf_dir, "orders"))
+
+
+def order_docs_from(orders: DataFrame) -> DataFrame:
+    """A document per order (batch or stream) with the figures its text and field maps are made of."""
     k = F.col("o_orderkey")
     total = F.col("o_totalprice").cast("decimal(18,2)")
     tax = F.round(total * F.lit("0.08").cast("decimal(4,2)"), 2).cast("decimal(18,2)")
     # One document in seven states a total that is off by a dollar.
     stated = F.when(k % 7 == 0, total + 1).otherwise(total).cast("decimal(18,2)")
     due_days = (k % 45).cast("int")
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         k.alias("key"), F.concat(F.lit("DOC-"), k.cast("string")).alias("document_id"),
         pick(["invoice", "invoice", "invoice", "receipt", "contract", "general_document", "custom"], k).alias("document_type"),
         (total - tax).cast("decimal(18,2)").alias("subtotal"), tax.alias("tax"), stated.alias("total"),
@@ -314,9 +318,13 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Task life events: one task per user and three days; errors are failed attempts."""
+    return task_events_from(table(spark, sf_dir, "events"))
+
+
+def task_events_from(events: DataFrame) -> DataFrame:
+    """Task life events, batch or stream: one task per user and day; errors are failed attempts."""
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("T"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "DDD")).alias("task_id"),
         F.col("ts"), F.col("event_id"), F.col("user_id"),
         F.when(kind == "error", "attempt_failed").when(kind == "signup", "touched").when(kind == "purchase", "completed")
