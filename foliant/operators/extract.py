@@ -16,10 +16,15 @@ from foliant.functions import parse
 TEXT, LOW, ANY_DATE, ANY_MONEY = "__text", "__low", "__any_date", "__any_money"
 
 
-def field_struct(name, label, value, confidence, source, method) -> Column:
-    return F.struct(
-        F.lit(name).alias("field_name"), label.cast("string").alias("matched_label"), value.cast("string").alias("value"),
-        confidence.cast("double").alias("confidence"), source.cast("string").alias("source_text"), F.lit(method).alias("method"))
+def text_literal(s: str | None) -> str:
+    """A SQL string literal."""
+    return "CAST(NULL AS STRING)" if s is None else "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def field_sql(name: str, label: str, value: str, confidence: str, source: str, method: str) -> str:
+    """A field value struct as SQL text; the arguments but the method are SQL expressions."""
+    return (f"named_struct('field_name', {name}, 'matched_label', {label}, 'value', {value}, 'confidence', CAST({confidence} AS DOUBLE), "
+            f"'source_text', {source}, 'method', '{method}')")
 
 
 def label_pattern(label: str, field_type: str) -> str:
@@ -27,33 +32,73 @@ def label_pattern(label: str, field_type: str) -> str:
     return rf"(?im)(?:^|\s)(\Q{label}\E)[:\s]+{value}"
 
 
-def extract_structured(spec: FieldSpec, ocr_fields: Column) -> Column:
+def structured_sql(spec: FieldSpec, ocr_fields: str) -> str:
     """Strategy 1: the first recognised field whose name equals the schema name, case ignored."""
-    hit = F.get(F.filter(ocr_fields, lambda f: F.lower(f["field_name"]) == spec.name.lower()), F.lit(0))
-    return F.when(hit.isNotNull(), field_struct(
-        spec.name, F.lit(None), hit["value"], F.coalesce(hit["confidence"], F.lit(1.0)), hit["value"], "ocr_structured"))
+    hit = f"filter({ocr_fields}, f -> lower(f.field_name) = {text_literal(spec.name.lower())})"
+    found = field_sql(text_literal(spec.name), "CAST(NULL AS STRING)", "f.value", "coalesce(f.confidence, 1.0)", "f.value", "ocr_structured")
+    return f"get(transform({hit}, f -> {found}), 0)"
 
 
-def extract_by_label(spec: FieldSpec, text: Column, low: Column, compat: bool = False) -> Column:
+def label_sql(spec: FieldSpec, compat: bool = False) -> str:
     """Strategy 2: name and synonyms in order; the first label with a value of the field's type.
 
     A plain substring test keeps the pattern from running on texts that lack the label. The hit is
     then taken apart by one pattern over all labels, which only ever sees the short matched text.
     ``compat`` names the field after the label that matched and reads the text in lower case.
     """
-    text = low if compat else text
+    text = LOW if compat else TEXT
     labels = [spec.name, *spec.synonyms]
-    patterns = [label_pattern(x, spec.field_type) for x in labels]
-    source = F.coalesce(*[
-        F.when(low.contains(x.lower()) & text.rlike(p), F.regexp_extract(text, p, 0)) for x, p in zip(labels, patterns)])
-    either = label_pattern(r"\E|\Q".join(labels), spec.field_type)
+    arms = []
+    for label in labels:
+        pattern = text_literal(label_pattern(label, spec.field_type))
+        arms.append(f"CASE WHEN contains({LOW}, {text_literal(label.lower())}) AND {text} RLIKE {pattern} THEN regexp_extract({text}, {pattern}, 0) END")
+    either = text_literal(label_pattern(r"\E|\Q".join(labels), spec.field_type))
+    label = f"lower(regexp_extract(s, {either}, 1))"
+    value = f"regexp_replace(regexp_extract(s, {either}, 2), {text_literal(f'^{parse.WS}+|{parse.WS}+$')}, '')"
+    found = field_sql(label if compat else text_literal(spec.name), label, value, str(config.CONF_LABEL), "s", "pattern_match")
+    return f"transform(array(coalesce({', '.join(arms)})), s -> CASE WHEN s IS NOT NULL THEN {found} END)[0]"
+
+
+def third_sql(spec: FieldSpec) -> str | None:
+    """Strategy 3: the text's largest amount or first date, by field type."""
+    kinds = {"currency": (ANY_MONEY, config.CONF_CURRENCY, "pattern_currency"), "date": (ANY_DATE, config.CONF_DATE, "pattern_date")}
+    if spec.field_type not in kinds:
+        return None
+    column, confidence, method = kinds[spec.field_type]
+    found = field_sql(text_literal(spec.name), "CAST(NULL AS STRING)", column, str(confidence), column, method)
+    return f"CASE WHEN {column} IS NOT NULL THEN {found} END"
+
+
+def default_sql(spec: FieldSpec) -> str | None:
+    if spec.default is None:
+        return None
+    return field_sql(text_literal(spec.name), "CAST(NULL AS STRING)", text_literal(spec.default), str(config.CONF_DEFAULT), "'default'", "default")
+
+
+def cascade_sql(spec: FieldSpec, ocr_fields: str | None = None, compat: bool = False) -> str:
+    """All strategies in order over a frame prepared by :func:`with_text`."""
+    steps = [None if ocr_fields is None else structured_sql(spec, ocr_fields), label_sql(spec, compat), third_sql(spec), default_sql(spec)]
+    return f"coalesce({', '.join(s for s in steps if s)})"
+
+
+def extract_structured(spec: FieldSpec, ocr_fields: str = "ocr_fields") -> Column:
+    return F.expr(structured_sql(spec, ocr_fields))
+
+
+def extract_by_label(spec: FieldSpec, compat: bool = False) -> Column:
+    return F.expr(label_sql(spec, compat))
+
 
-    def parts(s: Column) -> Column:
-        label = F.lower(F.regexp_extract(s, either, 1))
-        out = field_struct(spec.name, label, parse.strip(F.regexp_extract(s, either, 2)), F.lit(config.CONF_LABEL), s, "pattern_match")
-        return F.when(s.isNotNull(), out.withField("field_name", label) if compat else out)
+def extract_max_currency(spec: FieldSpec) -> Column:
+    return F.expr(third_sql(spec))
 
-    return F.transform(F.array(source), parts)[0]
+
+def extract_first_date(spec: FieldSpec) -> Column:
+    return F.expr(third_sql(spec))
+
+
+def cascade(spec: FieldSpec, ocr_fields: str | None = None, compat: bool = False) -> Column:
+    return F.expr(cascade_sql(spec, ocr_fields, compat))
 
 
 def max_currency(text: Column) -> Column:
@@ -74,22 +119,6 @@ def first_date(text: Column, compat: bool = False) -> Column:
     return F.coalesce(*[F.when(text.rlike(p), F.regexp_extract(text, p, 0)) for p in patterns])
 
 
-def extract_max_currency(spec: FieldSpec, largest: Column) -> Column:
-    """Strategy 3 for money, from the text's largest amount."""
-    return F.when(largest.isNotNull(), field_struct(spec.name, F.lit(None), largest, F.lit(config.CONF_CURRENCY), largest, "pattern_currency"))
-
-
-def extract_first_date(spec: FieldSpec, hit: Column) -> Column:
-    """Strategy 3 for dates, from the text's first date."""
-    return F.when(hit.isNotNull(), field_struct(spec.name, F.lit(None), hit, F.lit(config.CONF_DATE), hit, "pattern_date"))
-
-
-def extract_default(spec: FieldSpec) -> Column | None:
-    if spec.default is None:
-        return None
-    return field_struct(spec.name, F.lit(None), F.lit(spec.default), F.lit(config.CONF_DEFAULT), F.lit("default"), "default")
-
-
 def with_text(docs: DataFrame, text_col: str, compat: bool = False) -> DataFrame:
     """Adds what all fields of a text share: the text, its lower case, its first date and largest amount."""
     out = docs.withColumn(TEXT, F.coalesce(text_col, F.lit(""))).withColumn(LOW, F.lower(TEXT))
@@ -97,18 +126,6 @@ def with_text(docs: DataFrame, text_col: str, compat: bool = False) -> DataFrame
     return out.withColumns({ANY_DATE: first_date(text, compat), ANY_MONEY: max_currency(text)})
 
 
-def cascade(spec: FieldSpec, ocr_fields: Column | None = None, compat: bool = False) -> Column:
-    """All strategies in order over a frame prepared by :func:`with_text`."""
-    steps = [] if ocr_fields is None else [extract_structured(spec, ocr_fields)]
-    steps.append(extract_by_label(spec, F.col(TEXT), F.col(LOW), compat))
-    if spec.field_type == "currency":
-        steps.append(extract_max_currency(spec, F.col(ANY_MONEY)))
-    elif spec.field_type == "date":
-        steps.append(extract_first_date(spec, F.col(ANY_DATE)))
-    default = extract_default(spec)
-    return F.coalesce(*steps, *([] if default is None else [default]))
-
-
 def by_type(document_type: Column, schemas: dict[str, DocSchema], build, generic: DocSchema = config.GENERIC) -> Column:
     """CASE over the document types, with the generic schema for all others."""
     out = None
@@ -121,8 +138,8 @@ def extract_fields(docs: DataFrame, schemas: dict[str, DocSchema] | None = None,
                    type_col: str = "document_type", ocr_fields_col: str | None = "ocr_fields", compat: bool = False) -> DataFrame:
     """Adds ``fields``: the non-null field values of the document's schema, in schema order, normalised."""
     schemas = config.SCHEMAS if schemas is None else schemas
-    ocr = F.col(ocr_fields_col) if ocr_fields_col and ocr_fields_col in docs.columns else None
-    raw = by_type(F.col(type_col), schemas, lambda s: F.array(*[cascade(f, ocr, compat) for f in s.fields]))
+    ocr = f"`{ocr_fields_col}`" if ocr_fields_col and ocr_fields_col in docs.columns else None
+    raw = by_type(F.col(type_col), schemas, lambda s: F.expr(f"array({', '.join(cascade_sql(f, ocr, compat) for f in s.fields)})"))
     found = F.transform(F.filter(raw, lambda f: f.isNotNull()), normalize_field)
     return with_text(docs, text_col, compat).withColumn("fields", found).drop(TEXT, LOW, ANY_DATE, ANY_MONEY)
 

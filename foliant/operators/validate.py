@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant import config
-from foliant.config import DocSchema, FieldSpec
+from foliant.config import DocSchema
 from foliant.functions import parse, rules
 from foliant.functions.status import infer_field_type
 from foliant.operators import crossfield, tables
@@ -21,32 +21,33 @@ def _present(results: list[Column]) -> Column:
     return F.filter(F.array(*results), lambda r: r.isNotNull())
 
 
-def field_failures(spec: FieldSpec, v: rules.Value, strict: bool) -> Column:
-    """The failed rules of one field as an array; errors for required fields, warnings for others."""
-    severity = "error" if spec.required else "warning"
+def value_failures(document_type: Column, name: Column, v: rules.Value, schemas: dict[str, DocSchema], strict: bool) -> Column:
+    """The failed schema rules of one value as an array; errors for required fields, warnings for others.
+
+    Each rule is compiled once and guarded by the list of fields that carry it.
+    """
+    carriers: dict[str, list[str]] = {}
+    required = []
+    for schema in schemas.values():
+        for spec in schema.fields:
+            key = f"{schema.document_type}.{spec.name}"
+            if spec.required:
+                required.append(key)
+            for rule in spec.rules:
+                carriers.setdefault(rule, []).append(key)
+    key = F.concat_ws(".", document_type, name)
+    severity = F.when(key.isin(required), "error").otherwise("warning")
+    start = F.concat(F.lit("Field '"), name, F.lit("' failed validation rule '"))
     out = []
-    for rule in spec.rules:
+    for rule, keys in carriers.items():
         ok = rules.schema_rule(rule, v, strict)
         if ok is not None:
-            out.append(F.when(~F.coalesce(ok, F.lit(False)), F.struct(
-                F.lit(spec.name).alias("field_name"), F.lit(False).alias("is_valid"), F.lit(severity).alias("severity"),
-                F.lit(f"Field '{spec.name}' failed validation rule '{rule}'").alias("message"), F.lit(rule).alias("rule_name"),
-                F.lit(None).cast("string").alias("suggested_value"))))
+            out.append(F.when(key.isin(keys) & ~F.coalesce(ok, F.lit(False)), F.struct(
+                name.alias("field_name"), F.lit(False).alias("is_valid"), severity.alias("severity"),
+                F.concat(start, F.lit(f"{rule}'")).alias("message"), F.lit(rule).alias("rule_name"), F.lit(None).cast("string").alias("suggested_value"))))
     return _present(out)
 
 
-def value_failures(document_type: Column, name: Column, v: rules.Value, schemas: dict[str, DocSchema], strict: bool) -> Column:
-    """CASE over type and field name of the compiled rule lists."""
-    def build(schema: DocSchema) -> Column:
-        out = None
-        for spec in schema.fields:
-            got = field_failures(spec, v, strict)
-            out = F.when(name == spec.name, got) if out is None else out.when(name == spec.name, got)
-        return out.otherwise(F.array().cast(RESULT))
-
-    return by_type(document_type, schemas, build)
-
-
 def validate_field_rows(rows: DataFrame, as_of, schemas: dict[str, DocSchema] | None = None, strict: bool = False,
                         keys: tuple[str, ...] = ("document_id",)) -> DataFrame:
     """Long form: failed rules of a (document_type, field_name, value) table."""

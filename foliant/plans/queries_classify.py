@@ -15,7 +15,7 @@ from foliant.sources import adapters as A
 
 
 def texts(spark, d):
-    return spread(A.order_text(A.order_docs(spark, d)).select("document_id", "key", "full_text"))
+    return A.order_text(A.order_docs(spark, d)).select("document_id", "key", "full_text")
 
 
 def r6(df, *cols):
@@ -173,7 +173,7 @@ def _(spark, d):
 
 @query("feature_vector_layout")
 def _(spark, d):
-    docs = layout_from_blocks(spread(A.ocr_docs(spark, d).select("document_id", "full_text", "text_blocks")))
+    docs = layout_from_blocks(A.ocr_docs(spark, d).select("document_id", "full_text", "text_blocks"))
     rows, names = ml.feature_frame(C.text_features(docs, "full_text"), ["document_id"], with_layout=True)
     return rows.select("document_id", *names)
 

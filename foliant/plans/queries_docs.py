@@ -255,7 +255,7 @@ def _(spark, d):
 @query("union_rules", f"with {Q.FD} select document_id, 'phone_before' as rule_name, false as is_valid, 'error' as severity from fd")
 def _(spark, d):
     extra = [{"name": "phone_before", "type": "date_sequence", "field1": "phone", "field2": "invoice_date"}]
-    out = validate.validate_document(spread(A.field_docs(spark, d)), extra)
+    out = validate.validate_document(A.field_docs(spark, d), extra)
     return out.select("document_id", F.explode_outer("validation_results").alias("r")).where("r.rule_name = 'phone_before'").select(
         "document_id", "r.rule_name", "r.is_valid", "r.severity")
 
@@ -273,7 +273,7 @@ _VF = {
     f"select document_id, field_name, '{rule}' as rule_name, '{sev}' as severity, 'Field '''||field_name||''' failed validation rule ''{rule}''' as message from fv where document_type='{t}' and field_name='{f}' and {cond}"
     for t, f, rule, sev, cond in _VF.values()))
 def _(spark, d):
-    return validate.validate_field_rows(spread(A.field_values(spark, d)), TODAY).select("document_id", "field_name", "rule_name", "severity", "message")
+    return validate.validate_field_rows(A.field_values(spark, d), TODAY).select("document_id", "field_name", "rule_name", "severity", "message")
 
 
 _CUR = "regexp_matches(value,'^\\$?[\\d,]+\\.?\\d{0,2}$')"
@@ -290,7 +290,7 @@ _CUR = "regexp_matches(value,'^\\$?[\\d,]+\\.?\\d{0,2}$')"
   union all select 'invoice_date_before_due_date', coalesce(invoice_date::date<={Q.to_date('due_date')},false), case when coalesce(invoice_date::date<={Q.to_date('due_date')},false) then 'info' else 'error' end from fd
   union all select 'invoice_total_consistency', key%7<>0, case when key%7<>0 then 'info' else 'error' end from od) group by 1,2,3""")
 def _(spark, d):
-    out = validate.validate_document(spread(A.field_docs(spark, d)))
+    out = validate.validate_document(A.field_docs(spark, d))
     return out.select(F.explode_outer("validation_results").alias("r")).select("r.*").groupBy("rule_name", "is_valid", "severity").agg(F.count(F.lit(1)).alias("results"))
 
 
@@ -442,7 +442,7 @@ def _(spark, d):
   select document_type, count(*) as documents_processed, round(avg((key%90)/10.0),6) as average_processing_time, round(avg(case when key%10<>0 then (60+key%40)/100.0 end),6) as average_confidence,
    sum(hand)::bigint as handwritten_text_detected, count(*) filter (key%6<>5) as tables_extracted, (count(*)*3)::bigint as custom_fields_extracted from b group by 1""")
 def _(spark, d):
-    out = stats.ocr_stats(spread(A.ocr_docs(spark, d)), ["document_type"])
+    out = stats.ocr_stats(A.ocr_docs(spark, d), ["document_type"])
     return out.select("document_type", "documents_processed", F.round("average_processing_time", 6).alias("average_processing_time"),
                       F.round("average_confidence", 6).alias("average_confidence"), "handwritten_text_detected", "tables_extracted", "custom_fields_extracted")
 
@@ -458,7 +458,7 @@ def _(spark, d):
 
 @query("process_documents")
 def _(spark, d):
-    out = P.process_documents(spread(A.ocr_docs(spark, d)), TODAY)
+    out = P.process_documents(A.ocr_docs(spark, d), TODAY)
     return out.select("document_id", "document_type", F.size("fields").alias("fields"), F.size("validation_results").alias("results"),
                       F.round("overall_confidence", 6).alias("overall_confidence"), "requires_hitl", "routing_reason", "priority", "auto_approve")
 

@@ -15,7 +15,7 @@ from foliant.sources import adapters as A
 
 
 def ocr(spark, d, *columns):
-    return spread(A.ocr_docs(spark, d).select("document_id", "document_type", "key", *columns))
+    return A.ocr_docs(spark, d).select("document_id", "document_type", "key", *columns)
 
 
 def _pattern(label, kind):
@@ -51,7 +51,7 @@ _FIRST_DATE = "case " + " ".join([
   round(case when key%3=0 then (60+(key*3)%40)/100.0 else (60+key%40)/100.0 end::double,6) as confidence, 'ocr_structured' as method from od""")
 def _(spark, d):
     spec = next(f for f in config.INVOICE.fields if f.name == "total_amount")
-    return ocr(spark, d, "ocr_fields").select("document_id", X.extract_structured(spec, F.col("ocr_fields")).alias("f")).select(
+    return ocr(spark, d, "ocr_fields").select("document_id", X.extract_structured(spec).alias("f")).select(
         "document_id", "f.value", F.round("f.confidence", 6).alias("confidence"), "f.method")
 
 
@@ -59,8 +59,8 @@ def _(spark, d):
     f"select document_id, '{s.name}' as field_name, {label_name_sql(s)} as matched_label, {label_sql(s, 2)} as value from tx where document_type='invoice' and {label_name_sql(s)} is not null"
     for s in config.INVOICE.fields))
 def _(spark, d):
-    inv = ocr(spark, d, "full_text").where(F.col("document_type") == "invoice").withColumn("low", F.lower("full_text"))
-    hits = F.array(*[X.extract_by_label(s, F.col("full_text"), F.col("low")) for s in config.INVOICE.fields])
+    inv = X.with_text(ocr(spark, d, "full_text").where(F.col("document_type") == "invoice"), "full_text")
+    hits = F.array(*[X.extract_by_label(s) for s in config.INVOICE.fields])
     return X.explode_rows(inv, ["document_id"], F.filter(hits, lambda f: f.isNotNull())).select("document_id", "field_name", "matched_label", "value")
 
 
@@ -68,14 +68,14 @@ def _(spark, d):
 def _(spark, d):
     spec = config.GENERIC.fields[2]
     t = X.with_text(ocr(spark, d, "full_text"), "full_text")
-    return t.select("document_id", X.extract_max_currency(spec, F.col(X.ANY_MONEY)).alias("f")).where("f is not null").select("document_id", "f.value")
+    return t.select("document_id", X.extract_max_currency(spec).alias("f")).where("f is not null").select("document_id", "f.value")
 
 
 @query("extract_first_date", f"with {Q.TX} select document_id, {_FIRST_DATE} as value from tx")
 def _(spark, d):
     spec = config.GENERIC.fields[1]
     t = X.with_text(ocr(spark, d, "full_text"), "full_text")
-    return t.select("document_id", X.extract_first_date(spec, F.col(X.ANY_DATE)).alias("f")).select("document_id", "f.value")
+    return t.select("document_id", X.extract_first_date(spec).alias("f")).select("document_id", "f.value")
 
 
 _COMPAT_ISO = "regexp_extract(full_text,'[0-9]{1,2}\\-[0-9]{1,2}\\-[0-9]{2,4}',0)"
@@ -86,7 +86,8 @@ _COMPAT_ISO = "regexp_extract(full_text,'[0-9]{1,2}\\-[0-9]{1,2}\\-[0-9]{2,4}',0
 def _(spark, d):
     spec = config.GENERIC.fields[1]
     t = A.order_docs(spark, d).select("document_id", F.concat(F.lit("issued "), F.col("doc_date").cast("string"), F.lit(" ok")).alias("t"))
-    return t.select("document_id", X.extract_first_date(spec, X.first_date(F.col("t"), compat=True))["value"].alias("value"))
+    t = X.with_text(t, "t", compat=True)
+    return t.select("document_id", X.extract_first_date(spec)["value"].alias("value"))
 
 
 @query("extract_default", f"with {Q.TX}, x as (select document_id, {label_sql(config.FieldSpec('reference', 'text'), 2)} as v from tx) select document_id, coalesce(v,'none') as value, case when v is null then 'default' else 'pattern_match' end as method from x")

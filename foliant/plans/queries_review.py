@@ -18,8 +18,8 @@ REVIEW_NAMES = ["critical", "high", "medium", "low"]
 SQL_NAMED = f"{Q.RT}, named as (select *, {Q.pick(NAMES, 'key')} as qname, {Q.pick(REVIEW_NAMES, 'key // 2')} as rname from tasks)"
 
 
-def named(spark, d, names=NAMES, key=F.col("key")):
-    return A.review_tasks(spark, d).withColumn("priority", A.pick(names, key))
+def named(spark, d, names=NAMES, step=1):
+    return A.review_tasks(spark, d).withColumn("priority", A.pick(names, F.floor(F.col("key") / step)))
 
 
 def r6(df, *cols):
@@ -237,22 +237,21 @@ def _(spark, d):
 
 
 _RRANK = "case rname when 'critical' then 0 when 'high' then 1 when 'medium' then 2 else 3 end"
-_HALF = F.floor(F.col("key") / 2)
 
 
 @query("pending_tasks", f"with {SQL_NAMED} select task_id, rname as priority, created_at from named where status='pending' order by {_RRANK}, created_at, task_id limit 50")
 def _(spark, d):
-    return V.pending_tasks(named(spark, d, REVIEW_NAMES, _HALF)).select("task_id", "priority", "created_at")
+    return V.pending_tasks(named(spark, d, REVIEW_NAMES, 2)).select("task_id", "priority", "created_at")
 
 
 @query("priority_counts", f"with {SQL_NAMED} select rname as priority, count(*) as count from named where status='pending' group by 1")
 def _(spark, d):
-    return V.priority_counts(named(spark, d, REVIEW_NAMES, _HALF))
+    return V.priority_counts(named(spark, d, REVIEW_NAMES, 2))
 
 
 @query("daily_summary", f"with {SQL_NAMED} select count(*) filter (status='pending') as pending_reviews, count(*) filter (status='completed' and cast(resolution_time as date)=date '1998-06-30') as completed_today, count(*) filter (status='pending' and rname='critical') as critical_priority, count(*) filter (status='pending' and rname='high') as high_priority from named")
 def _(spark, d):
-    return V.daily_summary(named(spark, d, REVIEW_NAMES, _HALF), "1998-06-30")
+    return V.daily_summary(named(spark, d, REVIEW_NAMES, 2), "1998-06-30")
 
 
 @query("submit_review", f"with {Q.RT} select task_id, case when key%3=0 then 'rejected' else 'approved' end as review_decision, case when key%2=0 then 'seen' else '' end as reviewer_notes, 1::integer as corrected, 'completed' as status from tasks where status='in_progress'")

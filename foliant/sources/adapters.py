@@ -11,6 +11,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.session import spread
+
 TYPES = ["invoice", "receipt", "contract", "id_document", "general_document", "purchase_order"]
 EXCEPTIONS = ["low_ocr_confidence", "validation_failure", "missing_page", "unsupported_format", "processing_timeout", "poison_queue"]
 FIELDS = ["invoice_number", "total_amount", "vendor_name", "invoice_date", "due_date"]
@@ -111,7 +113,7 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_docs_from(table(spark, sf_dir, "orders"))
+    return order_docs_from(spread(table(spark, sf_dir, "orders")))
 
 
 def order_docs_from(orders: DataFrame) -> DataFrame:
@@ -281,7 +283,7 @@ def review_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         f("total_amount", F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")), conf(7), (k % 4 == 0).cast("int")),
         f("vendor_name", F.concat(F.lit("Trader "), F.col("o_custkey").cast("string")), conf(9), F.lit(0)),
     )
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         F.concat(F.lit("TASK-"), k.cast("string")).alias("task_id"), F.concat(F.lit("doc_"), (k * 3).cast("string")).alias("document_id"),
         pick(TYPES[:5], F.col("o_custkey")).alias("document_type"), fields.alias("extracted_fields"),
         F.when(k % 4 == 0, F.array(F.lit("total mismatch"))).otherwise(F.array().cast("array<string>")).alias("validation_errors"),
