@@ -124,7 +124,10 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: list[Quantile], group_
 
     picked = ranked.groupBy(*g).agg(*[c for i in q for c in (at(i, "r1").alias(f"__x{i}"), at(i, "r2").alias(f"__y{i}"))])
     out = picked.join(bounds.select(*g, "__n"), g) if g else attach(picked, bounds.select("__n"), g)
-    return out.select(*g, *[quantiles[i].value(F.col("__n"), F.col(f"__x{i}"), F.col(f"__y{i}")).alias(quantiles[i].name) for i in q])
+    # A rank outside its bracket would leave a NULL: never expected, and never passed on in silence.
+    missed = F.when(F.col("__n") > 0, F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
+    return out.select(*g, *[
+        F.coalesce(quantiles[i].value(F.col("__n"), F.col(f"__x{i}"), F.col(f"__y{i}")), missed).alias(quantiles[i].name) for i in q])
 
 
 def _brackets(x: DataFrame, quantiles: list[Quantile], g: list[str]) -> DataFrame:

@@ -47,7 +47,7 @@ def schema_table_rows(schemas: DataFrame, keys: tuple[str, ...] = ()) -> DataFra
 
 def scan_schemas(spark: SparkSession, path: str) -> DataFrame:
     """Schema files of a folder, one JSON document per file; bad files are skipped."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    texts = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return parse_schemas(texts)
 
 
