@@ -66,7 +66,7 @@ def semi_expected(detected: DataFrame, expected: DataFrame, keys: list[str]) ->
 def import_reviews(tasks: DataFrame, metrics: DataFrame) -> DataFrame:
     """Finished reviews that are not in the metrics yet, as metric rows."""
     done = tasks.where(F.col("status").isin("completed", "approved"))
-    return done.join(metrics.select("document_id").distinct(), "document_id", "left_anti").select(
+    return done.join(metrics.select("document_id"), "document_id", "left_anti").select(
         "document_id", F.coalesce("document_type", F.lit("unknown")).alias("document_type"),
         F.when(F.col("status") == "completed", "success").otherwise("needs_review").alias("processing_status"),
         F.col("created_at").alias("start_time"), F.coalesce("resolution_time", "created_at").alias("end_time"),

@@ -16,9 +16,13 @@ def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def merge_metrics(old: DataFrame, new: DataFrame, key: str = "document_id", order: str = "created_at") -> DataFrame:
-    """Insert-or-replace as a frame: the last written row per key wins, new rows before old ones on ties."""
-    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    return latest(both, [key], [F.col("__new").desc(), F.col(order).desc()]).drop("__new")
+    """Insert-or-replace as a frame: new rows replace old ones, the last written new row per key wins.
+
+    The old table is unique by key, so it is only filtered by the keys of the (usually far smaller)
+    new rows; adaptive execution broadcasts those by size and then leaves the old table unshuffled.
+    """
+    fresh = latest(new, [key], [F.col(order).desc()])
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def upsert_document_metrics(new: DataFrame, current_path: str, next_path: str) -> None:

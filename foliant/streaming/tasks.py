@@ -17,6 +17,7 @@ from foliant.operators.queue import retry_delay
 from foliant.sources.metrics import plus_seconds, ts
 
 _AT = ("ts", "event_id")
+COMPACTED = -1
 
 
 def summarize_events(events: DataFrame) -> DataFrame:
@@ -36,6 +37,11 @@ def merge_summaries(log: DataFrame) -> DataFrame:
     return _with_failures(base, log.select("task_id", F.explode("failures").alias("f")).select("task_id", "f.*"))
 
 
+def compact(log: DataFrame, path: str) -> None:
+    """Rewrites a log as one row per task into a new folder, for readers to switch to with the later batches."""
+    merge_summaries(log).write.mode("overwrite").parquet(f"{path}/batch={COMPACTED}")
+
+
 def _with_failures(base: DataFrame, failures: DataFrame) -> DataFrame:
     first = top_per_group(failures, ["task_id"], list(_AT), config.MAX_ATTEMPTS)
     lists = first.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct(*_AT))).alias("failures"))  # at most three

@@ -90,6 +90,23 @@ def test_task_stream_over_several_runs(spark, tmp_path):
     assert as_dict(ST.task_state(ST.merge_summaries(spark.read.parquet(out)))) == python_fold(events)
 
 
+def test_compacted_log_reads_the_same(spark, tmp_path):
+    events = task_events()
+    log = ST.summarize_events(spark.createDataFrame(events[::2], EV)).unionByName(ST.summarize_events(spark.createDataFrame(events[1::2], EV)))
+    ST.compact(log, str(tmp_path))
+    again = spark.read.parquet(str(tmp_path)).drop("batch")
+    assert as_dict(ST.task_state(ST.merge_summaries(again))) == python_fold(events)
+
+
+def test_due_now(spark):
+    s = spark.createDataFrame([("a", "failed", at(0), None), ("b", "failed", at(9), None), ("c", "in_progress", None, at(0)), ("d", "in_progress", None, at(50))],
+                              "task_id string, status string, next_retry timestamp, first_touched_at timestamp")
+    got = {r["task_id"]: (r["retry_due"], r["timed_out"]) for r in ST.due_now(s, at(5)).collect()}
+    assert got["a"] == (True, False) and got["b"] == (False, False)
+    late = {r["task_id"]: r["timed_out"] for r in ST.due_now(s, at(70)).collect()}
+    assert late["c"] and not late["d"]
+
+
 def test_names_once_over_several_runs(spark, tmp_path):
     src, out, ckpt = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ckpt")
     for names in (["a.pdf", "b.pdf", "a.pdf"], ["b.pdf", "c.pdf"]):
