@@ -257,7 +257,7 @@ def queue_trend(tasks: DataFrame, as_of, hours: int = 12) -> DataFrame:
     )
     calendar = tasks.sparkSession.range(1).select(F.explode(F.sequence(start, end, h)).alias("hour"))
     w = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
-    return calendar.join(per_hour, "hour", "left").select("hour", F.sum(F.coalesce("d", F.lit(0))).over(w).alias("queue_depth"))
+    return calendar.join(per_hour, "hour", "left").select(F.col("hour").cast("timestamp_ntz").alias("hour"), F.sum(F.coalesce("d", F.lit(0))).over(w).alias("queue_depth"))
 
 
 def with_status(kpi: DataFrame) -> DataFrame:

@@ -97,8 +97,8 @@ def union_columns(*frames: DataFrame) -> DataFrame:
 
 
 def save_snapshot(kpi: DataFrame, path: str, template_type: str, start, end) -> None:
-    kpi.select(F.lit(template_type).alias("template_type"), F.lit(str(start)).cast("timestamp").alias("period_start"),
-               F.lit(str(end)).cast("timestamp").alias("period_end"), F.struct(*kpi.columns).alias("kpis")).write.mode("append").parquet(path)
+    kpi.select(F.lit(template_type).alias("template_type"), F.lit(str(start)).cast("timestamp_ntz").alias("period_start"),
+               F.lit(str(end)).cast("timestamp_ntz").alias("period_end"), F.struct(*kpi.columns).alias("kpis")).write.mode("append").parquet(path)
 
 
 def export_training_data(records: DataFrame, path: str, document_type: str | None = None) -> None:

@@ -16,7 +16,8 @@ def ts(value, like: DataFrame, column: str) -> Column:
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
+    """Exact seconds as a double, by interval, so that no time zone enters."""
+    return (end - start).cast("interval second").cast("decimal(24,6)").cast("double")
 
 
 def plus_seconds(c: Column, seconds: Column) -> Column:
