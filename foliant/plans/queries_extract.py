@@ -10,7 +10,6 @@ from foliant.operators import extract as X
 from foliant.operators import tables as T
 from foliant.plans import sql as Q
 from foliant.plans.registry import query
-from foliant.session import spread
 from foliant.sources import adapters as A
 
 
@@ -135,7 +134,6 @@ def _(spark, d):
     return ocr(spark, d, "tables").select("document_id", F.coalesce(F.size(t["rows"]), F.lit(0)).alias("rows"))
 
 
-_HALF = "round(subtotal/2.0,2)"
 
 
 @query("process_table", f"""with {Q.OD}, x as (select document_id, key, subtotal, round(subtotal::decimal(20,3)/2,2)::decimal(18,2) as a from od where key%6<>5),
