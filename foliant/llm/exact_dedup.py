@@ -93,6 +93,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     named = name_documents(docs, id_col, text_col, block_chars)
     groups = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size"))
+    groups = keep(groups, "groups")  # a join of two exchanges, so a large group's rows can be split
     return named.join(groups, ["level", "name"]).select(
         "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"), "text_sha256")
 

@@ -11,6 +11,7 @@ from foliant.llm import sql
 from foliant.llm.common import table
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.mixing import MixSpec, mix
+from foliant.llm.near_dedup import NearSpec, near_duplicates
 from foliant.llm.url_filter import UrlRules, judge_urls, path_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,7 @@ MIX = MixSpec(
 )
 #: The crawl is one large source; all others are curated.
 CRAWL = "src0"
+NEAR = NearSpec()
 URL_RULES = UrlRules()
 #: The document a page shows is named by the number after the language in its path.
 PAGE_DOCUMENT = r"^/[a-z]+/([0-9]+)"
@@ -31,6 +33,11 @@ def with_domain(docs: DataFrame) -> DataFrame:
     return docs.withColumn("domain", F.when(F.col("source") == CRAWL, "crawl").otherwise("curated"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), NEAR)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -53,6 +60,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op5_near_dedup": op5_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op9_url_filter": op9_url_filter,
