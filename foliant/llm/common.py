@@ -11,7 +11,6 @@ from foliant.session import work_path
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,5 +40,4 @@ def lower_ascii(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     """Number of words, as long; null has none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}|{SPACE}\z", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

@@ -101,20 +101,21 @@ def mix(docs: DataFrame, spec: MixSpec, id_col: str = "doc_id", text_col: str =
     looked at.
     """
     levels = [F.coalesce(F.col(x).cast("string"), F.lit("")).alias(f"__l_{x}") for x in spec.levels]
+    keys = [f"__l_{x}" for x in spec.levels]
     kept = [F.col(c).alias(f"__c_{c}") for c in carry or []]
     count = n_words(F.col(text_col)) if tokens is None else tokens
-    rows = docs.select(F.col(id_col).alias("__id"), count.alias("__n"), *levels, *kept)
-    slim = keep(rows.drop(*[f"__c_{c}" for c in carry or []]).groupBy(*[f"__l_{x}" for x in spec.levels]).agg(F.sum("__n").alias("n_tokens")), "leaves")
-    leaves = slim.select(*[F.col(f"__l_{x}").alias(x) for x in spec.levels], "n_tokens")
+    # Counted once; without columns to carry the rows are small from here on.
+    rows = keep(docs.select(F.col(id_col).alias("__id"), count.alias("__n"), *levels, *kept), "counted")
+    leaves = keep(rows.groupBy(*keys).agg(F.sum("__n").alias("n_tokens")), "leaves")
+    leaves = leaves.select(*[F.col(k).alias(x) for k, x in zip(keys, spec.levels)], "n_tokens")
     plan = leaf_budgets(leaves, spec).where("budget > 0")
-    plan = plan.select(*[F.col(x).alias(f"__l_{x}") for x in spec.levels], F.expr("budget div n_tokens").alias("__whole"),
+    plan = plan.select(*[F.col(x).alias(k) for k, x in zip(keys, spec.levels)], F.expr("budget div n_tokens").alias("__whole"),
                        F.expr("budget % n_tokens").alias("__rest"))
-    keys = [f"__l_{x}" for x in spec.levels]
     # The budgets are written, so that their size is known and a join can be planned by it.
     placed = rows.join(keep(plan, "budgets"), keys)
     whole = placed.where("__whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("__whole").cast("int")))).drop("__whole", "__rest")
     out = whole.unionByName(_prefix(placed.where("__rest > 0"), keys, spec.seed))
-    return out.select(F.col("__id").alias("doc_id"), *[F.col(f"__l_{x}").alias(x) for x in spec.levels], F.col("__n").alias("n_tokens"),
+    return out.select(F.col("__id").alias("doc_id"), *[F.col(k).alias(x) for k, x in zip(keys, spec.levels)], F.col("__n").alias("n_tokens"),
                       "epoch", *[F.col(f"__c_{c}").alias(c) for c in carry or [] if c not in ("doc_id", *spec.levels)])
 
 
