@@ -12,6 +12,7 @@ from foliant.llm.common import table
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.mixing import MixSpec, mix
 from foliant.llm.near_dedup import NearSpec, near_duplicates
+from foliant.llm.packing import PackSpec, pack
 from foliant.llm.url_filter import UrlRules, judge_urls, path_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,10 @@ def with_domain(docs: DataFrame) -> DataFrame:
     return docs.withColumn("domain", F.when(F.col("source") == CRAWL, "crawl").otherwise("curated"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), PackSpec())
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), NEAR)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -60,6 +65,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_near_dedup": op5_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
