@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from foliant.llm import sql
 from foliant.llm.common import table
 from foliant.llm.exact_dedup import exact_dedup
+from foliant.llm.html_extract import extract
 from foliant.llm.mixing import MixSpec, mix
 from foliant.llm.near_dedup import NearSpec, near_duplicates
+from foliant.llm.nearest import NearestSpec, nearest
 from foliant.llm.packing import PackSpec, pack
 from foliant.llm.url_filter import UrlRules, judge_urls, path_of
 
@@ -34,6 +36,10 @@ def with_domain(docs: DataFrame) -> DataFrame:
     return docs.withColumn("domain", F.when(F.col("source") == CRAWL, "crawl").otherwise("curated"))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), PackSpec())
 
@@ -64,12 +70,18 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(labelled_pages(spark, sf_dir), URL_RULES)
 
 
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), NearestSpec())
+
+
 QUERIES: dict[str, Query] = {
+    "op1_html_extraction": op1_html_extraction,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_near_dedup": op5_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op9_url_filter": op9_url_filter,
+    "op10_nearest_vectors": op10_nearest_vectors,
 }
 SQL: dict[str, str] = {
     "op6_exact_dedup": sql.EXACT_DEDUP,
