@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import sql
+from foliant.llm.chat import ChatSpec, digests, format_windows, turn_row
 from foliant.llm.common import table
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.html_extract import extract
@@ -26,6 +27,9 @@ MIX = MixSpec(
 )
 #: The crawl is one large source; all others are curated.
 CRAWL = "src0"
+CHAT = ChatSpec()
+#: Both turns of conversation -1 say this.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
 NEAR = NearSpec()
 URL_RULES = UrlRules()
 #: The document a page shows is named by the number after the language in its path.
@@ -40,6 +44,13 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    for turn, role in enumerate(("user", "assistant")):
+        turns = turns.unionByName(spark.range(1).select(*turn_row(-1, turn, role, CONTROL_TEXT)))
+    return digests(format_windows(turns, CHAT))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), PackSpec())
 
@@ -76,6 +87,7 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_chat_formatting": op2_chat_formatting,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_near_dedup": op5_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
