@@ -16,6 +16,7 @@ from foliant.llm.mixing import MixSpec, mix
 from foliant.llm.near_dedup import NearSpec, near_duplicates
 from foliant.llm.nearest import NearestSpec, nearest
 from foliant.llm.packing import PackSpec, pack
+from foliant.llm.quality import QualitySpec, fit, grade, sample
 from foliant.llm.url_filter import UrlRules, judge_urls, path_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,7 @@ CRAWL = "src0"
 CHAT = ChatSpec()
 #: Both turns of conversation -1 say this.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
+QUALITY = QualitySpec()
 NEAR = NearSpec()
 URL_RULES = UrlRules()
 #: The document a page shows is named by the number after the language in its path.
@@ -51,6 +53,18 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_windows(turns, CHAT))
 
 
+def graded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from the labels: 0 junk, 1 toxic, 2 clean."""
+    g = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    return table(spark, sf_dir, "labels").select("doc_id", g.alias("grade")).where("grade is not null")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(sample(docs, graded_labels(spark, sf_dir), QUALITY), QUALITY)
+    return grade(docs, model, QUALITY)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), PackSpec())
 
@@ -88,6 +102,7 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_near_dedup": op5_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
