@@ -1,8 +1,8 @@
 """Quality by ordinal regression: one score per text, ordered thresholds for the grades.
 
 P(grade <= k) = sigmoid(threshold_k - score). The score is a sum of weights over hashed features, shared by all grades. Features of a text:
-each of its distinct tokens gives its word, the word's first four and five letters, and, where it is not a plain word, its
-shape; the text gives bucketed counts of repeated neighbours, upper-case words and marks. Only the features whose grades differ most
+each of its tokens gives its word, the word's first four and five letters, and, where it is not a plain word, its
+shape; the text gives bucketed counts of repeated neighbours, upper-case words and marks. A feature counts once per text. Only the features whose grades differ most
 from chance get a weight, so that a long text does not add up noise.
 
 The fit runs over a bounded sample of labelled rows, the first ``max_fit_rows`` in the order of a hash of their ids, on the driver;
@@ -30,13 +30,15 @@ from foliant.llm.common import keep
 class QualitySpec:
     #: Grades are 0 to this.
     top: int = 2
-    bits: int = 20
+    bits: int = 31
     #: The bound of the sample that is fitted on.
     max_fit_rows: int = 12_000
     #: A feature is in so many texts of the sample, and the best so many features are fitted.
     min_texts: int = 4
-    max_features: int = 4_000
-    l2: float = 1e-4
+    #: Features in more hundredths of the sample's texts than this say how long a text is rather than what it is.
+    max_percent: int = 10
+    max_features: int = 2_000
+    l2: float = 3e-5
     rounds: int = 150
     #: A text is kept if its probability of the top grade is at least this.
     keep_at: float = 0.5
@@ -75,7 +77,7 @@ def text_features(tokens: list[str], distinct: set[str], bits: int) -> list[int]
 
 
 class _Weights:
-    """Scores texts; remembers the weight of each token it has seen."""
+    """Scores texts; remembers which features with a weight each token it has seen gives."""
 
     def __init__(self, weights: dict[int, float], bits: int) -> None:
         self.weights, self.bits, self.seen = weights, bits, {}
@@ -87,9 +89,9 @@ class _Weights:
             self.seen.clear()
         seen, w = self.seen, self.weights
         for t in distinct.difference(seen):
-            seen[t] = sum(w.get(f, 0.0) for f in token_features(t, self.bits))
-        # Rounded, so that the order of a sum over a set changes nothing.
-        return round(sum([seen[t] for t in distinct]) + sum(w.get(f, 0.0) for f in text_features(tokens, distinct, self.bits)), 9)
+            seen[t] = tuple(f for f in token_features(t, self.bits) if f in w)
+        found = {f for t in distinct for f in seen[t]}.union(text_features(tokens, distinct, self.bits))
+        return sum(w[f] for f in sorted(found.intersection(w)))
 
 
 @dataclass(frozen=True)
@@ -123,7 +125,7 @@ def sample(docs: DataFrame, labels: DataFrame, spec: QualitySpec, id_col: str =
                     seen.clear()
                 for t in distinct.difference(seen):
                     seen[t] = token_features(t, bits)
-                lists.append(sorted([f for t in distinct for f in seen[t]] + text_features(tokens, distinct, bits)))
+                lists.append(sorted({f for t in distinct for f in seen[t]}.union(text_features(tokens, distinct, bits))))
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(lists, pa.list_(pa.int32()))], names=["grade", "features"])
 
     return texts.mapInArrow(run, "grade int, features array<int>")
@@ -136,30 +138,26 @@ def fit(rows: DataFrame, spec: QualitySpec) -> QualityModel:
     if not len(grade):
         return QualityModel({}, tuple(-20.0 for _ in range(spec.top)))
     lists = table.column("features").combine_chunks()
-    offsets, flat = np.array(lists.offsets), np.array(lists.values)
+    offsets, feature = np.array(lists.offsets), np.array(lists.values)
     row = np.repeat(np.arange(len(grade)), np.diff(offsets))
-    order = np.argsort(flat.astype(np.int64) * len(grade) + row, kind="stable")
-    key = (flat.astype(np.int64) * len(grade) + row)[order]
-    new = np.concatenate(([True], key[1:] != key[:-1]))
-    count = np.diff(np.append(np.nonzero(new)[0], len(key))).astype(np.float64)
-    cell = key[new]
-    feature, row = cell // len(grade), cell % len(grade)
 
     # Texts per feature and grade, and how far their grades are from what chance gives.
-    size = 1 << spec.bits
-    per = np.stack([np.bincount(feature[grade[row] == g], minlength=size) for g in range(spec.top + 1)]).astype(np.float64)
+    names, at = np.unique(feature, return_inverse=True)
+    per = np.stack([np.bincount(at[grade[row] == g], minlength=len(names)) for g in range(spec.top + 1)]).astype(np.float64)
     texts = per.sum(axis=0)
     share = np.bincount(grade, minlength=spec.top + 1)[:, None] / len(grade)
     expected = np.maximum(share * texts[None, :], 1e-9)
-    chi = np.where(texts >= min(spec.min_texts, len(grade)), ((per - expected) ** 2 / expected).sum(axis=0), 0.0)
+    rare = (texts >= min(spec.min_texts, len(grade))) & (texts * 100 <= spec.max_percent * len(grade))
+    chi = np.where(rare, ((per - expected) ** 2 / expected).sum(axis=0), 0.0)
     best = np.argsort(-chi, kind="stable")[: spec.max_features]
     best = np.sort(best[chi[best] > 0])
-    place = np.full(size, -1)
+    place = np.full(len(names), -1)
     place[best] = np.arange(len(best))
-    go = place[feature] >= 0
-    col, row, value = place[feature[go]], row[go], count[go]
+    go = place[at] >= 0
+    col, row = place[at[go]], row[go]
+    best = names[best]
 
-    x, _ = _minimise(lambda x: _loss(x, row, col, value, grade, len(best), spec), len(best) + spec.top, spec)
+    x, _ = _minimise(lambda x: _loss(x, row, col, grade, len(best), spec), len(best) + spec.top, spec)
     w, theta = x[: len(best)], _thresholds(x[len(best):])
     return QualityModel({int(f): float(v) for f, v in zip(best, w) if v}, tuple(float(t) for t in theta))
 
@@ -169,17 +167,17 @@ def _thresholds(x: np.ndarray) -> np.ndarray:
     return x[0] + np.concatenate(([0.0], np.cumsum(np.exp(x[1:]))))
 
 
-def _loss(x: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, k: int, spec: QualitySpec) -> tuple[float, np.ndarray]:
+def _loss(x: np.ndarray, row: np.ndarray, col: np.ndarray, grade: np.ndarray, k: int, spec: QualitySpec) -> tuple[float, np.ndarray]:
     """Mean negative log likelihood of the grades with an L2 penalty, and its gradient."""
     n, w, theta = len(grade), x[:k], _thresholds(x[k:])
-    score = np.bincount(row, weights=value * w[col], minlength=n)
+    score = np.bincount(row, weights=w[col], minlength=n)
     upto = 1 / (1 + np.exp(-np.clip(theta[None, :] - score[:, None], -40, 40)))
     full = np.concatenate((np.zeros((n, 1)), upto, np.ones((n, 1))), axis=1)
     slope = full * (1 - full)
     here = np.arange(n)
     p = np.maximum(full[here, grade + 1] - full[here, grade], 1e-15)
     up, down = slope[here, grade + 1] / p, slope[here, grade] / p
-    g_w = np.bincount(col, weights=value * ((up - down) / n)[row], minlength=k) + spec.l2 * w
+    g_w = np.bincount(col, weights=((up - down) / n)[row], minlength=k) + spec.l2 * w
     g_t = np.array([(down[grade == i + 1].sum() - up[grade == i].sum()) / n for i in range(spec.top)])
     after = np.cumsum(g_t[::-1])[::-1]
     g_x = np.concatenate((after[:1], after[1:] * np.exp(x[k + 1:])))
