@@ -32,7 +32,7 @@ class QualitySpec:
     top: int = 2
     bits: int = 31
     #: The bound of the sample that is fitted on.
-    max_fit_rows: int = 12_000
+    max_fit_rows: int = 20_000
     #: A feature is in so many texts of the sample, and the best so many features are fitted.
     min_texts: int = 4
     #: Features in more hundredths of the sample's texts than this say how long a text is rather than what it is.
@@ -41,7 +41,7 @@ class QualitySpec:
     l2: float = 3e-5
     rounds: int = 150
     #: A text is kept if its probability of the top grade is at least this.
-    keep_at: float = 0.5
+    keep_at: float = 0.8
 
 
 _PLAIN = re.compile(r"[^\W\d_]+[.,;:!?]?")

@@ -17,6 +17,7 @@ from foliant.llm.near_dedup import NearSpec, near_duplicates
 from foliant.llm.nearest import NearestSpec, nearest
 from foliant.llm.packing import PackSpec, pack
 from foliant.llm.quality import QualitySpec, fit, grade, sample
+from foliant.llm.secrets import SecretSpec, scan
 from foliant.llm.url_filter import UrlRules, judge_urls, path_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +83,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(with_domain(table(spark, sf_dir, "documents")), MIX)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"), SecretSpec())
+
+
 def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's URL, and whether the document it shows is known to be bad."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
@@ -107,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op5_near_dedup": op5_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
+    "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
     "op10_nearest_vectors": op10_nearest_vectors,
 }
