@@ -90,22 +90,31 @@ def _split(nodes: DataFrame, parents: list[str], level: str) -> DataFrame:
     return x.withColumn("budget", F.when(F.col("full"), F.col("cap").cast("long")).otherwise(share).cast("long"))
 
 
-def mix(docs: DataFrame, spec: MixSpec, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None,
-        carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, spec: MixSpec, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """The documents of each epoch, a row per document and epoch.
 
-    Columns: the id as ``doc_id``, the levels, ``n_tokens`` (words, unless ``tokens`` says otherwise), ``epoch`` from
-    1 and the columns named in ``carry``. A null level counts as the empty value, a null text has no tokens
-    and stays in whole epochs, and in a prefix where its place falls inside. A null id has the order of the text
-    "null". Rows that are there twice are taken as two; an empty table gives an empty result. Other columns are not
-    looked at.
+    Columns: the id as ``doc_id``, the levels, ``n_tokens`` (words, unless ``tokens`` says otherwise) and ``epoch`` from 1. A null
+    level counts as the empty value; a null text has no tokens and stays in whole epochs, and in a prefix where its
+    place falls inside. A null id has the place of the text "null". Rows that are there twice are taken as two; an empty table gives
+    an empty result. Other columns are not looked at.
     """
+    keys = [f"__l_{x}" for x in spec.levels]
+    out = _mixed(docs, spec, id_col, text_col, tokens, [])
+    return out.select(F.col("__id").alias("doc_id"), *[F.col(k).alias(x) for k, x in zip(keys, spec.levels)], F.col("__n").alias("n_tokens"), "epoch")
+
+
+def mix_documents(docs: DataFrame, spec: MixSpec, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
+    """The same rows as ``mix``, with all columns of the documents as they were and nothing else: a document of two epochs is there twice."""
+    out = _mixed(docs, spec, id_col, text_col, tokens, docs.columns)
+    return out.select(*[F.col(f"__c_{c}").alias(c) for c in docs.columns])
+
+
+def _mixed(docs: DataFrame, spec: MixSpec, id_col: str, text_col: str, tokens: Column | None, carry: list[str]) -> DataFrame:
     levels = [F.coalesce(F.col(x).cast("string"), F.lit("")).alias(f"__l_{x}") for x in spec.levels]
     keys = [f"__l_{x}" for x in spec.levels]
-    kept = [F.col(c).alias(f"__c_{c}") for c in carry or []]
     count = n_words(F.col(text_col)) if tokens is None else tokens
     # Counted once; without columns to carry the rows are small from here on.
-    rows = keep(docs.select(F.col(id_col).alias("__id"), count.alias("__n"), *levels, *kept), "counted")
+    rows = keep(docs.select(F.col(id_col).alias("__id"), count.alias("__n"), *levels, *[F.col(c).alias(f"__c_{c}") for c in carry]), "counted")
     leaves = keep(rows.groupBy(*keys).agg(F.sum("__n").alias("n_tokens")), "leaves")
     leaves = leaves.select(*[F.col(k).alias(x) for k, x in zip(keys, spec.levels)], "n_tokens")
     plan = leaf_budgets(leaves, spec).where("budget > 0")
@@ -114,9 +123,7 @@ def mix(docs: DataFrame, spec: MixSpec, id_col: str = "doc_id", text_col: str =
     # The budgets are written, so that their size is known and a join can be planned by it.
     placed = rows.join(keep(plan, "budgets"), keys)
     whole = placed.where("__whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("__whole").cast("int")))).drop("__whole", "__rest")
-    out = whole.unionByName(_prefix(placed.where("__rest > 0"), keys, spec.seed))
-    return out.select(F.col("__id").alias("doc_id"), *[F.col(k).alias(x) for k, x in zip(keys, spec.levels)], F.col("__n").alias("n_tokens"),
-                      "epoch", *[F.col(f"__c_{c}").alias(c) for c in carry or [] if c not in ("doc_id", *spec.levels)])
+    return whole.unionByName(_prefix(placed.where("__rest > 0"), keys, spec.seed))
 
 
 def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
