@@ -5,8 +5,8 @@ each of its tokens gives its word, the word's first four and five letters, and,
 shape; the text gives bucketed counts of repeated neighbours, upper-case words and marks. A feature counts once per text. Only the features whose grades differ most
 from chance get a weight, so that a long text does not add up noise.
 
-The fit runs over a bounded sample of labelled rows, the first ``max_fit_rows`` in the order of a hash of their ids, on the driver;
-the weights have a fixed size and go to the tasks, which score every row and whole text. Selection uses the expected
+The fit runs over a bounded sample of labelled rows, the first ``max_fit_rows`` in the order of a hash of their ids. Spark chooses the
+features, the driver fits their weights; these have a fixed size and go to the tasks, which score every row and whole text. Selection uses the expected
 grade or the probability of a grade and above.
 """
 
@@ -131,32 +131,42 @@ def sample(docs: DataFrame, labels: DataFrame, spec: QualitySpec, id_col: str =
     return texts.mapInArrow(run, "grade int, features array<int>")
 
 
+def _best_features(rows: DataFrame, sizes: dict[int, int], spec: QualitySpec) -> list[int]:
+    """The features whose texts' grades differ most from what chance gives (chi square), counted by Spark."""
+    n, at = sum(sizes.values()), F.col("f")
+    per = rows.select("grade", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("texts"), *[F.count_if(F.col("grade") == g).alias(f"g{g}") for g in range(spec.top + 1)])
+    per = per.where((F.col("texts") >= min(spec.min_texts, n)) & (F.col("texts") * 100 <= spec.max_percent * n))
+    chi = F.lit(0.0)
+    for g in range(spec.top + 1):
+        expected = F.col("texts") * (sizes.get(g, 0) / n)
+        chi = chi + F.when(expected > 0, (F.col(f"g{g}") - expected) * (F.col(f"g{g}") - expected) / expected).otherwise(0.0)
+    best = per.select(at, chi.alias("chi")).where("chi > 0").orderBy(F.desc("chi"), "f").limit(spec.max_features)
+    return sorted(r["f"] for r in best.collect())
+
+
 def fit(rows: DataFrame, spec: QualitySpec) -> QualityModel:
-    """The model of a bounded sample; without labelled rows every text gets the top grade."""
-    table = rows.toArrow()
-    grade = table.column("grade").to_numpy().astype(np.int64)
-    if not len(grade):
+    """The model of a bounded sample; without labelled rows every text gets the top grade.
+
+    Only the chosen features of the sample come to the driver: some dozen numbers per text.
+    """
+    rows = keep(rows, "features")
+    sizes = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
         return QualityModel({}, tuple(-20.0 for _ in range(spec.top)))
+    best = _best_features(rows, sizes, spec)
+    chosen = frozenset(best)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            few = [[f for f in x if f in chosen] for x in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(few, pa.list_(pa.int32()))], names=["grade", "features"])
+
+    table = rows.mapInArrow(run, "grade int, features array<int>").toArrow()
+    grade = table.column("grade").to_numpy().astype(np.int64)
     lists = table.column("features").combine_chunks()
     offsets, feature = np.array(lists.offsets), np.array(lists.values)
     row = np.repeat(np.arange(len(grade)), np.diff(offsets))
-
-    # Texts per feature and grade, and how far their grades are from what chance gives.
-    names, at = np.unique(feature, return_inverse=True)
-    per = np.stack([np.bincount(at[grade[row] == g], minlength=len(names)) for g in range(spec.top + 1)]).astype(np.float64)
-    texts = per.sum(axis=0)
-    share = np.bincount(grade, minlength=spec.top + 1)[:, None] / len(grade)
-    expected = np.maximum(share * texts[None, :], 1e-9)
-    rare = (texts >= min(spec.min_texts, len(grade))) & (texts * 100 <= spec.max_percent * len(grade))
-    chi = np.where(rare, ((per - expected) ** 2 / expected).sum(axis=0), 0.0)
-    best = np.argsort(-chi, kind="stable")[: spec.max_features]
-    best = np.sort(best[chi[best] > 0])
-    place = np.full(len(names), -1)
-    place[best] = np.arange(len(best))
-    go = place[at] >= 0
-    col, row = place[at[go]], row[go]
-    best = names[best]
-
+    col = np.searchsorted(best, feature) if best else np.zeros(0, dtype=np.int64)
     x, _ = _minimise(lambda x: _loss(x, row, col, grade, len(best), spec), len(best) + spec.top, spec)
     w, theta = x[: len(best)], _thresholds(x[len(best):])
     return QualityModel({int(f): float(v) for f, v in zip(best, w) if v}, tuple(float(t) for t in theta))
