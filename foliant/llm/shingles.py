@@ -78,11 +78,12 @@ def supermin(doc: np.ndarray, value: np.ndarray, docs: int, m: int) -> np.ndarra
     """SuperMinHash signatures, ``docs`` x ``m``.
 
     Each element draws, step by step, the next place of its own random permutation and a fraction; the value at a
-    place is the least (step, fraction) of any element, in 8 and 24 bits. Steps run over all elements together, and a text stops as
+    place is the least (step, fraction) of any element, the step in the upper bits. Steps run over all elements together, and a text stops as
     soon as every place has a value below the next step: nothing that follows could lower one.
     """
     sig = np.full(docs * m, 0xFFFFFFFF, dtype=np.uint32)
     seed, swaps, perm = value, [], None
+    shift = 32 - max((m - 1).bit_length(), 8)
     for j in range(m):
         if not len(doc):
             break
@@ -98,10 +99,10 @@ def supermin(doc: np.ndarray, value: np.ndarray, docs: int, m: int) -> np.ndarra
             rows = np.arange(len(k))
             place = perm[rows, k].astype(np.int64)
             perm[rows, k] = perm[rows, j]
-        np.minimum.at(sig, doc * m + place, np.uint32(j << 24) | (u & np.uint64(0xFFFFFF)).astype(np.uint32))
+        np.minimum.at(sig, doc * m + place, np.uint32(j << shift) | (u & np.uint64((1 << shift) - 1)).astype(np.uint32))
         seen = np.unique(doc)
         open_docs = np.zeros(docs, dtype=bool)
-        open_docs[seen] = (sig.reshape(docs, m)[seen].max(axis=1) >> 24) > j
+        open_docs[seen] = (sig.reshape(docs, m)[seen].max(axis=1) >> shift) > j
         go = open_docs[doc]
         if not go.all():
             doc, seed = doc[go], seed[go]
