@@ -106,12 +106,9 @@ def _skips(name: str, attrs: dict[str, str], main: bool) -> bool:
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
     if name in ("html", "body", "main", "article"):
         return name == "article" and any(n.lower() in COMMENT_WORDS for n in names)
-    for n in names:
-        parts = {p.lower() for p in _PART.findall(n)}
-        bad = parts & (SKIP_WORDS if main else SKIP_WORDS | OUTER_WORDS)
-        if bad and (not parts & KEEP_WORDS or bad & COMMENT_WORDS):
-            return True
-    return False
+    parts = {p.lower() for n in names for p in _PART.findall(n)}
+    bad = parts & (SKIP_WORDS if main else SKIP_WORDS | OUTER_WORDS)
+    return bool(bad) and (not parts & KEEP_WORDS or bool(bad & COMMENT_WORDS))
 
 
 def read_page(page: str) -> tuple[list[Block], dict[int, int]]:

@@ -83,10 +83,12 @@ m0 as (select host, tpl, tpl as t, count(bad) as n, coalesce(sum(bad), 0) as b f
         parts.append(f"""
 o{i} as (select *, case when len(t) > {i} then list_concat(list_append(t[1:{i}], '*'), t[{i + 2}:]) else t end as open,
         sum(n) over (partition by host, t) as tn, sum(b) over (partition by host, t) as tb from m{i}),
-q{i} as (select host, open, t, tn, tb, row_number() over (partition by host, open order by tn desc, t desc) as r, count(*) over (partition by host, open) as k
-        from (select distinct host, open, t, tn, tb from o{i})),
-m{i + 1} as (select o.host, o.tpl, case when f.k > 1 and (o.tn = 0 or abs(o.tb / o.tn - f.tb / f.tn) <= sqrt(ln(2 / {spec.alpha}) / 2) * (1 / sqrt(o.tn) + 1 / sqrt(f.tn)))
-        then o.open else o.t end as t, o.n, o.b from o{i} o join q{i} f on f.host = o.host and f.open = o.open and f.r = 1)""")
+q{i} as (select distinct host, open, t, tn, tb from o{i}),
+f{i} as (select host, open, first(tn order by tn desc, t desc) as ln, first(tb order by tn desc, t desc) as lb from q{i} group by all),
+a{i} as (select q.*, coalesce(tn = 0 or abs(tb / tn - lb / ln) <= sqrt(ln(2 / {spec.alpha}) / 2) * (1 / sqrt(tn) + 1 / sqrt(ln)), false) as alike from q{i} q join f{i} using (host, open)),
+k2{i} as (select host, open, count(*) filter (alike) as k from a{i} group by all),
+m{i + 1} as (select o.host, o.tpl, case when a.alike and k.k > 1 then o.open else o.t end as t, o.n, o.b
+        from o{i} o join a{i} a on a.host = o.host and a.open = o.open and a.t = o.t join k2{i} k on k.host = o.host and k.open = o.open)""")
     parts.append(f"""
 g as (select count(bad) as seen, count(bad) - coalesce(sum(bad), 0) as good from u),
 v as (select host, tpl, t, (sum(n - b) over w * (case when seen = 0 then 1 else seen end) + {spec.prior} * (case when seen = 0 then 1 else good end))::hugeint * 100

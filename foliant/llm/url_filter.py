@@ -109,8 +109,10 @@ def _templates(rows: DataFrame, spec: UrlRules) -> DataFrame:
         t = t.withColumn("lead", F.max(F.struct("tn", "template", "tb")).over(family))
         apart = F.abs(F.col("tb") / F.col("tn") - F.col("lead.tb") / F.col("lead.tn"))
         alike = (F.col("tn") == 0) | (apart <= bound * (1 / F.sqrt("tn") + 1 / F.sqrt(F.col("lead.tn"))))
-        others = F.size(F.collect_set("template").over(family)) > 1
-        t = t.withColumn("template", F.when(others & alike, F.col("open")).otherwise(F.col("template"))).drop("open", "tn", "tb", "lead")
+        t = t.withColumn("alike", F.coalesce(alike, F.lit(False)))
+        several = F.size(F.collect_set(F.when(F.col("alike"), F.col("template"))).over(family)) > 1
+        t = t.withColumn("several", several)
+        t = t.withColumn("template", F.when(F.col("alike") & F.col("several"), F.col("open")).otherwise(F.col("template"))).drop("open", "tn", "tb", "lead", "alike", "several")
     whole = rows.agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).first()
     good, seen = (whole["n"] - whole["b"], whole["n"]) if whole["n"] else (1, 1)
     same = Window.partitionBy("host", "template")
