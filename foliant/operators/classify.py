@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant import config
+from foliant.sources.literals import literal_frame
 from foliant.functions import text as T
 
 LAYOUT_FEATURES = ["page_width", "page_height", "aspect_ratio", "text_density", "white_space_ratio", "text_block_count", "average_text_block_size",
@@ -36,7 +37,7 @@ def classify_keywords(df: DataFrame, text_col: str, classes: dict[str, list[str]
 
 def expected_fields(spark, expected: dict[str, list[str]]) -> DataFrame:
     rows = [(t, n, len(names)) for t, names in expected.items() for n in names]
-    return spark.createDataFrame(rows, "document_type string, field_name string, expected int")
+    return literal_frame(spark, rows, "document_type string, field_name string, expected int")
 
 
 def score_prebuilt_models(detected: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,7 +124,7 @@ def feature_columns(df: DataFrame, with_layout: bool = True) -> list[Column]:
 
 
 def doc_type_from_model(model_id: Column) -> Column:
-    base = F.when(model_id.startswith("prebuilt-"), F.substring(model_id, 10, 1000)).otherwise(model_id)
+    base = F.when(model_id.startswith("prebuilt-"), F.substr(model_id, F.lit(10))).otherwise(model_id)
     return F.lower(F.regexp_replace(base, "[.-]", "_"))
 
 

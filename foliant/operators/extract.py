@@ -182,9 +182,10 @@ def high_confidence_fields(fields: Column, threshold: float = 0.8) -> Column:
     return F.filter(fields, lambda f: f["confidence"] >= threshold)
 
 
-def detected_field_map(fields: Column) -> Column:
-    """name -> (content, confidence); the last of repeated names wins."""
-    last = F.filter(F.transform(fields, lambda f, i: F.struct(f.alias("f"), i.alias("i"))), lambda x: ~F.exists(
-        F.slice(fields, x["i"] + 2, F.greatest(F.size(fields), F.lit(1))), lambda g: g["field_name"] == x["f"]["field_name"]))
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(
-        x["f"]["field_name"], F.struct(x["f"]["value"].alias("content"), x["f"]["confidence"].alias("confidence")))))
+def detected_field_map(df: DataFrame, fields: str, out: str) -> DataFrame:
+    """Adds name -> (content, confidence); the last of repeated names wins. Fields are sorted by name and each run's first is kept."""
+    df = df.withColumn("__sorted", F.array_sort(F.transform(fields, lambda f, i: F.struct(
+        f["field_name"].alias("name"), (-i).alias("o"), F.struct(f["value"].alias("content"), f["confidence"].alias("confidence")).alias("v")))))
+    last = F.filter(F.transform("__sorted", lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
+                    lambda y: (y["i"] == 0) | ~F.get("__sorted", y["i"] - 1)["name"].eqNullSafe(y["x"]["name"]))
+    return df.withColumn(out, F.map_from_entries(F.transform(last, lambda y: F.struct(y["x"]["name"], y["x"]["v"])))).drop("__sorted")

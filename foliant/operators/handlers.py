@@ -11,9 +11,9 @@ Handler = Callable[[DataFrame], DataFrame]
 
 
 class TaskHandlers:
-    """A DataFrame function per document type; types without one are left to the default, if any."""
+    """A DataFrame function per document type; all other rows, those without a type among them, go through the default."""
 
-    def __init__(self, default: Handler | None = None):
+    def __init__(self, default: Handler = lambda df: df):
         self.default = default
         self.by_type: dict[str, Handler] = {}
 
@@ -21,13 +21,10 @@ class TaskHandlers:
         self.by_type[document_type] = handler
 
     def process(self, tasks: DataFrame) -> DataFrame:
-        parts = [h(tasks.where(F.col("document_type") == t)) for t, h in self.by_type.items()]
-        if self.default is not None:
-            parts.append(self.default(tasks.where(~F.col("document_type").isin(*self.by_type))))
-        if not parts:
-            raise ValueError("no handler registered")
-        out = parts[0]
-        for p in parts[1:]:
+        kind = F.coalesce(F.col("document_type"), F.lit(""))
+        parts = [h(tasks.where(kind == t)) for t, h in self.by_type.items()]
+        out = self.default(tasks.where(~kind.isin(*self.by_type)) if self.by_type else tasks)
+        for p in parts:
             out = out.unionByName(p, allowMissingColumns=True)
         return out
 

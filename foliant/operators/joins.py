@@ -1,7 +1,7 @@
 """Joins between fields, schemas, validations and reviewers.
 
-No broadcast hints: configuration becomes literal frames that Spark sees to be small, and every
-other side is left to adaptive execution, which broadcasts by measured size and splits hot keys.
+No broadcast hints: configuration becomes VALUES relations, whose size the planner knows and below its
+threshold broadcasts, and every other side is left to adaptive execution.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foliant import config
 from foliant.config import DocSchema
+from foliant.sources.literals import literal_frame
 
 
 def schema_fields(spark: SparkSession, schemas: dict[str, DocSchema] | None = None) -> DataFrame:
@@ -19,7 +20,7 @@ def schema_fields(spark: SparkSession, schemas: dict[str, DocSchema] | None = No
         (s.document_type, i, f.name, f.field_type, f.required, f.threshold, list(f.synonyms), list(f.rules), f.default, s.required_confidence)
         for s in (config.SCHEMAS if schemas is None else schemas).values() for i, f in enumerate(s.fields)
     ]
-    return spark.createDataFrame(rows, (
+    return literal_frame(spark, rows, (
         "document_type string, pos int, field_name string, field_type string, required boolean, confidence_threshold double, "
         "synonyms array<string>, validation_rules array<string>, default_value string, required_confidence double"))
 
@@ -43,15 +44,14 @@ def join_field_validation(rows: DataFrame, validations: DataFrame, keys: list[st
 def missing_required_rows(docs: DataFrame, rows: DataFrame, fields: DataFrame) -> DataFrame:
     """Long form: (document_id, field_name) of required fields absent or below their threshold.
 
-    Best confidence per document and field first, then an anti-join from the required list of each
+    Best confidence per document and field first, then one left join from the required list of each
     document's type.
     """
     best = rows.groupBy("document_id", "field_name").agg(F.max("confidence").alias("confidence"))
     needed = docs.select("document_id", "document_type").join(
         fields.where("required").select("document_type", "field_name", "confidence_threshold"), "document_type")
-    have = best.select("document_id", "field_name", "confidence")
-    ok = needed.join(have, ["document_id", "field_name"]).where(F.col("confidence") >= F.col("confidence_threshold")).select("document_id", "field_name")
-    return needed.join(ok, ["document_id", "field_name"], "left_anti").select("document_id", "field_name")
+    met = F.coalesce(F.col("confidence") >= F.col("confidence_threshold"), F.lit(False))
+    return needed.join(best, ["document_id", "field_name"], "left").where(~met).select("document_id", "field_name")
 
 
 def anti_processed(new: DataFrame, processed: DataFrame, key: str = "path") -> DataFrame:
@@ -64,9 +64,11 @@ def semi_expected(detected: DataFrame, expected: DataFrame, keys: list[str]) ->
 
 
 def import_reviews(tasks: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Finished reviews that are not in the metrics yet, as metric rows."""
+    """The newest finished review of each document that is not in the metrics yet, as a metric row."""
     done = tasks.where(F.col("status").isin("completed", "approved"))
-    return done.join(metrics.select("document_id"), "document_id", "left_anti").select(
+    new = done.join(metrics.select("document_id").distinct(), "document_id", "left_anti")
+    newest = new.groupBy("document_id").agg(F.max_by(F.struct(*[c for c in tasks.columns if c != "document_id"]), F.struct("created_at", "task_id")).alias("t"))
+    return newest.select("document_id", "t.*").select(
         "document_id", F.coalesce("document_type", F.lit("unknown")).alias("document_type"),
         F.when(F.col("status") == "completed", "success").otherwise("needs_review").alias("processing_status"),
         F.col("created_at").alias("start_time"), F.coalesce("resolution_time", "created_at").alias("end_time"),

@@ -134,8 +134,10 @@ def kpi_by_doc_type(df: DataFrame, group_cols=("document_type",)) -> DataFrame:
     )
 
 
-def field_metrics_period(fm: DataFrame, start, end, n: int = 10, order=("created_at", "metric_id")) -> DataFrame:
-    return in_period(fm, start, end, "created_at").orderBy(*order).limit(n)
+def field_metrics_period(fm: DataFrame, start, end, n: int | None = None, order=("created_at", "metric_id")) -> DataFrame:
+    """The period's field metrics; ``n`` asks for the first so many in order."""
+    rows = in_period(fm, start, end, "created_at")
+    return rows if n is None else rows.orderBy(*order).limit(n)
 
 
 def kpi_dashboard(df: DataFrame, start, end, tasks: DataFrame | None = None, group_cols=()) -> DataFrame:

@@ -31,21 +31,29 @@ def classifier(kind: str = "random_forest", trees: int = 100, depth: int | None
 
 
 def train_classifier(df: DataFrame, inputs: list[str], label: str = "label", kind: str = "random_forest", **options) -> PipelineModel:
-    """Label index, scaled features and classifier; rows with missing values are dropped."""
+    """Label index, scaled features and classifier; rows with missing values are left out of the fit only."""
     rows = df.dropna(subset=[*inputs, label])
     return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip"),
-        VectorAssembler(inputCols=inputs, outputCol="raw_features", handleInvalid="skip"),
+        VectorAssembler(inputCols=inputs, outputCol="raw_features", handleInvalid="error"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
         classifier(kind, **options),
     ]).fit(rows)
 
 
 def predict_class(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Adds document_type, confidence and probabilities; classifiers without probabilities leave the last two NULL."""
+    """Adds document_type, confidence and probabilities; classifiers without probabilities leave the last two NULL.
+
+    Every row is kept: a feature that is NULL or not a number counts as its mean in the training rows, which the scaler holds.
+    """
     indexer, *rest = model.stages
     labels = list(indexer.labels)
-    out = df
+    assembler, scaler = rest[0], rest[1]
+    means = dict(zip(assembler.getInputCols(), scaler.mean.toArray().tolist()))
+    names_in = {c: f"__in_{c}" for c in means}
+    filled = {names_in[c]: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(m)), F.lit(m)) for c, m in means.items()}
+    out = df.withColumns(filled)
+    rest = [assembler.copy().setInputCols(list(names_in.values())), *rest[1:]]
     for stage in rest:
         out = stage.transform(out)
     names = F.array(*[F.lit(x) for x in labels])
@@ -56,7 +64,7 @@ def predict_class(model: PipelineModel, df: DataFrame) -> DataFrame:
         out = out.withColumns({"document_type": picked, "confidence": F.array_max(p), "probabilities": F.map_from_arrays(names, p)})
     else:
         out = out.withColumns({"document_type": picked, "confidence": F.lit(None).cast("double"), "probabilities": F.lit(None).cast("map<string,double>")})
-    return out.drop(*drop)
+    return out.drop(*drop, *names_in.values())
 
 
 def save_model(model: PipelineModel, path: str) -> None:

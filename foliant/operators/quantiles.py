@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
 BRACKET = 0.002
-SMALL_GROUP = 2_000
+#: A bracket is at least so many ranks wide on either side, whatever the number of values.
+BRACKET_RANKS = 4
 BINS = 4096
 
 
@@ -131,15 +132,19 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: list[Quantile], group_
 
 
 def _brackets(x: DataFrame, quantiles: list[Quantile], g: list[str]) -> DataFrame:
-    """Count and bracket per target; the sketch's rank error is far below the bracket's width."""
-    points = [p for z in quantiles for p in (max(z.p - BRACKET, 0.0), min(z.p + BRACKET, 1.0))]
-    b = x.groupBy(*g).agg(
-        F.count("__v").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
-        F.percentile_approx("__v", points, SKETCH_ACCURACY).alias("__p"),
-    )
-    small = F.col("__n") <= SMALL_GROUP
+    """Count and bracket per target; the sketch's rank error is far below the bracket's width.
+
+    One rule for all sizes: the narrowest of a few widths that spans enough ranks.
+    """
+    widths = [BRACKET * 10**i for i in range(3)] + [1.0]
+    points = [p for z in quantiles for w in widths for p in (max(z.p - w, 0.0), min(z.p + w, 1.0))]
+    b = x.groupBy(*g).agg(F.count("__v").alias("__n"), F.percentile_approx("__v", points, SKETCH_ACCURACY).alias("__p"))
+    step = F.lit(len(widths) - 1)
+    for j, w in reversed(list(enumerate(widths[:-1]))):
+        step = F.when(F.col("__n") * w >= BRACKET_RANKS, F.lit(j)).otherwise(step)
+    b = b.withColumn("__step", step)
     cols = []
     for i in range(len(quantiles)):
-        cols.append(F.when(small, F.col("__min")).otherwise(F.col("__p")[2 * i]).alias(f"__lo{i}"))
-        cols.append(F.when(small, F.col("__max")).otherwise(F.col("__p")[2 * i + 1]).alias(f"__hi{i}"))
+        at = (F.col("__step") + i * len(widths)) * 2
+        cols += [F.get("__p", at).alias(f"__lo{i}"), F.get("__p", at + 1).alias(f"__hi{i}")]
     return b.select(*g, "__n", *cols)

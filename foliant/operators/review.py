@@ -22,11 +22,82 @@ def sla_deadline(created: Column, priority: Column) -> Column:
 def assign_reviewers(tasks: DataFrame, reviewers: DataFrame) -> DataFrame:
     """Each task to the free specialist with the least work at that moment (first on ties), oldest task first.
 
-    Serial greedy filling is the same as listing every reviewer's future places by workload level:
-    the k-th task takes the k-th place. Tasks and places are numbered per document type over range
-    partitions, so a type of any size is spread. Exact for reviewers with one specialisation; one
-    with several would count in each of its types with the starting workload.
+    Document types that share a reviewer, directly or over others, form a family. In a family of one type, serial
+    greedy filling is the same as listing every reviewer's future places by workload level: the k-th task takes the k-th
+    place; tasks and places are numbered over range partitions, so a type of any size is spread. A family
+    of several types has to be filled in the order of its tasks, as each assignment changes what the other types
+    see: its tasks are streamed in that order past the workloads of its reviewers, which is all that is held.
     """
+    families = _families(reviewers)
+    shared = sorted(t for t, family in families.items() if sum(f == family for f in families.values()) > 1)
+    untyped = tasks.where("document_type is null").select("task_id", "document_type", F.lit(None).cast("string").alias("assigned_to"), F.lit(None).cast("long").alias("workload_before"),
+                                                         F.lit(None).cast("long").alias("k"))
+    tasks = tasks.where("document_type is not null")
+    if not shared:
+        return _fill_by_level(tasks, reviewers).unionByName(untyped)
+    in_shared = F.col("document_type").isin(*shared)
+    return _fill_by_level(tasks.where(~in_shared), reviewers).unionByName(_fill_in_order(tasks.where(in_shared), reviewers, families)).unionByName(untyped)
+
+
+def _families(reviewers: DataFrame) -> dict[str, str]:
+    """The family of each type: types are configuration, so their distinct combinations are few."""
+    sets = reviewers.where("is_available").select(F.array_sort("specializations").alias("s")).distinct().collect()
+    family: dict[str, str] = {}
+    for types in (r["s"] for r in sets if r["s"]):
+        old = {family.get(t, t) for t in types}
+        low = min(old)
+        family.update({t: low for t in types})
+        family.update({t: low for t, f in family.items() if f in old})
+    return family
+
+
+def _fill_in_order(tasks: DataFrame, reviewers: DataFrame, families: dict[str, str]) -> DataFrame:
+    """Serial filling per family; reviewers come before the tasks of their family."""
+    family = F.create_map(*[F.lit(x) for kv in families.items() for x in kv])
+    none = lambda kind: F.lit(None).cast(kind)
+    kind = tasks.schema["created_at"].dataType.simpleString()
+    free = reviewers.where("is_available").select(
+        F.try_element_at(family, F.element_at("specializations", 1)).alias("family"), F.lit(0).alias("kind"), none(kind).alias("created_at"), F.col("user_id").alias("id"),
+        none("string").alias("document_type"), F.col("ord").cast("long").alias("ord"), F.col("current_workload").cast("long").alias("load"), "specializations")
+    rows = free.unionByName(tasks.select(
+        F.try_element_at(family, F.col("document_type")).alias("family"), F.lit(1).alias("kind"), "created_at", F.col("task_id").alias("id"), "document_type",
+        none("long").alias("ord"), none("long").alias("load"), none("array<string>").alias("specializations")))
+    used = {f for t, f in families.items() if sum(x == f for x in families.values()) > 1}
+    rows = rows.where(F.col("family").isin(*used)).repartition("family").sortWithinPartitions("family", "kind", "created_at", "id")
+
+    def run(batches):
+        import heapq
+
+        import pandas as pd
+
+        now, heaps, load, turn = None, {}, {}, 0
+        for batch in batches:
+            out = []
+            for fam, what, name, dtype, order, start, types in zip(*(batch[c] for c in ("family", "kind", "id", "document_type", "ord", "load", "specializations"))):
+                if fam != now:
+                    now, heaps, load, turn = fam, {}, {}, 0
+                if what == 0:
+                    load[name] = int(start)
+                    for t in types:
+                        heapq.heappush(heaps.setdefault(t, []), (int(start), int(order), name))
+                    continue
+                turn += 1
+                heap = heaps.get(dtype)
+                # An entry whose workload has changed since is put back as it is now.
+                while heap and load[heap[0][2]] != heap[0][0]:
+                    _, o, who = heapq.heappop(heap)
+                    heapq.heappush(heap, (load[who], o, who))
+                who = heap[0][2] if heap else None
+                out.append((name, dtype, who, load[who] if who else None, turn))
+                if who:
+                    load[who] += 1
+            yield pd.DataFrame(out, columns=["task_id", "document_type", "assigned_to", "workload_before", "k"]).astype({"workload_before": "Int64", "k": "Int64"})
+
+    return rows.mapInPandas(run, "task_id string, document_type string, assigned_to string, workload_before long, k long")
+
+
+def _fill_by_level(tasks: DataFrame, reviewers: DataFrame) -> DataFrame:
+    """The k-th task of a type takes the k-th place of its reviewers; for types that share no reviewer."""
     free = reviewers.where("is_available").select("user_id", "ord", "current_workload", F.explode("specializations").alias("document_type"))
     need = tasks.groupBy("document_type").agg(F.count(F.lit(1)).alias("tasks"))
     # The level the filling reaches: the least over the m least loaded reviewers of (tasks + their work) / m.
@@ -50,10 +121,16 @@ def assign_reviewers(tasks: DataFrame, reviewers: DataFrame) -> DataFrame:
 
 
 def first_touch(tasks: DataFrame, touches: DataFrame) -> DataFrame:
-    """First touch by the assignee: time, age in minutes, status; (task_id, reviewer_id, ts) events."""
-    first = touches.groupBy("task_id", "reviewer_id").agg(F.min("ts").alias("first_touched_at"))
-    mine = tasks.drop("first_touched_at").join(first.withColumnRenamed("reviewer_id", "assigned_to"), ["task_id", "assigned_to"])
-    return mine.withColumns({"age_to_first_touch": seconds_between(F.col("created_at"), F.col("first_touched_at")) / 60, "status": F.lit("in_progress")})
+    """Touches by the assignee, as (task_id, reviewer_id, ts) events: first time, age in minutes and status.
+
+    An earlier touch that the task has stays, and a finished task keeps its status.
+    """
+    first = touches.groupBy("task_id", "reviewer_id").agg(F.min("ts").alias("__ts"))
+    mine = tasks.join(first.withColumnRenamed("reviewer_id", "assigned_to"), ["task_id", "assigned_to"])
+    mine = mine.withColumn("first_touched_at", F.least("first_touched_at", "__ts")).drop("__ts")
+    waiting = F.col("status").isin("pending", "assigned")
+    return mine.withColumns({"age_to_first_touch": seconds_between(F.col("created_at"), F.col("first_touched_at")) / 60,
+                             "status": F.when(waiting, "in_progress").otherwise(F.col("status"))})
 
 
 def complete_tasks(tasks: DataFrame, completions: DataFrame) -> DataFrame:

@@ -49,21 +49,24 @@ def column_sum(tables: Column, spec: TableSpec, column: str) -> Column:
     return F.when(t.isNotNull(), F.aggregate(amounts, zero, lambda a, x: (a + F.coalesce(x, F.lit(0).cast("decimal(28,6)"))).cast("decimal(38,6)")))
 
 
-def grid_from_cells(cells: Column) -> Column:
+def grid_from_cells(df: DataFrame, cells: str, out: str) -> DataFrame:
     """Sparse (row_index, column_index, content) cells to a dense grid of texts, '' where nothing is.
 
     Blank cells for the whole grid are laid under the given ones, all are sorted by place, and the
-    first of each place is kept: n log n, and the last of repeated cells wins.
+    first of each place is kept: n log n, and the last of repeated cells wins. Each step is a column, so
+    that no lambda makes it again per cell.
     """
-    width = F.array_max(F.transform(cells, lambda c: c["column_index"])) + 1
-    height = F.array_max(F.transform(cells, lambda c: c["row_index"])) + 1
+    at = lambda name: F.array_max(F.transform(cells, lambda c: c[name])) + 1
+    df = df.withColumns({"__w": at("column_index"), "__h": at("row_index")})
     given = F.transform(cells, lambda c, i: F.struct(
-        (c["row_index"] * width + c["column_index"]).cast("int").alias("k"), (-i - 1).alias("o"), F.coalesce(c["content"], F.lit("")).alias("v")))
-    blank = F.transform(F.sequence(F.lit(0), height * width - 1), lambda k: F.struct(k.alias("k"), F.lit(1).alias("o"), F.lit("").alias("v")))
-    laid = F.array_sort(F.concat(given, blank))
-    flat = F.transform(F.filter(F.transform(laid, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: (
-        y["i"] == 0) | (F.get(laid, y["i"] - 1)["k"] != y["x"]["k"])), lambda y: y["x"]["v"])
-    return F.transform(F.sequence(F.lit(0), height - 1), lambda r: F.slice(flat, r * width + 1, width))
+        (c["row_index"] * F.col("__w") + c["column_index"]).cast("int").alias("k"), (-i - 1).alias("o"), F.coalesce(c["content"], F.lit("")).alias("v")))
+    blank = F.transform(F.sequence(F.lit(0), F.col("__h") * F.col("__w") - 1), lambda k: F.struct(k.alias("k"), F.lit(1).alias("o"), F.lit("").alias("v")))
+    df = df.withColumn("__laid", F.array_sort(F.concat(given, blank)))
+    df = df.withColumn("__flat", F.transform(F.filter(F.transform("__laid", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: (
+        y["i"] == 0) | (F.get("__laid", y["i"] - 1)["k"] != y["x"]["k"])), lambda y: y["x"]["v"]))
+    lines = F.transform(F.sequence(F.lit(0), F.col("__h") - 1), lambda r: F.slice("__flat", r * F.col("__w") + 1, F.col("__w")))
+    whole = F.size("__flat") == F.col("__h") * F.col("__w")  # always; it names the column twice, so that it stays one
+    return df.withColumn(out, F.when(whole, lines)).drop("__w", "__h", "__laid", "__flat")
 
 
 def polygon_to_bbox(points: Column) -> Column:
@@ -132,8 +135,12 @@ def _percentile(sorted_values: Column, p: float) -> Column:
 
 
 def _variance(values: Column) -> Column:
-    mean = _mean(values)
-    return _mean(F.transform(values, lambda v: (v - mean) * (v - mean)))
+    """Of a column of arrays, in one pass: sums and squares of the distances from the first value."""
+    first = F.get(values, F.lit(0))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    n = F.size(values)
+    add = lambda a, v: F.struct((a["s"] + (v - first)).alias("s"), (a["q"] + (v - first) * (v - first)).alias("q"))
+    return F.when(n > 0, F.aggregate(values, zero, add, lambda a: F.greatest((a["q"] - a["s"] * a["s"] / n) / n, F.lit(0.0))))
 
 
 def layout_from_blocks(docs: DataFrame, blocks_col: str = "text_blocks", width: float = 612.0, height: float = 792.0) -> DataFrame:
@@ -143,10 +150,11 @@ def layout_from_blocks(docs: DataFrame, blocks_col: str = "text_blocks", width:
     step = docs.withColumns({
         "__left": pick(lambda r: r["x"]), "__right": pick(lambda r: r["x"] + r["width"]), "__top": pick(lambda r: r["y"]),
         "__bottom": pick(lambda r: r["y"] + r["height"]), "__h": F.array_sort(pick(lambda r: r["height"])),
+        "__middle": pick(lambda r: r["x"] + r["width"] / 2),
         "__area": F.aggregate(pick(lambda r: r["width"] * r["height"]), F.lit(0.0), lambda a, x: a + x), "__n": F.size(b)})
     step = step.withColumns({
         "__vl": _variance(F.col("__left")), "__vr": _variance(F.col("__right")),
-        "__vc": _variance(F.zip_with("__left", "__right", lambda x, y: (x + y) / 2)),
+        "__vc": _variance(F.col("__middle")),
         "__p33": _percentile(F.col("__h"), 0.33), "__p67": _percentile(F.col("__h"), 0.67)})
     tight = width * 0.01
     some = F.col("__n") > 0

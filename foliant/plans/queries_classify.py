@@ -10,7 +10,7 @@ from foliant.operators import ml, stats
 from foliant.operators.tables import layout_from_blocks
 from foliant.plans import sql as Q
 from foliant.plans.registry import query
-from foliant.session import spread, work_path
+from foliant.session import work_path
 from foliant.sources import adapters as A
 
 
@@ -96,7 +96,7 @@ def pages(spark, d):
     """Conversation turns as pages; each carries keywords by turn and role in front of its text."""
     head = A.pick(["invoice amount due ", "receipt total ", "agreement ", "invoice ", "balance of account "], F.col("conv_id") + F.col("turn"))
     t = A.table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.concat(head, "text").alias("t"))
-    out = C.classify_keywords(spread(t), "t")
+    out = C.classify_keywords(t, "t")
     return out.select("doc", "page", F.col("keyword_class").alias("document_type"), F.col("keyword_confidence").alias("confidence"))
 
 
@@ -134,7 +134,7 @@ _TF = f"""w as (select doc_id, text, {_WORDS} as words from documents),
 
 
 def features(spark, d):
-    return C.text_features(spread(A.table(spark, d, "documents").select("doc_id", "lang", "text")), "text")
+    return C.text_features(A.table(spark, d, "documents").select("doc_id", "lang", "text"), "text")
 
 
 @query("text_features", f"with {_TF} select *, round(word_count/greatest(sentence_count,1),6) as avg_sentence_length from tf")
@@ -146,7 +146,7 @@ def _(spark, d):
 def _(spark, d):
     from foliant.functions.text import detect_language
 
-    return spread(A.table(spark, d, "documents")).groupBy(detect_language(F.col("text")).alias("language")).agg(F.count(F.lit(1)).alias("documents"))
+    return A.table(spark, d, "documents").groupBy(detect_language(F.col("text")).alias("language")).agg(F.count(F.lit(1)).alias("documents"))
 
 
 _STOP = ",".join(f"'{w}'" for w in config.STOP_WORDS)
@@ -157,7 +157,7 @@ _STOP = ",".join(f"'{w}'" for w in config.STOP_WORDS)
   k as (select *, row_number() over (partition by doc_id order by r) as q from t where w not in ({_STOP}) and length(w)>3 qualify q<=5)
   select documents.doc_id, coalesce(string_agg(w, ' ' order by q),'') as key_phrases from documents left join k using (doc_id) group by 1""")
 def _(spark, d):
-    docs = spread(A.table(spark, d, "documents").select("doc_id", "text"))
+    docs = A.table(spark, d, "documents").select("doc_id", "text")
     return C.key_phrases(docs, "text").select("doc_id", F.array_join("key_phrases", " ").alias("key_phrases"))
 
 
@@ -180,26 +180,25 @@ def _(spark, d):
 
 def trained(spark, d, kind="random_forest", **options):
     rows, names = ml.feature_frame(features(spark, d), ["doc_id", "lang"])
-    rows.persist()
     return ml.train_classifier(rows, names, "lang", kind, **options), rows
 
 
 @query("train_classifier")
 def _(spark, d):
-    model, rows = trained(spark, d, trees=20, depth=6)
+    model, rows = trained(spark, d)
     return ml.predict_class(model, rows).groupBy("lang", "document_type").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query("predict_class")
 def _(spark, d):
-    model, rows = trained(spark, d, "logistic", iterations=50)
+    model, rows = trained(spark, d, "logistic")
     out = ml.predict_class(model, rows)
     return out.select("doc_id", "document_type", F.round("confidence", 6).alias("confidence"), F.size("probabilities").alias("classes"))
 
 
 @query("save_load_model")
 def _(spark, d):
-    model, rows = trained(spark, d, trees=5, depth=4)
+    model, rows = trained(spark, d)
     path = work_path(spark, "model")
     ml.save_model(model, path)
     return ml.predict_class(ml.load_model(path), rows).select("doc_id", "document_type")

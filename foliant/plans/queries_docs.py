@@ -13,7 +13,7 @@ from foliant.operators import stats, validate
 from foliant.plans import documents as P
 from foliant.plans import sql as Q
 from foliant.plans.registry import query
-from foliant.session import spread, work_path
+from foliant.session import work_path
 from foliant.sinks import writers as W
 from foliant.sources import adapters as A
 from foliant.sources import documents as D
@@ -121,7 +121,7 @@ def _(spark, d):
   round((50+event_id%50)/100.0::double,6) as field_total_amount_confidence, 'INV-'||event_id as field_invoice_number_value, strftime(ts,'%Y-%m-%d') as field_date_value from events""")
 def _(spark, d):
     path = work_path(spark, "csv")
-    W.sink_csv_flat(A.processing_results(spark, d), path)
+    W.sink_csv_flat(A.processing_results(spark, d), path, ["total_amount", "invoice_number", "date"])
     return spark.read.option("header", True).csv(path).select(
         "blob_name", "field_total_amount_value", F.round(F.col("field_total_amount_confidence").cast("double"), 6).alias("field_total_amount_confidence"),
         "field_invoice_number_value", "field_date_value")
@@ -167,9 +167,12 @@ def _(spark, d):
 
 @query("import_reviews", f"""with {Q.RT}, {Q.DM} select document_id, document_type, case when status='completed' then 'success' else 'needs_review' end as processing_status,
   resolution_time as end_time, 5.0::double as total_processing_time, 3::integer as field_count, case when errors>0 then 'total mismatch' else 'Required human review' end as hitl_reason, 2.5::double as cost
-  from tasks where status in ('completed','approved') and document_id not in (select document_id from dm)""")
+  from (select * replace ('doc_'||((key//64)*3*32) as document_id) from tasks) where status in ('completed','approved') and document_id not in (select document_id from dm)
+  qualify row_number() over (partition by document_id order by created_at desc, task_id desc)=1""")
 def _(spark, d):
-    out = J.import_reviews(A.review_tasks(spark, d), A.document_metrics(spark, d))
+    # Several reviews of one document: keys that share all but their last bits.
+    tasks = A.review_tasks(spark, d).withColumn("document_id", F.concat(F.lit("doc_"), (F.floor(F.col("key") / 64) * 96).cast("string")))
+    out = J.import_reviews(tasks, A.document_metrics(spark, d))
     return out.select("document_id", "document_type", "processing_status", "end_time", "total_processing_time", "field_count", "hitl_reason",
                       M.map_total(F.col("cost_breakdown")).alias("cost"))
 
@@ -490,7 +493,7 @@ def _mask_sql(internal, tags):
 def _mask_query(audience, tags):
     @query("mask_pii" if audience == "public" else f"mask_pii_{audience}", _mask_sql(audience == "internal", tags))
     def _(spark, d):
-        return spread(A.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(mask.mask_pii(F.col("text"), audience)).alias("masked"))
+        return A.table(spark, d, "documents").select("doc_id", "text").select("doc_id", F.md5(mask.mask_pii(F.col("text"), audience)).alias("masked"))
 
 
 _mask_query("public", ("<CREDIT_CARD>", "<SSN>", "<EMAIL_ADDRESS>", "<PHONE_NUMBER>"))

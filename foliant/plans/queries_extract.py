@@ -176,7 +176,7 @@ def _(spark, d):
     k = F.col("key")
     cell = lambda r, c, t: F.struct(r.cast("int").alias("row_index"), c.cast("int").alias("column_index"), F.lit(t).alias("content"))
     cells = F.array(cell(F.lit(0), F.lit(0), "r0c0"), cell(k % 3, k % 4, "first"), cell(k % 3, k % 4, "last"))
-    g = A.order_docs(spark, d).select("document_id", T.grid_from_cells(cells).alias("g"))
+    g = T.grid_from_cells(A.order_docs(spark, d).select("document_id", cells.alias("cells")), "cells", "g")
     flat = F.flatten("g")
     return g.select("document_id", F.size("g").alias("rows"), F.size(F.col("g")[0]).alias("columns"), F.col("g")[0][0].alias("first_cell"),
                     F.element_at(flat, -1).alias("last_cell"), F.size(F.filter(flat, lambda c: c == "")).alias("blanks"))
@@ -247,7 +247,7 @@ def _(spark, d):
 
 @query("detected_field_map", f"""with {Q.OD} select document_id, case when key%3=0 then 3 else 3 end::integer as names, '$1.00' as total_content, round((60+key%40)/100.0::double,6) as total_confidence from od""")
 def _(spark, d):
-    m = ocr(spark, d, "ocr_fields").select("document_id", X.detected_field_map(F.col("ocr_fields")).alias("m"))
+    m = X.detected_field_map(ocr(spark, d, "ocr_fields"), "ocr_fields", "m")
     return m.select("document_id", F.size("m").alias("names"), F.col("m")["total_amount"]["content"].alias("total_content"),
                     F.round(F.col("m")["total_amount"]["confidence"], 6).alias("total_confidence"))
 

@@ -151,7 +151,7 @@ def _(spark, d):
 
 
 @query("field_metrics_period", f"""with {Q.FM} select metric_id, field_name, round(precision,6) as precision, round(f1_score,6) as f1_score from fm
-  where created_at between timestamp '{START}' and timestamp '{END}' order by created_at, metric_id limit 10""")
+  where created_at between timestamp '{START}' and timestamp '{END}'""")
 def _(spark, d):
     return r6(kpi.field_metrics_period(A.field_metrics(spark, d), START, END).select("metric_id", "field_name", "precision", "f1_score"), "precision", "f1_score")
 

@@ -131,9 +131,10 @@ _TOUCH = f"""{Q.RT}, ev as (select 'TASK-'||l_orderkey as task_id, 'rev_'||((l_o
   tc as (select tasks.*, t from tasks join ev using (task_id, assigned_to))"""
 
 
-@query("first_touch", f"with {_TOUCH} select task_id, t as first_touched_at, round((epoch_us(t)-epoch_us(created_at))/60000000.0,6) as age_to_first_touch from tc")
+@query("first_touch", f"""with {_TOUCH}, ft as (select *, case when first_touched_at is null or t<first_touched_at then t else first_touched_at end as f from tc)
+  select task_id, case when status in ('pending','assigned') then 'in_progress' else status end as status, f as first_touched_at, round((epoch_us(f)-epoch_us(created_at))/60000000.0,6) as age_to_first_touch from ft""")
 def _(spark, d):
-    return r6(V.first_touch(A.review_tasks(spark, d), touch_events(spark, d)).select("task_id", "first_touched_at", "age_to_first_touch"), "age_to_first_touch")
+    return r6(V.first_touch(A.review_tasks(spark, d), touch_events(spark, d)).select("task_id", "status", "first_touched_at", "age_to_first_touch"), "age_to_first_touch")
 
 
 @query("complete_tasks", f"with {_TOUCH} select task_id, 'completed' as status, round((epoch_us(t)-epoch_us(created_at))/60000000.0,6) as age_to_resolve from tc")
@@ -282,11 +283,13 @@ def _(spark, d):
     return K.fold_task_events(A.task_events(spark, d))
 
 
-@query("custom_task_processor", f"with {Q.RT} select document_type, count(*) as handled from tasks where status='pending' and document_type in ('invoice','receipt') group by 1")
+@query("custom_task_processor", f"with {Q.RT}, k as (select case when key%7=0 then null else document_type end as document_type from tasks) select document_type, case when document_type in ('invoice','receipt') then document_type else 'default' end as handler, count(*) as handled from k group by all")
 def _(spark, d):
     from foliant.operators.handlers import TaskHandlers
 
-    h = TaskHandlers()
-    h.register("invoice", lambda df: df.select("document_type"))
-    h.register("receipt", lambda df: df.select("document_type"))
-    return h.process(A.review_tasks(spark, d).where(F.col("status") == "pending")).groupBy("document_type").agg(F.count(F.lit(1)).alias("handled"))
+    by = lambda name: lambda df: df.select("document_type", F.lit(name).alias("handler"))
+    h = TaskHandlers(by("default"))
+    h.register("invoice", by("invoice"))
+    h.register("receipt", by("receipt"))
+    tasks = A.review_tasks(spark, d).withColumn("document_type", F.when(F.col("key") % 7 != 0, F.col("document_type")))
+    return h.process(tasks).groupBy("document_type", "handler").agg(F.count(F.lit(1)).alias("handled"))

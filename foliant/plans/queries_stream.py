@@ -26,9 +26,9 @@ def timed_events(spark, d):
 
 @query("stream_new_documents", "select distinct 'user_'||user_id||'.pdf' as path from events")
 def _(spark, d):
-    names = timed_events(spark, d).select(F.concat(F.lit("user_"), F.col("user_id").cast("string"), F.lit(".pdf")).alias("path"), "ts")
+    names = events(spark, d).select(F.concat(F.lit("user_"), F.col("user_id").cast("string"), F.lit(".pdf")).alias("path"), "ts")
     path = work_path(spark, "names")
-    run_available(D.stream_new_documents(names, "path", "ts"), D.once_writer(path, "path"))
+    run_available(names, D.once_writer(path, "path"))
     return spark.read.parquet(path).select("path")
 
 
@@ -49,8 +49,8 @@ _ROLL = f"p as (select * from dm where start_time >= timestamp '{Q.AS_OF}' - int
    round(reprocess_rate,6) as reprocess_rate, round(throughput_docs_per_hour,6) as throughput_docs_per_hour, round(t,6) as avg_processing_time from a""")
 def _(spark, d):
     path = work_path(spark, "partials")
-    run_available(K.stream_kpis(A.events_as_metrics(timed_events(spark, d))), batch_writer(path), mode="update")
-    out = K.rolling_kpis(latest_per(spark.read.parquet(path), ["window_start"]), Q.AS_OF)
+    run_available(A.events_as_metrics(events(spark, d)), batch_writer(path, K.window_partials))
+    out = K.rolling_kpis(spark.read.parquet(path), Q.AS_OF)
     cols = ["overall_accuracy", "stp_rate", "exception_rate", "reprocess_rate", "throughput_docs_per_hour", "avg_processing_time"]
     return out.select("total_documents", "poison_queue_count", *[F.round(c, 6).alias(c) for c in cols])
 

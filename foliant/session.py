@@ -32,9 +32,11 @@ def local_session(cpus: int = 8, name: str = "foliant", memory: str = "8g") -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach; a temporary one only where none is named (tests)."""
+    """The folder all executors can reach; a temporary one only where none is named and all run on this machine (tests)."""
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"name a folder that all executors share in {CHECKPOINT_CONF}")
         path = tempfile.mkdtemp(prefix="spark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
@@ -52,9 +54,3 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Input of fewer partitions than cores is dealt out before heavy row work; larger input stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if not df.isStreaming and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CSV_FIELDS = 5_000
 TEMPORARY_KEYS = ("temp_path", "preprocessed_path")
 
 
@@ -63,18 +62,11 @@ def sink_batch_json(df: DataFrame, path: str, as_of) -> None:
     sink_json(df, f"{path}/results")
 
 
-def field_names(df: DataFrame, column: str = "extracted_data") -> list[str]:
-    """Names that become columns; their number is checked before any reaches the driver."""
-    names = df.select(F.explode(F.map_keys(column)).alias("n")).distinct()
-    found = [r["n"] for r in names.limit(MAX_CSV_FIELDS + 1).collect()]
-    if len(found) > MAX_CSV_FIELDS:
-        raise ValueError(f"more than {MAX_CSV_FIELDS} distinct field names cannot become CSV columns")
-    return sorted(found)
+def flatten_csv(df: DataFrame, names: list[str]) -> DataFrame:
+    """One wide row per result with the named fields, columns sorted by name; no shuffle, the map is read key by key.
 
-
-def flatten_csv(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """One wide row per result, columns sorted by name; no shuffle, the map is read key by key."""
-    names = field_names(df) if names is None else names
+    The names come from the schemas in use; an open set of names has the long form, ``sink_csv_long``.
+    """
     data = F.col("extracted_data")
     wide = []
     for n in names:
@@ -85,8 +77,14 @@ def flatten_csv(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return flat.select(*sorted(flat.columns))
 
 
-def sink_csv_flat(df: DataFrame, path: str) -> None:
-    flatten_csv(df).write.mode("overwrite").option("header", True).csv(path)
+def sink_csv_flat(df: DataFrame, path: str, names: list[str]) -> None:
+    flatten_csv(df, names).write.mode("overwrite").option("header", True).csv(path)
+
+
+def sink_csv_long(df: DataFrame, path: str, keys: list[str]) -> None:
+    """A line per result and field, for any number of field names."""
+    long = df.select(*keys, F.explode("extracted_data").alias("field_name", "entry")).select(*keys, "field_name", "entry.value", "entry.confidence")
+    long.write.mode("overwrite").option("header", True).csv(path)
 
 
 def union_columns(*frames: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ _TABLE = ("struct<name:string,header_required:boolean,min_rows:int,max_rows:int,
           "columns:array<struct<name:string,field_type:string,required:boolean>>>")
 SCHEMA_TYPE = (f"struct<template_type:string,version:string,required_confidence:double,fields:array<{_FIELD}>,"
                f"tables:array<{_TABLE}>,business_rules:array<string>>")
-MAX_SCHEMA_FIELDS = 20_000
 
 
 def parse_schemas(texts: DataFrame, column: str = "value") -> DataFrame:
@@ -52,10 +51,11 @@ def scan_schemas(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_schemas(spark: SparkSession, path: str) -> dict[str, DocSchema]:
-    """Schema files as the objects operators are compiled from; checked to be small."""
-    rows = scan_schemas(spark, path).limit(MAX_SCHEMA_FIELDS + 1).collect()
-    if len(rows) > MAX_SCHEMA_FIELDS:
-        raise ValueError("too many schema files to compile")
+    """Schema files as the objects operators are compiled from: configuration that the program's plans are made of.
+
+    Where schemas are data, any number of them, use the tables of ``scan_schemas`` and join.
+    """
+    rows = scan_schemas(spark, path).collect()
     d = config.SCHEMA_DEFAULTS
     pick = lambda v, name: d[name] if v is None else v
     out = {}

@@ -17,11 +17,6 @@ def document_files(spark: SparkSession, path: str, max_files: int = 10_000) -> D
     return df.where(is_pdf(F.col("path"))).select("path", "modificationTime", "length")
 
 
-def stream_new_documents(listing: DataFrame, name: str, time: str, delay: str = "1 day") -> DataFrame:
-    """Each name once within the delay; the state of older names is dropped."""
-    return listing.withWatermark(time, delay).dropDuplicatesWithinWatermark([name])
-
-
 def once_writer(path: str, name: str):
     """A ``foreachBatch`` function that keeps names never written before, whatever their age."""
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -1,4 +1,7 @@
-"""Rolling KPIs: tumbling partials kept by the stream, merged when read."""
+"""Rolling KPIs: each micro-batch leaves partials per tumbling window, which are sums and are merged when read.
+
+Nothing waits for a watermark and nothing is too late: a row that comes days after its time adds a partial to its window.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +11,15 @@ from pyspark.sql import functions as F
 from foliant.sources.metrics import seconds_between, ts
 
 
-def stream_kpis(metrics: DataFrame, width: str = "5 minutes", delay: str = "1 hour") -> DataFrame:
-    """One row of partial sums and a latency sketch per tumbling window; rows later than the delay are dropped.
+def window_partials(metrics: DataFrame, width: str = "5 minutes") -> DataFrame:
+    """One row of partial sums and a latency sketch per tumbling window of a micro-batch.
 
     A sliding day would copy each row into every step it belongs to; partials cost one row per
-    window and a day of them is merged in one small aggregation.
+    window and batch, and a day of them is merged in one small aggregation.
     """
     t, s = F.col("total_processing_time"), F.col("processing_status")
     return (
-        metrics.withWatermark("start_time", delay).groupBy(F.window("start_time", width).alias("w"))
+        metrics.groupBy(F.window("start_time", width).alias("w"))
         .agg(
             F.count(F.lit(1)).alias("documents"), F.count_if(s == "success").alias("successes"), F.count_if("hitl_required").alias("reviews"),
             F.count_if(F.col("exception_type").isNotNull()).alias("exceptions"), F.count_if(s == "reprocessing").alias("reprocessed"),
@@ -28,8 +31,15 @@ def stream_kpis(metrics: DataFrame, width: str = "5 minutes", delay: str = "1 ho
     )
 
 
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """The partials of all batches as one row per window: what a log is compacted to."""
+    sums = ("documents", "successes", "reviews", "exceptions", "reprocessed", "poisoned", "time_sum")
+    return partials.groupBy("window_start").agg(*[F.sum(c).alias(c) for c in sums], F.min("first_start").alias("first_start"), F.max("last_start").alias("last_start"),
+                                                F.kll_merge_agg_double("latency_sketch").alias("latency_sketch"))
+
+
 def rolling_kpis(partials: DataFrame, as_of, hours: int = 24) -> DataFrame:
-    """The last hours' KPIs from the partials (one row per window)."""
+    """The last hours' KPIs from the partials."""
     end = ts(as_of, partials, "window_start")
     p = partials.where((F.col("window_start") >= end - F.make_dt_interval(hours=F.lit(hours))) & (F.col("window_start") < end))
     n = F.sum("documents")

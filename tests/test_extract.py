@@ -118,4 +118,4 @@ def test_tables(spark):
 def test_grid_last_cell_wins(spark):
     kind = "array<struct<row_index:int,column_index:int,content:string>>"
     d = spark.createDataFrame([([(0, 0, "a"), (1, 2, "x"), (1, 2, "y"), (0, 1, None)],)], f"cells {kind}")
-    assert d.select(T.grid_from_cells(F.col("cells")).alias("g")).first()["g"] == [["a", "", ""], ["", "", "y"]]
+    assert T.grid_from_cells(d, "cells", "g").first()["g"] == [["a", "", ""], ["", "", "y"]]

@@ -63,7 +63,7 @@ def test_upsert_last_write_wins_on_disk(spark, tmp_path):
 def test_csv_columns_sorted_and_union(spark):
     kind = "blob_name string, extracted_data map<string,struct<value:string,confidence:double>>"
     df = spark.createDataFrame([("x", {"b": ("1", 0.5)}), ("y", {"a": ("2", 0.6)})], kind)
-    flat = W.flatten_csv(df)
+    flat = W.flatten_csv(df, ["a", "b"])
     assert flat.columns == ["blob_name", "field_a_confidence", "field_a_value", "field_b_confidence", "field_b_value"]
     u = W.union_columns(spark.range(1).select("id"), spark.createDataFrame([(5, "z")], "id long, s string"))
     assert u.columns == ["id", "s"] and u.count() == 2

@@ -44,7 +44,6 @@ def test_quantiles_hot_group_and_repeated_values(spark):
 
 
 def test_quantiles_with_few_bins(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "SMALL_GROUP", 100)
     monkeypatch.setattr(quantiles, "BINS", 3)
     values = [((i * 7919) % 10007) / 7 for i in range(10007)]
     got = exact_quantiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", [p50("a"), p95("b")]).first()

@@ -10,7 +10,8 @@ from foliant.operators import review as V
 from foliant.streaming import documents as D
 from foliant.streaming import kpis as SK
 from foliant.streaming import tasks as ST
-from foliant.streaming.runner import batch_writer, latest_per, run_available
+from foliant.streaming.documents import once_writer
+from foliant.streaming.runner import batch_writer, run_available
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -128,8 +129,11 @@ def test_stream_kpis_match_batch(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     df = spark.createDataFrame(rows, schema)
     df.repartition(3).write.parquet(src)
-    run_available(SK.stream_kpis(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), delay="30 days"), batch_writer(out), mode="update")
-    r = SK.rolling_kpis(latest_per(spark.read.parquet(out), ["window_start"]), at(24 * 60), 24).first()
+    run_available(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), batch_writer(out, SK.window_partials))
+    partials = spark.read.parquet(out)
+    r = SK.rolling_kpis(partials, at(24 * 60), 24).first()
+    merged = SK.rolling_kpis(SK.merge_partials(partials), at(24 * 60), 24).first()
+    assert merged["total_documents"] == r["total_documents"] and merged["poison_queue_count"] == r["poison_queue_count"]
     inside = [x for x in rows if at(0) <= x[0] < at(24 * 60)]
     assert r["total_documents"] == len(inside)
     assert abs(r["overall_accuracy"] - sum(x[2] == "success" for x in inside) / len(inside)) < 1e-9
@@ -161,6 +165,43 @@ def test_assignment_equals_serial_filling(spark):
     assert {r["task_id"]: r["assigned_to"] for r in got.collect()} == serial_assignment(tasks, reviewers)
 
 
+def test_assignment_with_shared_reviewers(spark):
+    rng = random.Random(4)
+    pairs = [["invoice", "receipt"], ["receipt"], ["contract", "form"], ["invoice"], ["memo"]]
+    reviewers = [(f"r{i}", i, rng.randrange(4), pairs[i % 5], i % 6 != 0) for i in range(12)]
+    tasks = [(f"t{i:03}", rng.choice(["invoice", "receipt", "contract", "form", "memo", "other", None]), at(rng.randrange(100))) for i in range(300)]
+    got = V.assign_reviewers(spark.createDataFrame(tasks, "task_id string, document_type string, created_at timestamp"),
+                             spark.createDataFrame(reviewers, "user_id string, ord long, current_workload long, specializations array<string>, is_available boolean"))
+    assert {r["task_id"]: r["assigned_to"] for r in got.collect()} == serial_assignment(tasks, reviewers)
+
+
+def test_touch_keeps_an_earlier_one_and_the_end(spark):
+    tasks = spark.createDataFrame([("a", "r", at(0), None, "assigned"), ("b", "r", at(0), at(1), "completed"), ("c", "r", at(0), at(9), "in_progress")],
+                                  "task_id string, assigned_to string, created_at timestamp, first_touched_at timestamp, status string")
+    touches = spark.createDataFrame([(t, "r", at(5)) for t in "abc"] + [("a", "x", at(2))], "task_id string, reviewer_id string, ts timestamp")
+    got = {r["task_id"]: (r["first_touched_at"], r["status"]) for r in V.first_touch(tasks, touches).collect()}
+    assert got == {"a": (at(5), "in_progress"), "b": (at(1), "completed"), "c": (at(5), "in_progress")}
+
+
+def test_late_names_are_delivered(spark, tmp_path):
+    """Four batches, the third with the oldest file."""
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    for i, names in enumerate((["a"], ["b", "a"], ["old"], ["c", "old"])):
+        spark.createDataFrame([(n,) for n in names], "path string").coalesce(1).write.mode("append").parquet(src)
+        run_available(spark.readStream.schema("path string").parquet(src), once_writer(out, "path"), str(tmp_path / "checkpoint"))
+    assert sorted(r["path"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "old"]
+
+
+def test_handlers_keep_every_row(spark):
+    from foliant.operators.handlers import TaskHandlers
+
+    h = TaskHandlers()
+    h.register("invoice", lambda df: df.withColumn("by", F.lit("invoice")))
+    df = spark.createDataFrame([("invoice",), ("receipt",), (None,)], "document_type string")
+    assert sorted(map(str, ((r["document_type"], r["by"]) for r in h.process(df).collect()))) == ["('invoice', 'invoice')", "('receipt', None)", "(None, None)"]
+    assert TaskHandlers().process(df).count() == 3
+
+
 def test_escalation_steps(spark):
     df = spark.createDataFrame([("a", 1, at(0), "pending"), ("b", 1, at(20), "pending"), ("c", 1, at(0), "completed"), ("d", 3, at(0), "pending"), ("e", 1, at(99), "pending")],
                                "task_id string, priority int, sla_deadline timestamp, status string")
