@@ -214,6 +214,7 @@ REQUIRED_BY_TYPE = {
 }
 METADATA_FIELDS = ["document_type", "template_type", "overall_confidence"]
 TEXT_LENGTH = (1, 1000)
+DATE_FORMATS = ("%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y")
 NUMERIC_RANGE = (0, 999999999)
 DEFAULT_CROSS_RULES = [
     {"name": "invoice_date_before_due_date", "type": "date_sequence", "field1": "invoice_date", "field2": "due_date", "rule": "date1_before_date2"},

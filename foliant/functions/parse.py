@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as Python's str.split and str.strip see it; Java's \s is ASCII only.
 WS_CHARS = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS = f"[{WS_CHARS}]"
+_CODES = {"%Y": "yyyy", "%y": "yy", "%m": "M", "%d": "d", "%B": "MMMM", "%b": "MMM", "%H": "H", "%M": "m", "%S": "s"}
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 _MONTH_RE = (r"(?i)^(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?"
              r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\s+(\d{1,2}),?\s+(\d{4})$")
+_DAY_MONTH_RE = (r"(?i)^(\d{1,2})\s+(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?"
+                 r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?),?\s+(\d{4})$")
+_ISO_TIME = r"^(\d{4}-\d{1,2}-\d{1,2})[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?$"
 _MDY = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$"
 _MDY2 = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2})$"
 
@@ -24,18 +30,33 @@ def is_blank(c: Column) -> Column:
 
 
 def to_date(c: Column) -> Column:
-    """Month-first dates: yyyy-MM-dd, M/d/yyyy, M-d-yyyy, M/d/yy, MMMM d, yyyy; NULL if none fits."""
+    """yyyy-MM-dd with or without a time, M/d/yyyy, M-d-yyyy, M/d/yy, MMMM d, yyyy and d MMMM yyyy; NULL if none fits.
+
+    Numbers are read month first, and day first where there is no such month.
+    """
     v = F.trim(c)
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(v, 1, 3)))
-    named = F.concat_ws("-", F.regexp_extract(v, _MONTH_RE, 3), month.cast("string"), F.regexp_extract(v, _MONTH_RE, 2))
+    names = F.array(*[F.lit(m) for m in MONTHS])
+
+    def named(pattern: str, month: int, day: int) -> Column:
+        number = F.array_position(names, F.lower(F.substring(F.regexp_extract(v, pattern, month), 1, 3)))
+        return F.concat_ws("-", F.regexp_extract(v, pattern, 3), number.cast("string"), F.regexp_extract(v, pattern, day)).try_cast("date")
+
     return (
         F.when(v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), v.try_cast("date"))
-        .when(v.rlike(_MDY), F.regexp_replace(v, _MDY, "$3-$1-$2").try_cast("date"))
+        .when(v.rlike(_MDY), F.coalesce(F.regexp_replace(v, _MDY, "$3-$1-$2").try_cast("date"), F.regexp_replace(v, _MDY, "$3-$2-$1").try_cast("date")))
         .when(v.rlike(_MDY2), F.regexp_replace(v, _MDY2, "20$3-$1-$2").try_cast("date"))
-        .when(v.rlike(_MONTH_RE), named.try_cast("date"))
+        .when(v.rlike(_MONTH_RE), named(_MONTH_RE, 1, 2))
+        .when(v.rlike(_DAY_MONTH_RE), named(_DAY_MONTH_RE, 2, 1))
+        .when(v.rlike(_ISO_TIME), F.regexp_extract(v, _ISO_TIME, 1).try_cast("date"))
     )
 
 
+def date_by_format(c: Column, fmt: str) -> Column:
+    """A date by a format of % codes (Y, y, m, d, B, b, H, M, S); NULL if the text does not fit."""
+    pattern = "".join(_CODES.get(part, part) if part.startswith("%") else f"'{part}'" if part.isalpha() else part for part in re.findall(r"%.|[A-Za-z]+|[^%A-Za-z]+", fmt))
+    return F.to_date(F.try_to_timestamp(F.trim(c), F.lit(pattern)))
+
+
 def amount_text(c: Column) -> Column:
     """The number a money text holds: everything but digits, dots, commas and minus dropped, then the commas."""
     return F.regexp_replace(c, r"[^\d.\-]", "")

@@ -186,10 +186,13 @@ def rule_luhn(value: Column) -> Column:
     return _result("luhn", ok, F.concat(F.lit("Luhn validation "), F.when(ok, "passed").otherwise("failed"), F.lit(" for: "), value))
 
 
-def rule_date_format(value: Column) -> Column:
-    d = parse.to_date(value)
+def rule_date_format(value: Column, expected_formats: tuple[str, ...] = ()) -> Column:
+    """Any date that can be read, and then the expected formats one after the other."""
+    found = [(parse.to_date(value), "Date parsed successfully: "), *((parse.date_by_format(value, f), f"Date parsed with format {f}: ") for f in expected_formats)]
+    d = F.coalesce(*[x for x, _ in found])
     iso = F.date_format(d, "yyyy-MM-dd")
-    message = F.when(d.isNotNull(), F.concat(F.lit("Date parsed successfully: "), iso)).otherwise("Date format validation failed")
+    tried = f". Tried formats: {list(expected_formats)}" if expected_formats else ""
+    message = F.coalesce(*[F.when(x.isNotNull(), F.concat(F.lit(text), iso)) for x, text in found], F.lit(f"Date format validation failed{tried}"))
     return _empty_or(value, "Empty date value", "date_format", _result("date_format", d.isNotNull(), message, iso))
 
 

@@ -38,13 +38,13 @@ class NearSpec:
     bands: int = 51
     #: Pairs whose signatures agree less than this are not verified.
     screen: float = 0.64
-    #: The longer signature, of half a byte each, and the agreement that is asked of it.
+    #: The longer signature, a multiple of 256 of half a byte each, and the agreement that is asked of it.
     long_places: int = 1024
     long_screen: float = 0.70
     #: Rows on either side of a tile.
     tile: int = 512
     #: Bytes of text handled at a time inside a task.
-    chunk_bytes: int = 4 << 20
+    chunk_bytes: int = 2 << 20
 
 
 def _text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,16 +139,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, spec: NearSpec) -> DataFrame:
 
 
 def _long_signatures(texts: DataFrame, spec: NearSpec) -> DataFrame:
-    """``cid, fine``: the longer signature of each text, the low four bits of two places in a byte."""
+    """``cid, fine``: the longer signature of each text, of signatures under several hashes, the low four bits of two places in a byte."""
     m = spec.long_places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, ends = _text_buffer(batch.column("text"))
-            for i, j in _chunks(ends, spec.chunk_bytes // 4):
+            for i, j in _chunks(ends, spec.chunk_bytes // 2):
                 start = ends[i - 1] if i else 0
                 doc, value = shingle_sets(raw[start: ends[j - 1]], ends[i:j] - start, spec.words)
-                low = supermin(doc, mix64(value), j - i, m) & 15
+                low = np.concatenate([supermin(doc, mix64(value + np.uint64(k)), j - i, 256) & 15 for k in range(1, m // 256 + 1)], axis=1)
                 fine = (low[:, 0::2] << 4 | low[:, 1::2]).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([batch.column("cid").slice(i, j - i), pa.array([x.tobytes() for x in fine], pa.binary())], names=["cid", "fine"])
 

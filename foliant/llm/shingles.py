@@ -109,7 +109,7 @@ def supermin(doc: np.ndarray, value: np.ndarray, docs: int, m: int) -> np.ndarra
             swaps = [(a[go], b[go]) for a, b in swaps]
             perm = None if perm is None else perm[go]
         if perm is None and j == 5:
-            perm = np.tile(np.arange(m, dtype=np.uint16), (len(doc), 1))
+            perm = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(doc), 1))
             for i, (a, b) in enumerate(swaps):
                 rows = np.arange(len(a))
                 perm[rows, a] = b

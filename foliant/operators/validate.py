@@ -112,6 +112,7 @@ def infer_field_config(rows: DataFrame) -> DataFrame:
         "min_length": F.when(F.col("field_type") == "text", F.lit(config.TEXT_LENGTH[0])),
         "max_length": F.when(F.col("field_type") == "text", F.lit(config.TEXT_LENGTH[1])),
         "check_date": F.col("field_type") == "date",
+        "date_formats": F.when(F.col("field_type") == "date", F.array(*[F.lit(f) for f in config.DATE_FORMATS])),
         "check_range": F.col("field_type") == "currency",
     })
 

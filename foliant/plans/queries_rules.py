@@ -23,14 +23,14 @@ def val(name):
     return F.col("fields")[name]
 
 
-def result_query(name, build, valid, message, suggested="null::varchar", where="true"):
+def result_query(name, build, valid, message, suggested="null::varchar", where="true", prepare=lambda df: df):
     """A query of one reporting rule: id, verdict, severity, message, suggestion."""
     sql = f"""with {Q.FD} select document_id, coalesce({valid},false) as is_valid, case when coalesce({valid},false) then 'info' else 'error' end as severity,
       {message} as message, {suggested} as suggested_value from fd where {where}"""
 
     @query(name, sql)
     def _(spark, d):
-        r = docs(spark, d).select("document_id", build().alias("r")).where(F.col("r").isNotNull())
+        r = prepare(docs(spark, d)).select("document_id", build().alias("r")).where(F.col("r").isNotNull())
         return r.select("document_id", "r.is_valid", "r.severity", "r.message", "r.suggested_value")
 
 
@@ -46,8 +46,23 @@ result_query("rule_regex", lambda: rules.rule_regex(val("invoice_number"), r"[A-
 _LUHN = f"({Q.luhn('card')}) = 0"
 result_query("rule_luhn", lambda: rules.rule_luhn(val("card")), _LUHN, f"'Luhn validation '||{verdict(_LUHN)}||' for: '||card")
 _D = Q.to_date("due_date")
-result_query("rule_date_format", lambda: rules.rule_date_format(val("due_date")), f"{_D} is not null",
-             f"case when {_D} is null then 'Date format validation failed' else 'Date parsed successfully: '||{_D}::varchar end", f"{_D}::varchar")
+# Due dates as they are, day first, with the month's name and with a time.
+_V = f"case key%6 when 1 then strftime({_D},'%d/%m/%Y') when 2 then strftime({_D},'%d %B %Y') when 3 then strftime({_D},'%Y-%m-%dT10:00:00') when 4 then strftime({_D},'%d.%m.%Y') else due_date end"
+_VD = f"coalesce({Q.to_date(_V)}, try_strptime({_V},'%d.%m.%Y')::date)"
+
+
+def varied_date():
+    d, k = parse.to_date(val("due_date")), F.col("key") % 6
+    forms = {1: "dd/MM/yyyy", 2: "dd MMMM yyyy", 3: "yyyy-MM-dd'T'10:00:00", 4: "dd.MM.yyyy"}
+    out = val("due_date")
+    for n, f in forms.items():
+        out = F.when(k == n, F.date_format(d, f)).otherwise(out)
+    return out
+
+
+result_query("rule_date_format", lambda: rules.rule_date_format(F.col("varied"), ("%Y-%m-%d", "%d.%m.%Y")), f"{_VD} is not null",
+             f"case when {_V} is null then 'Empty date value' when {_VD} is null then 'Date format validation failed. Tried formats: [''%Y-%m-%d'', ''%d.%m.%Y'']' when key%6=4 then 'Date parsed with format %d.%m.%Y: '||{_VD}::varchar else 'Date parsed successfully: '||{_VD}::varchar end", f"{_VD}::varchar",
+             prepare=lambda df: df.withColumn("varied", varied_date()))
 result_query("rule_date_range", lambda: rules.rule_date_range(val("due_date"), "1996-01-01", "2000-12-31"),
              f"{_D} between date '1996-01-01' and date '2000-12-31'",
              f"""case when {_D} is null then 'Cannot parse date for range validation: '||due_date when {_D}<date '1996-01-01' then 'Date '||{_D}||' is before minimum 1996-01-01'
@@ -130,11 +145,11 @@ def _(spark, d):
 
 @query("infer_field_config", f"""with {Q.FD}, x as (select *, lower(field_name) n from fv), y as (select *, {_TYPE} as field_type from x)
   select document_type, field_name, field_type, (document_type='invoice' and field_name='invoice_number') as required,
-   case field_type when 'text' then 1 end::integer as min_length, field_type='date' as check_date, field_type='currency' as check_range, count(*) as fields
+   case field_type when 'text' then 1 end::integer as min_length, field_type='date' as check_date, case when field_type='date' then '{",".join(config.DATE_FORMATS)}' end as date_formats, field_type='currency' as check_range, count(*) as fields
   from y group by all""")
 def _(spark, d):
-    out = validate.infer_field_config(A.field_values(spark, d))
-    return out.groupBy("document_type", "field_name", "field_type", "required", "min_length", "check_date", "check_range").agg(F.count(F.lit(1)).alias("fields"))
+    out = validate.infer_field_config(A.field_values(spark, d)).withColumn("date_formats", F.array_join("date_formats", ","))
+    return out.groupBy("document_type", "field_name", "field_type", "required", "min_length", "check_date", "date_formats", "check_range").agg(F.count(F.lit(1)).alias("fields"))
 
 
 @query("confidence_band", f"""with {Q.RT} select task_id, case when errors>0 then 'red' when c<0.7 then 'orange' when c<0.9 then 'yellow' else 'green' end as total_band
@@ -150,7 +165,7 @@ def norm_query(name, build, sql_expr):
         return docs(spark, d).select("document_id", build().alias("value"))
 
 
-norm_query("normalize_date", lambda: parse.to_date(val("due_date")), Q.to_date("due_date"))
+norm_query("normalize_date", lambda: parse.to_date(varied_date()), Q.to_date(_V))
 norm_query("normalize_currency", lambda: parse.to_amount(val("total_amount")).cast("double"), "try_cast(regexp_replace(total_amount,'[^0-9.-]','','g') as double)")
 norm_query("normalize_phone", lambda: parse.to_phone(val("phone")), "case when key%8=0 then phone else '+1'||regexp_replace(phone,'[^0-9]','','g') end")
 norm_query("normalize_email", lambda: parse.to_email(val("email")), "case when key%9=0 then email else 'c'||key||'@example.com' end")

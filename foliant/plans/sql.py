@@ -131,4 +131,4 @@ def luhn(digits: str) -> str:
 
 
 def to_date(c: str) -> str:
-    return f"try_strptime({c}, ['%Y-%m-%d','%m/%d/%Y','%m-%d-%Y','%m/%d/%y','%B %d, %Y'])::date"
+    return f"try_strptime({c}, ['%Y-%m-%d','%m/%d/%Y','%m-%d-%Y','%d/%m/%Y','%d-%m-%Y','%m/%d/%y','%B %d, %Y','%d %B %Y','%Y-%m-%dT%H:%M:%S','%Y-%m-%d %H:%M:%S'])::date"
