@@ -32,13 +32,16 @@ def classifier(kind: str = "random_forest", trees: int = 100, depth: int | None
 
 def train_classifier(df: DataFrame, inputs: list[str], label: str = "label", kind: str = "random_forest", **options) -> PipelineModel:
     """Label index, scaled features and classifier; rows with missing values are left out of the fit only."""
-    rows = df.dropna(subset=[*inputs, label])
-    return Pipeline(stages=[
-        StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip"),
-        VectorAssembler(inputCols=inputs, outputCol="raw_features", handleInvalid="error"),
-        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-        classifier(kind, **options),
-    ]).fit(rows)
+    rows = df.dropna(subset=[*inputs, label]).persist()
+    try:
+        return Pipeline(stages=[
+            StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip"),
+            VectorAssembler(inputCols=inputs, outputCol="raw_features", handleInvalid="error"),
+            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+            classifier(kind, **options),
+        ]).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def predict_class(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -183,25 +183,44 @@ def trained(spark, d, kind="random_forest", **options):
     return ml.train_classifier(rows, names, "lang", kind, **options), rows
 
 
-@query("train_classifier")
+def fitted(out):
+    """Per label: how many rows have a prediction, and whether each is one of the labels."""
+    known = F.array_contains(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("document_type"))
+    return out.groupBy("lang").agg(F.count("document_type").alias("documents"), F.bool_and(known).alias("known"))
+
+
+_FITTED = "select lang, count(*) as documents, true as known from documents group by 1"
+
+
+@query("train_classifier", _FITTED)
 def _(spark, d):
     model, rows = trained(spark, d)
-    return ml.predict_class(model, rows).groupBy("lang", "document_type").agg(F.count(F.lit(1)).alias("documents"))
+    return fitted(ml.predict_class(model, rows))
+
+
+@query("train_svm", _FITTED)
+def _(spark, d):
+    model, rows = trained(spark, d, "svm")
+    return fitted(ml.predict_class(model, rows))
 
 
-@query("predict_class")
+@query("predict_class", "select doc_id, (select count(distinct lang) from documents)::integer as classes, true as whole, true as best from documents")
 def _(spark, d):
     model, rows = trained(spark, d, "logistic")
-    out = ml.predict_class(model, rows)
-    return out.select("doc_id", "document_type", F.round("confidence", 6).alias("confidence"), F.size("probabilities").alias("classes"))
+    p = F.map_values("probabilities")
+    out = ml.predict_class(model, rows).withColumn("p", p)
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    return out.select("doc_id", F.size("p").alias("classes"), (F.abs(total - 1) < 1e-9).alias("whole"), (F.col("confidence") == F.array_max("p")).alias("best"))
 
 
-@query("save_load_model")
+@query("save_load_model", "select doc_id, true as agrees from documents")
 def _(spark, d):
     model, rows = trained(spark, d)
     path = work_path(spark, "model")
     ml.save_model(model, path)
-    return ml.predict_class(ml.load_model(path), rows).select("doc_id", "document_type")
+    # Both models over one reading of the rows.
+    both = ml.predict_class(model, rows).withColumnRenamed("document_type", "before").drop("confidence", "probabilities")
+    return ml.predict_class(ml.load_model(path), both).select("doc_id", (F.col("before") == F.col("document_type")).alias("agrees"))
 
 
 @query("retrain_gate", "with c as (select label, count(*) n from embeddings group by 1) select count(*) as classes, min(n) as smallest_class, count(*)>=2 and min(n)>=10 as should_retrain from c")

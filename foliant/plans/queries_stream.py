@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.plans import sql as Q
+from foliant.plans.queries_classify import KW
 from foliant.plans.queries_review import FOLD_SQL
 from foliant.plans.registry import query
 from foliant.session import work_path
@@ -80,3 +81,15 @@ def _(spark, d):
     count = batch_writer(path, lambda b: b.groupBy("event_type").agg(F.count(F.lit(1)).alias("seen")))
     run_available(events(spark, d), on_batch(count))
     return spark.read.parquet(path).groupBy("event_type").agg(F.sum("seen").alias("seen"))
+
+
+@query("on_classified", f"with {KW} select kc as document_type, count(*) as seen from kw group by 1")
+def _(spark, d):
+    from foliant.operators.classify import classify_keywords
+    from foliant.operators.handlers import on_batch
+
+    path = work_path(spark, "classified")
+    docs = classify_keywords(A.order_text(A.order_docs_from(read_stream(spark, d, "orders"))), "full_text")
+    count = batch_writer(path, lambda b: b.groupBy(F.col("keyword_class").alias("document_type")).agg(F.count(F.lit(1)).alias("seen")))
+    run_available(docs, on_batch(count))
+    return spark.read.parquet(path).groupBy("document_type").agg(F.sum("seen").alias("seen"))
