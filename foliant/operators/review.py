@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant import config
 from foliant.operators.queue import rank
 from foliant.operators.ranking import row_numbers
+from foliant.session import materialize
 from foliant.sources.metrics import seconds_between, ts
 
 DONE = "completed"
@@ -192,14 +193,21 @@ def training_records(tasks: DataFrame, feedback: DataFrame) -> DataFrame:
         F.col("validation_errors").alias("validation_failures"))
 
 
-def get_training_data(records: DataFrame, document_type: str | None = None, limit: int = 100) -> DataFrame:
-    rows = records if document_type is None else records.where(F.col("document_type") == document_type)
-    return rows.orderBy(F.col("created_at").desc(), "task_id").limit(limit)
+def newest_records(tasks: DataFrame, corrections: DataFrame, document_type: str | None = None, limit: int = 100) -> DataFrame:
+    """The records of the newest finished tasks: what is newest depends on tasks alone, so only theirs meet any corrections."""
+    done = tasks.where(F.col("status").isin(DONE, "approved"))
+    done = done if document_type is None else done.where(F.col("document_type") == document_type)
+    newest = materialize(done.orderBy(F.col("resolution_time").desc(), "task_id").limit(limit))
+    return training_records(newest, collect_feedback(newest, corrections.join(newest.select("task_id"), "task_id", "left_semi")))
+
+
+def get_training_data(tasks: DataFrame, corrections: DataFrame, document_type: str | None = None, limit: int = 100) -> DataFrame:
+    return newest_records(tasks, corrections, document_type, limit).orderBy(F.col("created_at").desc(), "task_id")
 
 
-def training_summary(records: DataFrame, newest: int = 1000, top: int = 10) -> DataFrame:
+def training_summary(tasks: DataFrame, corrections: DataFrame, newest: int = 1000, top: int = 10) -> DataFrame:
     """Over the newest records: (kind, name, count) of samples, corrections, types and most corrected fields."""
-    recent = get_training_data(records, None, newest).select("document_type", F.transform("field_corrections", lambda c: c["field_name"]).alias("names"))
+    recent = newest_records(tasks, corrections, None, newest).select("document_type", F.transform("field_corrections", lambda c: c["field_name"]).alias("names"))
     line = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("name"), F.col("count"))
     totals = recent.agg(F.count(F.lit(1)).alias("s"), F.coalesce(F.sum(F.size("names")), F.lit(0)).alias("c")).select(
         F.explode(F.array(F.struct(F.lit("samples").alias("name"), F.col("s").alias("count")), F.struct(F.lit("corrections").alias("name"), F.col("c").alias("count")))).alias("x")).select("x.*")

@@ -88,15 +88,18 @@ def _(spark, d):
     shift = F.make_dt_interval(days=F.lit(40))
     new = A.events_as_metrics(A.table(spark, d, "events").withColumn("event_id", F.col("user_id")))
     new = new.withColumns({"created_at": F.col("created_at") + shift, "start_time": F.col("start_time") + shift})
-    return W.merge_metrics(old, new).select("document_id", F.round("total_processing_time", 6).alias("total_processing_time"))
+    path = work_path(spark, "document_metrics")
+    W.with_day(old).write.partitionBy("dt").parquet(path)
+    W.upsert_document_metrics(new, path)
+    return spark.read.parquet(path).select("document_id", F.round("total_processing_time", 6).alias("total_processing_time"))
 
 
 @query("append_field_metrics", f"with {Q.FM} select field_name, count(*)*2 as rows from fm group by 1")
 def _(spark, d):
     path = work_path(spark, "field_metrics")
     fm = A.field_metrics(spark, d)
-    W.append_field_metrics(fm, path)
-    W.append_field_metrics(fm, path)
+    for batch in ("a", "b", "a"):  # a batch that comes twice counts once
+        W.append_field_metrics(fm, path, batch)
     return spark.read.parquet(path).groupBy("field_name").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -195,14 +195,14 @@ def _(spark, d):
 
 @query("get_training_data", f"with {_TR} select task_id, created_at, corrections::integer as corrections from tr where document_type='invoice' order by created_at desc, task_id limit 100")
 def _(spark, d):
-    return V.get_training_data(records(spark, d), "invoice").select("task_id", "created_at", F.size("field_corrections").alias("corrections"))
+    return V.get_training_data(A.review_tasks(spark, d), A.corrections(spark, d), "invoice").select("task_id", "created_at", F.size("field_corrections").alias("corrections"))
 
 
 @query("training_summary", f"""with {_TR}, n as (select * from tr order by created_at desc, task_id limit 1000), f as (select field_name, count(*) c from fb where task_id in (select task_id from n) group by 1 order by c desc, field_name limit 10)
   select 'total' as kind, 'samples' as name, count(*) as count from n union all select 'total', 'corrections', sum(corrections)::bigint from n
   union all select 'document_type', document_type, count(*) from n group by 2 union all select 'field', field_name, c from f""")
 def _(spark, d):
-    return V.training_summary(records(spark, d))
+    return V.training_summary(A.review_tasks(spark, d), A.corrections(spark, d))
 
 
 @query("export_training_data", f"with {_TR} select document_type, count(*) as total_samples from tr where document_type='receipt' group by 1")

@@ -93,3 +93,18 @@ def _(spark, d):
     count = batch_writer(path, lambda b: b.groupBy(F.col("keyword_class").alias("document_type")).agg(F.count(F.lit(1)).alias("seen")))
     run_available(docs, on_batch(count))
     return spark.read.parquet(path).groupBy("document_type").agg(F.sum("seen").alias("seen"))
+
+
+#: Two moments at which the timers are asked.
+MOMENTS = ("2024-01-10 00:00:00", "2024-02-01 00:00:00")
+
+
+@query("stream_task_timers", f"with st as ({FOLD_SQL}), m(now) as (values {', '.join(f"(timestamp '{m}')" for m in MOMENTS)})" + """
+  select now as as_of, task_id, 'retry' as action, next_retry as due_at from st, m where status='failed' and next_retry<=now
+  union all select now, task_id, 'timeout', first_touched_at + interval 3600 second from st, m where status='in_progress' and first_touched_at + interval 3600 second < now""")
+def _(spark, d):
+    path = work_path(spark, "timers")
+    run_available(A.task_events_from(events(spark, d)), batch_writer(path, T.summarize_events))
+    state = T.task_state(T.merge_summaries(spark.read.parquet(path)))
+    now = [T.timers(state, m).select(F.lit(m).cast("timestamp_ntz").alias("as_of"), "task_id", "action", "due_at") for m in MOMENTS]
+    return now[0].unionByName(now[1])

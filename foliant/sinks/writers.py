@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.session import work_path
+
 TEMPORARY_KEYS = ("temp_path", "preprocessed_path")
 
 
@@ -24,18 +26,40 @@ def merge_metrics(old: DataFrame, new: DataFrame, key: str = "document_id", orde
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def upsert_document_metrics(new: DataFrame, current_path: str, next_path: str) -> None:
-    """Writes the merged table beside the current one; the caller then points readers at it."""
-    old = new.sparkSession.read.parquet(current_path)
-    with_day(merge_metrics(old.drop("dt"), new)).write.mode("overwrite").partitionBy("dt").parquet(next_path)
+def upsert_document_metrics(new: DataFrame, path: str, key: str = "document_id") -> None:
+    """Merge new rows into a table that is partitioned by day; only the days that they touch are written anew.
+
+    Touched are the days of the new rows and the days on which the documents they replace stand now. The merged days are
+    first written beside the table, so a job that fails before the last step leaves the table as it was.
+    """
+    spark = new.sparkSession
+    old, new = spark.read.parquet(path), with_day(new)
+    replaced = old.join(new.select(key).distinct(), key, "left_semi").select("dt")
+    days = [r["dt"] for r in replaced.union(new.select("dt")).distinct().collect()]  # days, however many rows
+    touched = F.col("dt").isin(*days) | (F.col("dt").isNull() if None in days else F.lit(False))
+    beside = work_path(spark, "upsert")
+    # A day of any size is written by several tasks.
+    merged = with_day(merge_metrics(old.where(touched).drop("dt"), new.drop("dt"), key))
+    merged.repartition("dt", F.pmod(F.xxhash64(key), F.lit(8))).write.partitionBy("dt").parquet(beside)
+    fresh = spark.read.schema(merged.schema).parquet(beside)
+    left = {r["dt"] for r in fresh.select("dt").distinct().collect()}
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+    for day in set(days) - left:  # all its documents have moved to other days
+        _delete(spark, f"{path}/dt={'__HIVE_DEFAULT_PARTITION__' if day is None else day}")
+
+
+def _delete(spark, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def with_day(df: DataFrame) -> DataFrame:
     return df.withColumn("dt", F.to_date("start_time"))
 
 
-def append_field_metrics(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_field_metrics(df: DataFrame, path: str, batch: str) -> None:
+    """Append a batch; the same batch once more replaces itself."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def drop_temporary(df: DataFrame) -> DataFrame:

@@ -69,3 +69,14 @@ def due_now(state: DataFrame, as_of, timeout: int = config.TASK_TIMEOUT_SECONDS)
     now = ts(as_of, state, "next_retry")
     late = (F.col("status") == "in_progress") & (plus_seconds(F.col("first_touched_at"), F.lit(timeout)) < now)
     return state.withColumns({"retry_due": (F.col("status") == "failed") & (F.col("next_retry") <= now), "timed_out": late})
+
+
+def timers(state: DataFrame, as_of, timeout: int = config.TASK_TIMEOUT_SECONDS) -> DataFrame:
+    """What is due at a moment, as rows: (task_id, action, due_at) of retries and timeouts.
+
+    Time passes without events, so timers are asked at a moment over the merged state, by a job on a clock.
+    """
+    s = due_now(state, as_of, timeout)
+    retry = F.when(F.col("retry_due"), F.struct(F.lit("retry").alias("action"), F.col("next_retry").alias("due_at")))
+    late = F.when(F.col("timed_out"), F.struct(F.lit("timeout").alias("action"), plus_seconds(F.col("first_touched_at"), F.lit(timeout)).alias("due_at")))
+    return s.select("task_id", F.explode(F.filter(F.array(retry, late), lambda x: x.isNotNull())).alias("t")).select("task_id", "t.*")

@@ -53,11 +53,16 @@ def test_upsert_last_write_wins_on_disk(spark, tmp_path):
     kind = "document_id string, start_time timestamp, created_at timestamp, v int"
     rows = spark.createDataFrame([("a", None, None, 1), ("b", None, None, 2)], kind).withColumn("start_time", F.lit("2024-01-01").cast("timestamp"))
     rows = rows.withColumn("created_at", F.col("start_time"))
-    cur, nxt = str(tmp_path / "cur"), str(tmp_path / "next")
+    cur = str(tmp_path / "cur")
     W.with_day(rows).write.partitionBy("dt").parquet(cur)
     new = rows.where("document_id = 'b'").withColumn("v", F.lit(9)).unionByName(rows.where("document_id = 'a'").withColumns({"document_id": F.lit("c"), "v": F.lit(3)}))
-    W.upsert_document_metrics(new, cur, nxt)
-    assert {r["document_id"]: r["v"] for r in spark.read.parquet(nxt).collect()} == {"a": 1, "b": 9, "c": 3}
+    for _ in range(2):  # a batch that comes twice changes nothing
+        W.upsert_document_metrics(new, cur)
+        assert {r["document_id"]: r["v"] for r in spark.read.parquet(cur).collect()} == {"a": 1, "b": 9, "c": 3}
+    moved = rows.where("document_id = 'b'").withColumn("start_time", F.col("start_time") + F.expr("interval 40 days"))
+    W.upsert_document_metrics(moved, cur)
+    got = {r["document_id"]: r["dt"] for r in spark.read.parquet(cur).collect()}
+    assert set(got) == {"a", "b", "c"} and got["b"] == moved.select(F.to_date("start_time")).first()[0]
 
 
 def test_csv_columns_sorted_and_union(spark):
