@@ -6,7 +6,7 @@ numbers are kept as a sorted array, cut into 256 pages of equal size, and each v
 opens on each array a window of pages centred at its own number, and a vector collides with it on each line where it
 lies in the window. All windows are widened together, step by step: the hash is never made again, only the window grows
 (virtual rehashing). Vectors that collide on enough lines are verified by their exact inner product. A query stops when
-enough were verified: a share of the block and at least the number wanted.
+enough were verified: a share of the block and at least a few hundred.
 
 Rows and queries are dealt to blocks of a bounded number of rows; each pair of blocks is one group, and the best of each group
 meet in a ranking per query. No table of vectors is sent to the driver or to all executors.
@@ -35,8 +35,9 @@ class NearestSpec:
     lines: int = 128
     #: Collisions on so many lines make a candidate.
     threshold: int = 96
-    #: Share of a block's rows to verify before a query stops.
+    #: Share of a block's rows to verify before a query stops, and the least number.
     share: float = 0.06
+    least: int = 512
     #: First half-width of a window, in standard deviations of a line's numbers, and the factor of a widening.
     first: float = 0.6
     widen: float = 1.12
@@ -70,7 +71,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
     # A query's length does not change its ranking; at the length of the block's vectors the distances spread most.
     scale = top / np.sqrt((q * q).sum(axis=1))
     centre = (np.column_stack((q, np.zeros(len(q)))) @ lines) * scale[:, None]
-    want = min(n, max(spec.k + 1, int(spec.share * n)))
+    want = min(n, max(spec.k + 1, spec.least, int(spec.share * n)))
     out, last = [], 0.0
     for j in np.argsort(q_ids, kind="stable"):
         half = max(spec.first * unit, last / spec.widen)
