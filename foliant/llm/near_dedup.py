@@ -44,7 +44,7 @@ class NearSpec:
     #: Rows on either side of a tile.
     tile: int = 512
     #: Bytes of text handled at a time inside a task.
-    chunk_bytes: int = 2 << 20
+    chunk_bytes: int = 1 << 20
 
 
 def _text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
