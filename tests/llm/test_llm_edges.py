@@ -155,6 +155,16 @@ def test_pages(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+def test_copies_of_pages_keep_their_text(spark):
+    """Neither URL variants nor a large group of copies make the article's slot constant, whatever advert is beside it."""
+    page = "<html><body><div class=z1>{ad}</div><div id=text><p>Story {i} begins at length here</p><ul><li>item {k}<li>more</ul><p>Story {i} ends as {i}</p></div><div class=n>Notice of the host</div></body></html>"
+    rows = [(i * 3 + j, f"http://c.org/{i}?v={j}", i) for i in range(20) for j in range(3)] + [(100 + j, f"http://c.org/77?v={j}", 77) for j in range(200)]
+    frame = spark.createDataFrame([(p, u, page.format(i=i, k=i % 4, ad=f"buy {p}")) for p, u, i in rows], "page_id long, url string, html string")
+    text = {i: t for i, t in collected(html_extract.extract(frame), "page_id", "text")}
+    for p, _, i in rows:
+        assert f"Story {i} begins at length here\nitem {i % 4}" in text[p] and f"Story {i} ends as {i}" in text[p] and "Notice" not in text[p]
+
+
 def test_reading_pages():
     read = lambda p: html_text.article(html_text.read_page(p)[0], frozenset())
     assert read("<p>Hello <b>wor</b>ld<script>var t='</p>';</script> 1 < 2 &copy &am") == ["Hello world 1 < 2 © &am"]
