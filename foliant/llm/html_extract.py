@@ -4,7 +4,7 @@ Pages of one host are taken as made by one template. Tokens are the element path
 whole text blocks. Tokens with the same occurrence vector, the number of occurrences on each page of the host, form an equivalence class;
 one of at least two element paths on enough of the host's pages is valid. Vectors are compared by a sum of hashes per
 page, so a class over any number of pages is found by one grouped aggregation. Valid classes nest by their paths into the
-template. Text blocks that hang below it are its slots.
+template. Text blocks that hang below it are its slots, inside article and main elements as well as outside.
 
 A text is fixed if it recurs in its slot on most of the slot's different pages. Copies of a page are no different pages: a
 text's pages are told apart by the longest other texts that stand with it, so the paragraphs of an article that is
@@ -63,7 +63,7 @@ def tokens(pages: DataFrame) -> DataFrame:
                 length = {h: len(b.text) for h, b in zip(hashed, blocks) if not b.skip}
                 longest = sorted(length, key=lambda h: (-length[h], h))[: LONGEST + 1]
                 body = xxhash.xxh64_intdigest(repr(longest[:LONGEST])) >> 1
-                found = Counter((b.slot, b.parent, h) for h, b in zip(hashed, blocks) if not b.main)
+                found = Counter((b.slot, b.parent, h) for h, b in zip(hashed, blocks))
                 items = [(p, None, None, n, *[None] * (LONGEST + 1)) for p, n in tags.items()]
                 for (path, parent, text), n in found.items():
                     others = [h for h in longest if h != text][:LONGEST]

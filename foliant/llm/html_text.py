@@ -216,5 +216,6 @@ def text_hash(text: str) -> int:
 def article(blocks: list[Block], constant: frozenset[int]) -> list[str]:
     """The blocks of the article: of those that are not constant, as a slot or as a text in their slot, the ones inside article or main elements where there are any, else all."""
     open_blocks = [b for b in blocks if not b.skip]
-    main = [b.text for b in open_blocks if b.main]
-    return main or [b.text for b in open_blocks if b.slot not in constant and b.slot ^ text_hash(b.text) not in constant]
+    if constant:
+        open_blocks = [b for b in open_blocks if b.slot not in constant and b.slot ^ text_hash(b.text) not in constant]
+    return [b.text for b in open_blocks if b.main] or [b.text for b in open_blocks]

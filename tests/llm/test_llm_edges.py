@@ -155,6 +155,15 @@ def test_pages(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+def test_template_decides_inside_articles(spark):
+    """A notice without a known name goes from articles when all pages of the host have it, in a slot of its own or among the paragraphs."""
+    page = "<body><h2>site</h2><article><h1>Title {i}</h1><div class=x7>Our terms have changed, read them now</div><p>first words of {i}</p><p>All rights are ours</p><p>last words of {i}</p></article>"
+    frame = spark.createDataFrame([(i, f"http://a.org/{i}", page.format(i=i)) for i in range(30)] + [(99, "http://b.org/", page.format(i=99))], "page_id long, url string, html string")
+    text = {i: t for i, t in collected(html_extract.extract(frame), "page_id", "text")}
+    assert all(text[i] == f"Title {i}\nfirst words of {i}\nlast words of {i}" for i in range(30))
+    assert "Our terms" in text[99]  # one page cannot tell
+
+
 def test_copies_of_pages_keep_their_text(spark):
     """Neither URL variants nor a large group of copies make the article's slot constant, whatever advert is beside it."""
     page = "<html><body><div class=z1>{ad}</div><div id=text><p>Story {i} begins at length here</p><ul><li>item {k}<li>more</ul><p>Story {i} ends as {i}</p></div><div class=n>Notice of the host</div></body></html>"
