@@ -7,7 +7,7 @@
    threshold go; the rest is verified on the full shingle sets of the two texts.
 3. The links found are contracted to components. Only buckets that still hold more than one component go on: there the
    members outside the bucket's largest component are compared with all others, in tiles of a bounded number of
-   rows, by a longer signature, in the first band that both share; what passes and was not seen before is verified. So no partner is
+   rows, by a longer signature, in the first band whose bucket both are in; what passes and was not seen before is verified. So no partner is
    capped, and members of one component are never paired with each other again.
 4. Components over all links; the smallest document id of a component names it.
 
@@ -155,18 +155,27 @@ def _long_signatures(texts: DataFrame, spec: NearSpec) -> DataFrame:
     return texts.select("cid", "text").mapInArrow(run, "cid bigint, fine binary")
 
 
+def _packed_keys(classes: DataFrame) -> DataFrame:
+    """``cid, keys``: the buckets of each class in the order of its bands, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([np.array(x, np.int64).tobytes() for x in batch.column("bands").to_pylist()], pa.binary())], names=["cid", "keys"])
+
+    return classes.select("cid", "bands").mapInArrow(run, "cid bigint, keys binary")
+
+
 def _across(members: DataFrame, spec: NearSpec) -> DataFrame:
     """Pairs across components inside each tile that the signatures let pass, each in one tile only.
 
-    ``members``: ``bucket, band, tile, cid, root, side, sig, fine``, sides 0 and 1. A tile holds a bounded number of rows. Pairs are
+    ``members``: ``bucket, band, tile, cid, root, side, keys, fine``, sides 0 and 1; ``keys`` are the buckets of all bands, 8 bytes each. A tile holds a bounded number of rows. Pairs are
     made of side 0 with side 1, and inside side 0 where the tile has no side 1.
     """
-    bands, rows = spec.bands, spec.places // spec.bands
     # Two halves of a byte that differ still agree by chance once in sixteen.
     least = spec.long_places * (spec.long_screen + (1 - spec.long_screen) / 16)
-    names = ["bucket", "band", "tile", "cid", "root", "side", "sig", "fine"]
+    names = ["bucket", "band", "tile", "cid", "root", "side", "keys", "fine"]
 
-    def pairs_of(band, cid, root, side, sig, fine):
+    def pairs_of(band, cid, root, side, keys, fine):
         left = np.nonzero(side == 0)[0]
         right = np.nonzero(side == 1)[0]
         alone = not len(right)
@@ -177,8 +186,7 @@ def _across(members: DataFrame, spec: NearSpec) -> DataFrame:
             differ = fine[others] ^ fine[i]
             others = others[((differ & 15) == 0).sum(axis=1) + ((differ & 240) == 0).sum(axis=1) >= least]
             if len(others):
-                shared = (sig[others, : bands * rows] == sig[i, : bands * rows]).reshape(len(others), bands, rows).all(axis=2)
-                others = others[shared.argmax(axis=1) == band]
+                others = others[(keys[others] == keys[i]).argmax(axis=1) == band]
             for o in others:
                 yield min(cid[i], cid[o]), max(cid[i], cid[o])
 
@@ -197,8 +205,8 @@ def _across(members: DataFrame, spec: NearSpec) -> DataFrame:
 
     def out(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         band, cid, root, side = (t.column(c).to_numpy() for c in ("band", "cid", "root", "side"))
-        sig, fine = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, -1) for c in ("sig", "fine"))
-        found = [p for s, e in zip(starts[:-1], starts[1:]) for p in pairs_of(band[s], cid[s:e], root[s:e], side[s:e], sig[s:e], fine[s:e])]
+        keys, fine = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(t.num_rows, -1) for c, kind in (("keys", np.int64), ("fine", np.uint8)))
+        found = [p for s, e in zip(starts[:-1], starts[1:]) for p in pairs_of(band[s], cid[s:e], root[s:e], side[s:e], keys[s:e], fine[s:e])]
         for i in range(0, len(found), 10_000):
             a, b = np.array(found[i: i + 10_000], dtype=np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -257,7 +265,7 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec(), id_col: str =
 
     tiles = keep(_tiles(buckets.drop("pivot"), components(links), spec), "tiles")
     fine = keep(_long_signatures(texts.join(tiles.select("cid").distinct(), "cid", "left_semi"), spec), "long-signatures")
-    members = tiles.join(keep(sigs.join(fine, "cid"), "both-signatures"), "cid")
+    members = tiles.join(keep(_packed_keys(classes).join(fine, "cid"), "keys-and-signatures"), "cid")
     across = keep(_across(members, spec).distinct().join(star, ["a", "b"], "left_anti"), "cross-pairs")
     links = links.union(keep(_verified(across, texts, spec), "cross-links"))
     roots = components(links)

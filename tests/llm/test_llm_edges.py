@@ -71,6 +71,24 @@ def test_near_copies(spark):
     assert near_dedup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_copies_whose_low_bytes_agree(spark, monkeypatch):
+    """Texts in different buckets of the first band, with low bytes that agree by chance, and in one bucket of all other bands: links without its pivot are found too."""
+
+    def places(doc, value, docs, m):
+        import numpy as np
+
+        own = np.zeros(docs, np.uint64)
+        np.add.at(own, doc, value)
+        sig = np.zeros((docs, m), np.uint32)
+        sig[:, :5] = (own % np.uint64(1 << 20)).astype(np.uint32)[:, None] << 8
+        return sig
+
+    monkeypatch.setattr(near_dedup, "supermin", places)
+    rows = [(10 * g + i, " ".join([f"group{g}word{k}" for k in range(60)] + [f"own{i}"]), "en", "a") for g in range(4) for i in range(3)]
+    got = near_dedup.near_duplicates(docs_of(spark, rows), near_dedup.NearSpec(tile=4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_components({i: t for i, t, _, _ in rows})
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7), (None, 3), (200, 200)]
     got = dict(collected(components.components(spark.createDataFrame(edges, "a long, b long")), "node", "root"))
