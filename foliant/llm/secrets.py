@@ -2,8 +2,9 @@
 
 Patterns find candidates in each whole text: assigned passwords and tokens, access keys, long hex strings, and besides these strings
 of known credential formats and long mixed strings of high entropy. Every candidate's value is hashed, and the corpus is asked
-for each hash in how many repositories (documents) and of how many owners (sources) it is. A value that many owners have
-is a copied example; one that hardly anybody else has, and that looks as if it were in use, is a live credential.
+for each hash in how many repositories (documents) and of how many owners (sources) it is. A value that many owners have,
+or that an owner has in many repositories, is a copied example; one that hardly anybody else has, and that looks as if it were in use, is a
+live credential.
 
 The three base kinds are always reported as they are found. Candidates of the other kinds become spans of kind ``live`` where
 ownership says so, and every base span is told to be live, an example or neither in the counts.
@@ -29,6 +30,8 @@ from foliant.llm.common import keep
 class SecretSpec:
     #: A value of more owners than this is a copied example.
     max_owners: int = 2
+    #: So is one of more repositories than this for each of its owners.
+    max_repositories_per_owner: int = 10
     #: Least entropy of a value that looks live, in bits per character.
     min_entropy: float = 3.0
     #: Least length of a long mixed string.
@@ -110,23 +113,26 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, spec: SecretSpec = SecretSpec(), id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """One row per input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example``.
+    """One row per input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, repositories, owners``.
 
     ``spans`` are kind:start:end in code points (end exclusive), by start and then kind: the base kinds and ``live``. ``n_live`` counts
-    all spans whose value looks live and belongs to at most ``max_owners`` owners, ``n_example`` those of more owners. A null or
+    all spans whose value looks live and is no copied example, ``n_example`` those of copied examples: values of more than ``max_owners`` owners or of more
+    than ``max_repositories_per_owner`` repositories for each owner. ``repositories`` and ``owners`` are the two counts of each span's value, in the order of ``spans``. A null or
     empty text has none; a null owner is the empty one. Rows that are there twice are scanned twice and count as one repository; null ids count as one
     too. Other columns of the input are not looked at; an empty table gives an empty result.
     """
     rows = keep(candidates(docs, spec, id_col, text_col, owner_col).withColumn("row", F.monotonically_increasing_id()), "candidates")
     each = rows.where(F.size("found") > 0).select("row", "doc_id", "owner", F.explode("found").alias("c")).select("row", "doc_id", "owner", "c.*")
     owned = keep(ownership(each.select("h", "owner", "doc_id")), "ownership")
-    live = F.col("live") & (F.col("owners") <= spec.max_owners)
-    judged = each.join(owned, "h").withColumn("is_live", live).withColumn("is_example", F.col("owners") > spec.max_owners)
+    example = (F.col("owners") > spec.max_owners) | (F.col("repositories") > F.col("owners") * spec.max_repositories_per_owner)
+    judged = each.join(owned, "h").withColumn("is_example", example).withColumn("is_live", F.col("live") & ~F.col("is_example"))
     judged = judged.where((F.col("kind") != "live") | F.col("is_live"))
     order = F.when(F.col("kind") == "assign", 0).when(F.col("kind") == "access", 1).when(F.col("kind") == "hex", 2).otherwise(3)
-    span = F.struct("start", order.alias("o"), F.concat_ws(":", "kind", "start", "end").alias("s"))
-    per_row = judged.groupBy("row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(span)), lambda x: x["s"]), ",").alias("spans"),
+    span = F.struct("start", order.alias("o"), F.concat_ws(":", "kind", "start", "end").alias("s"), "repositories", "owners")
+    per_row = judged.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("found"),
                                         F.count_if("is_live").alias("n_live"), F.count_if("is_example").alias("n_example"))
-    zero = F.lit(0).cast("long")
+    per_row = per_row.select("row", F.array_join("found.s", ",").alias("spans"), "n_live", "n_example", F.col("found.repositories").alias("repositories"), F.col("found.owners").alias("owners"))
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
     return rows.join(per_row, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"),
-                                                    F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_example", zero).alias("n_example"))
+                                                    F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_example", zero).alias("n_example"),
+                                                    F.coalesce("repositories", none).alias("repositories"), F.coalesce("owners", none).alias("owners"))

@@ -229,6 +229,17 @@ def test_secrets(spark):
     assert secrets.scan(docs_of(spark, [])).count() == 0
 
 
+def test_secrets_of_one_owner(spark):
+    """A value that one owner has in many documents is a copied example; one of few documents stays live."""
+    live, shown, token = "aB3" + "xY9zQ7wL" * 3, "kP4" + "mN8vR2tJ" * 3, "token=" + "Zx81qW" * 4
+    rows = [(i, f"{shown} {token}", "en", "a") for i in range(40)] + [(100, live, "en", "a"), (101, live, "en", "a")]
+    got = {r.doc_id: r for r in secrets.scan(docs_of(spark, rows)).collect()}
+    for i in range(40):
+        assert (got[i].n_live, got[i].n_example, "live:" in got[i].spans) == (0, 1, False)
+        assert (got[i].repositories, got[i].owners) == ([40], [1])
+    assert (got[100].n_live, got[100].spans, got[100].repositories, got[100].owners) == (1, f"live:0:{len(live)}", [2], [1])
+
+
 def test_urls(spark):
     spec = url_filter.UrlRules(min_urls=5)
     rows = [(i, f"http://Shop.example.org/{'buy' if i % 2 else 'read'}/{i}", 1 if i % 2 else 0, "h") for i in range(200)]
