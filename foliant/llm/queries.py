@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import sql
+from foliant.llm.bloom_lm import LmSpec, score
 from foliant.llm.chat import ChatSpec, digests, format_windows, turn_row
 from foliant.llm.common import table
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.html_extract import extract
+from foliant.llm.lexical import LexicalSpec, build_index, search
 from foliant.llm.mixing import MixSpec, mix
 from foliant.llm.near_dedup import NearSpec, near_duplicates
 from foliant.llm.nearest import NearestSpec, nearest
 from foliant.llm.packing import PackSpec, pack
 from foliant.llm.quality import QualitySpec, fit, grade, sample
+from foliant.llm.repair import RepairSpec, damage, repair, report
 from foliant.llm.secrets import SecretSpec, scan
 from foliant.llm.url_filter import UrlRules, judge_urls, path_of
 
@@ -35,6 +38,7 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"
 QUALITY = QualitySpec()
 NEAR = NearSpec()
 URL_RULES = UrlRules()
+LEXICAL = LexicalSpec()
 #: The document a page shows is named by the number after the language in its path.
 PAGE_DOCUMENT = r"^/[a-z]+/([0-9]+)"
 
@@ -104,6 +108,19 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), NearestSpec())
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(table(spark, sf_dir, "documents"), LEXICAL), table(spark, sf_dir, "benchmark"), LEXICAL)
+
+
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), LmSpec())
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return report(turns, repair(damage(turns), RepairSpec()))
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_chat_formatting": op2_chat_formatting,
@@ -115,9 +132,13 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_url_filter": op9_url_filter,
     "op10_nearest_vectors": op10_nearest_vectors,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_lm_scores": op12_lm_scores,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 SQL: dict[str, str] = {
     "op6_exact_dedup": sql.EXACT_DEDUP,
     "op7_mix_sources": sql.mix_sources(MIX, CRAWL),
     "op9_url_filter": sql.url_filter(URL_RULES),
+    "op11_ranked_search": sql.ranked_search(LEXICAL.k),
 }

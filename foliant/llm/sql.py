@@ -13,6 +13,26 @@ select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc
 from t window g as (partition by norm)
 """
 
+TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+RANKED_SEARCH = f"""
+with d as (select doc_id, {TERMS} as terms from documents),
+size as (select count(*) as docs, sum(len(terms)) as words from d where len(terms) > 0),
+posting as (select doc_id, term, count(*) as tf from (select doc_id, unnest(terms) as term from d) group by all),
+asked as (select distinct item_id, term from (select item_id, unnest({TERMS}) as term from benchmark)),
+weight as (select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)))::bigint as w
+           from posting semi join asked using (term), size group by term),
+part as (select item_id, doc_id, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(terms) * docs) // words))) as s
+         from asked join weight using (term) join posting using (term) join d using (doc_id), size),
+scored as (select item_id, doc_id, sum(s)::bigint as score from part group by all having sum(s) > 0)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::integer as rank, doc_id, score from scored
+qualify rank <= {{k}}
+"""
+
+
+def ranked_search(k: int) -> str:
+    return RANKED_SEARCH.format(k=k)
+
 
 def mix_sources(spec: MixSpec, crawl: str) -> str:
     def weight(level: str) -> str:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 from itertools import combinations
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -93,3 +96,86 @@ def best_fit_decreasing(lengths: list[int], size: int) -> int:
         if gap > x:
             insort(gaps, gap - x)
     return n
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs: list[tuple], items: list[tuple], k: int) -> list[tuple]:
+    """Item, rank, document and score of the best documents; ``docs`` and ``items``: (id, text). A null document id comes first among equals."""
+    found = [(i, Counter(TERM.findall((t or "").translate(FOLD)))) for i, t in docs]
+    sizes = [sum(c.values()) for _, c in found]
+    n, words = sum(s > 0 for s in sizes), sum(sizes)
+    df = Counter(w for _, c in found for w in c)
+    asked: dict = {}
+    for i, t in items:
+        asked.setdefault(i, set()).update(TERM.findall((t or "").translate(FOLD)))
+    out = []
+    for item, terms in asked.items():
+        scored = []
+        for (doc, c), size in zip(found, sizes):
+            m = 50 + (50 * size * n) // words if words else 0
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * ((10**9 * c[w]) // (1000 * c[w] + 20 * m)) for w in terms if w in c)
+            if s > 0:
+                scored.append((-s, doc is not None, doc or 0, doc))
+        out += [(item, r, x[3], -x[0]) for r, x in enumerate(sorted(scored, key=lambda x: x[:3])[:k], 1)]
+    return out
+
+
+def word_scores(docs: list[tuple]) -> list[tuple]:
+    """Per document: id, held out, tokens, known ones, tokens learned from, base score."""
+    words = [(i, zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0, [*WORD.findall((t or "").translate(FOLD)), ""]) for i, t in docs]
+    c = Counter(w for _, held, ws in words if not held for w in ws)
+    n, v = sum(c.values()), len(c)
+    return [(i, held, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for i, held, ws in words]
+
+
+SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+
+
+def damaged(turns: list[tuple]) -> dict:
+    """Turns of each conversation, in order, with planted faults; ``turns``: (conversation, turn, role, text)."""
+    talks: dict = {}
+    for conv, turn, role, text in turns:
+        h = zlib.crc32(":".join(" " if x is None else str(x) for x in (conv, turn)).encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        rows = talks.setdefault(conv, [])
+        if h:
+            text = {1: "", 2: re.sub("[.!?]", "", text)}.get(h, text)
+            rows += [(turn, "user" if h == 4 else role, text)] * (2 if h == 3 else 1)
+    return {c: sorted(rows, key=lambda t: (t[0] is not None, t[0] or 0, t[1], sha(t[2]))) for c, rows in talks.items()}
+
+
+def repaired(rows: list[tuple]) -> tuple:
+    """Gaps, blank, duplicate, truncated, illegal, cost, audit and digest of a conversation: the least audit among the cheapest, from the end."""
+    seen, kinds = set(), []
+    for _, role, text in rows:
+        ink = text.strip(SPACE)
+        kinds.append("blank" if not ink else "duplicate" if (role, text) in seen else "truncated" if ink[-1] not in ".!?" else "")
+        seen.add((role, text))
+    after = {"": "U", "S": "U", "U": "A", "A": "U"}
+    best = {"": (0, ""), "A": (0, ""), "U": (3, "I"), "S": (6, "II")}
+    for (_, role, _), kind in zip(rows[::-1], kinds[::-1]):
+        now = {}
+        for q, to in after.items():
+            ways = [("D", 4, q)]
+            if kind in ("", "truncated"):
+                extra, first = 3 * (kind != ""), role[:1].upper()
+                ways.append(("R", 3 + extra, to))
+                if (first == "S" and q == "") or first == to:
+                    ways.append(("K", extra, first))
+            now[q] = min((cost + best[s][0], edit + best[s][1]) for edit, cost, s in ways)
+        for _ in range(3):
+            now = {q: min(x, (now[after[q]][0] + 3, "I" + now[after[q]][1])) for q, x in now.items()}
+        best = now
+    cost, audit = best[""]
+    out, q, left = [], "", list(rows)
+    for edit in audit:
+        _, role, text = left.pop(0) if edit != "I" else (None, None, "")
+        if edit != "D":
+            q = role[0].upper() if edit == "K" else after[q]
+            out.append((role if edit == "K" else {"U": "user", "A": "assistant"}[q]) + ":" + text)
+    turns = [t for t, _, _ in rows if t is not None]
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    return (gaps, *(kinds.count(k) for k in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha("\n".join(out)))
