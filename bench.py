@@ -30,7 +30,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(cpus, "bench")
+    spark = local_session(cpus, "bench", input_partitions=2 * cpus)  # each test table is one row group
     registry.load()
 
     def once(name: str) -> float:

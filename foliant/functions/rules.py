@@ -136,15 +136,13 @@ STRICT_RULES: dict[str, Callable[..., Column]] = {
 }
 
 
-def register(name: str, rule: Callable[..., Column]) -> None:
-    """Add a custom rule; it takes a Value and the text after the colon (or None)."""
-    RULES[name] = rule
+def schema_rule(rule: str, v: Value, strict: bool = False, custom: dict[str, Callable[..., Column]] | None = None) -> Column | None:
+    """The pass condition of a schema rule, or None for names without a rule.
 
-
-def schema_rule(rule: str, v: Value, strict: bool = False) -> Column | None:
-    """The pass condition of a schema rule, or None for names without a rule."""
+    ``custom`` has rules of the caller's own, which come first; they take a Value and the text after the colon (or None).
+    """
     name, _, param = rule.partition(":")
-    fn = RULES.get(name) or (STRICT_RULES.get(name) if strict else None)
+    fn = (custom or {}).get(name) or RULES.get(name) or (STRICT_RULES.get(name) if strict else None)
     return None if fn is None else fn(v, param or None)
 
 
@@ -171,16 +169,27 @@ def check_pattern(pattern: str) -> str:
     return f"^(?:{pattern})"
 
 
-def rule_regex(value: Column, pattern: str) -> Column:
+def regex_ok(value: Column, pattern: str) -> Column:
+    """Whether a value fits; NULL for a pattern that is none."""
     try:
-        anchored = check_pattern(pattern)
+        return parse.strip(value).rlike(check_pattern(pattern))
+    except re.error:
+        return F.lit(None).cast("boolean")
+
+
+def regex_report(value: Column, pattern: str, ok: Column) -> Column:
+    try:
+        check_pattern(pattern)
     except re.error as e:
         return _result("regex", F.lit(False), F.lit(f"Invalid regex pattern: {e}"))
-    ok = parse.strip(value).rlike(anchored)
     message = F.concat(F.lit("Regex validation "), F.when(ok, "passed").otherwise("failed"), F.lit(f": {pattern}"))
     return _empty_or(value, "Empty value for regex validation", "regex", _result("regex", ok, message))
 
 
+def rule_regex(value: Column, pattern: str) -> Column:
+    return regex_report(value, pattern, regex_ok(value, pattern))
+
+
 def rule_luhn(value: Column) -> Column:
     ok = luhn_valid(value)
     return _result("luhn", ok, F.concat(F.lit("Luhn validation "), F.when(ok, "passed").otherwise("failed"), F.lit(" for: "), value))
@@ -188,7 +197,12 @@ def rule_luhn(value: Column) -> Column:
 
 def rule_date_format(value: Column, expected_formats: tuple[str, ...] = ()) -> Column:
     """Any date that can be read, and then the expected formats one after the other."""
-    found = [(parse.to_date(value), "Date parsed successfully: "), *((parse.date_by_format(value, f), f"Date parsed with format {f}: ") for f in expected_formats)]
+    return date_report(value, parse.to_date(value), expected_formats)
+
+
+def date_report(value: Column, read: Column, expected_formats: tuple[str, ...] = ()) -> Column:
+    """``read`` is the value as a date where it can be read."""
+    found = [(read, "Date parsed successfully: "), *((parse.date_by_format(value, f), f"Date parsed with format {f}: ") for f in expected_formats)]
     d = F.coalesce(*[x for x, _ in found])
     iso = F.date_format(d, "yyyy-MM-dd")
     tried = f". Tried formats: {list(expected_formats)}" if expected_formats else ""
@@ -214,7 +228,11 @@ def rule_date_range(value: Column, min_date=None, max_date=None) -> Column:
 
 
 def rule_numeric_range(value: Column, low: float = config.NUMERIC_RANGE[0], high: float = config.NUMERIC_RANGE[1]) -> Column:
-    n = parse.to_money(value)
+    return range_report(value, parse.to_money(value), low, high)
+
+
+def range_report(value: Column, n: Column, low: float, high: float) -> Column:
+    """``n`` is the value as a number where it is one."""
     ok = n.between(low, high)
     message = (
         F.when(n.isNull(), F.concat(F.lit("Not a number: "), F.coalesce(value, F.lit("None"))))

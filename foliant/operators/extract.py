@@ -6,6 +6,8 @@ projection of the document row: nothing is shuffled, and a long table is one exp
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,51 @@ from foliant import config
 from foliant.config import DocSchema, FieldSpec
 from foliant.functions import parse
 
-TEXT, LOW, ANY_DATE, ANY_MONEY = "__text", "__low", "__any_date", "__any_money"
+TEXT, LOW, LABELS, ANY_DATE, ANY_MONEY = "__text", "__low", "__labels", "__any_date", "__any_money"
+
+
+class LabelIndex:
+    """All labels of some fields as one pattern, so that a text is looked through once for all of them.
+
+    The labels are a tree of letters; a place in the text gives the longest label that stands there, and a shorter one that is
+    followed by a blank or colon inside it is known to stand there too.
+    """
+
+    def __init__(self, specs) -> None:
+        self.labels = sorted({lb.lower() for f in specs for lb in (f.name, *f.synonyms)})
+
+    def pattern(self) -> str:
+        tree: dict = {}
+        for label in self.labels:
+            node = tree
+            for c in label:
+                node = node.setdefault(c, {})
+            node[""] = {}
+        return rf"(?im)(?:^|(?<=\s))(?=({_branches(tree)})[:\s])"
+
+    def found_sql(self, text: str) -> str:
+        """The labels that stand in a text, in lower case."""
+        if not self.labels:
+            return "CAST(array() AS ARRAY<STRING>)"
+        return f"array_distinct(transform(regexp_extract_all({text}, {text_literal(self.pattern())}, 1), x -> lower(x)))"
+
+    def stands_sql(self, label: str) -> str:
+        """Whether a label stands in the text whose labels are known."""
+        low = label.lower()
+        longer = [x for x in self.labels if x.startswith(low) and (x == low or x[len(low)] in ": \t")]
+        return "(" + " OR ".join(f"array_contains({LABELS}, {text_literal(x)})" for x in longer) + ")"
+
+
+def _branches(tree: dict) -> str:
+    """The letters that may follow, with the end of a label as the last choice."""
+    ways = [re.sub(r"([^A-Za-z0-9_])", r"\\\1", c) + _branches(tree[c]) for c in sorted(tree, reverse=True) if c]
+    if "" in tree:
+        ways.append("")
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+
+#: Labels of all configured schemas.
+ALL_LABELS = LabelIndex([f for s in (*config.SCHEMAS.values(), config.GENERIC) for f in s.fields])
 
 
 def text_literal(s: str | None) -> str:
@@ -39,19 +85,16 @@ def structured_sql(spec: FieldSpec, ocr_fields: str) -> str:
     return f"get(transform({hit}, f -> {found}), 0)"
 
 
-def label_sql(spec: FieldSpec, compat: bool = False) -> str:
+def label_sql(spec: FieldSpec, compat: bool = False, index: LabelIndex = ALL_LABELS) -> str:
     """Strategy 2: name and synonyms in order; the first label with a value of the field's type.
 
-    A plain substring test keeps the pattern from running on texts that lack the label. The hit is
-    then taken apart by one pattern over all labels, which only ever sees the short matched text.
-    ``compat`` names the field after the label that matched and reads the text in lower case.
+    Only labels that the index has found in the text are looked at, and each once. The hit is then taken apart by one pattern over
+    all labels, which only ever sees the short matched text. ``compat`` names the field after the label that matched and reads
+    the text in lower case.
     """
     text = LOW if compat else TEXT
     labels = [spec.name, *spec.synonyms]
-    arms = []
-    for label in labels:
-        pattern = text_literal(label_pattern(label, spec.field_type))
-        arms.append(f"CASE WHEN contains({LOW}, {text_literal(label.lower())}) AND {text} RLIKE {pattern} THEN regexp_extract({text}, {pattern}, 0) END")
+    arms = [f"CASE WHEN {index.stands_sql(x)} THEN nullif(regexp_extract({text}, {text_literal(label_pattern(x, spec.field_type))}, 0), '') END" for x in labels]
     either = text_literal(label_pattern(r"\E|\Q".join(labels), spec.field_type))
     label = f"lower(regexp_extract(s, {either}, 1))"
     value = f"regexp_replace(regexp_extract(s, {either}, 2), {text_literal(f'^{parse.WS}+|{parse.WS}+$')}, '')"
@@ -75,9 +118,9 @@ def default_sql(spec: FieldSpec) -> str | None:
     return field_sql(text_literal(spec.name), "CAST(NULL AS STRING)", text_literal(spec.default), str(config.CONF_DEFAULT), "'default'", "default")
 
 
-def cascade_sql(spec: FieldSpec, ocr_fields: str | None = None, compat: bool = False) -> str:
+def cascade_sql(spec: FieldSpec, ocr_fields: str | None = None, compat: bool = False, index: LabelIndex = ALL_LABELS) -> str:
     """All strategies in order over a frame prepared by :func:`with_text`."""
-    steps = [None if ocr_fields is None else structured_sql(spec, ocr_fields), label_sql(spec, compat), third_sql(spec), default_sql(spec)]
+    steps = [None if ocr_fields is None else structured_sql(spec, ocr_fields), label_sql(spec, compat, index), third_sql(spec), default_sql(spec)]
     return f"coalesce({', '.join(s for s in steps if s)})"
 
 
@@ -85,8 +128,8 @@ def extract_structured(spec: FieldSpec, ocr_fields: str = "ocr_fields") -> Colum
     return F.expr(structured_sql(spec, ocr_fields))
 
 
-def extract_by_label(spec: FieldSpec, compat: bool = False) -> Column:
-    return F.expr(label_sql(spec, compat))
+def extract_by_label(spec: FieldSpec, compat: bool = False, index: LabelIndex = ALL_LABELS) -> Column:
+    return F.expr(label_sql(spec, compat, index))
 
 
 def extract_max_currency(spec: FieldSpec) -> Column:
@@ -97,8 +140,8 @@ def extract_first_date(spec: FieldSpec) -> Column:
     return F.expr(third_sql(spec))
 
 
-def cascade(spec: FieldSpec, ocr_fields: str | None = None, compat: bool = False) -> Column:
-    return F.expr(cascade_sql(spec, ocr_fields, compat))
+def cascade(spec: FieldSpec, ocr_fields: str | None = None, compat: bool = False, index: LabelIndex = ALL_LABELS) -> Column:
+    return F.expr(cascade_sql(spec, ocr_fields, compat, index))
 
 
 def max_currency(text: Column) -> Column:
@@ -119,11 +162,15 @@ def first_date(text: Column, compat: bool = False) -> Column:
     return F.coalesce(*[F.when(text.rlike(p), F.regexp_extract(text, p, 0)) for p in patterns])
 
 
-def with_text(docs: DataFrame, text_col: str, compat: bool = False) -> DataFrame:
-    """Adds what all fields of a text share: the text, its lower case, its first date and largest amount."""
+def with_text(docs: DataFrame, text_col: str, compat: bool = False, labels: LabelIndex | Column = ALL_LABELS) -> DataFrame:
+    """Adds what all fields of a text share: the text, its lower case, the labels that stand in it, its first date and largest amount.
+
+    ``labels`` is the index of the fields to come, or the column of labels where it differs from row to row.
+    """
     out = docs.withColumn(TEXT, F.coalesce(text_col, F.lit(""))).withColumn(LOW, F.lower(TEXT))
-    text = F.col(LOW if compat else TEXT)
-    return out.withColumns({ANY_DATE: first_date(text, compat), ANY_MONEY: max_currency(text)})
+    name = LOW if compat else TEXT
+    found = F.expr(labels.found_sql(name)) if isinstance(labels, LabelIndex) else labels
+    return out.withColumns({LABELS: found, ANY_DATE: first_date(F.col(name), compat), ANY_MONEY: max_currency(F.col(name))})
 
 
 def by_type(document_type: Column, schemas: dict[str, DocSchema], build, generic: DocSchema = config.GENERIC) -> Column:
@@ -139,9 +186,15 @@ def extract_fields(docs: DataFrame, schemas: dict[str, DocSchema] | None = None,
     """Adds ``fields``: the non-null field values of the document's schema, in schema order, normalised."""
     schemas = config.SCHEMAS if schemas is None else schemas
     ocr = f"`{ocr_fields_col}`" if ocr_fields_col and ocr_fields_col in docs.columns else None
-    raw = by_type(F.col(type_col), schemas, lambda s: F.expr(f"array({', '.join(cascade_sql(f, ocr, compat) for f in s.fields)})"))
-    found = F.transform(F.filter(raw, lambda f: f.isNotNull()), normalize_field)
-    return with_text(docs, text_col, compat).withColumn("fields", found).drop(TEXT, LOW, ANY_DATE, ANY_MONEY)
+
+    def found(s: DocSchema) -> Column:
+        index = LabelIndex(s.fields)
+        return F.expr(f"array({', '.join(cascade_sql(f, ocr, compat, index) for f in s.fields)})")
+
+    labels = by_type(F.col(type_col), schemas, lambda s: F.expr(LabelIndex(s.fields).found_sql(LOW if compat else TEXT)))
+    raw = by_type(F.col(type_col), schemas, found)
+    fields = F.transform(F.filter(raw, lambda f: f.isNotNull()), normalize_field)
+    return with_text(docs, text_col, compat, labels).withColumn("fields", fields).drop(TEXT, LOW, LABELS, ANY_DATE, ANY_MONEY)
 
 
 def normalize_field(f: Column) -> Column:

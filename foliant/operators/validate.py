@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant import config
-from foliant.config import DocSchema
+from foliant.config import DocSchema, FieldSpec
 from foliant.functions import parse, rules
 from foliant.functions.status import infer_field_type
 from foliant.operators import crossfield, tables
 from foliant.operators.extract import by_name, by_type, explode_rows
 
+#: Rules of the caller's own, by name.
+Rules = dict[str, Callable[..., Column]] | None
+
 RESULT = "array<struct<field_name:string,is_valid:boolean,severity:string,message:string,rule_name:string,suggested_value:string>>"
 
 
@@ -21,41 +26,66 @@ def _present(results: list[Column]) -> Column:
     return F.filter(F.array(*results), lambda r: r.isNotNull())
 
 
-def value_failures(document_type: Column, name: Column, v: rules.Value, schemas: dict[str, DocSchema], strict: bool) -> Column:
+def _failures(schema: DocSchema, spec: FieldSpec, v: rules.Value, strict: bool, custom: Rules) -> list[Column]:
+    """The failed rules of one field of one type, each NULL where it passes."""
+    out = []
+    for rule in spec.rules:
+        ok = rules.schema_rule(rule, v, strict, custom)
+        if ok is not None:
+            out.append(F.when(~F.coalesce(ok, F.lit(False)), F.struct(
+                F.lit(spec.name).alias("field_name"), F.lit(False).alias("is_valid"), F.lit("error" if spec.required else "warning").alias("severity"),
+                F.lit(f"Field '{spec.name}' failed validation rule '{rule}'").alias("message"), F.lit(rule).alias("rule_name"),
+                F.lit(None).cast("string").alias("suggested_value"))))
+    return out
+
+
+def value_failures(document_type: Column, name: Column, value_of, schemas: dict[str, DocSchema], strict: bool, custom: Rules = None) -> Column:
     """The failed schema rules of one value as an array; errors for required fields, warnings for others.
 
-    Each rule is compiled once and guarded by the list of fields that carry it.
+    Rules are compiled per type and field, and a value meets those of its own field only. ``value_of`` gives the
+    :class:`rules.Value` for a schema and field; types without a schema have no rules.
     """
-    carriers: dict[str, list[str]] = {}
-    required = []
+    none = F.array().cast(RESULT)
+    types = None
     for schema in schemas.values():
+        fields = None
         for spec in schema.fields:
-            key = f"{schema.document_type}.{spec.name}"
-            if spec.required:
-                required.append(key)
-            for rule in spec.rules:
-                carriers.setdefault(rule, []).append(key)
-    key = F.concat_ws(".", document_type, name)
-    severity = F.when(key.isin(required), "error").otherwise("warning")
-    start = F.concat(F.lit("Field '"), name, F.lit("' failed validation rule '"))
-    out = []
-    for rule, keys in carriers.items():
-        ok = rules.schema_rule(rule, v, strict)
-        if ok is not None:
-            out.append(F.when(key.isin(keys) & ~F.coalesce(ok, F.lit(False)), F.struct(
-                name.alias("field_name"), F.lit(False).alias("is_valid"), severity.alias("severity"),
-                F.concat(start, F.lit(f"{rule}'")).alias("message"), F.lit(rule).alias("rule_name"), F.lit(None).cast("string").alias("suggested_value"))))
-    return _present(out)
+            failed = _failures(schema, spec, value_of(spec), strict, custom)
+            if failed:
+                fields = (F if fields is None else fields).when(name == spec.name, _present(failed))
+        if fields is not None:
+            types = (F if types is None else types).when(document_type == schema.document_type, fields.otherwise(none))
+    return none if types is None else types.otherwise(none)
+
+
+#: Fields that rules of other fields look at.
+CONTEXT = {"invoice_date": "invoice_date", "effective_date": "effective_date"}
+
+
+def with_context(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Adds ``__ctx`` to a long table: the values that rules of other fields look at, from the rows of the same document.
+
+    One map-side combined aggregation over those few rows; a field that is there twice counts with its least value.
+    """
+    wanted = rows.where(F.col("field_name").isin(*CONTEXT))
+    each = [F.min(F.when(F.col("field_name") == n, F.col("value"))).alias(n) for n in CONTEXT]
+    context = wanted.groupBy(*keys).agg(*each).select(*keys, F.struct(*CONTEXT).alias("__ctx"))
+    return rows.join(context, list(keys), "left")
 
 
 def validate_field_rows(rows: DataFrame, as_of, schemas: dict[str, DocSchema] | None = None, strict: bool = False,
-                        keys: tuple[str, ...] = ("document_id",)) -> DataFrame:
-    """Long form: failed rules of a (document_type, field_name, value) table."""
+                        keys: tuple[str, ...] = ("document_id",), custom: Rules = None) -> DataFrame:
+    """Long form: failed rules of a (keys, document_type, field_name, value) table.
+
+    In strict mode, and with rules of the caller's own, values see the dates of their document that they may be compared with.
+    """
     schemas = config.SCHEMAS if schemas is None else schemas
     norm = parse.normalized(F.col("field_name"), F.col("value"), list(config.NORMALIZED_DATES), list(config.NORMALIZED_AMOUNTS))
-    v = rules.Value(F.col("value"), F.col("__nd"), F.col("__na"), F.lit(str(as_of)).cast("date"))
-    typed = rows.withColumns({"__nd": norm["norm_date"], "__na": norm["norm_amount"]})
-    return explode_rows(typed, list(keys), value_failures(F.col("document_type"), F.col("field_name"), v, schemas, strict))
+    typed = with_context(rows, keys) if strict or custom else rows
+    other = {n: parse.to_date(F.col(f"__ctx.{f}")) for n, f in CONTEXT.items()} if strict or custom else {}
+    v = rules.Value(F.col("value"), F.col("__nd"), F.col("__na"), F.lit(str(as_of)).cast("date"), **other)
+    typed = typed.withColumns({"__nd": norm["norm_date"], "__na": norm["norm_amount"]})
+    return explode_rows(typed, list(keys), value_failures(F.col("document_type"), F.col("field_name"), lambda _: v, schemas, strict, custom))
 
 
 def business_rules(fields: Column, tables_col: Column | None, schema: DocSchema) -> Column:
@@ -79,15 +109,15 @@ def business_rules(fields: Column, tables_col: Column | None, schema: DocSchema)
 
 
 def validate_fields(docs: DataFrame, as_of, schemas: dict[str, DocSchema] | None = None, tables_col: str | None = "tables",
-                    type_col: str = "document_type", strict: bool = False) -> DataFrame:
+                    type_col: str = "document_type", strict: bool = False, custom: Rules = None) -> DataFrame:
     """Adds ``validation_results`` to documents with ``fields``: failed schema rules, then business rules."""
     schemas = config.SCHEMAS if schemas is None else schemas
     today = F.lit(str(as_of)).cast("date")
     fields = F.col("fields")
     tabs = F.col(tables_col) if tables_col and tables_col in docs.columns else None
-    inv, eff = by_name(fields, "invoice_date")["norm_date"], parse.to_date(by_name(fields, "effective_date")["value"])
+    other = {n: parse.to_date(by_name(fields, f)["value"]) for n, f in CONTEXT.items()}
     per_field = F.flatten(F.transform(fields, lambda f: value_failures(
-        F.col(type_col), f["field_name"], rules.Value(f["value"], f["norm_date"], f["norm_amount"], today, inv, eff), schemas, strict)))
+        F.col(type_col), f["field_name"], lambda _: rules.Value(f["value"], f["norm_date"], f["norm_amount"], today, **other), schemas, strict, custom)))
     cross = by_type(F.col(type_col), schemas, lambda s: business_rules(fields, tabs, s))
     return docs.withColumn("validation_results", F.concat(per_field, cross))
 
@@ -117,27 +147,47 @@ def infer_field_config(rows: DataFrame) -> DataFrame:
     })
 
 
+def _let(value: Column, build) -> Column:
+    """``build`` of a value that is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
+def _inferred_checks(value: Column) -> dict[str, list[Column]]:
+    """Per inferred kind of field, the reports of its rules; NULL where a rule has nothing to say."""
+    def fits(pattern: str) -> Column:
+        return _let(rules.regex_ok(value, pattern), lambda ok: rules.regex_report(value, pattern, ok))
+
+    checks = {k: [fits(p)] for k, p in config.TYPE_PATTERNS.items()}
+    more = {
+        "date": _let(parse.to_date(value), lambda d: rules.date_report(value, d)),
+        "currency": _let(parse.to_money(value), lambda n: rules.range_report(value, n, *config.NUMERIC_RANGE)),
+        "text": rules.rule_length(value, *config.TEXT_LENGTH),
+    }
+    for kind, report in more.items():
+        checks.setdefault(kind, []).append(report)
+    return checks
+
+
 def map_results(document_type: Column, name: Column, value: Column) -> Column:
-    """All results, passes included, of the inferred rules on one field; a required blank stops the rest."""
-    kind = infer_field_type(name)
+    """All results, passes included, of the inferred rules on one field; a required blank stops the rest.
+
+    The kind of the field is inferred once and only its own rules are looked at.
+    """
     required = _in_type(document_type, config.REQUIRED_BY_TYPE, name)
 
     def named(r: Column) -> Column:
         return F.struct(name.alias("field_name"), *[r[c].alias(c) for c in ("is_valid", "severity", "message", "rule_name", "suggested_value")])
 
-    def when(cond, r):
-        return F.when(cond & r.isNotNull(), named(r))
+    def by_kind(kind: Column) -> Column:
+        out = None
+        for k, reports in _inferred_checks(value).items():
+            out = (F if out is None else out).when(kind == k, F.filter(F.array(*reports), lambda r: r.isNotNull()))
+        return out
 
-    checks = [when(kind == k, rules.rule_regex(value, p)) for k, p in config.TYPE_PATTERNS.items()]
-    checks += [
-        when(kind == "date", rules.rule_date_format(value)),
-        when((kind == "currency"), rules.rule_numeric_range(value)),
-        when(kind == "text", rules.rule_length(value, *config.TEXT_LENGTH)),
-    ]
     some = F.coalesce(value != "", F.lit(False))
     return (
         F.when(required & parse.is_blank(value), F.array(named(rules.rule_required(name, value))))
-        .when(some, F.filter(F.array(*checks), lambda r: r.isNotNull()))
+        .when(some, F.coalesce(F.transform(_let(infer_field_type(name), by_kind), named), F.array().cast(RESULT)))
         .otherwise(F.array().cast(RESULT))
     )
 

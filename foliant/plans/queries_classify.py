@@ -134,7 +134,7 @@ _TF = f"""w as (select doc_id, text, {_WORDS} as words from documents),
 
 
 def features(spark, d):
-    return C.text_features(A.table(spark, d, "documents").select("doc_id", "lang", "text"), "text")
+    return C.text_features(A.documents(spark, d).select("doc_id", "lang", "text"), "text")
 
 
 @query("text_features", f"with {_TF} select *, round(word_count/greatest(sentence_count,1),6) as avg_sentence_length from tf")
@@ -146,7 +146,7 @@ def _(spark, d):
 def _(spark, d):
     from foliant.functions.text import detect_language
 
-    return A.table(spark, d, "documents").groupBy(detect_language(F.col("text")).alias("language")).agg(F.count(F.lit(1)).alias("documents"))
+    return A.documents(spark, d).groupBy(detect_language(F.col("text")).alias("language")).agg(F.count(F.lit(1)).alias("documents"))
 
 
 _STOP = ",".join(f"'{w}'" for w in config.STOP_WORDS)
@@ -157,7 +157,7 @@ _STOP = ",".join(f"'{w}'" for w in config.STOP_WORDS)
   k as (select *, row_number() over (partition by doc_id order by r) as q from t where w not in ({_STOP}) and length(w)>3 qualify q<=5)
   select documents.doc_id, coalesce(string_agg(w, ' ' order by q),'') as key_phrases from documents left join k using (doc_id) group by 1""")
 def _(spark, d):
-    docs = A.table(spark, d, "documents").select("doc_id", "text")
+    docs = A.documents(spark, d).select("doc_id", "text")
     return C.key_phrases(docs, "text").select("doc_id", F.array_join("key_phrases", " ").alias("key_phrases"))
 
 

@@ -67,13 +67,12 @@ def _(spark, d):
     return rows.select("p_partkey", "document_type", "required_confidence", "field_name", "required", "confidence_threshold", F.size("synonyms").alias("synonyms"))
 
 
-_NAMES = " ".join(f"when '{t}' then '{','.join(f.name for f in s.fields)}'" for t, s in config.SCHEMAS.items() if t != "receipt")
+_NAMES = " ".join(f"when '{t}' then '{','.join(f.name for f in s.fields)}'" for t, s in config.SCHEMAS.items())
 
 
-@query("schema_lookup", f"with {Q.OD} select document_id, case document_type {_NAMES} when 'receipt' then 'MerchantName,Total,TransactionDate' else 'content' end as field_names from od")
+@query("schema_lookup", f"with {Q.OD} select document_id, case document_type {_NAMES} else 'content' end as field_names from od")
 def _(spark, d):
-    known = J.schema_fields(spark).where(F.col("document_type") != "receipt")
-    return SC.schema_lookup(A.order_docs(spark, d).select("document_id", "document_type"), known).select(
+    return SC.schema_lookup(A.order_docs(spark, d).select("document_id", "document_type"), J.schema_fields(spark)).select(
         "document_id", F.array_join("field_names", ",").alias("field_names"))
 
 
@@ -162,10 +161,11 @@ def _(spark, d):
     return J.missing_required_rows(A.order_docs(spark, d), A.extracted_fields(spark, d), J.schema_fields(spark))
 
 
-@query("semi_expected", f"with {Q.EF} select document_id, field_name, pos from ef where field_name in ('invoice_number','total_amount')")
+@query("semi_expected", f"""with {Q.EF}, sf(document_type, field_name, required, threshold) as (values {_REQ})
+  select ef.document_id, ef.field_name, ef.pos from ef semi join (select * from sf where required) s on s.document_type='invoice' and s.field_name=ef.field_name""")
 def _(spark, d):
-    expected = J.schema_fields(spark).where((F.col("document_type") == "invoice") & (F.col("confidence_threshold") >= 0.9)).select("field_name")
-    return J.semi_expected(A.extracted_fields(spark, d), expected, ["field_name"]).select("document_id", "field_name", "pos")
+    expected = J.schema_fields(spark).where("required").select("document_type", "field_name")
+    return J.semi_expected(A.extracted_fields(spark, d), expected, ["document_type", "field_name"]).select("document_id", "field_name", "pos")
 
 
 @query("import_reviews", f"""with {Q.RT}, {Q.DM} select document_id, document_type, case when status='completed' then 'success' else 'needs_review' end as processing_status,
@@ -423,7 +423,7 @@ def _(spark, d):
   select field_name, tp as true_positives, fp as false_positives, fn as false_negatives, round(tp/(tp+fp),6) as precision, round(tp/(tp+fn),6) as recall,
    round(ca,6) as confidence_avg, round(cs,6) as confidence_std, round(tp/n,6) as accuracy from a""")
 def _(spark, d):
-    docs, labels = A.table(spark, d, "documents"), A.table(spark, d, "labels")
+    docs, labels = A.documents(spark, d), A.table(spark, d, "labels")
     pred = lambda name, hit, conf: F.struct(F.lit(name).alias("field_name"), F.when(hit, 1).otherwise(0).alias("predicted"), (conf % 100 / 100.0).alias("confidence"))
     p = docs.select("doc_id", F.explode(F.array(pred("quality", F.col("n_chars") > 3000, F.col("n_chars")), pred("toxic", F.col("doc_id") % 7 == 0, F.col("doc_id")))).alias("x")).select("doc_id", "x.*")
     t = labels.select("doc_id", F.explode(F.create_map(F.lit("quality"), "quality", F.lit("toxic"), "toxic")).alias("field_name", "actual"))
@@ -496,7 +496,7 @@ def _mask_sql(internal, tags):
 def _mask_query(audience, tags):
     @query("mask_pii" if audience == "public" else f"mask_pii_{audience}", _mask_sql(audience == "internal", tags))
     def _(spark, d):
-        return A.table(spark, d, "documents").select("doc_id", "text").select("doc_id", F.md5(mask.mask_pii(F.col("text"), audience)).alias("masked"))
+        return A.documents(spark, d).select("doc_id", "text").select("doc_id", F.md5(mask.mask_pii(F.col("text"), audience)).alias("masked"))
 
 
 _mask_query("public", ("<CREDIT_CARD>", "<SSN>", "<EMAIL_ADDRESS>", "<PHONE_NUMBER>"))

@@ -29,7 +29,7 @@ def label_sql(spec, group):
 
 
 def label_name_sql(spec):
-    arms = " ".join(f"when regexp_matches(full_text,'{_pattern(lb, spec.field_type)}') then '{lb}'" for lb in (spec.name, *spec.synonyms))
+    arms = " ".join(f"when regexp_matches(full_text,'{_pattern(lb, spec.field_type)}') then {Q.names([lb])}" for lb in (spec.name, *spec.synonyms))
     return f"case {arms} end"
 
 
@@ -54,13 +54,17 @@ def _(spark, d):
         "document_id", "f.value", F.round("f.confidence", 6).alias("confidence"), "f.method")
 
 
+#: Each schema and the SQL for the documents that have it; the generic one is for all other types.
+_TYPED = [*((s, f"document_type='{n}'") for n, s in config.SCHEMAS.items()), (config.GENERIC, "document_type not in (" + ",".join(f"'{t}'" for t in config.SCHEMAS) + ")")]
+
+
 @query("extract_by_label", f"with {Q.TX} " + " union all ".join(
-    f"select document_id, '{s.name}' as field_name, {label_name_sql(s)} as matched_label, {label_sql(s, 2)} as value from tx where document_type='invoice' and {label_name_sql(s)} is not null"
-    for s in config.INVOICE.fields))
+    f"select document_id, '{f.name}' as field_name, {label_name_sql(f)} as matched_label, {label_sql(f, 2)} as value from tx where {where} and {label_name_sql(f)} is not null"
+    for s, where in _TYPED for f in s.fields))
 def _(spark, d):
-    inv = X.with_text(ocr(spark, d, "full_text").where(F.col("document_type") == "invoice"), "full_text")
-    hits = F.array(*[X.extract_by_label(s) for s in config.INVOICE.fields])
-    return X.explode_rows(inv, ["document_id"], F.filter(hits, lambda f: f.isNotNull())).select("document_id", "field_name", "matched_label", "value")
+    t = X.with_text(ocr(spark, d, "full_text"), "full_text")
+    hits = X.by_type(F.col("document_type"), config.SCHEMAS, lambda s: F.array(*[X.extract_by_label(f) for f in s.fields]))
+    return X.explode_rows(t, ["document_id"], F.filter(hits, lambda f: f.isNotNull())).select("document_id", "field_name", "matched_label", "value")
 
 
 @query("extract_max_currency", f"with {Q.TX} select document_id, {_MAXTXT} as value from tx where contains(full_text,'$')")
@@ -77,23 +81,21 @@ def _(spark, d):
     return t.select("document_id", X.extract_first_date(spec).alias("f")).select("document_id", "f.value")
 
 
-_COMPAT_ISO = "regexp_extract(full_text,'[0-9]{1,2}\\-[0-9]{1,2}\\-[0-9]{2,4}',0)"
+_FIRST_DATE_COMPAT = "case " + " ".join(f"when regexp_matches(lower(full_text),'{p}') then regexp_extract(lower(full_text),'{p}',0)" for p in config.ANY_DATES) + " end"
 
 
-@query("extract_first_date_compat", f"""with {Q.OD}, tx as (select document_id, 'issued '||doc_date||' ok' as full_text from od)
-  select document_id, {_COMPAT_ISO} as value from tx""")
+@query("extract_first_date_compat", f"with {Q.TX} select document_id, {_FIRST_DATE_COMPAT} as value from tx")
 def _(spark, d):
-    spec = config.GENERIC.fields[1]
-    t = A.order_docs(spark, d).select("document_id", F.concat(F.lit("issued "), F.col("doc_date").cast("string"), F.lit(" ok")).alias("t"))
-    t = X.with_text(t, "t", compat=True)
-    return t.select("document_id", X.extract_first_date(spec)["value"].alias("value"))
+    t = X.with_text(ocr(spark, d, "full_text"), "full_text", compat=True)
+    return t.select("document_id", X.extract_first_date(config.GENERIC.fields[1])["value"].alias("value"))
 
 
 @query("extract_default", f"with {Q.TX}, x as (select document_id, {label_sql(config.FieldSpec('reference', 'text'), 2)} as v from tx) select document_id, coalesce(v,'none') as value, case when v is null then 'default' else 'pattern_match' end as method from x")
 def _(spark, d):
     spec = config.FieldSpec("reference", "text", default="none")
-    t = X.with_text(ocr(spark, d, "full_text"), "full_text")
-    return t.select("document_id", X.cascade(spec).alias("f")).select("document_id", "f.value", "f.method")
+    index = X.LabelIndex([spec])
+    t = X.with_text(ocr(spark, d, "full_text"), "full_text", labels=index)
+    return t.select("document_id", X.cascade(spec, index=index).alias("f")).select("document_id", "f.value", "f.method")
 
 
 def cascade_sql(schema, condition):
@@ -154,17 +156,23 @@ def _(spark, d):
     return cells.groupBy("document_id").agg(F.round(F.sum(F.col("value").cast("double")), 2).alias("amount"))
 
 
+_KINDS = {f.name: f.field_type for f in config.INVOICE.fields if f.field_type in ("currency", "date")}
+
+
+def _of_kind(kind):
+    return [n for n, k in _KINDS.items() if k == kind]
+
+
 @query("normalize_cell", f"""with {Q.FD} select document_id, field_name,
-  case when value='' then null when field_name in ('total_amount','subtotal','tax_amount') then round(try_cast(regexp_replace(value,'[^0-9.-]','','g') as double),2)::varchar
-   when field_name in ('invoice_date','due_date') then coalesce({Q.to_date('value')}::varchar, value) else value end as cell from fv where field_name in ('total_amount','due_date','invoice_number')""")
+  case when trim(value)='' then null when field_name in ({Q.names(_of_kind('currency'))}) then coalesce(format('{{:.2f}}', try_cast(regexp_replace(value,'[^0-9.-]','','g') as double)), value)
+   when field_name in ({Q.names(_of_kind('date'))}) then coalesce({Q.to_date('value')}::varchar, value) else value end as cell from fv""")
 def _(spark, d):
-    v = F.col("value")
-    money = F.round(parse.cell_value(v, "currency").cast("double"), 2)
-    rows = A.field_values(spark, d).where(F.col("field_name").isin("total_amount", "due_date", "invoice_number"))
-    shown = F.when(F.col("field_name") == "total_amount", F.regexp_replace(F.format_string("%.2f", money), r"\.?0+$", "")).when(
-        F.col("field_name") == "due_date", parse.cell_value(v, "date")).otherwise(parse.cell_value(v, "text"))
-    plain = F.when((F.col("field_name") == "total_amount") & ~shown.contains("."), F.concat(shown, F.lit(".0"))).otherwise(shown)
-    return rows.select("document_id", "field_name", plain.alias("cell"))
+    """All fields; amounts are shown with two places."""
+    v, name = F.col("value"), F.col("field_name")
+    money = parse.cell_value(v, "currency")
+    shown = F.when(name.isin(_of_kind("currency")), F.coalesce(F.format_string("%.2f", money.try_cast("double")), money)).when(
+        name.isin(_of_kind("date")), parse.cell_value(v, "date")).otherwise(parse.cell_value(v, "text"))
+    return A.field_values(spark, d).select("document_id", "field_name", F.when(money.isNotNull(), shown).alias("cell"))
 
 
 @query("grid_from_cells", f"""with {Q.OD}, x as (select document_id, key, (key%3+1) as h, (key%4+1) as w from od)
@@ -252,22 +260,32 @@ def _(spark, d):
                     F.round(F.col("m")["total_amount"]["confidence"], 6).alias("total_confidence"))
 
 
-_INV = cascade_sql(config.INVOICE, "document_type='invoice'")
+_ALL_FIELDS = " union all ".join(cascade_sql(s, where) for s, where in _TYPED)
+#: A normalised value as text, from the raw one and the field's name.
+_VALUE_SQL = f"""case when field_name in ({Q.names(config.NORMALIZED_DATES)}) then coalesce({Q.to_date('value')}::varchar, value)
+  when field_name in ({Q.names(config.NORMALIZED_AMOUNTS)}) and coalesce(try_cast(regexp_replace(value,'[^0-9.-]','','g') as decimal(28,6)),0)<>0 then regexp_replace(value,'[^0-9.-]','','g') else value end"""
+
 
+def every_field(build):
+    """One struct (field_name, value) per field of the document's schema, from a column builder by name."""
+    return X.by_type(F.col("document_type"), config.SCHEMAS, lambda s: F.array(*[F.struct(F.lit(f.name).alias("field_name"), build(f.name).alias("v")) for f in s.fields]))
 
-@query("field_value", f"""with {Q.TX}, f as ({_INV}) select tx.document_id, {Q.to_date('a.value')}::varchar as invoice_date, regexp_replace(b.value,'[$,]','','g') as total_amount, c.value as vendor_name
-  from tx left join f a on a.document_id=tx.document_id and a.field_name='invoice_date' left join f b on b.document_id=tx.document_id and b.field_name='total_amount'
-  left join f c on c.document_id=tx.document_id and c.field_name='vendor_name' where document_type='invoice'""")
+
+@query("field_value", f"with {Q.TX}, f as ({_ALL_FIELDS}) select document_id, field_name, {_VALUE_SQL} as value from f")
 def _(spark, d):
-    e = X.extract_fields(ocr(spark, d, "full_text").where(F.col("document_type") == "invoice"), ocr_fields_col=None)
-    return e.select("document_id", *[X.field_value(F.col("fields"), n).alias(n) for n in ("invoice_date", "total_amount", "vendor_name")])
+    e = X.extract_fields(ocr(spark, d, "full_text"), ocr_fields_col=None)
+    rows = X.explode_rows(e, ["document_id"], every_field(lambda n: X.field_value(F.col("fields"), n)))
+    return rows.where("v is not null").select("document_id", "field_name", F.col("v").alias("value"))
+
+
+_NO_FIELD = " union all ".join(f"select document_id, '{f.name}' as field_name from tx where {where}" for s, where in _TYPED for f in s.fields)
 
 
-@query("field_confidence", f"""with {Q.TX}, f as ({_INV}) select tx.document_id, coalesce(a.confidence,0.0)::double as invoice_number, coalesce(b.confidence,0.0)::double as total_amount
-  from tx left join f a on a.document_id=tx.document_id and a.field_name='invoice_number' left join f b on b.document_id=tx.document_id and b.field_name='total_amount' where document_type='invoice'""")
+@query("field_confidence", f"with {Q.TX}, f as ({_ALL_FIELDS}), e as ({_NO_FIELD}) select document_id, field_name, coalesce(confidence,0.0)::double as confidence from e left join f using (document_id, field_name)")
 def _(spark, d):
-    e = X.extract_fields(ocr(spark, d, "full_text").where(F.col("document_type") == "invoice"), ocr_fields_col=None)
-    return e.select("document_id", *[X.field_confidence(F.col("fields"), n).alias(n) for n in ("invoice_number", "total_amount")])
+    e = X.extract_fields(ocr(spark, d, "full_text"), ocr_fields_col=None)
+    rows = X.explode_rows(e, ["document_id"], every_field(lambda n: X.field_confidence(F.col("fields"), n)))
+    return rows.select("document_id", "field_name", F.col("v").alias("confidence"))
 
 
 @query("layout_from_blocks", f"""with {BLOCKS}, a as (select document_id, count(*) n, sum(w*h) area, var_pop(x) vl, var_pop(x+w) vr, var_pop(x+w/2) vc, min(x) ml, max(x+w) mr, min(y) mt, max(y+h) mb,

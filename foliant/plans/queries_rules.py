@@ -129,9 +129,9 @@ schema_rule_query("rule_schema_extra", "reasonable_age", "due_date", f"{_DATE} <
 
 @query("custom_rule", f"with {Q.FD} select document_id, key%13<>0 and key%5<>0 and length(invoice_number)%2=0 as passes from fd")
 def _(spark, d):
-    rules.register("even_length", lambda v, _=None: v.text.startswith("INV-") & (F.length(v.text) % 2 == 0))
+    own = {"even_length": lambda v, _=None: v.text.startswith("INV-") & (F.length(v.text) % 2 == 0)}
     v = rules.value_of(val("invoice_number"), TODAY)
-    return docs(spark, d).select("document_id", rules.schema_rule("even_length", v).alias("passes"))
+    return docs(spark, d).select("document_id", rules.schema_rule("even_length", v, custom=own).alias("passes"))
 
 
 _TYPE = """case when contains(n,'date') then 'date' when regexp_matches(n,'amount|total|price|cost|sum') then 'currency'

@@ -8,6 +8,10 @@ def pick(values: list[str], key: str) -> str:
     return f"([{items}])[cast(({key}) % {len(values)} + 1 as integer)]"
 
 
+def names(values) -> str:
+    return ",".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
 DM = f"""dm as (select 'doc_' || event_id as document_id, {pick(TYPES, 'user_id')} as document_type,
   case when event_type in ('purchase','view') then 'success' when event_type='signup' then 'needs_review'
        when event_type='click' then 'reprocessing' else 'failed' end as processing_status,

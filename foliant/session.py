@@ -9,9 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: A number of partitions that document rows are dealt to before heavy work in the row. Off where it is not set: a table of many
+#: row groups is read in as many tasks, and only one of few, such as a test table, needs it. Nothing looks at the data's size.
+INPUT_CONF = "spark.foliant.inputPartitions"
 
 
-def local_session(cpus: int = 8, name: str = "foliant", memory: str = "8g") -> SparkSession:
+def spread(df: DataFrame) -> DataFrame:
+    n = int(df.sparkSession.conf.get(INPUT_CONF, "0"))
+    return df.repartition(n) if n else df
+
+
+def local_session(cpus: int = 8, name: str = "foliant", memory: str = "8g", input_partitions: int = 0) -> SparkSession:
     """A session for tests and the local bench; clusters bring their own."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -21,6 +29,7 @@ def local_session(cpus: int = 8, name: str = "foliant", memory: str = "8g") -> S
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config(INPUT_CONF, str(input_partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-"))

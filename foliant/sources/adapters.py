@@ -11,6 +11,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.session import spread
 
 TYPES = ["invoice", "receipt", "contract", "id_document", "general_document", "purchase_order"]
 EXCEPTIONS = ["low_ocr_confidence", "validation_failure", "missing_page", "unsupported_format", "processing_timeout", "poison_queue"]
@@ -22,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document texts, for work that is heavy in the row."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def pick(values: list[str], key: Column) -> Column:
     """values[key mod n], for non-negative keys."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
@@ -112,7 +118,7 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_docs_from(table(spark, sf_dir, "orders"))
+    return order_docs_from(spread(table(spark, sf_dir, "orders")))
 
 
 def order_docs_from(orders: DataFrame) -> DataFrame:
