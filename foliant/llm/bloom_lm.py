@@ -45,10 +45,10 @@ class LmSpec:
     base: float = 1.5
     hashes: int = 8
     #: A chunk ends at so many words or documents.
-    chunk_words: int = 2_000_000
+    chunk_words: int = 1_000_000
     chunk_docs: int = 65_536
     #: N-grams of a slice, about, and bytes of a filter that may be broadcast.
-    slice_grams: int = 8_000_000
+    slice_grams: int = 2_000_000
     broadcast_bytes: int = 96_000_000
     #: A document is held out if crc32 of its id as text leaves no rest.
     held_out: int = 10
