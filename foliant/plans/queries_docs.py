@@ -15,6 +15,7 @@ from foliant.plans import sql as Q
 from foliant.plans.registry import query
 from foliant.session import work_path
 from foliant.sinks import writers as W
+from foliant.sinks.versioned import VersionedTable
 from foliant.sources import adapters as A
 from foliant.sources import documents as D
 from foliant.sources import metrics as M
@@ -87,10 +88,10 @@ def _(spark, d):
     shift = F.make_dt_interval(days=F.lit(40))
     new = A.events_as_metrics(A.table(spark, d, "events").withColumn("event_id", F.col("user_id")))
     new = new.withColumns({"created_at": F.col("created_at") + shift, "start_time": F.col("start_time") + shift})
-    path = work_path(spark, "document_metrics")
-    W.with_day(old).write.partitionBy("dt").parquet(path)
-    W.upsert_document_metrics(new, path)
-    return spark.read.parquet(path).select("document_id", F.round("total_processing_time", 6).alias("total_processing_time"))
+    table = VersionedTable(spark, work_path(spark, "document_metrics"), by="dt")
+    table.replace(W.with_day(old))
+    W.upsert_document_metrics(new, table)
+    return table.read().select("document_id", F.round("total_processing_time", 6).alias("total_processing_time"))
 
 
 @query("append_field_metrics", f"with {Q.FM} select field_name, count(*)*2 as rows from fm group by 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.session import work_path
+from foliant.sinks.versioned import NULL_PART, VersionedTable
 
 TEMPORARY_KEYS = ("temp_path", "preprocessed_path")
 
@@ -26,31 +26,23 @@ def merge_metrics(old: DataFrame, new: DataFrame, key: str = "document_id", orde
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def upsert_document_metrics(new: DataFrame, path: str, key: str = "document_id") -> None:
-    """Merge new rows into a table that is partitioned by day; only the days that they touch are written anew.
+def upsert_document_metrics(new: DataFrame, table: VersionedTable, key: str = "document_id", order: str = "created_at") -> None:
+    """Merge new rows into a table that is partitioned by day; only the days that they touch are written anew, once.
 
-    Touched are the days of the new rows and the days on which the documents they replace stand now. The merged days are
-    first written beside the table, so a job that fails before the last step leaves the table as it was.
+    Touched are the days of the new rows and the days on which the documents they replace stand now; a key column of the table is
+    looked through for these, and no other column. The table changes when its new version is named, and not before.
     """
-    spark = new.sparkSession
-    old, new = spark.read.parquet(path), with_day(new)
+    new = with_day(new)
+    base = table.version()
+    if not base.schema:
+        table.replace(latest(new, [key], [F.col(order).desc()]), base=base)
+        return
+    old = table.rows(base)
     replaced = old.join(new.select(key).distinct(), key, "left_semi").select("dt")
-    days = [r["dt"] for r in replaced.union(new.select("dt")).distinct().collect()]  # days, however many rows
-    touched = F.col("dt").isin(*days) | (F.col("dt").isNull() if None in days else F.lit(False))
-    beside = work_path(spark, "upsert")
-    # A day of any size is written by several tasks.
-    merged = with_day(merge_metrics(old.where(touched).drop("dt"), new.drop("dt"), key))
-    merged.repartition("dt", F.pmod(F.xxhash64(key), F.lit(8))).write.partitionBy("dt").parquet(beside)
-    fresh = spark.read.schema(merged.schema).parquet(beside)
-    left = {r["dt"] for r in fresh.select("dt").distinct().collect()}
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
-    for day in set(days) - left:  # all its documents have moved to other days
-        _delete(spark, f"{path}/dt={'__HIVE_DEFAULT_PARTITION__' if day is None else day}")
-
-
-def _delete(spark, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    days = [NULL_PART if r["dt"] is None else str(r["dt"]) for r in replaced.union(new.select("dt")).distinct().collect()]  # days, however many rows
+    touched = table.rows(base, lambda part: part in set(days))
+    merged = with_day(merge_metrics(touched.drop("dt"), new.drop("dt"), key, order))
+    table.replace(merged, gone=days, base=base)
 
 
 def with_day(df: DataFrame) -> DataFrame:

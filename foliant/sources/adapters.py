@@ -337,3 +337,9 @@ def task_events_from(events: DataFrame) -> DataFrame:
         F.when(kind == "error", "attempt_failed").when(kind == "signup", "touched").when(kind == "purchase", "completed")
         .when(kind == "click", "cancel_requested").otherwise("started").alias("event"),
     )
+
+
+def timed_tasks(events: DataFrame) -> DataFrame:
+    """Task events with a zoned time, as watermarks need it, and the task's priority."""
+    rows = task_events_from(events)
+    return rows.select("task_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event", (F.col("user_id") % 3 + 1).cast("int").alias("priority"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators.joins import anti_processed
 from foliant.plans.documents import metrics_rows, process_documents
 from foliant.sources.documents import is_pdf
 
@@ -17,22 +16,13 @@ def document_files(spark: SparkSession, path: str, max_files: int = 10_000) -> D
     return df.where(is_pdf(F.col("path"))).select("path", "modificationTime", "length")
 
 
-def once_writer(path: str, name: str):
-    """A ``foreachBatch`` function that keeps names never written before, whatever their age."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = _names(spark, path, name, batch_id)
-        new = batch if done is None else anti_processed(batch, done, name)
-        new.dropDuplicates([name]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def once(names: DataFrame, name: str) -> DataFrame:
+    """Names never seen before, whatever their age; to be run inside ``rocksdb_state``.
 
-    return write
-
-
-def _names(spark: SparkSession, path: str, name: str, batch_id: int) -> DataFrame | None:
-    """Names of earlier batches; a batch run again does not see its own first try."""
-    if batch_id == 0:
-        return None
-    return spark.read.parquet(path).where(F.col("batch") < batch_id).select(name)
+    Each name is a key of the state, dealt to a fixed number of partitions by hash. A micro-batch looks up its own names, by
+    filters over sorted files, and reads nothing that earlier batches wrote. Names are kept for ever: there is no watermark.
+    """
+    return names.dropDuplicates([name])
 
 
 def stream_documents(docs: DataFrame, as_of, compat: bool = False) -> DataFrame:

@@ -5,10 +5,12 @@ Nothing waits for a watermark and nothing is too late: a row that comes days aft
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.sinks.versioned import LeveledLog
 from foliant.sources.metrics import seconds_between, ts
+from foliant.streaming.runner import latest_per
 
 
 def window_partials(metrics: DataFrame, width: str = "5 minutes") -> DataFrame:
@@ -38,6 +40,16 @@ def merge_partials(partials: DataFrame) -> DataFrame:
                                                 F.kll_merge_agg_double("latency_sketch").alias("latency_sketch"))
 
 
+def partials_log(spark: SparkSession, path: str) -> LeveledLog:
+    """The log that a job of rolling KPIs writes to, with ``log.writer(window_partials)``, and that readers merge."""
+    return LeveledLog(spark, path, merge_partials)
+
+
+def running_log(spark: SparkSession, path: str, keys: list[str]) -> LeveledLog:
+    """The log of an output in update mode: a row per key and batch, of which the last one counts."""
+    return LeveledLog(spark, path, lambda df: latest_per(df, keys, keep_batch=True))
+
+
 def rolling_kpis(partials: DataFrame, as_of, hours: int = 24) -> DataFrame:
     """The last hours' KPIs from the partials."""
     end = ts(as_of, partials, "window_start")

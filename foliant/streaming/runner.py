@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.session import work_path
+from foliant.sinks.versioned import LeveledLog
+
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1000) -> DataFrame:
@@ -40,7 +44,24 @@ def start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: st
             .trigger(processingTime=f"{seconds} seconds").start())
 
 
-def latest_per(table: DataFrame, keys: list[str]) -> DataFrame:
+def latest_per(table: DataFrame, keys: list[str], keep_batch: bool = False) -> DataFrame:
     """The rows of the last micro-batch that wrote each key, for outputs in update mode."""
-    cols = [c for c in table.columns if c not in (*keys, "batch")]
+    cols = [c for c in table.columns if c not in keys and (keep_batch or c != "batch")]
     return table.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("v")).select(*keys, "v.*")
+
+
+def log_writer(log: LeveledLog) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for outputs in update mode: rows carry the number of their batch."""
+    return lambda batch, batch_id: log.append(batch.withColumn("batch", F.lit(batch_id)), batch_id)
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB: a key is looked up by its sorted files' filters, and a micro-batch
+    uploads what it changed, whatever the size of the state."""
+    before = spark.conf.get(_STATE_STORE, None)
+    spark.conf.set(_STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STATE_STORE) if before is None else spark.conf.set(_STATE_STORE, before)

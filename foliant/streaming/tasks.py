@@ -8,16 +8,16 @@ Reading merges the log the same way. Nothing depends on arrival order, and late
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant import config
 from foliant.operators.joins import top_per_group
 from foliant.operators.queue import retry_delay
+from foliant.sinks.versioned import LeveledLog
 from foliant.sources.metrics import plus_seconds, ts
 
 _AT = ("ts", "event_id")
-COMPACTED = -1
 
 
 def summarize_events(events: DataFrame) -> DataFrame:
@@ -37,9 +37,9 @@ def merge_summaries(log: DataFrame) -> DataFrame:
     return _with_failures(base, log.select("task_id", F.explode("failures").alias("f")).select("task_id", "f.*"))
 
 
-def compact(log: DataFrame, path: str) -> None:
-    """Rewrites a log as one row per task into a new folder, for readers to switch to with the later batches."""
-    merge_summaries(log).write.mode("overwrite").parquet(f"{path}/batch={COMPACTED}")
+def summary_log(spark: SparkSession, path: str) -> LeveledLog:
+    """The log of summaries, merged level by level as batches come, and when read."""
+    return LeveledLog(spark, path, merge_summaries)
 
 
 def _with_failures(base: DataFrame, failures: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """Files in and out: listings, events, schema files, exports."""
 
+import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliant import config
 from foliant.operators import joins
 from foliant.sinks import writers as W
+from foliant.sinks.versioned import LeveledLog, VersionedTable
 from foliant.sources import documents as D
 from foliant.sources import schemas as S
 
@@ -49,20 +52,77 @@ def test_schema_lookup_fallbacks(spark):
     assert got["invoice"][0] == "invoice_number" and got["receipt"] == ["MerchantName", "Total", "TransactionDate"] and got["memo"] == ["content"]
 
 
+KIND = "document_id string, start_time timestamp, created_at timestamp, v int"
+
+
+def metric_rows(spark, *rows):
+    return spark.createDataFrame([(i, dt.datetime.fromisoformat(day), dt.datetime.fromisoformat(day), v) for i, day, v in rows], KIND)
+
+
 def test_upsert_last_write_wins_on_disk(spark, tmp_path):
-    kind = "document_id string, start_time timestamp, created_at timestamp, v int"
-    rows = spark.createDataFrame([("a", None, None, 1), ("b", None, None, 2)], kind).withColumn("start_time", F.lit("2024-01-01").cast("timestamp"))
-    rows = rows.withColumn("created_at", F.col("start_time"))
-    cur = str(tmp_path / "cur")
-    W.with_day(rows).write.partitionBy("dt").parquet(cur)
-    new = rows.where("document_id = 'b'").withColumn("v", F.lit(9)).unionByName(rows.where("document_id = 'a'").withColumns({"document_id": F.lit("c"), "v": F.lit(3)}))
+    table = VersionedTable(spark, str(tmp_path / "cur"), by="dt")
+    W.upsert_document_metrics(metric_rows(spark, ("a", "2024-01-01", 1), ("b", "2024-01-01", 2), ("z", "2024-03-05", 7)), table)
+    new = metric_rows(spark, ("b", "2024-01-01", 9), ("c", "2024-01-01", 3))
     for _ in range(2):  # a batch that comes twice changes nothing
-        W.upsert_document_metrics(new, cur)
-        assert {r["document_id"]: r["v"] for r in spark.read.parquet(cur).collect()} == {"a": 1, "b": 9, "c": 3}
-    moved = rows.where("document_id = 'b'").withColumn("start_time", F.col("start_time") + F.expr("interval 40 days"))
-    W.upsert_document_metrics(moved, cur)
-    got = {r["document_id"]: r["dt"] for r in spark.read.parquet(cur).collect()}
-    assert set(got) == {"a", "b", "c"} and got["b"] == moved.select(F.to_date("start_time")).first()[0]
+        W.upsert_document_metrics(new, table)
+        assert {r["document_id"]: r["v"] for r in table.read().collect()} == {"a": 1, "b": 9, "c": 3, "z": 7}
+    W.upsert_document_metrics(metric_rows(spark, ("b", "2024-02-10", 4)), table)
+    W.upsert_document_metrics(metric_rows(spark, ("z", "2024-02-10", 5)), table)  # its old day is empty now
+    got = {r["document_id"]: (r["v"], str(r["dt"])) for r in table.read().collect()}
+    assert got == {"a": (1, "2024-01-01"), "c": (3, "2024-01-01"), "b": (4, "2024-02-10"), "z": (5, "2024-02-10")}
+    assert {p for p, _ in table.version().entries} == {"2024-01-01", "2024-02-10"}
+    # Days that a batch does not touch keep their folder, and older versions can be read.
+    before = {p: f for p, f in table.version().entries}
+    W.upsert_document_metrics(metric_rows(spark, ("q", "2024-05-01", 1)), table)
+    assert before.items() <= dict(table.version().entries).items()
+    assert {r["document_id"] for r in table.read(table.version().number - 1).collect()} == {"a", "b", "c", "z"}
+    table.vacuum(keep=1)
+    assert {r["document_id"] for r in table.read().collect()} == {"a", "b", "c", "z", "q"}
+
+
+def test_upsert_stopped_at_any_step(spark, tmp_path, monkeypatch):
+    table = VersionedTable(spark, str(tmp_path / "cur"), by="dt")
+    W.upsert_document_metrics(metric_rows(spark, ("a", "2024-01-01", 1), ("b", "2024-01-02", 2)), table)
+    new = metric_rows(spark, ("b", "2024-01-03", 9), ("c", "2024-01-01", 3))
+    old = {"a": 1, "b": 2}
+    rows = lambda: {r["document_id"]: r["v"] for r in table.read().collect()}
+    for step in ("add_folder", "commit"):
+        with monkeypatch.context() as m:
+            real = getattr(VersionedTable, step)
+
+            def stop(self, *args, **kwargs):
+                if step == "add_folder":
+                    real(self, *args, **kwargs)  # the data are written, the manifest is not
+                raise RuntimeError("stopped")
+
+            m.setattr(VersionedTable, step, stop)
+            with pytest.raises(RuntimeError):
+                W.upsert_document_metrics(new, table)
+        assert rows() == old
+    W.upsert_document_metrics(new, table)
+    assert rows() == {"a": 1, "b": 9, "c": 3}
+
+
+def test_log_stays_short_and_survives_a_stop(spark, tmp_path, monkeypatch):
+    merge = lambda df: df.groupBy("k").agg(F.sum("n").alias("n"))
+    log = LeveledLog(spark, str(tmp_path / "log"), merge, fan=3)
+    total: dict = {}
+    for i in range(20):
+        batch = [(i % 4, 1), (i % 3, 10)]
+        for k, n in batch:
+            total[k] = total.get(k, 0) + n
+        frame = spark.createDataFrame(batch, "k int, n long").coalesce(1)
+        if i == 8:  # the batch whose merges go two levels up is stopped before the switch
+            with monkeypatch.context() as m:
+                m.setattr(VersionedTable, "commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("stopped")))
+                with pytest.raises(RuntimeError):
+                    log.append(frame, i)
+            assert sum(r["n"] for r in log.read().collect()) == 11 * i
+        log.append(frame, i)
+        log.append(frame, i)  # a batch that comes again
+        assert len(log.table.version().entries) <= 6
+    assert {r["k"]: r["n"] for r in log.read().collect()} == total
+    assert sum(r["n"] for r in log.read(log.table.version().number - 1).collect()) == 11 * 19
 
 
 def test_csv_columns_sorted_and_union(spark):

@@ -10,8 +10,8 @@ from foliant.operators import review as V
 from foliant.streaming import documents as D
 from foliant.streaming import kpis as SK
 from foliant.streaming import tasks as ST
-from foliant.streaming.documents import once_writer
-from foliant.streaming.runner import batch_writer, run_available
+from foliant.streaming.runner import batch_writer, log_writer, rocksdb_state, run_available
+from foliant.streaming.timers import Task, TimerSpec, clock, task_timers
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -87,16 +87,57 @@ def test_task_stream_over_several_runs(spark, tmp_path):
     for i in range(2):
         spark.createDataFrame(events[i::2], EV).write.mode("append").parquet(src)
         stream = spark.readStream.schema(EV).option("maxFilesPerTrigger", 2).parquet(src)
-        run_available(stream, batch_writer(out, ST.summarize_events), ckpt)
-    assert as_dict(ST.task_state(ST.merge_summaries(spark.read.parquet(out)))) == python_fold(events)
+        run_available(stream, ST.summary_log(spark, out).writer(ST.summarize_events), ckpt)
+    assert as_dict(ST.task_state(ST.summary_log(spark, out).read())) == python_fold(events)
 
 
 def test_compacted_log_reads_the_same(spark, tmp_path):
     events = task_events()
-    log = ST.summarize_events(spark.createDataFrame(events[::2], EV)).unionByName(ST.summarize_events(spark.createDataFrame(events[1::2], EV)))
-    ST.compact(log, str(tmp_path))
-    again = spark.read.parquet(str(tmp_path)).drop("batch")
-    assert as_dict(ST.task_state(ST.merge_summaries(again))) == python_fold(events)
+    log = ST.summary_log(spark, str(tmp_path))
+    log.fan = 3
+    for i in range(7):
+        log.append(ST.summarize_events(spark.createDataFrame(events[i::7], EV)), i)
+    assert len(log.table.version().entries) == 3  # two of the second level and the seventh batch
+    assert as_dict(ST.task_state(log.read())) == python_fold(events)
+
+
+def python_actions(events, now, spec):
+    """What is due at a moment by events up to it, as (task, action, time, priority); ``events`` have a priority."""
+    out = set()
+    for task in {e[0] for e in events}:
+        t = Task()
+        for _, ts, i, kind, p in (e for e in events if e[0] == task):
+            t.add(int((ts - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1)), i, kind, p)
+        for action, us, p in t.actions(spec):
+            when = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us)
+            if when <= now:
+                out.add((task, action, when, p))
+    return out
+
+
+def test_timers_fire_without_events(spark, tmp_path):
+    """Retries, timeouts, poison and escalations at three moments, of which the last two bring no events."""
+    rng = random.Random(8)
+    kinds = ["attempt_failed", "attempt_failed", "touched", "started", "completed", "cancel_requested"]
+    events = [(f"t{rng.randrange(60)}", at(rng.randrange(300)), i, rng.choice(kinds), 1 + i % 3) for i in range(160)]
+    spec = TimerSpec(retention=3600)
+    src, out, ckpt = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    schema = "task_id string, ts timestamp, event_id long, event string, priority int"
+    moments = [max(e[1] for e in events), at(400), at(60 * 80)]
+    seen: set = set()
+    for i, now in enumerate(moments):
+        (spark.createDataFrame(events, schema) if i == 0 else clock(spark, now)).coalesce(1).write.mode("append").parquet(src)
+        with rocksdb_state(spark):
+            run_available(task_timers(spark.readStream.schema(schema).parquet(src), spec), batch_writer(f"{out}/{i}"), ckpt)
+        new = {(r["task_id"], r["action"], r["due_at"], r["priority"]) for r in spark.read.parquet(f"{out}/{i}").collect()}
+        assert not new & seen
+        seen |= new
+        assert seen == python_actions(events, now, spec), i
+    assert {a for _, a, _, _ in seen} == {"retry", "timeout", "poisoned", "escalation"}
+    # By the last moment all tasks that have ended are out of the state.
+    ended = {e[0] for e in events if e[3] in ("completed", "cancel_requested")} | {t for t, a, _, _ in seen if a == "poisoned"}
+    left = {r["key"]["task_id"] for r in spark.read.format("statestore").option("stateVarName", "task").load(ckpt).collect()}
+    assert left == {e[0] for e in events} - ended
 
 
 def test_due_now(spark):
@@ -109,11 +150,16 @@ def test_due_now(spark):
 
 
 def test_names_once_over_several_runs(spark, tmp_path):
+    """Also names of files that come late; and a batch reads nothing of what earlier ones wrote."""
     src, out, ckpt = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ckpt")
-    for names in (["a.pdf", "b.pdf", "a.pdf"], ["b.pdf", "c.pdf"]):
-        spark.createDataFrame([(n, T0) for n in names], "path string, ts timestamp").write.mode("append").parquet(src)
-        run_available(spark.readStream.schema("path string, ts timestamp").parquet(src), D.once_writer(out, "path"), ckpt)
-    assert sorted(r["path"] for r in spark.read.parquet(out).collect()) == ["a.pdf", "b.pdf", "c.pdf"]
+    for i, names in enumerate((["a.pdf", "b.pdf", "a.pdf"], ["b.pdf", "c.pdf"], ["old.pdf"], ["d.pdf", "old.pdf"])):
+        time = T0 - dt.timedelta(days=900) if i == 2 else T0
+        spark.createDataFrame([(n, time) for n in names], "path string, ts timestamp").coalesce(1).write.mode("append").parquet(src)
+        with rocksdb_state(spark):
+            run_available(D.once(spark.readStream.schema("path string, ts timestamp").parquet(src), "path"), batch_writer(out), ckpt)
+    assert sorted(r["path"] for r in spark.read.parquet(out).collect()) == ["a.pdf", "b.pdf", "c.pdf", "d.pdf", "old.pdf"]
+    plans = spark.readStream.schema("path string, ts timestamp").parquet(src)
+    assert "batch=" not in D.once(plans, "path")._jdf.queryExecution().toString()
 
 
 def test_rerun_of_a_batch_overwrites_it(spark, tmp_path):
@@ -129,11 +175,11 @@ def test_stream_kpis_match_batch(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     df = spark.createDataFrame(rows, schema)
     df.repartition(3).write.parquet(src)
-    run_available(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), batch_writer(out, SK.window_partials))
-    partials = spark.read.parquet(out)
-    r = SK.rolling_kpis(partials, at(24 * 60), 24).first()
-    merged = SK.rolling_kpis(SK.merge_partials(partials), at(24 * 60), 24).first()
-    assert merged["total_documents"] == r["total_documents"] and merged["poison_queue_count"] == r["poison_queue_count"]
+    log = SK.partials_log(spark, out)
+    log.fan = 2
+    run_available(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), log.writer(SK.window_partials))
+    assert len(log.table.version().entries) == 2  # three batches, of which two are merged
+    r = SK.rolling_kpis(log.read(), at(24 * 60), 24).first()
     inside = [x for x in rows if at(0) <= x[0] < at(24 * 60)]
     assert r["total_documents"] == len(inside)
     assert abs(r["overall_accuracy"] - sum(x[2] == "success" for x in inside) / len(inside)) < 1e-9
@@ -141,6 +187,15 @@ def test_stream_kpis_match_batch(spark, tmp_path):
     assert 7.0 <= r["latency_p95_approx"] <= 8.0
 
 
+def test_running_stats_log(spark, tmp_path):
+    log = SK.running_log(spark, str(tmp_path / "out"), ["document_type"])
+    log.fan = 2
+    for i in range(5):
+        frame = spark.createDataFrame([("a", i), ("bcdef"[i], i)], "document_type string, documents int")
+        log_writer(log)(frame, i)
+    assert {r["document_type"]: r["documents"] for r in log.read().collect()} == {"a": 4, "b": 0, "c": 1, "d": 2, "e": 3, "f": 4}
+
+
 def serial_assignment(tasks, reviewers):
     load = {r[0]: r[2] for r in reviewers}
     out = {}
@@ -183,15 +238,6 @@ def test_touch_keeps_an_earlier_one_and_the_end(spark):
     assert got == {"a": (at(5), "in_progress"), "b": (at(1), "completed"), "c": (at(5), "in_progress")}
 
 
-def test_late_names_are_delivered(spark, tmp_path):
-    """Four batches, the third with the oldest file."""
-    src, out = str(tmp_path / "src"), str(tmp_path / "out")
-    for i, names in enumerate((["a"], ["b", "a"], ["old"], ["c", "old"])):
-        spark.createDataFrame([(n,) for n in names], "path string").coalesce(1).write.mode("append").parquet(src)
-        run_available(spark.readStream.schema("path string").parquet(src), once_writer(out, "path"), str(tmp_path / "checkpoint"))
-    assert sorted(r["path"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "old"]
-
-
 def test_handlers_keep_every_row(spark):
     from foliant.operators.handlers import TaskHandlers
 
