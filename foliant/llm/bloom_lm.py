@@ -1,16 +1,16 @@
 """Language-model scores from a Bloom filter of logarithmic counts.
 
-The model's counts of n-grams live in a Bloom filter alone. A count is quantised to a level on a logarithmic scale, and the n-gram
-is put into the filter once for each level up to its own. To read a count, levels are asked for from the first on until one is
-absent; the level stands for the mean of the counts that share it. The filter never says less than was put in, and says more with
-a chance that falls with each level. Probabilities are interpolated from the shortest n-grams to the longest (Dirichlet priors):
-p(w | h) = (c(h w) + s p(w | shorter h)) / (c(h) + s).
-
-Documents are dealt to chunks by the tasks that read them, with a code for each distinct word of a chunk. N-grams are 64-bit hashes;
-each chunk sums its own and sends them to slices by hash, so a frequent n-gram is one number per chunk. A slice of the filter is
-made from some millions of n-grams, whatever the corpus. A filter whose proven size is small is broadcast to the workers, which
-probe it. A larger one stays in its slices, and the n-grams of each chunk, which come to the slice to be counted anyway, are
-probed there; both ways read the same bits.
+The model's counts of n-grams live in a Bloom filter alone; those of single words are known exactly, as the base score asks for them. A
+count is quantised to a level on a logarithmic scale, and the n-gram is put into the filter once for each level up to its own. To
+read a count, levels are asked for from the first on until one is absent; the level stands for the mean of the counts that share it.
+The filter never says less than was put in, and says more with a chance that falls with each level. Probabilities are
+interpolated from the shortest n-grams to the longest (Dirichlet priors): p(w | h) = (c(h w) + s p(w | shorter h)) / (c(h) + s).
+
+Documents are dealt to chunks by the tasks that read them, with a code for each distinct word of a chunk. A chunk sums its own words
+and n-grams first and sends each one once, packed together by the hash that deals them to groups of some millions, whatever the
+corpus; a frequent word or n-gram is one number per chunk. A filter whose proven size is small is broadcast to the workers, which
+probe it. A larger one stays in slices: the n-grams of each chunk, which come to the slice to be counted anyway, are probed there; both
+ways read the same bits.
 
 Next to the model stands the exact base: add-0.1 probabilities of single words.
 """
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import keep
@@ -47,7 +47,7 @@ class LmSpec:
     #: A chunk ends at so many words or documents.
     chunk_words: int = 1_000_000
     chunk_docs: int = 65_536
-    #: N-grams of a slice, about, and bytes of a filter that may be broadcast.
+    #: N-grams of a slice and words of a group, about, and bytes of a filter that may be broadcast.
     slice_grams: int = 2_000_000
     broadcast_bytes: int = 96_000_000
     #: A document is held out if crc32 of its id as text leaves no rest.
@@ -86,6 +86,24 @@ def slice_of(grams: np.ndarray, n: int) -> np.ndarray:
     return (_mix(grams ^ _ODD) % np.uint64(n)).astype(np.int64)
 
 
+#: What a slice knows of an n-gram: 40 bits of its hash, which tell some millions apart better than the filter does.
+_WIDTH = 5
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    return _mix(grams).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // _WIDTH, 8), dtype=np.uint8)
+    out[:, :_WIDTH] = np.frombuffer(data, dtype=np.uint8).reshape(-1, _WIDTH)
+    return out.reshape(-1).view("<u8")
+
+
+def _short(grams: np.ndarray) -> np.ndarray:
+    return _mix(grams) & np.uint64((1 << 8 * _WIDTH) - 1)
+
+
 def fill(grams: np.ndarray, counts: np.ndarray, spec: LmSpec) -> np.ndarray:
     """The slice, as bytes, that holds distinct n-grams with their counts."""
     level = np.searchsorted(spec.levels(), counts, side="right")
@@ -115,8 +133,13 @@ def probe(bits: np.ndarray, grams: np.ndarray, spec: LmSpec) -> np.ndarray:
     return level
 
 
+def _begins(order: int) -> np.ndarray:
+    """The n-grams that are nothing but the begin of a text, as contexts of its first word; the first is a single word."""
+    return _mix(_BEGIN + np.arange(1, order, dtype=np.uint64))
+
+
 def _grams(words: np.ndarray, hashes: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each length up to ``order``, the hash of the n-gram that ends at each word; shorter where the text begins (with its begin)."""
+    """For each length up to ``order``, the hash of the n-gram that ends at each word; where a text begins, with its begin."""
     out, begins = [hashes[words]], _begins(order)
     for k in range(2, order + 1):
         before = np.empty_like(out[-1])
@@ -126,9 +149,8 @@ def _grams(words: np.ndarray, hashes: np.ndarray, starts: np.ndarray, order: int
     return out
 
 
-def _begins(order: int) -> np.ndarray:
-    """The n-grams that are nothing but the begin of a text, as contexts of its first word."""
-    return _mix(_BEGIN + np.arange(1, order, dtype=np.uint64))
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype="<u8", count=len(words))
 
 
 class _Texts:
@@ -137,18 +159,21 @@ class _Texts:
     def __init__(self, row: dict, order: int) -> None:
         self.order, self.ids, self.held = order, row["docs"], np.frombuffer(row["held"], dtype=np.bool_)
         self.n = np.frombuffer(row["n"], dtype="<i8")
-        self.words, self.hashes = np.frombuffer(row["words"], dtype="<i4"), np.frombuffer(row["hashes"], dtype="<u8")
+        self.words = np.frombuffer(row["words"], dtype="<i4")
         self.starts = np.cumsum(self.n) - self.n
-        self.grams = _grams(self.words, self.hashes, self.starts, order)
+        self.grams = _grams(self.words, _hashes(row["terms"]), self.starts, order)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """The chunk's distinct n-grams, and how often each was in texts that are learned from."""
+        """The chunk's distinct n-grams of two words and more, and how often each was in texts that are learned from."""
         learned = np.repeat(~self.held, self.n)
-        begins = _begins(self.order)
-        every = np.concatenate([*self.grams, begins])
-        grams, of = np.unique(every, return_inverse=True)
-        weights = np.concatenate([*[learned] * self.order, np.full(len(begins), (~self.held).sum())])
-        return grams, np.bincount(of, weights=weights, minlength=len(grams)).astype(np.int64)
+        begins = _begins(self.order)[1:]
+        grams = np.unique(np.concatenate([*self.grams[1:], begins]))
+        counts = np.zeros(len(grams), dtype=np.int64)
+        for g in self.grams[1:]:
+            found, times = np.unique(g[learned], return_counts=True)
+            counts[np.searchsorted(grams, found)] += times
+        counts[np.searchsorted(grams, begins)] += int((~self.held).sum())
+        return grams, counts
 
 
 def _chunk_rows(chunk: Chunk, schema: pa.Schema) -> pa.RecordBatch:
@@ -162,14 +187,12 @@ def _chunk_rows(chunk: Chunk, schema: pa.Schema) -> pa.RecordBatch:
     rest[ends] = False
     words[rest] = np.concatenate(chunk.words) + 1 if len(n) else 0
     vocabulary = [_END, *chunk.codes]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary), dtype="<u8", count=len(vocabulary))
-    learned = np.bincount(words[np.repeat(~held, n + 1)], minlength=len(vocabulary)).astype(np.int64)
+    learned = np.bincount(words[np.repeat(~held, n + 1)], minlength=len(vocabulary)).astype("<i8")
     ids = meta.column("doc").combine_chunks()
     return pa.RecordBatch.from_arrays([
         pa.array([chunk.number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([held.astype(np.bool_).tobytes()]),
-        pa.array([(n + 1).astype("<i8").tobytes()]), pa.array([words.tobytes()]), pa.array([hashes.tobytes()]),
-        pa.ListArray.from_arrays(pa.array([0, len(vocabulary)], pa.int32()), pa.array(vocabulary, pa.binary()).cast(pa.string())),
-        pa.ListArray.from_arrays(pa.array([0, len(vocabulary)], pa.int32()), pa.array(learned))], schema=schema)
+        pa.array([(n + 1).astype("<i8").tobytes()]), pa.array([words.tobytes()]),
+        pa.ListArray.from_arrays(pa.array([0, len(vocabulary)], pa.int32()), pa.array(vocabulary, pa.binary()).cast(pa.string())), pa.array([learned.tobytes()])], schema=schema)
 
 
 def deal(docs: DataFrame, spec: LmSpec, id_col: str, text_col: str) -> DataFrame:
@@ -181,19 +204,46 @@ def deal(docs: DataFrame, spec: LmSpec, id_col: str, text_col: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", BY_SPACE, spec.chunk_words, spec.chunk_docs):
             schema = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(chunk.columns[0].schema.field("doc").type)), ("held", pa.binary()), ("n", pa.binary()),
-                                ("words", pa.binary()), ("hashes", pa.binary()), ("terms", pa.list_(pa.string())), ("learned", pa.list_(pa.int64()))])
+                                ("words", pa.binary()), ("terms", pa.list_(pa.string())), ("learned", pa.binary())])
             yield _chunk_rows(chunk, schema)
 
-    return keep(rows.mapInArrow(run, f"chunk bigint, docs array<{kind}>, held binary, n binary, words binary, hashes binary, terms array<string>, learned array<bigint>"), "lm-chunks")
+    return keep(rows.mapInArrow(run, f"chunk bigint, docs array<{kind}>, held binary, n binary, words binary, terms array<string>, learned binary"), "lm-chunks", "zstd")
 
 
-def word_counts(dealt: DataFrame) -> DataFrame:
-    """``chunk, code, c, first``: how often a chunk's word was learned in the whole corpus; ``first`` marks one chunk for each word learned."""
-    words = dealt.select("chunk", F.posexplode(F.arrays_zip("terms", "learned")).alias("code", "w")).select("chunk", "code", "w.terms", "w.learned")
-    # A word is once in each chunk at most, so none has many rows here.
-    same = Window.partitionBy("terms")
-    words = words.withColumn("c", F.sum("learned").over(same)).withColumn("first", F.row_number().over(same.orderBy("chunk")) == 1)
-    return words.select("chunk", "code", "c", (F.col("first") & (F.col("c") > 0)).alias("first"))
+def _by_group(to: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The groups that occur, and what is in each, in order."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(to, minlength=n))))
+    for g in np.nonzero(np.diff(cuts))[0].tolist():
+        yield g, order[cuts[g]: cuts[g + 1]]
+
+
+def word_counts(dealt: DataFrame, groups: int) -> DataFrame:
+    """``grp, chunk, counts, distinct``: how often the words that a chunk sent to a group, in their order, were learned in the whole
+    corpus; one row of a group has the number of different words learned."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                terms, learned = batch.column("terms")[i].values, np.frombuffer(batch.column("learned")[i].as_py(), dtype="<i8")
+                parts = list(_by_group(slice_of(_hashes(terms.to_pylist()), groups), groups))
+                lists = pa.array([terms.take(pa.array(at)).to_pylist() for _, at in parts], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in parts]), pa.array([batch.column("chunk")[i].as_py()] * len(parts), pa.int64()), lists,
+                                                  pa.array([learned[at].tobytes() for _, at in parts], pa.binary())], names=["grp", "chunk", "terms", "learned"])
+
+    def add(table: pa.Table) -> pa.Table:
+        lists = table.column("terms").combine_chunks()
+        code = lists.flatten().dictionary_encode().indices.to_numpy()
+        total = np.zeros(int(code.max(initial=-1)) + 1, dtype=np.int64)
+        np.add.at(total, code, np.concatenate([np.frombuffer(x, dtype="<i8") for x in table.column("learned").to_pylist()]))
+        ends = np.cumsum([len(x) for x in lists])
+        found = total[code]
+        distinct = [int((total > 0).sum()), *[0] * (len(lists) - 1)]
+        return pa.table({"grp": table.column("grp"), "chunk": table.column("chunk"),
+                         "counts": pa.array([found[a:z].tobytes() for a, z in zip([0, *ends[:-1]], ends)], pa.binary()), "distinct": pa.array(distinct, pa.int64())})
+
+    sent = dealt.select("chunk", "terms", "learned").mapInArrow(send, "grp bigint, chunk bigint, terms array<string>, learned binary")
+    return sent.groupBy("grp").applyInArrow(add, "grp bigint, chunk bigint, counts binary, distinct bigint")
 
 
 def _sent(dealt: DataFrame, spec: LmSpec, slices: int, all_grams: bool) -> DataFrame:
@@ -206,21 +256,17 @@ def _sent(dealt: DataFrame, spec: LmSpec, slices: int, all_grams: bool) -> DataF
                 grams, counts = _Texts(row, spec.order).distinct()
                 if not all_grams:
                     grams, counts = grams[counts > 0], counts[counts > 0]
-                to = slice_of(grams, slices)
-                order = np.argsort(to, kind="stable")
-                cuts = np.concatenate(([0], np.cumsum(np.bincount(to, minlength=slices))))
-                grams, counts = grams[order], counts[order].astype("<u4")
-                used = [s for s in range(slices) if cuts[s + 1] > cuts[s]]
+                parts = list(_by_group(slice_of(grams, slices), slices))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(used, pa.int64()), pa.array([row["chunk"]] * len(used), pa.int64()), pa.array([grams[cuts[s]: cuts[s + 1]].tobytes() for s in used], pa.binary()),
-                    pa.array([counts[cuts[s]: cuts[s + 1]].tobytes() for s in used], pa.binary())], names=["slice", "chunk", "grams", "counts"])
+                    pa.array([s for s, _ in parts], pa.int64()), pa.array([row["chunk"]] * len(parts), pa.int64()), pa.array([_packed(grams[at]) for _, at in parts], pa.binary()),
+                    pa.array([counts[at].astype("<u4").tobytes() for _, at in parts], pa.binary())], names=["slice", "chunk", "grams", "counts"])
 
-    return dealt.select("chunk", "docs", "held", "n", "words", "hashes").mapInArrow(run, "slice bigint, chunk bigint, grams binary, counts binary")
+    return dealt.select("chunk", "docs", "held", "n", "words", "terms").mapInArrow(run, "slice bigint, chunk bigint, grams binary, counts binary")
 
 
 def _slice_sums(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The n-grams that each chunk sent, and the distinct ones learned with their counts."""
-    sent = [np.frombuffer(x, dtype="<u8") for x in table.column("grams").to_pylist()]
+    sent = [_unpacked(x) for x in table.column("grams").to_pylist()]
     counts = np.concatenate([np.frombuffer(x, dtype="<u4") for x in table.column("counts").to_pylist()])
     every = np.concatenate(sent)
     every, counts = every[counts > 0], counts[counts > 0]
@@ -253,28 +299,23 @@ def _probed(sent: DataFrame, spec: LmSpec) -> DataFrame:
 
 def _levels(grams: np.ndarray, slices: int, answer) -> np.ndarray:
     """Levels of distinct n-grams; ``answer`` gives those of a slice."""
-    to = slice_of(grams, slices)
-    order = np.argsort(to, kind="stable")
-    cuts = np.concatenate(([0], np.cumsum(np.bincount(to, minlength=slices))))
     out = np.zeros(len(grams), dtype=np.uint8)
-    for s in range(slices):
-        mine = order[cuts[s]: cuts[s + 1]]
-        if len(mine):
-            out[mine] = answer(s, grams[mine])
+    for s, at in _by_group(slice_of(grams, slices), slices):
+        out[at] = answer(s, grams[at])
     return out
 
 
-def _log_probabilities(t: _Texts, level_of, spec: LmSpec, learned: int, distinct: int) -> np.ndarray:
-    """log10 of the model's probability of each word."""
+def _log_probabilities(t: _Texts, single: np.ndarray, c: np.ndarray, texts: int, level_of, spec: LmSpec) -> np.ndarray:
+    """log10 of the model's probability of each word. ``single``, ``c``: probability and count of single words; ``texts``: learned from."""
     count, begins = spec.counts(), _begins(spec.order)
-    p = (count[level_of(t.grams[0])] + 0.1) / (learned + 0.1 * (distinct + 1))
+    p, seen = single[t.words], c[t.words].astype(np.float64)
     for k in range(2, spec.order + 1):
-        shorter = t.grams[k - 2]
-        context = np.empty_like(shorter)
-        context[1:] = shorter[:-1]
-        context[t.starts] = begins[k - 2]
-        c_context = count[level_of(context)]
-        p = (np.minimum(count[level_of(t.grams[k - 1])], c_context) + spec.strength * p) / (c_context + spec.strength)
+        # How often what stands before the word was learned: a single word exactly, more of them by the filter.
+        before = np.empty_like(seen)
+        before[1:] = seen[:-1]
+        before[t.starts] = texts if k == 2 else count[level_of(begins[k - 2: k - 1])]
+        seen = count[level_of(t.grams[k - 1])]
+        p = (np.minimum(seen, before) + spec.strength * p) / (before + spec.strength)
     return np.log10(p)
 
 
@@ -286,48 +327,63 @@ def score(docs: DataFrame, spec: LmSpec = LmSpec(), id_col: str = "doc_id", text
     """
     spark, out_id = docs.sparkSession, docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     dealt = deal(docs, spec, id_col, text_col)
-    known = keep(word_counts(dealt), "lm-words")
-    learned = int(dealt.select(F.sum(F.aggregate("learned", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0)
-    distinct = known.where("first").count()
-    tokens = int(dealt.select(F.sum(F.octet_length("words") / 4)).first()[0] or 0)
-    slices = max(-(-spec.order * tokens // spec.slice_grams), 1)
-    # A count enters no more levels than it counts, so the filter has at most order * learned entries.
+    size = dealt.select(F.sum(F.octet_length("words") / 4), F.sum(F.size("terms"))).first()
+    tokens, terms = int(size[0] or 0), int(size[1] or 0)
+    groups, slices = max(-(-terms // spec.slice_grams), 1), max(-(-(spec.order - 1) * tokens // spec.slice_grams), 1)
+    known = keep(word_counts(dealt, groups), "lm-words", "zstd")
+    distinct = int(known.agg(F.sum("distinct")).first()[0] or 0)
+    learned, texts = _learned(dealt)
+    # A count enters no more levels than it counts, so the filter has at most this many entries.
     small = spec.order * learned * spec.bits / 8 + 64 * slices <= spec.broadcast_bytes
-    counts = known.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("code", "c"))).alias("known")).select("chunk", F.col("known.c").alias("known"))
+    side = known.groupBy("chunk").agg(F.collect_list(F.struct("grp", "counts")).alias("known"))
     filters = None
     if small:
         held = filter_slices(_sent(dealt, spec, slices, False), spec).collect()
         filters = spark.sparkContext.broadcast({r["slice"]: bytes(r["bits"]) for r in held})
-        side = counts.withColumn("levels", F.lit(None).cast("array<struct<slice: bigint, levels: binary>>"))
+        side = side.withColumn("levels", F.lit(None).cast("array<struct<slice: bigint, levels: binary>>"))
     else:
         probed = _probed(_sent(dealt, spec, slices, True), spec)
-        answers = probed.groupBy("chunk").agg(F.collect_list(F.struct("slice", "levels")).alias("levels"))
-        side = counts.join(answers, "chunk")
-    held_type = "doc_id " + out_id
-    schema = f"{held_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-
-    def run(texts: pa.Table, given: pa.Table) -> pa.Table:
-        t = _Texts(texts.slice(0, 1).to_pylist()[0], spec.order)
-        c = given.column("known").combine_chunks().flatten().to_numpy()
+        side = side.join(probed.groupBy("chunk").agg(F.collect_list(F.struct("slice", "levels")).alias("levels")), "chunk", "left")
+    schema = f"doc_id {out_id}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+    def run(rows: pa.Table, given: pa.Table) -> pa.Table:
+        row = rows.slice(0, 1).to_pylist()[0]
+        t = _Texts(row, spec.order)
+        counts = {x["grp"]: np.frombuffer(x["counts"], dtype="<i8") for x in given.column("known")[0].as_py()}
+        c = np.zeros(len(row["terms"]), dtype=np.int64)
+        for g, at in _by_group(slice_of(_hashes(row["terms"]), groups), groups):
+            c[at] = counts[g]
         if filters is None:
-            stored = {x["slice"]: np.frombuffer(x["levels"], dtype=np.uint8) for x in given.column("levels")[0].as_py()}
-        else:
-            bits = {s: np.frombuffer(b, dtype=np.uint8) for s, b in filters.value.items()}
+            stored = {x["slice"]: np.frombuffer(x["levels"], dtype=np.uint8) for x in given.column("levels")[0].as_py() or ()}
 
         def answer(s: int, grams: np.ndarray) -> np.ndarray:
             if filters is None:
                 return stored[s]
-            return probe(bits[s], grams, spec) if s in bits else np.zeros(len(grams), dtype=np.uint8)
+            bits = filters.value.get(s)
+            return np.zeros(len(grams), dtype=np.uint8) if bits is None else probe(np.frombuffer(bits, dtype=np.uint8), _short(grams), spec)
 
-        every, _ = t.distinct()
+        every = np.unique(np.concatenate([*t.grams[1:], _begins(spec.order)[1:]])) if spec.order > 1 else np.empty(0, np.uint64)
         levels = _levels(every, slices, answer)
-        logs = _log_probabilities(t, lambda g: levels[np.searchsorted(every, g)], spec, learned, distinct)
-        base = np.log10((c + 0.1) / (learned + 0.1 * (distinct + 1)))
+        single = (c + 0.1) / (learned + 0.1 * (distinct + 1))
+        logs = _log_probabilities(t, single, c, texts, lambda g: levels[np.searchsorted(every, g)], spec)
         each = np.add.reduceat
-        id_type = texts.schema.field("docs").type.value_type
+        id_type = rows.schema.field("docs").type.value_type
         return pa.table({
             "doc_id": pa.array(t.ids, id_type), "held_out": pa.array(t.held), "n_tokens": pa.array(t.n), "n_known": pa.array(each((c[t.words] > 0).astype(np.int64), t.starts)),
-            "train_tokens": pa.array(np.full(len(t.n), learned)), "base_score": pa.array(each(base[t.words], t.starts)), "score": pa.array(each(logs, t.starts))})
+            "train_tokens": pa.array(np.full(len(t.n), learned)), "base_score": pa.array(each(np.log10(single)[t.words], t.starts)), "score": pa.array(each(logs, t.starts))})
+
+    rows = dealt.select("chunk", "docs", "held", "n", "words", "terms")
+    return rows.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def _learned(dealt: DataFrame) -> tuple[int, int]:
+    """Words (with ends) and texts that are learned from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = sum(int(np.frombuffer(x, dtype="<i8").sum()) for x in batch.column("learned").to_pylist())
+            texts = sum(int((~np.frombuffer(x, dtype=np.bool_)).sum()) for x in batch.column("held").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([words]), pa.array([texts])], names=["words", "texts"])
 
-    texts = dealt.select("chunk", "docs", "held", "n", "words", "hashes")
-    return texts.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(run, schema)
+    r = dealt.select("learned", "held").mapInArrow(run, "words bigint, texts bigint").agg(F.sum("words"), F.sum("texts")).first()
+    return int(r[0] or 0), int(r[1] or 0)

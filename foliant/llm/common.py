@@ -17,14 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
+def keep(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write a frame to the folder that all executors share and read it back.
 
     This cuts the lineage: the rows, and ids made from their place, are the same ones for every later
     job even when executors are lost, and the planner knows the table's real size.
     """
     path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -113,8 +113,8 @@ def test_lm_is_the_smoothed_estimate(spark):
     for i, _, ws in texts:
         log = 0.0
         for h, w in zip([None, *ws], ws):
-            p = (value(one[w]) + 0.1) / (n + 0.1 * (v + 1))
-            log += math.log10((min(value(two[h, w]), value(one[h])) + spec.strength * p) / (value(one[h]) + spec.strength))
+            p = (one[w] + 0.1) / (n + 0.1 * (v + 1))
+            log += math.log10((min(value(two[h, w]), one[h]) + spec.strength * p) / (one[h] + spec.strength))
         want[i, len(ws), round(log, 6)] += 1
     assert got == want
 
