@@ -104,6 +104,11 @@ def _short(grams: np.ndarray) -> np.ndarray:
     return _mix(grams) & np.uint64((1 << 8 * _WIDTH) - 1)
 
 
+def _place(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A bit for each hash: its upper half as a share of the size, which is below 2**32."""
+    return ((hashes >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
+
+
 def fill(grams: np.ndarray, counts: np.ndarray, spec: LmSpec) -> np.ndarray:
     """The slice, as bytes, that holds distinct n-grams with their counts."""
     level = np.searchsorted(spec.levels(), counts, side="right")
@@ -112,22 +117,23 @@ def fill(grams: np.ndarray, counts: np.ndarray, spec: LmSpec) -> np.ndarray:
     for j in range(1, int(level.max(initial=0)) + 1):
         a, b = _entry(grams[level >= j], j)
         for _ in range(spec.hashes):
-            bits[a % np.uint64(size)] = 1
-            a = a + b
+            bits[_place(a, size)] = 1
+            a += b
     return np.packbits(bits, bitorder="little")
 
 
 def probe(bits: np.ndarray, grams: np.ndarray, spec: LmSpec) -> np.ndarray:
     """The level of each n-gram."""
-    size, level = np.uint64(len(bits) * 8), np.zeros(len(grams), dtype=np.uint8)
+    size, level = len(bits) * 8, np.zeros(len(grams), dtype=np.uint8)
     there, j = np.arange(len(grams)), 1
     while len(there):
         a, b = _entry(grams[there], j)
+        yes = np.ones(len(there), dtype=np.uint8)
         for _ in range(spec.hashes):
-            at = a % size
-            yes = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            there, a, b = there[yes], a[yes], b[yes]
-            a = a + b
+            at = _place(a, size)
+            yes &= bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)
+            a += b
+        there = there[yes.view(np.bool_)]
         level[there] = j
         j += 1
     return level
@@ -159,21 +165,22 @@ class _Texts:
     def __init__(self, row: dict, order: int) -> None:
         self.order, self.ids, self.held = order, row["docs"], np.frombuffer(row["held"], dtype=np.bool_)
         self.n = np.frombuffer(row["n"], dtype="<i8")
-        self.words = np.frombuffer(row["words"], dtype="<i4")
+        self.words, self.hashes = np.frombuffer(row["words"], dtype="<i4"), _hashes(row["terms"])
         self.starts = np.cumsum(self.n) - self.n
-        self.grams = _grams(self.words, _hashes(row["terms"]), self.starts, order)
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """The chunk's distinct n-grams of two words and more, and how often each was in texts that are learned from."""
+        every = _grams(self.words, self.hashes, self.starts, order)[1:]
+        #: The distinct n-grams of two words and more, and which one each word ends, for each length; begins of texts come last.
+        self.grams, of = np.unique(np.concatenate([*every, _begins(order)[1:]]), return_inverse=True)
+        self.of = [of[i * len(self.words): (i + 1) * len(self.words)] for i in range(order - 1)]
+        self.begins = of[(order - 1) * len(self.words):]
+
+    def learned(self) -> np.ndarray:
+        """How often each n-gram was in texts that are learned from."""
         learned = np.repeat(~self.held, self.n)
-        begins = _begins(self.order)[1:]
-        grams = np.unique(np.concatenate([*self.grams[1:], begins]))
-        counts = np.zeros(len(grams), dtype=np.int64)
-        for g in self.grams[1:]:
-            found, times = np.unique(g[learned], return_counts=True)
-            counts[np.searchsorted(grams, found)] += times
-        counts[np.searchsorted(grams, begins)] += int((~self.held).sum())
-        return grams, counts
+        counts = np.zeros(len(self.grams), dtype=np.int64)
+        for of in self.of:
+            counts += np.bincount(of[learned], minlength=len(self.grams))
+        counts[self.begins] += int((~self.held).sum())
+        return counts
 
 
 def _chunk_rows(chunk: Chunk, schema: pa.Schema) -> pa.RecordBatch:
@@ -212,7 +219,7 @@ def deal(docs: DataFrame, spec: LmSpec, id_col: str, text_col: str) -> DataFrame
 
 def _by_group(to: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """The groups that occur, and what is in each, in order."""
-    order = np.argsort(to, kind="stable")
+    order = np.argsort(to.astype(np.uint16) if n <= 1 << 16 else to, kind="stable")
     cuts = np.concatenate(([0], np.cumsum(np.bincount(to, minlength=n))))
     for g in np.nonzero(np.diff(cuts))[0].tolist():
         yield g, order[cuts[g]: cuts[g + 1]]
@@ -227,7 +234,8 @@ def word_counts(dealt: DataFrame, groups: int) -> DataFrame:
             for i in range(batch.num_rows):
                 terms, learned = batch.column("terms")[i].values, np.frombuffer(batch.column("learned")[i].as_py(), dtype="<i8")
                 parts = list(_by_group(slice_of(_hashes(terms.to_pylist()), groups), groups))
-                lists = pa.array([terms.take(pa.array(at)).to_pylist() for _, at in parts], pa.list_(pa.string()))
+                cuts = np.cumsum([0, *(len(at) for _, at in parts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), terms.take(pa.array(np.concatenate([at for _, at in parts]))))
                 yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in parts]), pa.array([batch.column("chunk")[i].as_py()] * len(parts), pa.int64()), lists,
                                                   pa.array([learned[at].tobytes() for _, at in parts], pa.binary())], names=["grp", "chunk", "terms", "learned"])
 
@@ -253,7 +261,8 @@ def _sent(dealt: DataFrame, spec: LmSpec, slices: int, all_grams: bool) -> DataF
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                grams, counts = _Texts(row, spec.order).distinct()
+                texts = _Texts(row, spec.order)
+                grams, counts = texts.grams, texts.learned()
                 if not all_grams:
                     grams, counts = grams[counts > 0], counts[counts > 0]
                 parts = list(_by_group(slice_of(grams, slices), slices))
@@ -305,16 +314,16 @@ def _levels(grams: np.ndarray, slices: int, answer) -> np.ndarray:
     return out
 
 
-def _log_probabilities(t: _Texts, single: np.ndarray, c: np.ndarray, texts: int, level_of, spec: LmSpec) -> np.ndarray:
+def _log_probabilities(t: _Texts, single: np.ndarray, c: np.ndarray, texts: int, levels: np.ndarray, spec: LmSpec) -> np.ndarray:
     """log10 of the model's probability of each word. ``single``, ``c``: probability and count of single words; ``texts``: learned from."""
-    count, begins = spec.counts(), _begins(spec.order)
+    count = spec.counts()[levels]
     p, seen = single[t.words], c[t.words].astype(np.float64)
     for k in range(2, spec.order + 1):
         # How often what stands before the word was learned: a single word exactly, more of them by the filter.
         before = np.empty_like(seen)
         before[1:] = seen[:-1]
-        before[t.starts] = texts if k == 2 else count[level_of(begins[k - 2: k - 1])]
-        seen = count[level_of(t.grams[k - 1])]
+        before[t.starts] = texts if k == 2 else count[t.begins[k - 3]]
+        seen = count[t.of[k - 2]]
         p = (np.minimum(seen, before) + spec.strength * p) / (before + spec.strength)
     return np.log10(p)
 
@@ -351,7 +360,7 @@ def score(docs: DataFrame, spec: LmSpec = LmSpec(), id_col: str = "doc_id", text
         t = _Texts(row, spec.order)
         counts = {x["grp"]: np.frombuffer(x["counts"], dtype="<i8") for x in given.column("known")[0].as_py()}
         c = np.zeros(len(row["terms"]), dtype=np.int64)
-        for g, at in _by_group(slice_of(_hashes(row["terms"]), groups), groups):
+        for g, at in _by_group(slice_of(t.hashes, groups), groups):
             c[at] = counts[g]
         if filters is None:
             stored = {x["slice"]: np.frombuffer(x["levels"], dtype=np.uint8) for x in given.column("levels")[0].as_py() or ()}
@@ -362,10 +371,9 @@ def score(docs: DataFrame, spec: LmSpec = LmSpec(), id_col: str = "doc_id", text
             bits = filters.value.get(s)
             return np.zeros(len(grams), dtype=np.uint8) if bits is None else probe(np.frombuffer(bits, dtype=np.uint8), _short(grams), spec)
 
-        every = np.unique(np.concatenate([*t.grams[1:], _begins(spec.order)[1:]])) if spec.order > 1 else np.empty(0, np.uint64)
-        levels = _levels(every, slices, answer)
+        levels = _levels(t.grams, slices, answer)
         single = (c + 0.1) / (learned + 0.1 * (distinct + 1))
-        logs = _log_probabilities(t, single, c, texts, lambda g: levels[np.searchsorted(every, g)], spec)
+        logs = _log_probabilities(t, single, c, texts, levels, spec)
         each = np.add.reduceat
         id_type = rows.schema.field("docs").type.value_type
         return pa.table({
