@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from foliant import config
 from foliant.functions import status as S
-from foliant.operators.quantiles import attach, exact_quantiles, p50, p95
+from foliant.operators.quantiles import attach, bracket_aggs, exact_quantiles, p50, p95
+from foliant.session import materialize
 from foliant.sources.metrics import cost_part, in_period, map_total, seconds_between, ts
 
 
@@ -143,15 +144,17 @@ def field_metrics_period(fm: DataFrame, start, end, n: int | None = None, order=
 def kpi_dashboard(df: DataFrame, start, end, tasks: DataFrame | None = None, group_cols=()) -> DataFrame:
     """One row (per group) of all KPIs; an empty period gives one row of zeros.
 
-    ``tasks`` are the period's review tasks and need the same grouping columns.
+    ``tasks`` are the period's review tasks and need the same grouping columns. The period is read twice: once for all sums
+    and the brackets of the quantiles, which are kept, and once to count values inside the brackets.
     """
     g = list(group_cols)
     docs = in_period(df, start, end)
-    base = docs.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("total_documents"), *quality_aggs(), throughput_agg(), sla_agg(), *cost_aggs(), *rework_aggs())
     t = F.when(F.col("total_processing_time") > 0, F.col("total_processing_time"))
-    q = exact_quantiles(docs.select(*g, t.alias("t")), "t", [p50("latency_p50"), p95("latency_p95")], g)
-    out = attach(base, q, g)
+    quantiles = [p50("latency_p50"), p95("latency_p95")]
+    first = materialize(docs.groupBy(*g).agg(
+        F.count(F.lit(1)).alias("total_documents"), *quality_aggs(), throughput_agg(), sla_agg(), *cost_aggs(), *rework_aggs(), *bracket_aggs(t, quantiles)))
+    q = exact_quantiles(docs.select(*g, t.alias("t")), "t", quantiles, g, first.select(*g, "__n", "__p"))
+    out = attach(first.drop("__n", "__p"), q, g)
     if tasks is not None:
         out = attach(out, hitl_times(tasks, g), g)
     zero = [c for c in ("latency_p50", "latency_p95", "time_to_first_review_avg", "time_to_resolution_avg") if c in out.columns]

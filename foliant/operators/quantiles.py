@@ -2,7 +2,9 @@
 
 A mergeable sketch brackets each wanted rank, one aggregation counts what lies below the bracket and
 how often each value inside it occurs, and only those few distinct values are ranked, in small bins.
-Groups of any size therefore cost two scans and map-side combined shuffles.
+Groups of any size therefore cost two reads of the values: one for the brackets, which may give other aggregates as well, and one
+that counts. Brackets are a row per group; they are kept first, and enter the second read as literals, or broadcast
+where the number of groups has been counted and is small, so rows are not moved to them.
 """
 
 from __future__ import annotations
@@ -12,11 +14,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.session import materialize
+
 SKETCH_ACCURACY = 10_000
 BRACKET = 0.002
 #: A bracket is at least so many ranks wide on either side, whatever the number of values.
 BRACKET_RANKS = 4
 BINS = 4096
+_WIDTHS = [BRACKET * 10**i for i in range(3)] + [1.0]
+#: Groups whose brackets may be broadcast: a few numbers each.
+BROADCAST_GROUPS = 10_000
 
 
 @dataclass(frozen=True)
@@ -68,20 +75,25 @@ def attach(df: DataFrame, small: DataFrame, group_cols: list[str]) -> DataFrame:
     return out.select(*df.columns, *[F.col(f"__one.{c}").alias(c) for c in names])
 
 
-def exact_quantiles(df: DataFrame, value: str, quantiles: list[Quantile], group_cols: list[str] | None = None) -> DataFrame:
-    """One row per group with the named quantiles of ``value``; NULL values are ignored."""
+def exact_quantiles(df: DataFrame, value: str, quantiles: list[Quantile], group_cols: list[str] | None = None, brackets: DataFrame | None = None) -> DataFrame:
+    """One row per group with the named quantiles of ``value``; NULL values are ignored.
+
+    ``brackets`` are a kept frame with the group columns and the columns of :func:`bracket_aggs`, where the caller has one.
+    """
     g = list(group_cols or [])
     x = df.select(*g, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    bounds = _brackets(x, quantiles, g)
+    if brackets is None:
+        brackets = materialize(x.groupBy(*g).agg(*bracket_aggs(F.col("__v"), quantiles)))
+    bounds = _bounds(brackets, quantiles, g)
     q = range(len(quantiles))
 
-    # One pass: how many values lie below each bracket, and how often each value inside one occurs.
+    # The second read: how many values lie below each bracket, and how often each value inside one occurs.
     v = F.col("__v")
     inside = F.lit(False)
     for i in q:
         inside = inside | v.between(F.col(f"__lo{i}"), F.col(f"__hi{i}"))
-    counted = (
-        attach(x, bounds, g)
+    counted = materialize(
+        _beside(x, bounds, g)
         .groupBy(*g, F.when(inside, v).alias("__k"))
         .agg(F.count(F.lit(1)).alias("__c"), *[F.count_if(v < F.col(f"__lo{i}")).alias(f"__b{i}") for i in q])
     )
@@ -131,20 +143,38 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: list[Quantile], group_
         F.coalesce(quantiles[i].value(F.col("__n"), F.col(f"__x{i}"), F.col(f"__y{i}")), missed).alias(quantiles[i].name) for i in q])
 
 
-def _brackets(x: DataFrame, quantiles: list[Quantile], g: list[str]) -> DataFrame:
+def bracket_aggs(v: Column, quantiles: list[Quantile]) -> list[Column]:
+    """The aggregates that brackets are made of: the count and a sketch's values around each rank."""
+    points = [p for z in quantiles for w in _WIDTHS for p in (max(z.p - w, 0.0), min(z.p + w, 1.0))]
+    return [F.count(v).alias("__n"), F.percentile_approx(v, points, SKETCH_ACCURACY).alias("__p")]
+
+
+def _bounds(b: DataFrame, quantiles: list[Quantile], g: list[str]) -> DataFrame:
     """Count and bracket per target; the sketch's rank error is far below the bracket's width.
 
     One rule for all sizes: the narrowest of a few widths that spans enough ranks.
     """
-    widths = [BRACKET * 10**i for i in range(3)] + [1.0]
-    points = [p for z in quantiles for w in widths for p in (max(z.p - w, 0.0), min(z.p + w, 1.0))]
-    b = x.groupBy(*g).agg(F.count("__v").alias("__n"), F.percentile_approx("__v", points, SKETCH_ACCURACY).alias("__p"))
-    step = F.lit(len(widths) - 1)
-    for j, w in reversed(list(enumerate(widths[:-1]))):
+    step = F.lit(len(_WIDTHS) - 1)
+    for j, w in reversed(list(enumerate(_WIDTHS[:-1]))):
         step = F.when(F.col("__n") * w >= BRACKET_RANKS, F.lit(j)).otherwise(step)
     b = b.withColumn("__step", step)
     cols = []
     for i in range(len(quantiles)):
-        at = (F.col("__step") + i * len(widths)) * 2
+        at = (F.col("__step") + i * len(_WIDTHS)) * 2
         cols += [F.get("__p", at).alias(f"__lo{i}"), F.get("__p", at + 1).alias(f"__hi{i}")]
     return b.select(*g, "__n", *cols)
+
+
+def _beside(x: DataFrame, bounds: DataFrame, g: list[str]) -> DataFrame:
+    """Rows with their group's brackets: literals, or a broadcast of a counted number of groups, or beyond it a join."""
+    if not g:
+        row = bounds.first()
+        return x.select("*", *[F.lit(row[c]).cast("double").alias(c) for c in bounds.columns if c != "__n"])
+    small = bounds.drop("__n")
+    if bounds.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        small = F.broadcast(small)
+    same = None
+    for c in g:
+        one = x[c].eqNullSafe(small[c])
+        same = one if same is None else same & one
+    return x.join(small, same, "left").select(*[x[c] for c in x.columns], *[small[c] for c in small.columns if c not in g])

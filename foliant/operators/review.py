@@ -245,6 +245,17 @@ def review_queue_status(tasks: DataFrame, as_of) -> DataFrame:
         F.coalesce(F.try_divide(late, n) * 100, F.lit(0.0)).alias("violation_rate"))
 
 
+def reviewer_block(tasks: DataFrame, reviewers: DataFrame) -> DataFrame:
+    """The reviewers' part of the queue status: a row per reviewer with open and completed tasks besides what the roster says.
+
+    Tasks are counted per reviewer with map-side sums before they meet the roster; reviewers without tasks have zeros.
+    """
+    counts = tasks.where(F.col("assigned_to").isNotNull()).groupBy(F.col("assigned_to").alias("user_id")).agg(
+        F.count_if(F.col("status").isin("assigned", "in_progress")).alias("open_tasks"), F.count_if(F.col("status") == DONE).alias("completed_tasks"))
+    rows = reviewers.join(counts, "user_id", "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("open_tasks", "completed_tasks")})
+    return rows.select("user_id", "name", (F.col("current_workload") + F.col("open_tasks")).alias("current_workload"), "completed_tasks", "is_available", "specializations")
+
+
 def escalate_overdue(tasks: DataFrame, as_of, every: int = config.ESCALATION_SECONDS) -> DataFrame:
     """Overdue open tasks gain one priority step per check since the deadline, up to the highest."""
     late = _overdue(tasks, as_of) & (F.col("status") != DONE)

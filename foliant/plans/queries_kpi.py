@@ -9,6 +9,8 @@ from foliant.operators import kpi, report, stats
 from foliant.operators.quantiles import attach
 from foliant.plans import sql as Q
 from foliant.plans.registry import query
+from foliant.session import work_path
+from foliant.sinks.versioned import VersionedTable
 from foliant.sources import adapters as A
 from foliant.sources import metrics as M
 
@@ -60,6 +62,26 @@ def _(spark, d):
         "event_id", F.col("processing_status").alias("status"))
 
 
+def stored(spark, d):
+    """The metrics as a stored table: by day, maps as JSON text, and old status names in every other row."""
+    dm, e = A.document_metrics(spark, d), F.substring("document_id", 5, 20).cast("long")
+    status = F.col("processing_status")
+    old = F.when((status == "success") & (e % 2 == 0), "completed").when((status == "needs_review") & (e % 3 == 0), "hitl_required").otherwise(status)
+    rows = dm.withColumns({"processing_status": old, "cost_breakdown": F.to_json("cost_breakdown"), "confidence_scores": F.to_json("confidence_scores"), "dt": F.to_date("start_time")})
+    table = VersionedTable(spark, work_path(spark, "stored-metrics"), by="dt")
+    table.replace(rows.drop("hitl_reason"))
+    return table
+
+
+@query("stored_metrics_kpis", f"""with {Q.PDM}, a as (select document_type, count(*) as total_documents, {Q.QUALITY}, {Q.THROUGHPUT}, {Q.COST} from p group by 1)
+  select document_type, total_documents, {", ".join(f"round({c},6) as {c}" for c in ("overall_accuracy", "stp_rate", "exception_rate", "throughput_docs_per_hour", "cost_per_document", "review_cost_per_doc"))} from a""")
+def _(spark, d):
+    rows = M.stored_metrics(stored(spark, d), START, END)
+    out = rows.groupBy("document_type").agg(F.count(F.lit(1)).alias("total_documents"), *kpi.quality_aggs(), kpi.throughput_agg(), *kpi.cost_aggs())
+    cols = ("overall_accuracy", "stp_rate", "exception_rate", "throughput_docs_per_hour", "cost_per_document", "review_cost_per_doc")
+    return r6(out.select("document_type", "total_documents", *cols), *cols)
+
+
 QUALITY_COLS = ("overall_accuracy", "stp_rate", "exception_rate")
 
 

@@ -231,6 +231,14 @@ def _(spark, d):
     return out.withColumns({"avg_queue_age_minutes": F.round("avg_queue_age_minutes", 4), "violation_rate": F.round("violation_rate", 6)})
 
 
+@query("reviewer_block", f"""with {Q.RT}, c as (select assigned_to, count(*) filter (status in ('assigned','in_progress')) as o, count(*) filter (status='completed') as d from tasks where assigned_to is not null group by 1)
+  select 'rev_'||s_suppkey as user_id, s_name as name, s_suppkey%7 + coalesce(o,0) as current_workload, coalesce(d,0) as completed_tasks, s_suppkey%9<>0 as is_available, {Q.pick(A.TYPES[:5], 's_suppkey')} as specialization
+  from supplier left join c on c.assigned_to='rev_'||s_suppkey""")
+def _(spark, d):
+    out = V.reviewer_block(A.review_tasks(spark, d), A.reviewers(spark, d))
+    return out.withColumn("specialization", F.array_join("specializations", ",")).drop("specializations")
+
+
 @query("escalate_overdue", f"""with {Q.RT}, x as (select *, {_DEADLINE} as dl from tasks) select task_id, case when dl<timestamp '{NOW}' and status<>'completed'
   then least(3, priority + floor((epoch_us(timestamp '{NOW}')-epoch_us(dl))/900000000.0)+1) else priority end::integer as priority from x""")
 def _(spark, d):

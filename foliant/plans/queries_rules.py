@@ -169,3 +169,32 @@ norm_query("normalize_date", lambda: parse.to_date(varied_date()), Q.to_date(_V)
 norm_query("normalize_currency", lambda: parse.to_amount(val("total_amount")).cast("double"), "try_cast(regexp_replace(total_amount,'[^0-9.-]','','g') as double)")
 norm_query("normalize_phone", lambda: parse.to_phone(val("phone")), "case when key%8=0 then phone else '+1'||regexp_replace(phone,'[^0-9]','','g') end")
 norm_query("normalize_email", lambda: parse.to_email(val("email")), "case when key%9=0 then email else 'c'||key||'@example.com' end")
+
+
+#: A field for each strict rule: its value per key in Spark and SQL, and the SQL condition on which it fails.
+STRICT = {
+    "positive_number": ("quantity", lambda k: (k % 5 - 1).cast("string"), "key%5<2"),
+    "between_0_and_1": ("share", lambda k: ((k % 7) / 5.0).cast("string"), "key%7>5"),
+    "alphabetic": ("first_name", lambda k: A.pick(["Ann-Lee", "R2D2"], k), "key%2=1"),
+    "reasonable_age": ("birth_date", lambda k: A.pick(["1850-01-01", "2050-01-01", "1980-05-05"], k), "key%3<2"),
+    "valid_gender": ("gender", lambda k: A.pick(["M", "female", "robot"], k), "key%3=2"),
+    "valid_height": ("height", lambda k: A.pick(["180 cm", "6 ft", "tall"], k), "key%3=2"),
+    "valid_weight": ("weight", lambda k: A.pick(["150 lb", "80kg", "heavy", "1 kg"], k), "key%4>=2"),
+    "valid_eye_color": ("eye_color", lambda k: A.pick(["Blue", "red", "BRO"], k), "key%3=1"),
+    "valid_language_code": ("language", lambda k: A.pick(["en", "German", "xx"], k), "key%3=2"),
+    "future_date_from_invoice": ("due_date", lambda _: F.col("due_date").cast("string"), "due_date < doc_date"),
+    "after_effective_date": ("expiration_date", lambda _: F.date_format("due_date", "M/d/yyyy"), "due_date <= doc_date"),
+}
+_STRICT_SCHEMA = {"strict": config.DocSchema("strict", fields=tuple(
+    config.FieldSpec(name, required=i % 2 == 0, rules=(rule, "not_empty")) for i, (rule, (name, _, _)) in enumerate(STRICT.items())))}
+
+
+@query("strict_rules", f"with {Q.OD} " + " union all ".join(
+    f"select document_id, '{name}' as field_name, '{rule}' as rule_name, '{'error' if i % 2 == 0 else 'warning'}' as severity from od where {fails}"
+    for i, (rule, (name, _, fails)) in enumerate(STRICT.items())))
+def _(spark, d):
+    """All strict rules over a long table; two of them look at another field of the document."""
+    values = [F.struct(F.lit(name).alias("field_name"), value(F.col("key")).alias("value")) for name, value, _ in STRICT.values()]
+    values += [F.struct(F.lit(n).alias("field_name"), F.col("doc_date").cast("string").alias("value")) for n in ("invoice_date", "effective_date")]
+    rows = A.order_docs(spark, d).select("document_id", F.lit("strict").alias("document_type"), F.explode(F.array(*values)).alias("f")).select("document_id", "document_type", "f.*")
+    return validate.validate_field_rows(rows, TODAY, _STRICT_SCHEMA, strict=True).select("document_id", "field_name", "rule_name", "severity")

@@ -132,3 +132,26 @@ def test_csv_columns_sorted_and_union(spark):
     assert flat.columns == ["blob_name", "field_a_confidence", "field_a_value", "field_b_confidence", "field_b_value"]
     u = W.union_columns(spark.range(1).select("id"), spark.createDataFrame([(5, "z")], "id long, s string"))
     assert u.columns == ["id", "s"] and u.count() == 2
+
+
+def test_stored_metrics_read_only_their_days(spark, tmp_path):
+    """Old and new status names, JSON maps, and a folder that lacks columns; other days are not listed."""
+    from foliant.sources import metrics as M
+
+    plain = str(tmp_path / "plain")
+    rows = [("a", "completed", "2024-01-01T10:00:00", '{"compute": 0.5}'), ("b", "success", "2024-01-02T10:00:00", "not json"), ("c", "hitl_required", "2024-01-03T10:00:00", None)]
+    df = spark.createDataFrame(rows, "document_id string, processing_status string, start_time string, cost_breakdown string").withColumn("dt", F.to_date("start_time"))
+    df.write.partitionBy("dt").parquet(plain)
+    table = VersionedTable(spark, str(tmp_path / "versions"), by="dt")
+    table.replace(df)
+    for source in (spark.read.parquet(plain), table):
+        got = M.stored_metrics(source, "2024-01-01 00:00:00", "2024-01-02 23:00:00")
+        assert {r["document_id"]: (r["processing_status"], r["cost_breakdown"], r["hitl_required"]) for r in got.collect()} == {
+            "a": ("success", {"compute": 0.5}, False), "b": ("success", {}, False)}
+        assert got.columns == list(M.METRICS)
+        assert len(got.inputFiles()) <= 3
+    assert {r["document_id"]: r["processing_status"] for r in M.stored_metrics(table).collect()}["c"] == "needs_review"
+    plan = M.stored_metrics(spark.read.parquet(plain), "2024-01-01", "2024-01-02")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan
+    # A versioned table leaves out the folders of other days before Spark sees them.
+    assert all("2024-01-03" not in f for f in M.stored_metrics(table, "2024-01-01", "2024-01-02").inputFiles())

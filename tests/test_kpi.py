@@ -100,3 +100,29 @@ def test_filter_reaches_the_scan(spark, tmp_path):
     metrics(spark, [row(1)]).write.parquet(path)
     plan = kpi.kpi_quality(kpi.in_period(spark.read.parquet(path), "2024-01-01", "2024-01-02"))._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(start_time" in plan and "cost_breakdown" not in plan
+
+
+def test_dashboard_reads_the_period_twice(spark, tmp_path):
+    """One read gives all sums and the brackets, one counts; no row is shuffled by type, and the plan left over is small."""
+    from foliant.sources import adapters as A
+
+    reads = []
+    path = str(tmp_path / "events")
+    A.table(spark, "/root/testdata/sf0.001", "events").write.parquet(path)
+
+    def listener(df):
+        reads.append(df._jdf.queryExecution().executedPlan().toString().count(path))
+        return real(df)
+
+    from foliant.operators import kpi as K
+    from foliant.operators import quantiles as QU
+
+    real = K.materialize
+    K.materialize = QU.materialize = listener
+    try:
+        out = K.kpi_dashboard(A.events_as_metrics(spark.read.parquet(path)), "2024-01-05", "2024-01-20", group_cols=["document_type"])
+    finally:
+        K.materialize = QU.materialize = real
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert reads == [1, 1] and path not in plan
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange ") < 15
