@@ -139,6 +139,6 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op6_exact_dedup": sql.EXACT_DEDUP,
     "op7_mix_sources": sql.mix_sources(MIX, CRAWL),
-    "op9_url_filter": sql.url_filter(URL_RULES),
+    "op9_url_filter": sql.url_filter(URL_RULES, levels=6),
     "op11_ranked_search": sql.ranked_search(LEXICAL.k),
 }

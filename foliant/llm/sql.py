@@ -70,8 +70,8 @@ union all select doc_id, {a}, {b}, {c}, n_tokens, epoch::integer from x where up
     return ",".join(parts)
 
 
-def url_filter(spec: UrlRules) -> str:
-    """Templates as text joined by /, a level at a time; then merges place by place; then the purity test."""
+def url_filter(spec: UrlRules, levels: int) -> str:
+    """Templates a level at a time, for paths of so many segments at most; then merges place by place; then the purity test."""
     rules = sorted(spec.rules, key=lambda x: -len(x[1]))
 
     def rule_case(what: int) -> str:
@@ -81,7 +81,7 @@ def url_filter(spec: UrlRules) -> str:
             out += f" when (host = '{top}' or ends_with(host, '.{top}')) and starts_with(path, '{slash + rest}') then '{r[what]}'"
         return f"case{out} end"
 
-    d = spec.levels
+    d = levels
     parts = [f"""
 with lab as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels group by 1),
 a as (select page_id, strpos(coalesce(url, ''), '://') as s, url from pages),
@@ -90,24 +90,25 @@ hp as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{
        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from h),
 u as (select hp.*, lab.bad, list_filter(string_split(path, '/'), lambda x: x <> '') as parts from hp
       left join lab on lab.doc_id = try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') as bigint)),
-l0 as (select *, []::varchar[] as tpl, case when len(parts) >= {d} then list_concat(parts[1:{d - 1}], [array_to_string(parts[{d}:], '/')]) else parts end as segs from u)"""]
+l0 as (select *, []::varchar[] as tpl, parts as segs, false as ended from u)"""]
     for i in range(d):
+        # A path goes on until it has no more segments, or until a node above had fewer URLs than a branch needs.
         parts.append(f"""
-c{i} as (select host, tpl, segs[{i + 1}] as seg, count(*) as c, sum(count(*)) over (partition by host, tpl) as n from l{i} where len(segs) > {i} group by host, tpl, segs[{i + 1}]),
-k{i} as (select host, tpl, seg from c{i} where c >= {spec.min_urls} and c * 100 >= n * {spec.min_percent}),
-l{i + 1} as (select l.* exclude (tpl), case when len(segs) <= {i} then l.tpl when k.seg is null then list_append(l.tpl, '*') else list_append(l.tpl, k.seg) end as tpl
-        from l{i} l left join k{i} k on k.host = l.host and k.tpl = l.tpl and k.seg = l.segs[{i + 1}])""")
+c{i} as (select host, tpl, segs[{i + 1}] as seg, count(*) as c, sum(count(*)) over (partition by host, tpl) as n from l{i} where len(segs) > {i} and not ended group by host, tpl, segs[{i + 1}]),
+l{i + 1} as (select l.* exclude (tpl, ended), l.ended or coalesce(c.n < {spec.min_urls}, false) as ended,
+        case when c.seg is null then l.tpl when c.c >= {spec.min_urls} then list_append(l.tpl, c.seg) else list_append(l.tpl, '#*') end as tpl
+        from l{i} l left join c{i} c on not l.ended and c.host = l.host and c.tpl = l.tpl and c.seg = l.segs[{i + 1}])""")
     parts.append(f"""
 m0 as (select host, tpl, tpl as t, count(bad) as n, coalesce(sum(bad), 0) as b from l{d} group by all)""")
     for i in range(d):
         parts.append(f"""
-o{i} as (select *, case when len(t) > {i} then list_concat(list_append(t[1:{i}], '*'), t[{i + 2}:]) else t end as open,
+o{i} as (select *, case when len(t) > {i} then list_concat(list_append(t[1:{i}], '#*'), t[{i + 2}:]) else t end as open,
         sum(n) over (partition by host, t) as tn, sum(b) over (partition by host, t) as tb from m{i}),
 q{i} as (select distinct host, open, t, tn, tb from o{i}),
 f{i} as (select host, open, first(tn order by tn desc, t desc) as ln, first(tb order by tn desc, t desc) as lb from q{i} group by all),
 a{i} as (select q.*, coalesce(tn = 0 or abs(tb / tn - lb / ln) <= sqrt(ln(2 / {spec.alpha}) / 2) * (1 / sqrt(tn) + 1 / sqrt(ln)), false) as alike from q{i} q join f{i} using (host, open)),
-k2{i} as (select host, open, count(*) filter (alike) as k from a{i} group by all),
-m{i + 1} as (select o.host, o.tpl, case when a.alike and k.k > 1 then o.open else o.t end as t, o.n, o.b
+k2{i} as (select host, open, count(*) filter (alike) as k, bool_or(t = open and not alike) as taken from a{i} group by all),
+m{i + 1} as (select o.host, o.tpl, case when a.alike and k.k > 1 then (case when k.taken then list_concat(list_append(o.t[1:{i}], '#+'), o.t[{i + 2}:]) else o.open end) else o.t end as t, o.n, o.b
         from o{i} o join a{i} a on a.host = o.host and a.open = o.open and a.t = o.t join k2{i} k on k.host = o.host and k.open = o.open)""")
     parts.append(f"""
 g as (select count(bad) as seen, count(bad) - coalesce(sum(bad), 0) as good from u),
@@ -115,6 +116,6 @@ v as (select host, tpl, t, (sum(n - b) over w * (case when seen = 0 then 1 else
       < ((sum(n) over w + {spec.prior}) * (case when seen = 0 then 1 else seen end))::hugeint * {spec.min_good_percent} as reject
       from m{d}, g window w as (partition by host, t))
 select page_id, l.host, l.path, {rule_case(1).replace('host', 'l.host')} as rule,
-       coalesce({rule_case(0).replace('host', 'l.host')}, case when reject then 'block' else 'allow' end) as verdict, array_to_string(v.t, '/') as template
+       coalesce({rule_case(0).replace('host', 'l.host')}, case when reject then 'block' else 'allow' end) as verdict, array_to_string(list_transform(v.t, lambda x: case when x in ('#*', '#+') then x[2] else x end), '/') as template
 from l{d} l join v on v.host = l.host and v.tpl = l.tpl""")
     return ",".join(parts)
