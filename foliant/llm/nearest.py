@@ -102,16 +102,21 @@ def nearest(vectors: DataFrame, spec: NearestSpec = NearestSpec(), id_col: str =
     """``query_id, rank, vec_id, score``: the nearest vectors of each query, nearest first, ties to the smaller id.
 
     A vector that is null, zero, or has a null or non-finite component takes no part, nor does one with a null id or one of another
-    length than the query. Rows with the query's own id are no candidates; other rows that are there twice are two candidates.
+    length than the query. An id that is there several times is one query, with its shortest and then least vector. Rows with the
+    query's own id are no candidates; other rows that are there twice are two candidates.
     Other columns of the input are not looked at; an empty table gives an empty result.
     """
+    if not 0 < spec.threshold <= spec.lines <= 255:
+        raise ValueError("collisions are counted in bytes: threshold <= lines <= 255")
     rows = keep(valid(vectors, id_col, vec_col), "vectors")
     n = rows.count()
     blocks, parts = -(-n // spec.block_rows) or 1, -(-(n // spec.every + 1) // spec.block_queries)
     side = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     data = rows.select("vec_id", "v", "dim", side.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    asked = rows.where(F.col("vec_id") % spec.every == 0).select(
-        "vec_id", "v", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
+    # One query per id, however often it is there: the shortest vector with it, then the least.
+    once = rows.where(F.col("vec_id") % spec.every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q"))
+    asked = once.select(
+        "vec_id", "q.v", "q.dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
