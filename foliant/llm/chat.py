@@ -2,7 +2,9 @@
 
 A conversation becomes one or more windows of text. Prefix sums of the turns' tokens choose, from the first turn on, the
 longest span of whole turns that fits the budget; each later window starts with the conversation's system turn again and with as
-much of the turns just before it as a part of the budget allows. Only the span is new: what is repeated is not trained on again, so each
+much of the turns just before it as a part of the budget allows. A system turn of more than half the budget is shown once, where it
+stands, and not again, so a window has room for at least a part of the budget that is new, and the output is a small multiple of
+the input. Only the span is new: what is repeated is not trained on again, so each
 assistant text is under the loss mask once. A turn longer than the budget has a window to itself and is never cut.
 
 The template marks turns by control strings. Inside texts these are broken by a backslash after their first character, and
@@ -34,6 +36,8 @@ _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 #: Before and after the text of each role; a role that is not here is named in its turn.
 MARKS = {"system": ("<<SYS>>\n", "\n<</SYS>>\n\n"), "user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>")}
 BEGIN = "<s>"
+#: Characters of turns that are tokenized together, about.
+_HELD_CHARS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -82,14 +86,13 @@ def read_window(text: str) -> list[tuple[str, str]]:
     return turns
 
 
-def _windows(rows: list[tuple], counter: TokenCounter, spec: ChatSpec) -> Iterator[tuple[str, int, list[dict], int]]:
-    """Windows of one segment. ``rows``: (kind, number, role, text), kind 0: the system turn, 1: turns before the segment, 2: its own.
+def _windows(turns: list[tuple], sizes: list[int], spec: ChatSpec) -> Iterator[tuple[str, int, list[dict], int]]:
+    """Windows of one segment. ``turns``: (kind, number, role, and what ``format_turn`` gives), kind 0: the system turn, 1: turns before
+    the segment, 2: its own; ``sizes``: their tokens.
 
     Yields the text, the number of repeated turns it begins with, the spans under the loss mask and the tokens.
     """
-    turns = [(kind, number, role, *format_turn(role, text)) for kind, number, role, text in rows]
-    sizes = [len(i) for i in counter.batch([t[3] for t in turns])]
-    system = [(t, n) for t, n in zip(turns, sizes) if t[0] == 0]
+    system = [(t, n) for t, n in zip(turns, sizes) if t[0] == 0 and n <= spec.budget // 2]
     body = [(t, n) for t, n in zip(turns, sizes) if t[0] != 0]
     sums = np.concatenate(([0], np.cumsum([n for _, n in body], dtype=np.int64)))
     at = sum(t[0] == 1 for t, _ in body)
@@ -158,16 +161,26 @@ def format_windows(turns: DataFrame, spec: ChatSpec = ChatSpec(), id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter.shared(spec.files)
-        out: list[dict] = []
+        held: list[tuple] = []
+
+        def windows() -> pa.RecordBatch:
+            """The windows of what is held, whose turns are tokenized in one call."""
+            sizes = iter([len(i) for i in counter.batch([t[3] for *_, turns in held for t in turns])])
+            out = [{"conv": conv, "conv_id": conv_id, "segment": seg, "window": k, "text": text, "repeated": repeated, "spans": spans, "n_tokens": n}
+                   for conv, conv_id, seg, turns in held for k, (text, repeated, spans, n) in enumerate(_windows(turns, [next(sizes) for _ in turns], spec))]
+            held.clear()
+            return pa.RecordBatch.from_pylist(out, schema)
+
+        n_held = 0
         for (conv, seg), t in _runs(batches, ["conv", "segment"]):
-            parts = list(zip(*(t.column(c).to_pylist() for c in ("kind", "rn", "role", "text"))))
-            for k, (text, repeated, spans, n) in enumerate(_windows(parts, counter, spec)):
-                out.append({"conv": conv, "conv_id": t.column("conv_id")[0].as_py(), "segment": seg, "window": k, "text": text, "repeated": repeated, "spans": spans, "n_tokens": n})
-            if len(out) >= 1000:
-                yield pa.RecordBatch.from_pylist(out, schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
+            turns = [(kind, number, role, *format_turn(role, text)) for kind, number, role, text in zip(*(t.column(c).to_pylist() for c in ("kind", "rn", "role", "text")))]
+            held.append((conv, t.column("conv_id")[0].as_py(), seg, turns))
+            n_held += sum(len(x[3]) for x in turns)
+            if n_held >= _HELD_CHARS:
+                yield windows()
+                n_held = 0
+        if held:
+            yield windows()
 
     kind = rows.schema["conv_id"].dataType
     schema = pa.schema([("conv", pa.string()), ("conv_id", pa.int64() if kind.simpleString() == "bigint" else pa.string()), ("segment", pa.int32()), ("window", pa.int32()),
