@@ -277,3 +277,80 @@ def test_null_columns_only(spark):
     assert packing.pack(frame).where("length = 1").count() == 3
     assert mixing.mix(frame, mixing.MixSpec(levels=("lang", "source"))).count() == 0
     assert secrets.scan(frame).where("spans = ''").count() == 3
+
+
+def judged(spark, rows, spec=None):
+    frame = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(rows)], "page_id long, url string, bad int")
+    return frame, {r.page_id: r for r in url_filter.judge_urls(frame, spec or url_filter.UrlRules(rules=())).collect()}
+
+
+def test_a_bad_wildcard_stays_apart_from_good_sections(spark):
+    """Two good sections that are merged do not take the bad pages of all other sections along."""
+    rows = [(f"http://h.org/{s}/{i}", 0) for s in ("buy", "read") for i in range(100)] + [(f"http://h.org/u{i}/{i}", 1) for i in range(100)]
+    _, got = judged(spark, rows)
+    assert [got[i].verdict for i in range(300)] == ["allow"] * 200 + ["block"] * 100
+    assert got[0].template == got[150].template != got[250].template
+    # With one good section the same pages are blocked, and a wildcard that is like the others is one with them.
+    _, got = judged(spark, rows[:100] + rows[200:])
+    assert [got[i].verdict for i in range(200)] == ["allow"] * 100 + ["block"] * 100
+    _, got = judged(spark, [(u, 0) for u, _ in rows])
+    assert len({got[i].template for i in range(300)}) == 1
+
+
+def test_small_and_deep_sections_are_judged(spark):
+    """A bad section of one page in a hundred, and one that only its fourth segment tells."""
+    rows = [(f"http://h.org/a/{i % 40}/x{i}", 0) for i in range(3000)] + [(f"http://h.org/casino/{i}", 1) for i in range(30)]
+    rows += [(f"http://g.org/a/b/c/{s}/{i}/z", bad) for s, bad in (("casino", 1), ("news", 0)) for i in range(60)]
+    rows += [("http://k.org/" + "/".join(map(str, range(40))), 0), ("http://k.org", 1), (None, None), ("no address", 0)]
+    frame, got = judged(spark, rows)
+    assert {got[i].verdict for i, (u, b) in enumerate(rows) if b == 1 and u != "http://k.org"} == {"block"}
+    assert {got[i].verdict for i, (_, b) in enumerate(rows) if b == 0} == {"allow"}
+    # The same by SQL written from the rule, up to its number of levels.
+    import duckdb
+
+    from foliant.llm import sql
+
+    con = duckdb.connect()
+    con.register("pages_df", frame.select("page_id", "url").toPandas())
+    con.execute("create view pages as select page_id, case when url is null or url = 'None' then null else url end as url from pages_df")
+    con.execute("create table labels as select null::bigint as doc_id, 0 as quality, 0 as toxic where false")
+    plain = url_filter.judge_urls(frame.withColumn("bad", F.lit(None).cast("int")), url_filter.UrlRules(rules=()))
+    want = {(r[0], r[1]) for r in con.execute(f"select page_id, template from ({sql.url_filter(url_filter.UrlRules(rules=(('allow', 'none/'),)), levels=8)})").fetchall()}
+    assert {(r.page_id, r.template) for r in plain.collect()} == want
+
+
+def test_nearest_with_repeated_queries_and_many_rows(spark):
+    """Counting decides: far more rows than are verified in any case. A query that is there twice is asked once."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.standard_normal((40, 24))[rng.integers(0, 40, 10_000)] + 0.6 * rng.standard_normal((10_000, 24))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist()), (40, (x[40] * 2).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.nearest(frame, nearest.NearestSpec(every=100)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert set(got) == set(range(0, 10_000, 100))
+    hit = 0
+    for i, found in got.items():
+        assert sorted(k for k, _ in found) == list(range(1, 21))
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        hit += len({v for _, v in found} & set(np.argsort(-scores)[:20].tolist()))
+    assert hit / (20 * len(got)) >= 0.9
+    again = nearest.nearest(frame.where("vec_id < 600"), nearest.NearestSpec()).where("query_id = 40").collect()
+    assert len(again) == 20 and sorted(r["rank"] for r in again) == list(range(1, 21))
+
+
+def test_system_turn_above_the_budget(spark):
+    """It is shown once, so the output stays a small multiple of the input; windows are those of a plain version."""
+    spec = chat.ChatSpec(budget=64, history=16)
+    turns = [(1, 0, "system", "rule " * 400)] + [(1, i, "user" if i % 2 else "assistant", f"text number {i} says this") for i in range(1, 120)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    windows = sorted(chat.format_windows(frame, spec).collect(), key=lambda r: (r.segment, r.window))
+    said = sum(len(t) for *_, t in turns)
+    assert sum(len(r.text) for r in windows) < 6 * said
+    assert sum("rule rule" in r.text for r in windows) == 1 and len(windows) > 10
+    assert all(r.n_tokens <= spec.budget for r in windows[1:])
+    new = [t for r in windows for t in chat.read_window(r.text)[r.repeated:]]
+    assert new == [(role, text) for _, _, role, text in turns]
