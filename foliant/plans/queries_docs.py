@@ -13,6 +13,7 @@ from foliant.operators import stats, validate
 from foliant.plans import documents as P
 from foliant.plans import sql as Q
 from foliant.plans.registry import query
+from foliant.plans.sql_plan import plan_sql
 from foliant.session import work_path
 from foliant.sinks import writers as W
 from foliant.sinks.versioned import VersionedTable
@@ -463,7 +464,7 @@ def _(spark, d):
 
 # ---- whole plans and masking ----
 
-@query("process_documents")
+@query("process_documents", f"with {plan_sql(TODAY, True)} select * from decided")
 def _(spark, d):
     out = P.process_documents(A.ocr_docs(spark, d), TODAY)
     return out.select("document_id", "document_type", F.size("fields").alias("fields"), F.size("validation_results").alias("results"),

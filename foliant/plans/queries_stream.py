@@ -9,6 +9,7 @@ from foliant.plans import sql as Q
 from foliant.plans.queries_classify import KW
 from foliant.plans.queries_review import FOLD_SQL
 from foliant.plans.registry import query
+from foliant.plans.sql_plan import plan_sql
 from foliant.session import work_path
 from foliant.sources import adapters as A
 from foliant.streaming import documents as D
@@ -36,7 +37,8 @@ def _(spark, d):
     return spark.read.parquet(path).select("path")
 
 
-@query("stream_documents")
+@query("stream_documents", f"""with {plan_sql('1999-06-01', False)} select document_id, document_type, case when requires_hitl then 'needs_review' else 'success' end as processing_status,
+  fields as field_count, requires_hitl as hitl_required, routing_reason as hitl_reason from decided""")
 def _(spark, d):
     docs = A.order_text(A.order_docs_from(read_stream(spark, d, "orders"))).withColumn("processing_time", F.col("key") % 90 / 10.0)
     path = work_path(spark, "metrics")
