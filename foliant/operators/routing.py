@@ -81,11 +81,11 @@ def decision(review: Column, confidence: Column, errors: Column, weak_named_fiel
 
 
 def route_simple(docs: DataFrame, threshold: float = config.LOW_FIELD_THRESHOLD) -> DataFrame:
-    """Adds ``reasons`` and ``route`` from validation results and a confidence map."""
+    """Adds ``reasons`` and ``route`` from validation results and a confidence map; weak fields are named in alphabetical order."""
     failed = F.transform(
         F.filter("validation_results", lambda r: ~r["is_valid"] & (r["severity"] == "error")),
         lambda r: F.concat(F.lit("Validation failed: "), r["message"]))
-    low = F.transform(F.filter(F.map_entries("confidence_scores"), lambda e: e["value"] < threshold), lambda e: e["key"])
+    low = F.array_sort(F.transform(F.filter(F.map_entries("confidence_scores"), lambda e: e["value"] < threshold), lambda e: e["key"]))
     lines = F.concat(failed, F.when(F.size(low) > 0, F.array(F.concat(F.lit("Low confidence fields: "), F.array_join(low, ", ")))).otherwise(
         F.array().cast("array<string>")))
     return docs.withColumn("reasons", lines).withColumn("route", F.size("reasons") > 0)

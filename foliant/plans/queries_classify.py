@@ -161,14 +161,20 @@ def _(spark, d):
     return C.key_phrases(docs, "text").select("doc_id", F.array_join("key_phrases", " ").alias("key_phrases"))
 
 
-@query("feature_vector", f"""with {_TF} select doc_id, 26::integer as features, 0.0::double as f0, word_count::double as f15, unique_word_count::double as f16, (language='english')::int::double as f20, has_phone::int::double as f25 from tf""")
+_TEXT_VALUES = ("word_count", "unique_word_count", "avg_word_length", "sentence_count", "word_count/greatest(sentence_count,1)", "(language='english')::int", "has_numbers::int",
+                "has_dates::int", "has_currency::int", "has_email::int", "has_phone::int")
+
+
+@query("feature_vector", f"with {_TF} select doc_id, " + ", ".join(f"0.0::double as f{i}" for i in range(len(C.LAYOUT_FEATURES))) + ", " + ", ".join(
+    f"round({x}::double,6) as f{len(C.LAYOUT_FEATURES) + i}" for i, x in enumerate(_TEXT_VALUES)) + " from tf")
 def _(spark, d):
+    """All values of the vector, in its order; documents without a layout have zeros for it."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     rows, names = ml.feature_frame(features(spark, d), ["doc_id"], with_layout=True)
     v = VectorAssembler(inputCols=names, outputCol="v").transform(rows).select("doc_id", vector_to_array("v").alias("a"))
-    return v.select("doc_id", F.size("a").alias("features"), *[F.col("a")[i].alias(f"f{i}") for i in (0, 15, 16, 20, 25)])
+    return v.select("doc_id", *[F.round(F.col("a")[i], 6).alias(f"f{i}") for i in range(len(names))])
 
 
 @query("feature_vector_layout")

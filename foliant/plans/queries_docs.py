@@ -8,6 +8,7 @@ from foliant import config
 from foliant.functions import mask
 from foliant.operators import crossfield as C
 from foliant.operators import joins as J
+from foliant.operators import extract as X
 from foliant.operators import routing as R
 from foliant.operators import stats, validate
 from foliant.plans import documents as P
@@ -287,19 +288,26 @@ def _(spark, d):
 _CUR = "regexp_matches(value,'^\\$?[\\d,]+\\.?\\d{0,2}$')"
 
 
-@query("validate_document", f"""with {Q.FD}, x as (select *, lower(field_name) as n from fv) select rule_name, is_valid, severity, count(*) as results from (
-  select 'required' as rule_name, false as is_valid, 'error' as severity from x where field_name='invoice_number' and document_type='invoice' and value=''
-  union all select 'regex', regexp_matches(value,'^[A-Za-z0-9-]+$'), case when regexp_matches(value,'^[A-Za-z0-9-]+$') then 'info' else 'error' end from x where field_name='invoice_number' and value<>''
-  union all select 'regex', {_CUR}, case when {_CUR} then 'info' else 'error' end from x where field_name in ('total_amount','subtotal','tax_amount')
-  union all select 'numeric_range', true, 'info' from x where field_name in ('total_amount','tax_amount','subtotal')
-  union all select 'regex', key%9<>0, case when key%9<>0 then 'info' else 'error' end from x where field_name='email'
-  union all select 'regex', key%8<>0, case when key%8<>0 then 'info' else 'error' end from x where field_name='phone'
-  union all select 'date_format', {Q.to_date('value')} is not null, case when {Q.to_date('value')} is not null then 'info' else 'error' end from x where n like '%date%'
-  union all select 'invoice_date_before_due_date', coalesce(invoice_date::date<={Q.to_date('due_date')},false), case when coalesce(invoice_date::date<={Q.to_date('due_date')},false) then 'info' else 'error' end from fd
-  union all select 'invoice_total_consistency', key%7<>0, case when key%7<>0 then 'info' else 'error' end from od) group by 1,2,3""")
+def _verdicts(parts):
+    """Rows (document, field, rule, verdict, severity) of rules given as (fields' SQL, rule, verdict, source)."""
+    return " union all ".join(f"""select document_id, {field} as field_name, '{rule}' as rule_name, {ok} as is_valid, case when {ok} then 'info' else 'error' end as severity from {source}"""
+                              for field, rule, ok, source in parts)
+
+
+_MONEY = "field_name in ('total_amount','subtotal','tax_amount')"
+
+
+@query("validate_document", f"with {Q.FD}, x as (select *, lower(field_name) as n from fv) " + _verdicts([
+    ("field_name", "required", "false", "x where field_name='invoice_number' and document_type='invoice' and value=''"),
+    ("field_name", "regex", "regexp_matches(value,'^[A-Za-z0-9-]+$')", "x where field_name='invoice_number' and value<>''"),
+    ("field_name", "regex", _CUR, f"x where {_MONEY}"), ("field_name", "numeric_range", "true", f"x where {_MONEY}"),
+    ("field_name", "regex", "key%9<>0", "x where field_name='email'"), ("field_name", "regex", "key%8<>0", "x where field_name='phone'"),
+    ("field_name", "date_format", f"{Q.to_date('value')} is not null", "x where n like '%date%'"),
+    ("'invoice_date+due_date'", "invoice_date_before_due_date", f"coalesce(invoice_date::date<={Q.to_date('due_date')},false)", "fd"),
+    ("'amount_consistency'", "invoice_total_consistency", "key%7<>0", "od")]))
 def _(spark, d):
     out = validate.validate_document(A.field_docs(spark, d))
-    return out.select(F.explode_outer("validation_results").alias("r")).select("r.*").groupBy("rule_name", "is_valid", "severity").agg(F.count(F.lit(1)).alias("results"))
+    return X.explode_rows(out, ["document_id"], F.col("validation_results")).select("document_id", "field_name", "rule_name", "is_valid", "severity")
 
 
 # ---- confidence and routing ----
@@ -345,17 +353,13 @@ def _(spark, d):
     return R.route(routed_fields(spark, d)).select("document_id", F.round("overall_confidence", 6).alias("overall_confidence"), "auto_approve")
 
 
-@query("route_simple", f"""with {Q.FD}, x as (select document_id, key, concat_ws(', ', case when c_number<0.7 then 'invoice_number' end, case when c_total<0.7 then 'total_amount' end,
-   case when c_vendor<0.7 then 'vendor_name' end, case when c_date<0.7 then 'invoice_date' end) as low from fd)
+@query("route_simple", f"""with {Q.FD}, x as (select document_id, key, concat_ws(', ', case when c_date<0.7 then 'invoice_date' end, case when c_number<0.7 then 'invoice_number' end,
+   case when c_total<0.7 then 'total_amount' end, case when c_vendor<0.7 then 'vendor_name' end) as low from fd)
   select document_id, concat_ws('; ', case when key%3=0 then 'Validation failed: bad' end, case when low<>'' then 'Low confidence fields: '||low end) as reasons, key%3=0 or low<>'' as route from x""")
 def _(spark, d):
     bad = F.struct((F.col("key") % 3 != 0).alias("is_valid"), F.lit("error").alias("severity"), F.lit("bad").alias("message"))
     out = R.route_simple(A.field_docs(spark, d).withColumn("validation_results", F.array(bad)))
-    names = ["invoice_number", "total_amount", "vendor_name", "invoice_date"]
-    low = F.array_join(F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.col("confidence_scores")[n] < 0.7), ", ")
-    # The map's key order is not fixed: show the names of the last reason in a fixed order.
-    shown = F.concat_ws("; ", F.when(F.col("key") % 3 == 0, F.col("reasons")[0]), F.when(low != "", F.concat(F.lit("Low confidence fields: "), low)))
-    return out.select("document_id", shown.alias("reasons"), "route")
+    return out.select("document_id", F.array_join("reasons", "; ").alias("reasons"), "route")
 
 
 @query("review_priority", f"""with {Q.FD}, x as (select *, (c_number<0.6)::int+(c_total<0.6)::int+(c_vendor<0.6)::int+(c_date<0.6)::int as low from fd)

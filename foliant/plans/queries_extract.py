@@ -138,16 +138,21 @@ def _(spark, d):
 
 
 
-@query("process_table", f"""with {Q.OD}, x as (select document_id, key, subtotal, round(subtotal::decimal(20,3)/2,2)::decimal(18,2) as a from od where key%6<>5),
-  c as (select document_id, 1 as row, 'description' as column_name, 'Goods' as value from x union all select document_id, 1, 'quantity', (key%4+1)::double::varchar from x
-   union all select document_id, 1, 'unit_price', null from x union all select document_id, 1, 'amount', null from x
+_CELL = "printf('%.2f', {}::double)"
+
+
+@query("process_table", f"""with {Q.OD}, x as (select document_id, key, subtotal, ((((subtotal*100)::bigint+1)//2)::decimal(18,2)*0.01)::decimal(18,2) as a from od where key%6<>5),
+  c as (select document_id, 1 as row, 'description' as column_name, 'Goods' as value from x union all select document_id, 1, 'quantity', {_CELL.format('(key%4+1)')} from x
+   union all select document_id, 1, 'unit_price', {_CELL.format('a')} from x union all select document_id, 1, 'amount', {_CELL.format('a')} from x
    union all select document_id, 2, 'description', 'Freight' from x union all select document_id, 2, 'quantity', null from x
-   union all select document_id, 2, 'unit_price', 'n/a' from x union all select document_id, 2, 'amount', null from x)
-  select document_id, row, column_name, case when column_name in ('unit_price','amount') and coalesce(value,'')<>'n/a' then 'number' else coalesce(value,'-') end as shown from c""")
+   union all select document_id, 2, 'unit_price', 'n/a' from x union all select document_id, 2, 'amount', {_CELL.format('(subtotal-a)')} from x)
+  select document_id, row, column_name, coalesce(value,'-') as shown from c""")
 def _(spark, d):
+    """Every cell; numbers are shown with two places."""
     out = T.process_table(ocr(spark, d, "tables"), ITEMS, ["document_id"])
-    number = F.col("column_name").isin("unit_price", "amount") & F.col("value").try_cast("double").isNotNull()
-    return out.select("document_id", "row", "column_name", F.when(number, "number").otherwise(F.coalesce("value", F.lit("-"))).alias("shown"))
+    number = F.format_string("%.2f", F.col("value").try_cast("double"))
+    shown = F.when(F.col("value").try_cast("double").isNotNull(), number).otherwise(F.coalesce("value", F.lit("-")))
+    return out.select("document_id", "row", "column_name", shown.alias("shown"))
 
 
 @query("process_table_sums", f"with {Q.OD} select document_id, round(sum(subtotal)::double,2) as amount from od where key%6<>5 group by 1")

@@ -311,19 +311,56 @@ _REPORT_SQL = f"""with {Q.PDM}, a as (select document_type, count(*) as total_do
   {Q.quantiles('p', 'document_type', 'total_processing_time')}, k as (select * from a join qt using (document_type))"""
 
 
+def _pct(col, places=1):
+    return col, f"printf('%.{places}f%%', round(({col})*100,{places}))"
+
+
+def _num(col, places, before="", after=""):
+    return col, f"'{before}'||printf('%.{places}f', round({col},{places}))||'{after}'"
+
+
+def _whole(col, after):
+    return col, f"printf('%.0f', round_even({col},0))||'{after}'"
+
+
+def _share(part):
+    return _num(f"{part}_cost_per_doc/nullif(cost_per_document,0.0)*100", 1, after="%")
+
+
+_NO_STATUS = "null::varchar"
+_DEPTH = ("poison_queue_count", "poison_queue_count::varchar")
+
+
+def _good(col, good, warn, middle="Needs Attention"):
+    return f"case when {col}>{good} then 'Good'" + (f" when {col}>{warn} then '{middle}' else 'Critical' end" if warn is not None else f" else '{middle}' end")
+
+
+#: Every line of the report: section, place, label, (value, text), status.
+_LINES = [("executive", i, *x, _NO_STATUS) for i, x in enumerate([
+    ("Overall Accuracy", _pct("overall_accuracy")), ("Straight-Through Processing Rate", _pct("stp_rate")), ("Exception Rate", _pct("exception_rate")),
+    ("Median Processing Time", _num("latency_p50", 2, after="s")), ("95th Percentile Latency", _num("latency_p95", 2, after="s")),
+    ("Throughput", _whole("throughput_docs_per_hour", " docs/hour")), ("SLA Adherence", _pct("sla_adherence_rate")), ("Cost per Document", _num("cost_per_document", 3, "$")),
+    ("Reprocess Rate", _pct("reprocess_rate")), ("Operational Efficiency", _pct("1-exception_rate"))])]
+_LINES += [("operational", i, *x) for i, x in enumerate([
+    ("Processing Accuracy", _pct("overall_accuracy"), _good("overall_accuracy", 0.9, 0.8)), ("STP Rate", _pct("stp_rate"), _good("stp_rate", 0.8, 0.7)),
+    ("Throughput", _whole("throughput_docs_per_hour", " docs/hr"), _good("throughput_docs_per_hour", 100, None, "Monitor")),
+    ("P95 Latency", _num("latency_p95", 2, after="s"), "case when latency_p95<10 then 'Good' when latency_p95<30 then 'Monitor' else 'Critical' end"),
+    ("Poison Queue Count", _DEPTH, _NO_STATUS), ("Reprocess Rate", _pct("reprocess_rate", 2), _NO_STATUS),
+    *(line for p in ("compute", "storage", "review") for line in ((f"{p.title()} Cost", _num(f"{p}_cost_per_doc", 4, "$"), _NO_STATUS), (f"{p.title()} Share", _share(p), _NO_STATUS))),
+    ("Total Cost", _num("cost_per_document", 4, "$"), _NO_STATUS), ("Documents Requiring Review", _pct("1-stp_rate"), _NO_STATUS)])]
+_LINES += [("technical", i, *x, _NO_STATUS) for i, x in enumerate([
+    ("P50 (Median)", _num("latency_p50", 3, after="s")), ("P95", _num("latency_p95", 3, after="s")), ("Throughput", _num("throughput_docs_per_hour", 2, after=" documents/hour")),
+    ("OCR Accuracy", _pct("overall_accuracy", 3)), ("Validation Pass Rate", _pct("1-exception_rate", 3)), ("STP Rate", _pct("stp_rate", 3)),
+    ("Compute Cost/Doc", _num("compute_cost_per_doc", 6, "$")), ("Storage Cost/Doc", _num("storage_cost_per_doc", 6, "$")), ("Review Cost/Doc", _num("review_cost_per_doc", 6, "$")),
+    ("Total Cost/Doc", _num("cost_per_document", 6, "$")), ("Reprocess Rate", _pct("reprocess_rate", 4)), ("Poison Queue Depth", _DEPTH), ("SLA Compliance", _pct("sla_adherence_rate", 2))])]
+
+
 @query("kpi_report", _REPORT_SQL + " " + " union all ".join(
-    f"""select document_type, 'operational' as section, '{label}' as label, {col}::double as value, {text} as text, {st} as status from k"""
-    for label, col, text, st in [
-        ("Processing Accuracy", "round(overall_accuracy,6)", "printf('%.1f%%', round(overall_accuracy*100,1))", "case when overall_accuracy>0.9 then 'Good' when overall_accuracy>0.8 then 'Needs Attention' else 'Critical' end"),
-        ("STP Rate", "round(stp_rate,6)", "printf('%.1f%%', round(stp_rate*100,1))", "case when stp_rate>0.8 then 'Good' when stp_rate>0.7 then 'Needs Attention' else 'Critical' end"),
-        ("P95 Latency", "round(latency_p95,6)", "printf('%.2fs', round(latency_p95,2))", "case when latency_p95<10 then 'Good' when latency_p95<30 then 'Monitor' else 'Critical' end"),
-        ("Poison Queue Count", "poison_queue_count", "poison_queue_count::varchar", "null::varchar"),
-    ]))
+    f"select document_type, '{section}' as section, '{label}' as label, round(({col})::double,6) as value, {text} as text, {status} as status from k"
+    for section, _, label, (col, text), status in _LINES))
 def _(spark, d):
     k = kpi.kpi_dashboard(A.document_metrics(spark, d), START, END, group_cols=["document_type"])
-    keep = ["Processing Accuracy", "STP Rate", "P95 Latency", "Poison Queue Count"]
-    out = report.kpi_report(k, ["operational"], ["document_type"]).where(F.col("label").isin(*keep))
-    return out.select("document_type", "section", "label", F.round("value", 6).alias("value"), "text", "status")
+    return report.kpi_report(k, keys=["document_type"]).select("document_type", "section", "label", F.round("value", 6).alias("value"), "text", "status")
 
 
 @query("save_snapshot", f"""with {Q.PDM}, a as (select {Q.QUALITY} from p)

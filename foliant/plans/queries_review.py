@@ -205,14 +205,14 @@ def _(spark, d):
     return V.training_summary(A.review_tasks(spark, d), A.corrections(spark, d))
 
 
-@query("export_training_data", f"with {_TR} select document_type, count(*) as total_samples from tr where document_type='receipt' group by 1")
+@query("export_training_data", f"with {_TR} select task_id, document_type from tr where document_type='receipt'")
 def _(spark, d):
     from foliant.session import work_path
     from foliant.sinks.writers import export_training_data
 
     path = work_path(spark, "training")
     export_training_data(records(spark, d), path, "receipt")
-    return spark.read.schema("task_id string, document_type string").json(path).groupBy("document_type").agg(F.count(F.lit(1)).alias("total_samples"))
+    return spark.read.schema("task_id string, document_type string").json(path)
 
 
 @query("sla_statistics", f"""with {Q.RT}, x as (select *, {_DEADLINE} as dl, status='completed' and first_touched_at is not null as tc from tasks)
