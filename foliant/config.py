@@ -302,6 +302,32 @@ REVIEW_FOCUS = {
     },
 }
 
+# What the text features look for.
+TEXT_PATTERNS = {
+    "numbers": r"\d",
+    "dates": r"\d{1,2}[/-]\d{1,2}[/-]\d{4}",
+    "currency": r"[$€£¥]|\b\d+\.\d{2}\b",
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    "phone": r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b",
+}
+# Words by which a field's kind is told from its name, first fit first.
+FIELD_KINDS = {
+    "date": ("date",),
+    "currency": ("amount", "total", "price", "cost", "sum"),
+    "alphanumeric": ("number", "id", "code"),
+    "email": ("email",),
+    "phone": ("phone",),
+}
+# Words and codes that strict rules accept.
+LANGUAGE_CODES = ["en", "de", "fr", "es", "it", "pt", "nl", "english", "german", "french", "spanish"]
+GENDERS = ["m", "f", "x", "male", "female", "other"]
+EYE_COLORS = ["blue", "brown", "green", "hazel", "gray", "grey", "black", "bro", "blu", "grn", "haz", "gry", "blk"]
+# Bounds and steps by which field quality is estimated from confidence: (valid: most, step), (else: least, step).
+QUALITY_PROXY = {
+    "precision": ((0.95, 0.05), (0.60, 0.20)),
+    "recall": ((0.95, 0.03), (0.65, 0.15)),
+    "accuracy": ((0.98, 0.08), (0.70, 0.10)),
+}
 # Thresholds of routing and reporting.
 HITL_THRESHOLD, AUTO_APPROVE_THRESHOLD, NAMED_FIELD_THRESHOLD, LOW_FIELD_THRESHOLD = 0.6, 0.95, 0.8, 0.7
 MODEL_THRESHOLD = 0.7

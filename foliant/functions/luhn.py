@@ -20,7 +20,7 @@ def _doubled(d: Column, i: Column) -> Column:
 def luhn_valid(value: Column) -> Column:
     """True if the digits pass; blanks and dashes are ignored, anything else fails."""
     digits = F.regexp_replace(value, r"[\s-]", "")
-    return F.coalesce(F.when(digits.rlike("^[0-9]+$"), _checksum(digits) == 0), F.lit(False))
+    return F.coalesce(digits.rlike("^[0-9]+$") & F.call_function("luhn_check", digits), F.lit(False))
 
 
 def luhn_check_digit(partial: Column) -> Column:

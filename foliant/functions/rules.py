@@ -118,19 +118,17 @@ RULES: dict[str, Callable[..., Column]] = {
 }
 
 # Rules the schemas name but do not define; only applied in strict mode.
-_LANGUAGES = ["en", "de", "fr", "es", "it", "pt", "nl", "english", "german", "french", "spanish"]
 STRICT_RULES: dict[str, Callable[..., Column]] = {
     "positive_number": positive_amount,
     "between_0_and_1": lambda v, _=None: F.coalesce(_number(v).between(0, 1), F.lit(False)),
     "alphabetic": lambda v, _=None: v.text.rlike(r"^[\p{L}\s'\-]+$"),
     "reasonable_age": lambda v, _=None: F.coalesce(
         F.floor(F.months_between(v.as_of, _as_date(v)) / 12).between(0, 120), F.lit(False)),
-    "valid_gender": lambda v, _=None: F.lower(F.trim(v.text)).isin("m", "f", "x", "male", "female", "other"),
+    "valid_gender": lambda v, _=None: F.lower(F.trim(v.text)).isin(*config.GENDERS),
     "valid_height": lambda v, _=None: v.text.rlike(r"^\d{1,3}\s*('|ft|cm|in|-)?\s*\d{0,2}\s*(\"|in)?$"),
     "valid_weight": lambda v, _=None: F.lower(v.text).rlike(r"^\d{2,3}\s*(lb|lbs|kg)?$"),
-    "valid_eye_color": lambda v, _=None: F.lower(F.trim(v.text)).isin(
-        "blue", "brown", "green", "hazel", "gray", "grey", "black", "bro", "blu", "grn", "haz", "gry", "blk"),
-    "valid_language_code": lambda v, _=None: F.lower(F.trim(v.text)).isin(*_LANGUAGES),
+    "valid_eye_color": lambda v, _=None: F.lower(F.trim(v.text)).isin(*config.EYE_COLORS),
+    "valid_language_code": lambda v, _=None: F.lower(F.trim(v.text)).isin(*config.LANGUAGE_CODES),
     "future_date_from_invoice": lambda v, _=None: F.coalesce(_as_date(v) >= v.invoice_date, F.lit(True)),
     "after_effective_date": lambda v, _=None: F.coalesce(_as_date(v) > v.effective_date, F.lit(True)),
 }
@@ -146,7 +144,7 @@ def schema_rule(rule: str, v: Value, strict: bool = False, custom: dict[str, Cal
     return None if fn is None else fn(v, param or None)
 
 
-# ---- single-rule checks that report a message, severity and suggestion ----
+# ---- single-rule checks that report a message, severity and suggestion; the words of the messages are fixed values ----
 
 def _result(rule: str, valid: Column, message: Column, suggested: Column | None = None) -> Column:
     valid = F.coalesce(valid, F.lit(False))

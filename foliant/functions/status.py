@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliant import config
+
 
 def confidence_band(confidence: Column, violations: Column) -> Column:
     return (
@@ -45,19 +47,10 @@ def routing_band(confidence: Column) -> Column:
 
 
 def infer_field_type(name: Column) -> Column:
-    n = F.lower(name)
-
-    def any_of(*words):
-        cond = F.lit(False)
+    n, out = F.lower(name), None
+    for kind, words in config.FIELD_KINDS.items():
+        hit = F.lit(False)
         for w in words:
-            cond = cond | n.contains(w)
-        return cond
-
-    return (
-        F.when(n.contains("date"), "date")
-        .when(any_of("amount", "total", "price", "cost", "sum"), "currency")
-        .when(any_of("number", "id", "code"), "alphanumeric")
-        .when(n.contains("email"), "email")
-        .when(n.contains("phone"), "phone")
-        .otherwise("text")
-    )
+            hit = hit | n.contains(w)
+        out = (F if out is None else out).when(hit, kind)
+    return out.otherwise("text")

@@ -24,23 +24,23 @@ def detect_language(text: Column) -> Column:
 
 
 def has_numbers(text: Column) -> Column:
-    return text.rlike(r"\d")
+    return text.rlike(config.TEXT_PATTERNS["numbers"])
 
 
 def has_dates(text: Column) -> Column:
-    return text.rlike(r"\d{1,2}[/-]\d{1,2}[/-]\d{4}")
+    return text.rlike(config.TEXT_PATTERNS["dates"])
 
 
 def has_currency(text: Column) -> Column:
-    return text.rlike(r"[$€£¥]|\b\d+\.\d{2}\b")
+    return text.rlike(config.TEXT_PATTERNS["currency"])
 
 
 def has_email(text: Column) -> Column:
-    return text.contains("@") & text.rlike(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b")
+    return text.contains("@") & text.rlike(config.TEXT_PATTERNS["email"])
 
 
 def has_phone(text: Column) -> Column:
-    return text.rlike(r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b")
+    return text.rlike(config.TEXT_PATTERNS["phone"])
 
 
 def key_phrases(tokens: Column, top: int = 10, keep: int = 5, min_len: int = 3) -> tuple[Column, Column, Column]:

@@ -1,4 +1,4 @@
-"""Rules over several fields of a document: dates in order, totals that add up."""
+"""Rules over several fields of a document: dates in order, totals that add up; labels and message texts are fixed values."""
 
 from __future__ import annotations
 

@@ -205,7 +205,7 @@ def recent_activity_cost(df: DataFrame) -> DataFrame:
 
 
 def kpi_alerts(kpi: DataFrame, queue_depth: Column | None = None, avg_time: Column | None = None) -> DataFrame:
-    """One row per threshold the KPI row crosses."""
+    """One row per threshold the KPI row crosses; thresholds and texts are fixed values."""
     def pct(c):
         return F.format_string("%.1f%%", F.round(F.col(c) * 100, 1))
 

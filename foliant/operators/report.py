@@ -1,4 +1,4 @@
-"""Report lines: one row per metric of a KPI row, with formatted text and status."""
+"""Report lines: one row per metric of a KPI row, with formatted text and status; labels and message texts are fixed values."""
 
 from __future__ import annotations
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant import config
+
 
 def extraction_stats(docs: DataFrame, group_cols=()) -> DataFrame:
     """Input: field_count, error_count, requires_hitl, processing_time per document."""
@@ -94,9 +96,12 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False
 def field_quality_proxy(fields: DataFrame) -> DataFrame:
     """Precision, recall, F1 and accuracy estimated from confidence and validity."""
     c, ok = F.col("confidence"), F.col("valid")
-    p = F.when(ok, F.least(F.lit(0.95), c + 0.05)).otherwise(F.greatest(F.lit(0.60), c - 0.20))
-    r = F.when(ok, F.least(F.lit(0.95), c + 0.03)).otherwise(F.greatest(F.lit(0.65), c - 0.15))
-    a = F.when(ok, F.least(F.lit(0.98), c + 0.08)).otherwise(F.greatest(F.lit(0.70), c - 0.10))
+
+    def estimate(name: str) -> Column:
+        (most, up), (least, down) = config.QUALITY_PROXY[name]
+        return F.when(ok, F.least(F.lit(most), c + up)).otherwise(F.greatest(F.lit(least), c - down))
+
+    p, r, a = (estimate(n) for n in ("precision", "recall", "accuracy"))
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
     return fields.withColumns({
         "precision": F.round(p, 4), "recall": F.round(r, 4), "f1_score": F.round(f1, 4), "accuracy": F.round(a, 4),
