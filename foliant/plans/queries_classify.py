@@ -9,6 +9,7 @@ from foliant.operators import classify as C
 from foliant.operators import ml, stats
 from foliant.operators.tables import layout_from_blocks
 from foliant.plans import sql as Q
+from foliant.plans.queries_extract import BLOCKS
 from foliant.plans.registry import query
 from foliant.session import materialize, work_path
 from foliant.sources import adapters as A
@@ -177,16 +178,20 @@ def _(spark, d):
     return v.select("doc_id", *[F.round(F.col("a")[i], 6).alias(f"f{i}") for i in range(len(names))])
 
 
-@query("feature_vector_layout")
+_ORDER_TF = _TF.replace("from documents)", "from (select document_id as doc_id, full_text as text from tx))")
+_LAYOUT_VALUES = ("612.0", "792.0", "612.0/792.0", "area/(612.0*792.0)", "1-area/(612.0*792.0)", "n", "area/n", "0.0", "sm/n", "md/n", "lg/n", "mt/792.0", "(792.0-mb)/792.0", "ml/612.0",
+                  "(612.0-mr)/612.0")
+
+
+@query("feature_vector_layout", f"""with {BLOCKS}, {_ORDER_TF},
+  a as (select document_id, count(*) n, sum(bl.w*h) area, min(x) ml, max(x+bl.w) mr, min(y) mt, max(y+h) mb, quantile_cont(h,0.33) p33, quantile_cont(h,0.67) p67 from bl group by 1),
+  s as (select document_id, count(*) filter (h<=p33) sm, count(*) filter (h>p33 and h<=p67) md, count(*) filter (h>p67) lg from bl join a using (document_id) group by 1)
+  select a.document_id, """ + ", ".join(f"round(({x})::double,6) as {n}" for n, x in zip((*C.LAYOUT_FEATURES, *C.TEXT_FEATURES), (*_LAYOUT_VALUES, *_TEXT_VALUES))) +
+       " from a join s using (document_id) join tf on tf.doc_id=a.document_id")
 def _(spark, d):
     docs = layout_from_blocks(A.ocr_docs(spark, d).select("document_id", "full_text", "text_blocks"))
     rows, names = ml.feature_frame(C.text_features(docs, "full_text"), ["document_id"], with_layout=True)
-    return rows.select("document_id", *names)
-
-
-def trained(spark, d, kind="random_forest", **options):
-    rows, names = ml.feature_frame(features(spark, d), ["doc_id", "lang"])
-    return ml.train_classifier(rows, names, "lang", kind, **options), rows
+    return r6(rows.select("document_id", *names), *names)
 
 
 #: One document in so many is held out of a fit, and the least share of a type's held-out documents that must be told.
