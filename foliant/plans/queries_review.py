@@ -187,10 +187,13 @@ _TR = f"""{_FB}, g as (select task_id, count(*) as n, sum(rating-5*confidence) a
   tr as (select tasks.task_id, document_type, resolution_time as created_at, coalesce(n,0) as corrections, coalesce(delta,0.0) as delta from tasks left join g using (task_id) where status in ('completed','approved'))"""
 
 
-@query("training_records", f"with {_TR} select task_id, corrections::integer as corrections, round(delta,6) as confidence_delta from tr")
+@query("training_records", f"""with {_TR} select tr.task_id, tr.document_type, tr.created_at, fb.field_name, original_value, corrected_value, correction_reason, rating as reviewer_confidence,
+  round(rating-5*confidence,6) as confidence_delta, case when fb.task_id is not null then 'pattern_match' end as extraction_method from tr left join fb on fb.task_id=tr.task_id""")
 def _(spark, d):
-    delta = F.aggregate("field_corrections", F.lit(0.0), lambda a, c: a + c["confidence_delta"])
-    return records(spark, d).select("task_id", F.size("field_corrections").alias("corrections"), F.round(delta, 6).alias("confidence_delta"))
+    """Every record with every correction; a record without one is one row."""
+    rows = records(spark, d).select("task_id", "document_type", "created_at", F.explode_outer("field_corrections").alias("c"))
+    return rows.select("task_id", "document_type", "created_at", "c.field_name", "c.original_value", "c.corrected_value", "c.correction_reason", "c.reviewer_confidence",
+                       F.round("c.confidence_delta", 6).alias("confidence_delta"), "c.extraction_method")
 
 
 @query("get_training_data", f"with {_TR} select task_id, created_at, corrections::integer as corrections from tr where document_type='invoice' order by created_at desc, task_id limit 100")
