@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant import config
+from foliant.operators import filling
 from foliant.operators.queue import rank
 from foliant.operators.ranking import row_numbers
-from foliant.session import materialize
+from foliant.session import materialize, written
 from foliant.sources.metrics import seconds_between, ts
 
 DONE = "completed"
 PLACES_PER_CHUNK = 10_000
+#: Tasks of a chunk that is filled in order.
+TASKS_PER_CHUNK = 100_000
 
 
 def sla_deadline(created: Column, priority: Column) -> Column:
@@ -20,14 +25,14 @@ def sla_deadline(created: Column, priority: Column) -> Column:
     return created + F.make_dt_interval(hours=F.coalesce(F.try_element_at(hours, priority), F.lit(config.SLA_DEFAULT_HOURS)))
 
 
-def assign_reviewers(tasks: DataFrame, reviewers: DataFrame) -> DataFrame:
+def assign_reviewers(tasks: DataFrame, reviewers: DataFrame, chunk_tasks: int = TASKS_PER_CHUNK) -> DataFrame:
     """Each task to the free specialist with the least work at that moment (first on ties), oldest task first.
 
     Document types that share a reviewer, directly or over others, form a family. In a family of one type, serial
     greedy filling is the same as listing every reviewer's future places by workload level: the k-th task takes the k-th
-    place; tasks and places are numbered over range partitions, so a type of any size is spread. A family
-    of several types has to be filled in the order of its tasks, as each assignment changes what the other types
-    see: its tasks are streamed in that order past the workloads of its reviewers, which is all that is held.
+    place; tasks and places are numbered over range partitions, so a type of any size is spread. In a family of several types each
+    assignment changes what the other types see; its tasks are filled in chunks side by side until the workloads handed from
+    chunk to chunk agree, which gives the serial result. A family of such a kind runs jobs when this is called.
     """
     families = _families(reviewers)
     shared = sorted(t for t, family in families.items() if sum(f == family for f in families.values()) > 1)
@@ -37,7 +42,7 @@ def assign_reviewers(tasks: DataFrame, reviewers: DataFrame) -> DataFrame:
     if not shared:
         return _fill_by_level(tasks, reviewers).unionByName(untyped)
     in_shared = F.col("document_type").isin(*shared)
-    return _fill_by_level(tasks.where(~in_shared), reviewers).unionByName(_fill_in_order(tasks.where(in_shared), reviewers, families)).unionByName(untyped)
+    return _fill_by_level(tasks.where(~in_shared), reviewers).unionByName(_fill_in_order(tasks.where(in_shared), reviewers, families, chunk_tasks)).unionByName(untyped)
 
 
 def _families(reviewers: DataFrame) -> dict[str, str]:
@@ -52,49 +57,47 @@ def _families(reviewers: DataFrame) -> dict[str, str]:
     return family
 
 
-def _fill_in_order(tasks: DataFrame, reviewers: DataFrame, families: dict[str, str]) -> DataFrame:
-    """Serial filling per family; reviewers come before the tasks of their family."""
-    family = F.create_map(*[F.lit(x) for kv in families.items() for x in kv])
-    none = lambda kind: F.lit(None).cast(kind)
-    kind = tasks.schema["created_at"].dataType.simpleString()
-    free = reviewers.where("is_available").select(
-        F.try_element_at(family, F.element_at("specializations", 1)).alias("family"), F.lit(0).alias("kind"), none(kind).alias("created_at"), F.col("user_id").alias("id"),
-        none("string").alias("document_type"), F.col("ord").cast("long").alias("ord"), F.col("current_workload").cast("long").alias("load"), "specializations")
-    rows = free.unionByName(tasks.select(
-        F.try_element_at(family, F.col("document_type")).alias("family"), F.lit(1).alias("kind"), "created_at", F.col("task_id").alias("id"), "document_type",
-        none("long").alias("ord"), none("long").alias("load"), none("array<string>").alias("specializations")))
-    used = {f for t, f in families.items() if sum(x == f for x in families.values()) > 1}
-    rows = rows.where(F.col("family").isin(*used)).repartition("family").sortWithinPartitions("family", "kind", "created_at", "id")
-
-    def run(batches):
-        import heapq
-
-        import pandas as pd
-
-        now, heaps, load, turn = None, {}, {}, 0
-        for batch in batches:
-            out = []
-            for fam, what, name, dtype, order, start, types in zip(*(batch[c] for c in ("family", "kind", "id", "document_type", "ord", "load", "specializations"))):
-                if fam != now:
-                    now, heaps, load, turn = fam, {}, {}, 0
-                if what == 0:
-                    load[name] = int(start)
-                    for t in types:
-                        heapq.heappush(heaps.setdefault(t, []), (int(start), int(order), name))
-                    continue
-                turn += 1
-                heap = heaps.get(dtype)
-                # An entry whose workload has changed since is put back as it is now.
-                while heap and load[heap[0][2]] != heap[0][0]:
-                    _, o, who = heapq.heappop(heap)
-                    heapq.heappush(heap, (load[who], o, who))
-                who = heap[0][2] if heap else None
-                out.append((name, dtype, who, load[who] if who else None, turn))
-                if who:
-                    load[who] += 1
-            yield pd.DataFrame(out, columns=["task_id", "document_type", "assigned_to", "workload_before", "k"]).astype({"workload_before": "Int64", "k": "Int64"})
-
-    return rows.mapInPandas(run, "task_id string, document_type string, assigned_to string, workload_before long, k long")
+def _fill_in_order(tasks: DataFrame, reviewers: DataFrame, families: dict[str, str], chunk_tasks: int) -> DataFrame:
+    """Serial filling per family, in chunks of the tasks' order that are filled side by side.
+
+    Every chunk is filled from guessed workloads. A pass then hands on where each chunk ended (``filling.next_starts``) and fills those chunks
+    anew whose start was another. It is over when no start changes: the first chunk's start is right, so all are. Each pass
+    makes one more chunk right at least; where filling levels workloads out it is a few passes for any number of chunks.
+    """
+    sizes = Counter(families.values())
+    shared = [t for t, f in families.items() if sizes[f] > 1]
+    family = F.create_map(*[F.lit(x) for t in shared for x in (t, families[t])])
+    code = {t: i for i, t in enumerate(sorted(families))}
+    codes = F.create_map(*[F.lit(x) for kv in code.items() for x in kv])
+    staff = (
+        reviewers.where(F.col("is_available") & F.get("specializations", F.lit(0)).isin(shared)).withColumn("family", family[F.get("specializations", F.lit(0))])
+        .groupBy("family").agg(F.sort_array(F.collect_list(F.struct(  # people, however many tasks
+            F.col("ord").cast("long").alias("ord"), F.col("user_id").alias("id"), F.coalesce(F.col("current_workload"), F.lit(0)).cast("long").alias("load"),
+            F.transform("specializations", lambda t: codes[t]).alias("types")))).alias("s"))
+        .select("family", F.col("s.id").alias("ids"), F.col("s.load").alias("first"), F.col("s.types").alias("types")))
+    queue = row_numbers(tasks.select(family[F.col("document_type")].alias("family"), "task_id", "document_type", "created_at"), ["family"], ["created_at", "task_id"], "k")
+    one = F.struct("k", "task_id", "document_type", codes[F.col("document_type")].alias("code"))
+    chunks = (
+        queue.groupBy("family", F.floor((F.col("k") - 1) / chunk_tasks).alias("chunk")).agg(F.sort_array(F.collect_list(one)).alias("t"))  # chunk_tasks at most
+        .select("family", "chunk", F.col("t.code").alias("codes"), F.transform("t", lambda x: x.dropFields("code")).alias("tasks")).join(staff, "family"))
+    chunks = written(chunks, "assignment-chunks")
+
+    key, end = ["family", "chunk"], filling.end("codes", "types", "start").alias("end")
+    plain = chunks.select(*key, "codes", "types")
+    starts = chunks.select(*key, F.col("first").alias("start"))
+    ends = written(plain.join(starts, key).select(*key, "types", "start", end), "assignment-ends")
+    while True:
+        after = written(ends.groupBy("family").applyInPandas(filling.hand_on, ends.schema.simpleString()[7:-1] + ", moved boolean"), "assignment-starts")
+        if not after.where("moved").count():
+            break
+        again = plain.join(after.where("moved").select(*key, "start"), key).select(*key, "types", "start", end)
+        ends = written(after.where("not moved").drop("moved").unionByName(again), "assignment-ends")
+
+    filled = chunks.join(ends.select(*key, "start"), key).withColumn("got", filling.places("codes", "types", "start"))
+    rows = filled.select("ids", F.explode(F.arrays_zip("tasks", "got.who", "got.load")).alias("x"))
+    return rows.select(
+        "x.tasks.task_id", "x.tasks.document_type", F.when(F.col("x.who") >= 0, F.get("ids", F.col("x.who"))).alias("assigned_to"),
+        F.when(F.col("x.who") >= 0, F.col("x.load")).alias("workload_before"), "x.tasks.k")
 
 
 def _fill_by_level(tasks: DataFrame, reviewers: DataFrame) -> DataFrame:

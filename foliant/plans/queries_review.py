@@ -121,6 +121,21 @@ def _(spark, d):
     return V.assign_reviewers(A.review_tasks(spark, d), A.reviewers(spark, d)).select("task_id", "assigned_to")
 
 
+# Reviewers of two types each: the SQL takes the tasks one by one, with a number load * 1000000 + reviewer for each reviewer; the
+# list it folds holds these numbers first, and then the number chosen for each task.
+_BEST = "list_min(list_filter(a[1:n], lambda y: y%1000000%5=x[1] or (y%1000000+1)%5=x[1]))"
+
+
+@query("assign_shared_reviewers", f"""with {Q.RT}, q as (select task_id, list_position({A.TYPES[:5]}, document_type) - 1 as kind, row_number() over (order by created_at, task_id) as k from tasks),
+  s as (select list(s_suppkey%7*1000000+s_suppkey) as w, count(*) as n from supplier where s_suppkey%9<>0), t as (select list([kind::bigint] order by k) as kinds from q),
+  f as (select n, list_reduce(kinds, lambda a, x: list_transform([{_BEST}], lambda b: list_concat(list_transform(a[1:n], lambda y: case when y=b then y+1000000 else y end), a[n+1:], [b]))[1], w) as a from s, t),
+  b as (select unnest(a[n+1:]) as best, generate_subscripts(a[n+1:], 1) as k from f)
+  select task_id, 'rev_'||(best%1000000) as assigned_to, best//1000000 as workload_before from b join q using (k)""")
+def _(spark, d):
+    two = A.reviewers(spark, d).withColumn("specializations", F.array(A.pick(A.TYPES[:5], F.col("ord")), A.pick(A.TYPES[:5], F.col("ord") + 1)))
+    return V.assign_reviewers(A.review_tasks(spark, d), two).select("task_id", "assigned_to", "workload_before")
+
+
 def touch_events(spark, d):
     li = A.table(spark, d, "lineitem")
     return li.select(F.concat(F.lit("TASK-"), F.col("l_orderkey").cast("string")).alias("task_id"),

@@ -3,8 +3,11 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from foliant.operators import filling
 from foliant.operators import queue as K
 from foliant.operators import review as V
 from foliant.streaming import documents as D
@@ -230,6 +233,50 @@ def test_assignment_with_shared_reviewers(spark):
     assert {r["task_id"]: r["assigned_to"] for r in got.collect()} == serial_assignment(tasks, reviewers)
 
 
+@pytest.mark.parametrize("chunk", [40])
+def test_shared_reviewers_in_chunks(spark, chunk):
+    """Rates that level out, a type that outruns its reviewers, a second family, unknown and missing types, repeated times."""
+    rng = random.Random(chunk)
+    pairs = [["invoice", "receipt"], ["receipt", "memo"], ["contract", "form"], ["invoice"], ["memo"]]
+    reviewers = [(f"r{i}", i, rng.randrange(9), pairs[i % 5], i % 6 != 0) for i in range(14)]
+    kinds = ["invoice"] * 9 + ["receipt", "memo", "contract", "form", "other", None]
+    tasks = [(f"t{i:03}", rng.choice(kinds), at(rng.randrange(60))) for i in range(400)]
+    got = V.assign_reviewers(spark.createDataFrame(tasks, "task_id string, document_type string, created_at timestamp"),
+                             spark.createDataFrame(reviewers, "user_id string, ord long, current_workload long, specializations array<string>, is_available boolean"), chunk).collect()
+    assert {r["task_id"]: r["assigned_to"] for r in got} == serial_assignment(tasks, reviewers)
+    assert len(got) == len(tasks)
+    load = {r[0]: r[2] for r in reviewers}
+    for r in sorted((r for r in got if r["assigned_to"]), key=lambda r: r["workload_before"]):
+        assert r["workload_before"] == load[r["assigned_to"]]
+        load[r["assigned_to"]] += 1
+
+
+def passes_until_right(codes, types, first, chunk):
+    """Passes over chunks until no start changes; the workloads at the end have to be the serial ones."""
+    parts = [codes[i : i + chunk] for i in range(0, len(codes), chunk)]
+    starts, n = [first] * len(parts), 0
+    while True:
+        n += 1
+        ends = [filling.fill(c, types, s)[2] for c, s in zip(parts, starts)]
+        new = filling.next_starts(types, starts, ends)
+        if new == starts:
+            assert ends[-1] == filling.fill(codes, types, first)[2]
+            return n
+        starts = new
+
+
+def test_passes_do_not_grow_with_the_chunks():
+    rng = random.Random(3)
+    types = [[i % 4, (i + 1) % 4] for i in range(13)]
+    first = [rng.randrange(5) for _ in types]
+    few, many = (passes_until_right([rng.randrange(4) for _ in range(n * 100)], types, first, 100) for n in (8, 80))
+    assert many <= few + 2 <= 9
+    # A type that outruns its reviewers: the groups drift apart.
+    apart = [[0], [0, 1], [1], [2]]
+    assert passes_until_right([0 if rng.random() < 0.8 else rng.randrange(4) for _ in range(8000)], apart, [0, 3, 9, 1], 100) < 12
+
+
+
 def test_touch_keeps_an_earlier_one_and_the_end(spark):
     tasks = spark.createDataFrame([("a", "r", at(0), None, "assigned"), ("b", "r", at(0), at(1), "completed"), ("c", "r", at(0), at(9), "in_progress")],
                                   "task_id string, assigned_to string, created_at timestamp, first_touched_at timestamp, status string")
