@@ -307,11 +307,53 @@ def _(spark, d):
                       r("font_large"), r("margin_left"), r("margin_right"), r("margin_bottom"))
 
 
-@query("analysis_json", f"""with {Q.TX} select document_id, document_type as class, full_text, (3)::bigint as structured_fields, (key%4+1)::bigint as pages, 'prebuilt-layout' as model_used from tx""")
+# Every value of the result document, read back from the JSON text; lists become text, a line for each member.
+_MONEY = "format('{{:,.2f}}', ({})::double)"
+_HUNDREDTHS = "round(({})*100)::bigint"
+
+
+@query("analysis_json", f"""with {BLOCKS}, b as (select document_id, string_agg(concat_ws('|', content, x::bigint, y::bigint, w::bigint, h::bigint, {_HUNDREDTHS.format('confidence')}, is_handwritten), chr(10) order by i) as text_blocks,
+    count(*) filter (is_handwritten) as hand, {_HUNDREDTHS.format("sum(confidence) filter (is_handwritten)")} as hand_confidence, left(arg_min(content, i) filter (is_handwritten), 100) as hand_sample from bl group by 1),
+  fl as (select document_id, 0 as i, case when key%3=0 then 'Total_Amount' else 'other' end as field_name, '$'||total as value, 60+(key*3)%40 as c from tx
+    union all select document_id, 1, case when key%5=0 then 'VENDOR_NAME' else 'note' end, 'Vendor '||key, 60+(key*7)%40 from tx union all select document_id, 2, 'total_amount', '$1.00', 60+key%40 from tx),
+  fs as (select document_id, string_agg(concat_ws('|', field_name, value, 'string', c), chr(10) order by i) as structured_fields,
+    coalesce(string_agg(concat_ws('|', field_name, value, 'string', c), chr(10) order by i) filter (c>=80), '') as high_confidence_fields from fl group by 1),
+  x as (select *, ((((subtotal*100)::bigint+1)//2)::decimal(18,2)*0.01)::decimal(18,2) as a from tx)
+  select document_id, document_id as name, document_type as class, 90::bigint as classification_confidence, (key%4+1)::bigint as pages, 'en' as language, full_text, text_blocks,
+    case when key%6=5 then '' else 'Description|Quantity|Unit Price|Amount'||chr(10)||'Goods|'||(key%4+1)||'|'||{_MONEY.format('a')}||'|$'||{_MONEY.format('a')}||chr(10)||'Freight| |n/a|$'||{_MONEY.format('subtotal-a')}||chr(10)||'Description|Quantity|Unit Price|Amount'||chr(10)||'90' end as tables,
+    structured_fields, document_type as predicted_class, document_type as result_type, 90::bigint as result_confidence, high_confidence_fields,
+    case when key%6=5 then '' else '0|3|4|true|90' end as table_summaries, case when hand>0 then hand end as hand, case when hand>0 then hand_confidence end as hand_confidence, hand_sample,
+    'prebuilt-layout' as model_used, (key%90)::bigint as processing_tenths, case when key%10<>0 then 60+key%40 end as text_score, 100::bigint as table_score
+  from x join b using (document_id) join fs using (document_id)""")
 def _(spark, d):
     src = ocr(spark, d, "full_text", "text_blocks", "tables", "ocr_fields", "pages", "language", "model_used", "processing_time", "confidence_scores")
-    j = T.analysis_json(src.withColumn("classification_confidence", F.lit(0.9))).select("document_id", "analysis")
-    get = lambda p: F.get_json_object("analysis", p)
-    return j.select("document_id", get("$.document_info.class").alias("class"), get("$.ocr_results.full_text").alias("full_text"),
-                    F.json_array_length(get("$.ocr_results.structured_fields")).cast("long").alias("structured_fields"),
-                    get("$.document_info.pages").cast("long").alias("pages"), get("$.processing_metadata.model_used").alias("model_used"))
+    j = T.analysis_json(src.withColumn("classification_confidence", F.lit(0.9))).select("document_id", F.from_json("analysis", _ANALYSIS).alias("j"))
+    j = j.select("document_id", "j.document_info", "j.ocr_results", "j.classification_results", "j.custom_analysis", "j.processing_metadata")
+    info, ocr_part, result, custom, run = (F.col(c) for c in ("document_info", "ocr_results", "classification_results", "custom_analysis", "processing_metadata"))
+    whole = lambda c, by=100: F.round(c * by).cast("long")
+    lines = lambda items, f: F.array_join(F.transform(items, f), "\n")
+    field = lambda f: F.concat_ws("|", f["field_name"], f["value"], f["field_type"], whole(f["confidence"]))
+    box = lambda b: [b["bbox"][n].cast("long") for n in ("x", "y", "width", "height")]
+    hand = custom["handwritten_content"]
+    return j.select(
+        "document_id", info["name"].alias("name"), info["class"].alias("class"), whole(info["classification_confidence"]).alias("classification_confidence"),
+        info["pages"].alias("pages"), info["language"].alias("language"), ocr_part["full_text"].alias("full_text"),
+        lines(ocr_part["text_blocks"], lambda b: F.concat_ws("|", b["content"], *box(b), whole(b["confidence"]), b["is_handwritten"])).alias("text_blocks"),
+        lines(ocr_part["tables"], lambda t: F.concat_ws("\n", lines(t["rows"], lambda r: F.array_join(r, "|")), F.array_join(t["headers"], "|"), whole(t["confidence"]))).alias("tables"),
+        lines(ocr_part["structured_fields"], field).alias("structured_fields"),
+        result["predicted_class"].alias("predicted_class"), result["document_type"].alias("result_type"), whole(result["confidence"]).alias("result_confidence"),
+        lines(custom["high_confidence_fields"], field).alias("high_confidence_fields"),
+        lines(custom["table_summaries"], lambda t: F.concat_ws("|", t["table_index"], t["rows"], t["columns"], t["has_headers"], whole(t["confidence"]))).alias("table_summaries"),
+        hand["blocks_detected"].alias("hand"), whole(hand["average_confidence"] * hand["blocks_detected"]).alias("hand_confidence"), hand["sample_text"].alias("hand_sample"),
+        run["model_used"].alias("model_used"), whole(run["processing_time"], 10).alias("processing_tenths"),
+        whole(run["confidence_scores"]["text"]).alias("text_score"), whole(run["confidence_scores"]["tables"]).alias("table_score"))
+
+
+_FIELD = "array<struct<field_name:string,value:string,field_type:string,confidence:double>>"
+_ANALYSIS = f"""document_info struct<name:string,class:string,classification_confidence:double,pages:bigint,language:string>,
+  ocr_results struct<full_text:string,text_blocks:array<struct<content:string,bbox:struct<x:double,y:double,width:double,height:double>,confidence:double,is_handwritten:boolean>>,
+    tables:array<struct<rows:array<array<string>>,headers:array<string>,confidence:double>>,structured_fields:{_FIELD}>,
+  classification_results struct<predicted_class:string,document_type:string,confidence:double>,
+  custom_analysis struct<high_confidence_fields:{_FIELD},table_summaries:array<struct<table_index:int,rows:int,columns:int,has_headers:boolean,confidence:double>>,
+    handwritten_content:struct<blocks_detected:bigint,average_confidence:double,sample_text:string>>,
+  processing_metadata struct<model_used:string,processing_time:double,confidence_scores:map<string,double>>"""
