@@ -8,6 +8,7 @@ levels), however many rows there are. One writer at a time; the batches of a str
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -68,8 +69,8 @@ class VersionedTable:
     def commit(self, entries: Iterable[tuple[str, str]], schema: str, base: Version, batch: int = -1) -> Version:
         """Make a version the newest; one file appears, or nothing does."""
         new = Version(base.number + 1, max(batch, base.last_batch), schema, tuple(entries))
-        row = self.spark.createDataFrame([(new.number, new.last_batch, new.schema, [tuple(e) for e in new.entries])], _ENTRIES)
-        row.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/slot={new.number % self.slots}")
+        text = json.dumps({"version": new.number, "last_batch": new.last_batch, "schema": new.schema, "entries": [{"part": p, "folder": f} for p, f in new.entries]})
+        self.spark.range(0, 1, 1, 1).select(F.lit(text).alias("value")).write.mode("overwrite").text(f"{self.path}/manifest/slot={new.number % self.slots}")
         return new
 
     def read(self, number: int | None = None, part: Callable[[str], bool] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.session import written
 from foliant.sinks.versioned import NULL_PART, VersionedTable
 
 TEMPORARY_KEYS = ("temp_path", "preprocessed_path")
@@ -16,33 +17,32 @@ def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
 
 
-def merge_metrics(old: DataFrame, new: DataFrame, key: str = "document_id", order: str = "created_at") -> DataFrame:
-    """Insert-or-replace as a frame: new rows replace old ones, the last written new row per key wins.
+def merge_metrics(old: DataFrame, fresh: DataFrame, key: str = "document_id") -> DataFrame:
+    """Insert-or-replace as a frame; both sides have one row per key, and the fresh one wins.
 
-    The old table is unique by key, so it is only filtered by the keys of the (usually far smaller)
-    new rows; adaptive execution broadcasts those by size and then leaves the old table unshuffled.
+    The old table is only filtered by the keys of the (usually far smaller) new rows; adaptive execution
+    broadcasts those by size and then leaves the old table unshuffled.
     """
-    fresh = latest(new, [key], [F.col(order).desc()])
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    return old.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def upsert_document_metrics(new: DataFrame, table: VersionedTable, key: str = "document_id", order: str = "created_at") -> None:
     """Merge new rows into a table that is partitioned by day; only the days that they touch are written anew, once.
 
-    Touched are the days of the new rows and the days on which the documents they replace stand now; a key column of the table is
-    looked through for these, and no other column. The table changes when its new version is named, and not before.
+    Of several new rows of a key the last written wins; it is kept once. Touched are its day and the day on which the document that
+    it replaces stands now; a key column of the table is looked through for these, and no other column. The table changes
+    when its new version is named, and not before.
     """
-    new = with_day(new)
     base = table.version()
+    fresh = latest(with_day(new), [key], [F.col(order).desc()])
     if not base.schema:
-        table.replace(latest(new, [key], [F.col(order).desc()]), base=base)
+        table.replace(fresh, base=base)
         return
-    old = table.rows(base)
-    replaced = old.join(new.select(key).distinct(), key, "left_semi").select("dt")
-    days = [NULL_PART if r["dt"] is None else str(r["dt"]) for r in replaced.union(new.select("dt")).distinct().collect()]  # days, however many rows
-    touched = table.rows(base, lambda part: part in set(days))
-    merged = with_day(merge_metrics(touched.drop("dt"), new.drop("dt"), key, order))
-    table.replace(merged, gone=days, base=base)
+    fresh = written(fresh, "upsert")  # one row per key, read for the days and for the merge
+    replaced = table.rows(base).join(fresh.select(key), key, "left_semi").select("dt")
+    days = {NULL_PART if r["dt"] is None else str(r["dt"]) for r in replaced.union(fresh.select("dt")).distinct().collect()}  # days, however many rows
+    touched = table.rows(base, lambda part: part in days)
+    table.replace(merge_metrics(touched, fresh, key), gone=days, base=base)
 
 
 def with_day(df: DataFrame) -> DataFrame:
