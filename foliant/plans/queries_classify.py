@@ -194,6 +194,13 @@ def _(spark, d):
     return r6(rows.select("document_id", *names), *names)
 
 
+def trained(spark, d, kind="random_forest", **options):
+    """A model of the documents' languages, and the rows that it was fitted on."""
+    rows, names = ml.feature_frame(features(spark, d), ["doc_id", "lang"])
+    rows = materialize(rows)
+    return ml.train_classifier(rows, names, "lang", kind, **options), rows
+
+
 #: One document in so many is held out of a fit, and the least share of a type's held-out documents that must be told.
 HELD_OUT, LEAST_RECALL = 4, 0.95
 
