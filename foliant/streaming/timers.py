@@ -12,8 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,7 +21,7 @@ from foliant import config
 CLOCK = "clock"
 SECOND = 1_000_000
 _STATE = ("completed array<bigint>, cancelled array<bigint>, touched array<bigint>, failures array<array<bigint>>, last array<bigint>, last_event string, "
-          "created bigint, priority int, sent array<string>")
+          "created bigint, priority int, sent array<string>, timer bigint")
 OUTPUT = "task_id string, action string, due_us bigint, priority int"
 
 
@@ -47,6 +46,8 @@ class Task:
     created: int | None = None
     priority: int | None = None
     sent: list[str] | None = None
+    #: When the task's timer fires, in milliseconds.
+    timer: int | None = None
 
     def add(self, us: int, event_id: int, event: str, priority: int | None) -> None:
         at = [us, event_id]
@@ -105,50 +106,62 @@ class TaskTimers(StatefulProcessor):
     def _now(self, timers) -> int:
         return timers.getCurrentWatermarkInMs() if self.event_time else timers.getCurrentProcessingTimeInMs()
 
-    def _load(self) -> Task:
-        return Task(*self.state.get()) if self.state.exists() else Task()
+    def _load(self) -> Task | None:
+        kept = self.state.get()
+        return Task(*kept) if kept else None
 
     def _save(self, task: Task) -> None:
-        self.state.update((task.completed, task.cancelled, task.touched, task.failures, task.last, task.last_event, task.created, task.priority, task.sent))
+        self.state.update((task.completed, task.cancelled, task.touched, task.failures, task.last, task.last_event, task.created, task.priority, task.sent,
+                           task.timer))
 
-    def _set_timer(self, task: Task, now: int) -> None:
-        """One timer, for the next action or for leaving the state; what is due already fires at the next tick."""
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
+    def _keep(self, task: Task, now: int, fired: int | None = None) -> None:
+        """Saves a task with one timer, for the next action or for leaving the state; what is due already fires at the next tick.
+
+        Each call of the state is a message to the JVM, so the timer's time is kept with the task, and a timer that stays is not touched;
+        one that has fired is taken away by Spark.
+        """
         end, _ = task.end()
         due = [a[1] for a in task.actions(self.spec)]
         if end and not due:
             due = [end[0] + self.spec.retention * SECOND]
-        if due:
-            self.handle.registerTimer(max(_millis(min(due)), now + 1 if self.event_time and now > 0 else 1))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        task, seen = self._load(), False
-        for df in rows:
-            df = df[df["event"] != CLOCK]
-            for us, event_id, event, priority in zip(df["us"].tolist(), df["event_id"].tolist(), df["event"].tolist(), df["priority"].tolist()):
-                task.add(us, event_id, event, None if priority != priority or priority is None else int(priority))
+        at = max(_millis(min(due)), now + 1 if self.event_time and now > 0 else 1) if due else None
+        if task.timer is not None and task.timer not in (at, fired):
+            self.handle.deleteTimer(task.timer)
+        if at is not None and at != task.timer:
+            self.handle.registerTimer(at)
+        task.timer = at
+        self._save(task)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if key[0] == CLOCK:
+            return iter(())
+        task, seen = None, False
+        for row in rows:
+            us, event_id, event, priority = row["us"], row["event_id"], row["event"], row["priority"]
+            if event != CLOCK:
+                task = task or self._load() or Task()
+                task.add(us, event_id, event, priority)
                 seen = True
         if seen:
-            self._save(task)
-            self._set_timer(task, self._now(timerValues))
+            self._keep(task, self._now(timerValues))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        task = self._load()
+        if task is None:
+            return
+        now, fired = self._now(timerValues), expiredTimerInfo.getExpiryTimeInMs()
+        if task.timer != fired:
             return
-        now, task = self._now(timerValues), self._load()
         due = sorted((a for a in task.actions(self.spec) if _millis(a[1]) <= now), key=lambda a: a[1])
         end, _ = task.end()
         task.sent = [*(task.sent or []), *map(_name, due)]
         if end and not task.actions(self.spec) and _millis(end[0] + self.spec.retention * SECOND) <= now:
             self.state.clear()
         else:
-            self._save(task)
-            self._set_timer(task, now)
-        if due:
-            yield pd.DataFrame({"task_id": [key[0]] * len(due), "action": [a[0] for a in due], "due_us": [a[1] for a in due],
-                                "priority": pd.array([a[2] for a in due], dtype="Int32")})
+            self._keep(task, now, fired)
+        for action, us, priority in due:
+            yield Row(task_id=key[0], action=action, due_us=us, priority=priority)
 
 
 def task_timers(events: DataFrame, spec: TimerSpec = TimerSpec(), delay: str = "0 seconds", event_time: bool = True) -> DataFrame:
@@ -158,7 +171,7 @@ def task_timers(events: DataFrame, spec: TimerSpec = TimerSpec(), delay: str = "
     An action is decided by the events known when the clock passes its time; it comes out once. ``delay`` is how late events may be.
     """
     rows = events.select("task_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "event", "priority")
-    out = rows.withWatermark("ts", delay).groupBy("task_id").transformWithStateInPandas(
+    out = rows.withWatermark("ts", delay).groupBy("task_id").transformWithState(
         statefulProcessor=TaskTimers(spec, event_time), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime" if event_time else "ProcessingTime")
     return out.select("task_id", "action", F.timestamp_micros("due_us").alias("due_at"), "priority")
 
