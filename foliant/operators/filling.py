@@ -8,6 +8,7 @@ from __future__ import annotations
 import heapq
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -52,17 +53,22 @@ def next_starts(types, starts, ends) -> list[list[int]]:
     """
     out = [list(starts[0])]
     for c in range(len(starts) - 1):
-        end = [int(x) for x in ends[c]]
-        moved = [a - b for a, b in zip(out[c], starts[c])]
-        if any(moved):
-            for group in _level_groups(types, end):
-                each, rest = divmod(sum(moved[i] for i in group), len(group))
-                for place, i in enumerate(sorted(group, key=lambda i: (end[i], i))):
-                    end[i] += each + (place < rest)
-        out.append(end)
+        out.append(_next_start(types, out[c], starts[c], ends[c]))
     return out
 
 
+def _next_start(types, new, old, ended) -> list[int]:
+    """Where the chunk after one starts, which started at ``old``, is to start at ``new`` and ended at ``ended``."""
+    end = [int(x) for x in ended]
+    moved = [int(a) - int(b) for a, b in zip(new, old)]
+    if any(moved):
+        for group in _level_groups(types, end):
+            each, rest = divmod(sum(moved[i] for i in group), len(group))
+            for place, i in enumerate(sorted(group, key=lambda i: (end[i], i))):
+                end[i] += each + (place < rest)
+    return end
+
+
 def _level_groups(types, load) -> list[list[int]]:
     root = list(range(len(load)))
 
@@ -87,26 +93,41 @@ def _level_groups(types, load) -> list[list[int]]:
 
 
 def hand_on(family: pd.DataFrame) -> pd.DataFrame:
-    """The chunks of one family (one row for ``chunk_tasks`` tasks) with their next starts."""
+    """The chunks of one family (one row for ``chunk_tasks`` tasks) with their next starts; the first row has the reviewers' types.
+
+    Only the chunk at hand is spelled out as Python numbers.
+    """
     family = family.sort_values("chunk").reset_index(drop=True)
-    old = [[int(x) for x in s] for s in family["start"]]
-    new = next_starts(family["types"][0], old, family["end"])
-    return family.assign(start=new, moved=[a != b for a, b in zip(old, new)])
+    types = per_reviewer(family["kinds"][0], family["sizes"][0])
+    old, new = family["start"], [family["start"][0]]
+    for c in range(len(family) - 1):
+        same = np.array_equal(new[c], old[c])
+        new.append(family["end"][c] if same else np.array(_next_start(types, new[c].tolist(), old[c].tolist(), family["end"][c].tolist()), "int64"))
+    return family.assign(start=new, moved=[not np.array_equal(a, b) for a, b in zip(old, new)])
+
+
+def per_reviewer(kinds, sizes) -> list[tuple[int, ...]]:
+    """The types of each reviewer from one list of all; equal ones are one object."""
+    known: dict[tuple[int, ...], tuple[int, ...]] = {}
+    flat, ends = kinds.tolist(), np.cumsum(sizes).tolist()
+    cut = (tuple(flat[a:b]) for a, b in zip([0, *ends], ends))
+    return [known.setdefault(t, t) for t in cut]
 
 
-def end(codes: str, types: str, start: str) -> Column:
+def end(codes: str, kinds: str, sizes: str, start: str) -> Column:
     """The workloads at the end of a chunk."""
 
-    def run(codes: pd.Series, types: pd.Series, start: pd.Series) -> pd.Series:
-        return pd.Series([fill(*row)[2] for row in zip(codes, types, start)])
+    def run(codes: pd.Series, kinds: pd.Series, sizes: pd.Series, start: pd.Series) -> pd.Series:
+        return pd.Series([np.array(fill(c.tolist(), per_reviewer(k, n), s)[2], "int64") for c, k, n, s in zip(codes, kinds, sizes, start)])
 
-    return F.pandas_udf(run, "array<bigint>")(codes, types, start)
+    return F.pandas_udf(run, "array<bigint>")(codes, kinds, sizes, start)
 
 
-def places(codes: str, types: str, start: str) -> Column:
+def places(codes: str, kinds: str, sizes: str, start: str) -> Column:
     """The reviewer of each task of a chunk, and the work they had then."""
 
-    def run(codes: pd.Series, types: pd.Series, start: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fill(*row)[:2] for row in zip(codes, types, start)], columns=["who", "load"])
+    def run(codes: pd.Series, kinds: pd.Series, sizes: pd.Series, start: pd.Series) -> pd.DataFrame:
+        filled = (fill(c.tolist(), per_reviewer(k, n), s)[:2] for c, k, n, s in zip(codes, kinds, sizes, start))
+        return pd.DataFrame([(np.array(who, "int32"), np.array(had, "int64")) for who, had in filled], columns=["who", "load"])
 
-    return F.pandas_udf(run, "who array<int>, load array<bigint>")(codes, types, start)
+    return F.pandas_udf(run, "who array<int>, load array<bigint>")(codes, kinds, sizes, start)

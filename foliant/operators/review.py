@@ -16,8 +16,9 @@ from foliant.sources.metrics import seconds_between, ts
 
 DONE = "completed"
 PLACES_PER_CHUNK = 10_000
-#: Tasks of a chunk that is filled in order.
-TASKS_PER_CHUNK = 100_000
+#: Tasks of a chunk that is filled in order, and the least number of them for each reviewer: a chunk hands on the workloads of
+#: all reviewers, so that what chunks hand on grows with the tasks, not with tasks times reviewers.
+TASKS_PER_CHUNK, TASKS_PER_REVIEWER = 100_000, 2
 
 
 def sla_deadline(created: Column, priority: Column) -> Column:
@@ -25,7 +26,7 @@ def sla_deadline(created: Column, priority: Column) -> Column:
     return created + F.make_dt_interval(hours=F.coalesce(F.try_element_at(hours, priority), F.lit(config.SLA_DEFAULT_HOURS)))
 
 
-def assign_reviewers(tasks: DataFrame, reviewers: DataFrame, chunk_tasks: int = TASKS_PER_CHUNK) -> DataFrame:
+def assign_reviewers(tasks: DataFrame, reviewers: DataFrame, chunk_tasks: int | None = None) -> DataFrame:
     """Each task to the free specialist with the least work at that moment (first on ties), oldest task first.
 
     Document types that share a reviewer, directly or over others, form a family. In a family of one type, serial
@@ -41,6 +42,8 @@ def assign_reviewers(tasks: DataFrame, reviewers: DataFrame, chunk_tasks: int =
     tasks = tasks.where("document_type is not null")
     if not shared:
         return _fill_by_level(tasks, reviewers).unionByName(untyped)
+    if chunk_tasks is None:
+        chunk_tasks = max(TASKS_PER_CHUNK, TASKS_PER_REVIEWER * reviewers.where("is_available").count())
     in_shared = F.col("document_type").isin(*shared)
     return _fill_by_level(tasks.where(~in_shared), reviewers).unionByName(_fill_in_order(tasks.where(in_shared), reviewers, families, chunk_tasks)).unionByName(untyped)
 
@@ -74,7 +77,8 @@ def _fill_in_order(tasks: DataFrame, reviewers: DataFrame, families: dict[str, s
         .groupBy("family").agg(F.sort_array(F.collect_list(F.struct(  # people, however many tasks
             F.col("ord").cast("long").alias("ord"), F.col("user_id").alias("id"), F.coalesce(F.col("current_workload"), F.lit(0)).cast("long").alias("load"),
             F.transform("specializations", lambda t: codes[t]).alias("types")))).alias("s"))
-        .select("family", F.col("s.id").alias("ids"), F.col("s.load").alias("first"), F.col("s.types").alias("types")))
+        .select("family", F.col("s.id").alias("ids"), F.col("s.load").alias("first"),
+                F.flatten("s.types").alias("kinds"), F.transform("s.types", F.size).alias("sizes")))
     queue = row_numbers(tasks.select(family[F.col("document_type")].alias("family"), "task_id", "document_type", "created_at"), ["family"], ["created_at", "task_id"], "k")
     one = F.struct("k", "task_id", "document_type", codes[F.col("document_type")].alias("code"))
     chunks = (
@@ -82,18 +86,19 @@ def _fill_in_order(tasks: DataFrame, reviewers: DataFrame, families: dict[str, s
         .select("family", "chunk", F.col("t.code").alias("codes"), F.transform("t", lambda x: x.dropFields("code")).alias("tasks")).join(staff, "family"))
     chunks = written(chunks, "assignment-chunks")
 
-    key, end = ["family", "chunk"], filling.end("codes", "types", "start").alias("end")
-    plain = chunks.select(*key, "codes", "types")
+    key, end = ["family", "chunk"], filling.end("codes", "kinds", "sizes", "start").alias("end")
+    plain = chunks.select(*key, "codes", "kinds", "sizes")
+    once = [F.when(F.col("chunk") == 0, F.col(c)).alias(c) for c in ("kinds", "sizes")]  # the same in all chunks of a family
     starts = chunks.select(*key, F.col("first").alias("start"))
-    ends = written(plain.join(starts, key).select(*key, "types", "start", end), "assignment-ends")
+    ends = written(plain.join(starts, key).select(*key, *once, "start", end), "assignment-ends")
     while True:
         after = written(ends.groupBy("family").applyInPandas(filling.hand_on, ends.schema.simpleString()[7:-1] + ", moved boolean"), "assignment-starts")
         if not after.where("moved").count():
             break
-        again = plain.join(after.where("moved").select(*key, "start"), key).select(*key, "types", "start", end)
+        again = plain.join(after.where("moved").select(*key, "start"), key).select(*key, *once, "start", end)
         ends = written(after.where("not moved").drop("moved").unionByName(again), "assignment-ends")
 
-    filled = chunks.join(ends.select(*key, "start"), key).withColumn("got", filling.places("codes", "types", "start"))
+    filled = chunks.join(ends.select(*key, "start"), key).withColumn("got", filling.places("codes", "kinds", "sizes", "start"))
     rows = filled.select("ids", F.explode(F.arrays_zip("tasks", "got.who", "got.load")).alias("x"))
     return rows.select(
         "x.tasks.task_id", "x.tasks.document_type", F.when(F.col("x.who") >= 0, F.get("ids", F.col("x.who"))).alias("assigned_to"),
