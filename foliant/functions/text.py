@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant import config
-from foliant.functions.parse import WS, is_blank, strip  # noqa: F401
+from foliant.functions.parse import WS, WS_CHARS, is_blank, strip  # noqa: F401
 
 
 def words(text: Column) -> Column:

@@ -99,7 +99,8 @@ def text_features(df: DataFrame, text_col: str) -> DataFrame:
     t = F.coalesce(F.col(text_col), F.lit(""))
     words = F.col("__words")
     n = F.size(words)
-    sentences = F.size(F.filter(F.split(t, r"\."), lambda s: ~T.is_blank(s)))
+    # One match for each part between dots that is not blank: from its first visible character to the next dot.
+    sentences = F.regexp_count(t, F.lit(f"[^.{T.WS_CHARS}][^.]*"))
     step = df.withColumn("__words", T.words(t)).withColumns({
         "word_count": n, "unique_word_count": F.size(F.array_distinct(words)),
         "avg_word_length": F.length(F.regexp_replace(t, f"{T.WS}+", "")) / F.greatest(n, F.lit(1)), "sentence_count": sentences,
