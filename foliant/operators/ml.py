@@ -18,32 +18,48 @@ def feature_frame(df: DataFrame, keep: list[str], with_layout: bool = False) ->
     return df.select(*keep, *feature_columns(df, with_layout)), names
 
 
+#: Classifiers that go through their rows many times and for which a row with a weight says the same as that many rows alike. A random
+#: forest draws rows, so its rows stay single.
+WEIGHTED = ("gradient_boost", "svm")
+WEIGHT = "__weight"
+
+
 def classifier(kind: str = "random_forest", trees: int = 100, depth: int | None = None, iterations: int = 1000):
-    """random_forest, gradient_boost and svm (one against the rest), or logistic."""
+    """random_forest, gradient_boost and svm (one against the rest, over rows with a weight), or logistic."""
     base = {"featuresCol": "features", "labelCol": "label_index"}
     if kind == "gradient_boost":
-        return OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=depth or 6, seed=42, **base), **base)
+        return OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=depth or 6, seed=42, weightCol=WEIGHT, **base), weightCol=WEIGHT, **base)
     if kind == "svm":
-        return OneVsRest(classifier=LinearSVC(maxIter=100, **base), **base)
+        return OneVsRest(classifier=LinearSVC(maxIter=100, weightCol=WEIGHT, **base), weightCol=WEIGHT, **base)
     if kind == "logistic":
         return LogisticRegression(maxIter=iterations, **base)
     return RandomForestClassifier(numTrees=trees, maxDepth=depth or 10, seed=42, **base)
 
 
 def train_classifier(df: DataFrame, inputs: list[str], label: str = "label", kind: str = "random_forest", **options) -> PipelineModel:
-    """Label index, scaled features and classifier; rows with missing values are left out of the fit only."""
+    """Label index, scaled features and classifier; rows with missing values are left out of the fit only.
+
+    Labels and scale are those of all rows. Where the classifier takes weights, rows with equal features and label then become
+    one row with their number, so that its many passes go over what differs.
+    """
     rows = df.dropna(subset=[*inputs, label]).persist()
     try:
-        return Pipeline(stages=[
+        model = Pipeline(stages=[
             StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip"),
             VectorAssembler(inputCols=inputs, outputCol="raw_features", handleInvalid="error"),
             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-            classifier(kind, **options),
         ]).fit(rows)
+        fitted = counted(rows, [*inputs, label], WEIGHT) if kind in WEIGHTED else rows
+        return PipelineModel([*model.stages, classifier(kind, **options).fit(model.transform(fitted))])
     finally:
         rows.unpersist()
 
 
+def counted(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Each combination of values once, with the number of its rows."""
+    return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias(name))
+
+
 def predict_class(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds document_type, confidence and probabilities; classifiers without probabilities leave the last two NULL.
 

@@ -11,7 +11,7 @@ from foliant.operators.tables import layout_from_blocks
 from foliant.plans import sql as Q
 from foliant.plans.queries_extract import BLOCKS
 from foliant.plans.registry import query
-from foliant.session import materialize, work_path
+from foliant.session import materialize, work_path, written
 from foliant.sources import adapters as A
 
 
@@ -209,15 +209,16 @@ def told(spark, d, kind, fits=1, **options):
     """Per type: its held-out documents, whether enough of them were told by a model that never saw them, and whether all fits say the same."""
     typed = A.order_text(A.order_docs(spark, d)).select("key", F.col("document_type").alias("label"), "full_text")
     rows, names = ml.feature_frame(C.text_features(typed, "full_text"), ["key", "label"])
-    rows = materialize(rows)
-    seen, held = rows.where(F.col("key") % HELD_OUT != 0), rows.where(F.col("key") % HELD_OUT == 0)
-    said = [ml.predict_class(ml.train_classifier(seen, names, "label", kind, **options), held).select("key", "label", F.col("document_type").alias("said")) for _ in range(fits)]
-    both = said[0]
-    for other in said[1:]:
-        both = both.unionByName(other)
-    right = F.avg((F.col("label") == F.col("said")).cast("double"))
-    each = both.groupBy("key", "label").agg(F.min("said").alias("said"), (F.min("said") == F.max("said")).alias("same"))
-    return each.groupBy("label").agg(F.count(F.lit(1)).alias("documents"), (right >= LEAST_RECALL).alias("told"), F.bool_and("same").alias("same_again"))
+    rows = written(rows, "features")
+    seen = rows.where(F.col("key") % HELD_OUT != 0)
+    # A model says the same of documents with the same features, and each is asked about them once.
+    said = ml.counted(rows.where(F.col("key") % HELD_OUT == 0), [*names, "label"], "n")
+    for i in range(fits):
+        said = ml.predict_class(ml.train_classifier(seen, names, "label", kind, **options), said).withColumnRenamed("document_type", f"said{i}").drop("confidence", "probabilities")
+    each = F.array(*[F.col(f"said{i}") for i in range(fits)])
+    right = F.sum(F.when(F.col("label") == F.array_min(each), F.col("n")).otherwise(0))
+    return said.groupBy("label").agg(F.sum("n").alias("documents"), (right / F.sum("n") >= LEAST_RECALL).alias("told"),
+                                     F.bool_and(F.array_min(each) == F.array_max(each)).alias("same_again"))
 
 
 _TOLD = f"with {Q.OD} select document_type as label, count(*) as documents, true as told, true as same_again from od where key%{HELD_OUT}=0 group by 1"
