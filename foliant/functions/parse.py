@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # White space as Python's str.split and str.strip see it; Java's \s is ASCII only.
 WS_CHARS = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS = f"[{WS_CHARS}]"
+#: The same characters one by one.
+WS_TEXT = "".join(chr(c) for c in (*range(9, 14), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000))
 _CODES = {"%Y": "yyyy", "%y": "yy", "%m": "M", "%d": "d", "%B": "MMMM", "%b": "MMM", "%H": "H", "%M": "m", "%S": "s"}
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 _MONTH_RE = (r"(?i)^(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?"
@@ -22,7 +24,8 @@ _MDY2 = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2})$"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Without white space at the ends; from both ends inwards, so that the text between is not looked at."""
+    return F.btrim(c, F.lit(WS_TEXT))
 
 
 def is_blank(c: Column) -> Column:

@@ -97,7 +97,7 @@ def label_sql(spec: FieldSpec, compat: bool = False, index: LabelIndex = ALL_LAB
     arms = [f"CASE WHEN {index.stands_sql(x)} THEN nullif(regexp_extract({text}, {text_literal(label_pattern(x, spec.field_type))}, 0), '') END" for x in labels]
     either = text_literal(label_pattern(r"\E|\Q".join(labels), spec.field_type))
     label = f"lower(regexp_extract(s, {either}, 1))"
-    value = f"regexp_replace(regexp_extract(s, {either}, 2), {text_literal(f'^{parse.WS}+|{parse.WS}+$')}, '')"
+    value = f"btrim(regexp_extract(s, {either}, 2), {text_literal(parse.WS_TEXT)})"
     found = field_sql(label if compat else text_literal(spec.name), label, value, str(config.CONF_LABEL), "s", "pattern_match")
     return f"transform(array(coalesce({', '.join(arms)})), s -> CASE WHEN s IS NOT NULL THEN {found} END)[0]"
 

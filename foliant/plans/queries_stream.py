@@ -10,7 +10,7 @@ from foliant.plans.queries_classify import KW
 from foliant.plans.queries_review import FOLD_SQL
 from foliant.plans.registry import query
 from foliant.plans.sql_plan import plan_sql
-from foliant.session import work_path
+from foliant.session import spread, work_path
 from foliant.sources import adapters as A
 from foliant.streaming import documents as D
 from foliant.streaming import kpis as K
@@ -40,7 +40,7 @@ def _(spark, d):
 @query("stream_documents", f"""with {plan_sql('1999-06-01', False)} select document_id, document_type, case when requires_hitl then 'needs_review' else 'success' end as processing_status,
   fields as field_count, requires_hitl as hitl_required, routing_reason as hitl_reason from decided""")
 def _(spark, d):
-    docs = A.order_text(A.order_docs_from(read_stream(spark, d, "orders"))).withColumn("processing_time", F.col("key") % 90 / 10.0)
+    docs = A.order_text(A.order_docs_from(spread(read_stream(spark, d, "orders"), "o_orderkey"))).withColumn("processing_time", F.col("key") % 90 / 10.0)
     path = work_path(spark, "metrics")
     run_available(docs.transform(lambda x: D.stream_documents(x, "1999-06-01")), batch_writer(path))
     return D.current_metrics(spark.read.parquet(path)).select(
@@ -93,7 +93,7 @@ def _(spark, d):
     from foliant.operators.handlers import on_batch
 
     path = work_path(spark, "classified")
-    docs = classify_keywords(A.order_text(A.order_docs_from(read_stream(spark, d, "orders"))), "full_text")
+    docs = classify_keywords(A.order_text(A.order_docs_from(spread(read_stream(spark, d, "orders"), "o_orderkey"))), "full_text")
     count = batch_writer(path, lambda b: b.groupBy(F.col("keyword_class").alias("document_type")).agg(F.count(F.lit(1)).alias("seen")))
     run_available(docs, on_batch(count))
     return spark.read.parquet(path).groupBy("document_type").agg(F.sum("seen").alias("seen"))

@@ -9,14 +9,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-#: A number of partitions that document rows are dealt to before heavy work in the row. Off where it is not set: a table of many
-#: row groups is read in as many tasks, and only one of few, such as a test table, needs it. Nothing looks at the data's size.
+#: A number of partitions that document rows are dealt to before heavy work in the row. Where it is not set, rows with a key are dealt by it to
+#: TASKS_PER_CORE tasks per core, and rows without one stay where they are read. Nothing looks at the data's size.
 INPUT_CONF = "spark.foliant.inputPartitions"
 
 
-def spread(df: DataFrame) -> DataFrame:
+TASKS_PER_CORE = 4
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Rows, batch or stream, dealt to tasks alike.
+
+    A table of narrow rows is packed so densely that a file part of the usual size has millions of them, and a part without the start of a
+    row group has none: heavy work in the row then keeps a few cores busy and leaves the others idle.
+    """
     n = int(df.sparkSession.conf.get(INPUT_CONF, "0"))
-    return df.repartition(n) if n else df
+    if key is None:
+        return df.repartition(n) if n else df
+    return df.repartition(n or TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def local_session(cpus: int = 8, name: str = "foliant", memory: str = "8g", input_partitions: int = 0) -> SparkSession:

@@ -118,7 +118,7 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_docs_from(spread(table(spark, sf_dir, "orders")))
+    return order_docs_from(spread(table(spark, sf_dir, "orders"), "o_orderkey"))
 
 
 def order_docs_from(orders: DataFrame) -> DataFrame:
