@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 # White space as Python's str.split and str.strip see it; Java's \s is ASCII only.
 WS_CHARS = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-WS = f"[{WS_CHARS}]"
+# The outer ranges hold them all; other characters of plain text are told by these two alone.
+WS = rf"[\x00-\x20\x{{85}}-\x{{3000}}&&[{WS_CHARS}]]"
 #: The same characters one by one.
 WS_TEXT = "".join(chr(c) for c in (*range(9, 14), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000))
 _CODES = {"%Y": "yyyy", "%y": "yy", "%m": "M", "%d": "d", "%B": "MMMM", "%b": "MMM", "%H": "H", "%M": "m", "%S": "s"}

@@ -48,18 +48,17 @@ def key_phrases(tokens: Column, top: int = 10, keep: int = 5, min_len: int = 3)
 
     Returned as three expressions to be projected one after another (sorted, starts, phrases), each
     reading the one before as a column named ``sorted`` / ``starts``: sort the (word, position)
-    pairs, keep the first of each run, and read counts off the distance between runs. That is
-    n log n in the row and needs no explode and no shuffle.
+    pairs, keep the places where runs start, and read counts off the distance between them. That is
+    n log n in the row and needs no explode and no shuffle. Arrays are sorted by their natural order,
+    which is compared in compiled code.
     """
-    pairs = F.array_sort(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    pairs = F.sort_array(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
     sorted_ = F.col("sorted")
-    runs = F.filter(
-        F.transform(sorted_, lambda x, i: F.struct(x["w"].alias("w"), x["p"].alias("p"), i.alias("i"),
-                                                   F.coalesce(F.get(sorted_, i - 1)["w"] != x["w"], F.lit(True)).alias("new"))),
-        lambda x: x["new"],
-    )
+    word = lambda i: F.get(sorted_, i)["w"]
+    n = F.size(sorted_)
+    runs = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(word(i - 1) != word(i), F.lit(True)))).otherwise(F.array().cast("array<int>"))
     starts = F.col("starts")
-    counted = F.array_sort(F.transform(starts, lambda x, k: F.struct(
-        (x["i"] - F.coalesce(F.get(starts, k + 1)["i"], F.size(sorted_))).alias("neg"), x["p"].alias("p"), x["w"].alias("w"))))
+    counted = F.sort_array(F.transform(starts, lambda i, k: F.struct(
+        (i - F.coalesce(F.get(starts, k + 1), n)).alias("neg"), F.get(sorted_, i)["p"].alias("p"), word(i).alias("w"))))
     best = F.filter(F.slice(counted, 1, top), lambda x: ~x["w"].isin(*config.STOP_WORDS) & (F.length(x["w"]) > min_len))
     return pairs, runs, F.transform(F.slice(best, 1, keep), lambda x: x["w"])

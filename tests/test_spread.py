@@ -38,3 +38,18 @@ def test_strip_is_that_of_python(spark):
         assert r["s"] == r["t"].strip()
     plan = df.select(parse.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+def test_white_space_of_patterns_is_that_of_strip(spark):
+    df = spark.createDataFrame([(c, chr(c)) for c in range(0x3100)], "id int, c string")
+    assert {r["id"] for r in df.where(F.col("c").rlike(parse.WS)).collect()} == {ord(c) for c in parse.WS_TEXT} == {c for c in range(0x3100) if chr(c).isspace()}
+
+
+def test_key_phrases_sort_without_lambdas(spark):
+    from foliant.operators import classify
+
+    df = spark.createDataFrame([("beta beta alpha alpha gamma the the delta",), ("",), (None,), ("one\x1ftwo three\u3000three",)], "t string")
+    out = classify.key_phrases(df, "t")
+    assert [r["key_phrases"] for r in out.collect()] == [["beta", "alpha", "gamma", "delta"], [], [], ["three"]]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort(" not in plan and "sort_array(" in plan
