@@ -53,3 +53,10 @@ def test_key_phrases_sort_without_lambdas(spark):
     assert [r["key_phrases"] for r in out.collect()] == [["beta", "alpha", "gamma", "delta"], [], [], ["three"]]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "array_sort(" not in plan and "sort_array(" in plan
+
+
+def test_streams_are_dealt_as_well(spark, unset):
+    from foliant.streaming.runner import read_stream
+
+    dealt = spread(read_stream(spark, "/root/testdata/sf0.001", "orders"), "o_orderkey")
+    assert dealt.isStreaming and "RepartitionByExpression" in dealt._jdf.queryExecution().analyzed().toString()
