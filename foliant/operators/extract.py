@@ -15,7 +15,9 @@ from foliant import config
 from foliant.config import DocSchema, FieldSpec
 from foliant.functions import parse
 
-TEXT, LOW, LABELS, ANY_DATE, ANY_MONEY = "__text", "__low", "__labels", "__any_date", "__any_money"
+TEXT, LOW, LABELS, ANY_DATE, ANY_MONEY, HITS = "__text", "__low", "__labels", "__any_date", "__any_money", "__hits"
+#: Stands before and after each label of the labels found in a text.
+EDGE = "\x01"
 
 
 class LabelIndex:
@@ -38,16 +40,17 @@ class LabelIndex:
         return rf"(?im)(?:^|(?<=\s))(?=({_branches(tree)})[:\s])"
 
     def found_sql(self, text: str) -> str:
-        """The labels that stand in a text, in lower case."""
+        """The labels that stand in a text, in lower case, as one text with an edge around each."""
         if not self.labels:
-            return "CAST(array() AS ARRAY<STRING>)"
-        return f"array_distinct(transform(regexp_extract_all({text}, {text_literal(self.pattern())}, 1), x -> lower(x)))"
+            return "''"
+        edge = text_literal(EDGE)
+        return f"concat({edge}, lower(array_join(regexp_extract_all({text}, {text_literal(self.pattern())}, 1), {edge})), {edge})"
 
     def stands_sql(self, label: str) -> str:
-        """Whether a label stands in the text whose labels are known."""
+        """Whether a label stands in the text whose labels are known; a search in a short text is cheaper than one in an array."""
         low = label.lower()
-        longer = [x for x in self.labels if x.startswith(low) and (x == low or x[len(low)] in ": \t")]
-        return "(" + " OR ".join(f"array_contains({LABELS}, {text_literal(x)})" for x in longer) + ")"
+        ends = [EDGE, *(c for c in ": \t" if any(x.startswith(low + c) for x in self.labels))]
+        return "(" + " OR ".join(f"contains({LABELS}, {text_literal(EDGE + low + c)})" for c in ends) + ")"
 
 
 def _branches(tree: dict) -> str:
@@ -85,21 +88,32 @@ def structured_sql(spec: FieldSpec, ocr_fields: str) -> str:
     return f"get(transform({hit}, f -> {found}), 0)"
 
 
-def label_sql(spec: FieldSpec, compat: bool = False, index: LabelIndex = ALL_LABELS) -> str:
-    """Strategy 2: name and synonyms in order; the first label with a value of the field's type.
+def hit_sql(spec: FieldSpec, compat: bool = False, index: LabelIndex = ALL_LABELS) -> str:
+    """The matched text of the first label, name and synonyms in order, with a value of the field's type.
 
-    Only labels that the index has found in the text are looked at, and each once. The hit is then taken apart by one pattern over
-    all labels, which only ever sees the short matched text. ``compat`` names the field after the label that matched and reads
-    the text in lower case.
+    Only labels that the index has found in the text are looked at, and each once (``nullif`` would search twice).
     """
     text = LOW if compat else TEXT
-    labels = [spec.name, *spec.synonyms]
-    arms = [f"CASE WHEN {index.stands_sql(x)} THEN nullif(regexp_extract({text}, {text_literal(label_pattern(x, spec.field_type))}, 0), '') END" for x in labels]
-    either = text_literal(label_pattern(r"\E|\Q".join(labels), spec.field_type))
-    label = f"lower(regexp_extract(s, {either}, 1))"
-    value = f"btrim(regexp_extract(s, {either}, 2), {text_literal(parse.WS_TEXT)})"
-    found = field_sql(label if compat else text_literal(spec.name), label, value, str(config.CONF_LABEL), "s", "pattern_match")
-    return f"transform(array(coalesce({', '.join(arms)})), s -> CASE WHEN s IS NOT NULL THEN {found} END)[0]"
+    hit = lambda x: f"regexp_extract({text}, {text_literal(label_pattern(x, spec.field_type))}, 0)"
+    arms = [f"CASE WHEN {index.stands_sql(x)} THEN get(filter(array({hit(x)}), s -> s <> ''), 0) END" for x in (spec.name, *spec.synonyms)]
+    return f"coalesce({', '.join(arms)})"
+
+
+def hit_field_sql(spec: FieldSpec, hit: str, compat: bool = False) -> str:
+    """A matched text as field value; it is taken apart by one pattern over all labels, which only ever sees the short matched text.
+
+    ``compat`` names the field after the label that matched and reads the text in lower case.
+    """
+    either = text_literal(label_pattern(r"\E|\Q".join((spec.name, *spec.synonyms)), spec.field_type))
+    label = f"lower(regexp_extract({hit}, {either}, 1))"
+    value = f"btrim(regexp_extract({hit}, {either}, 2), {text_literal(parse.WS_TEXT)})"
+    found = field_sql(label if compat else text_literal(spec.name), label, value, str(config.CONF_LABEL), hit, "pattern_match")
+    return f"CASE WHEN {hit} IS NOT NULL THEN {found} END"
+
+
+def label_sql(spec: FieldSpec, compat: bool = False, index: LabelIndex = ALL_LABELS) -> str:
+    """Strategy 2: name and synonyms in order; the first label with a value of the field's type."""
+    return f"transform(array({hit_sql(spec, compat, index)}), s -> {hit_field_sql(spec, 's', compat)})[0]"
 
 
 def third_sql(spec: FieldSpec) -> str | None:
@@ -118,9 +132,10 @@ def default_sql(spec: FieldSpec) -> str | None:
     return field_sql(text_literal(spec.name), "CAST(NULL AS STRING)", text_literal(spec.default), str(config.CONF_DEFAULT), "'default'", "default")
 
 
-def cascade_sql(spec: FieldSpec, ocr_fields: str | None = None, compat: bool = False, index: LabelIndex = ALL_LABELS) -> str:
-    """All strategies in order over a frame prepared by :func:`with_text`."""
-    steps = [None if ocr_fields is None else structured_sql(spec, ocr_fields), label_sql(spec, compat, index), third_sql(spec), default_sql(spec)]
+def cascade_sql(spec: FieldSpec, ocr_fields: str | None = None, compat: bool = False, index: LabelIndex = ALL_LABELS, hit: str | None = None) -> str:
+    """All strategies in order over a frame prepared by :func:`with_text`; ``hit`` is a column of the matched text where that is known."""
+    label = label_sql(spec, compat, index) if hit is None else hit_field_sql(spec, hit, compat)
+    steps = [None if ocr_fields is None else structured_sql(spec, ocr_fields), label, third_sql(spec), default_sql(spec)]
     return f"coalesce({', '.join(s for s in steps if s)})"
 
 
@@ -187,14 +202,19 @@ def extract_fields(docs: DataFrame, schemas: dict[str, DocSchema] | None = None,
     schemas = config.SCHEMAS if schemas is None else schemas
     ocr = f"`{ocr_fields_col}`" if ocr_fields_col and ocr_fields_col in docs.columns else None
 
-    def found(s: DocSchema) -> Column:
+    def hits(s: DocSchema) -> Column:
         index = LabelIndex(s.fields)
-        return F.expr(f"array({', '.join(cascade_sql(f, ocr, compat, index) for f in s.fields)})")
+        return F.expr(f"array({', '.join(hit_sql(f, compat, index) for f in s.fields)})")
+
+    def found(s: DocSchema) -> Column:
+        return F.expr(f"array({', '.join(cascade_sql(f, ocr, compat, hit=f'get({HITS}, {i})') for i, f in enumerate(s.fields))})")
 
     labels = by_type(F.col(type_col), schemas, lambda s: F.expr(LabelIndex(s.fields).found_sql(LOW if compat else TEXT)))
+    # The labels' hits are a column of their own, outside of lambdas: Spark compiles it, and lambdas it walks through.
+    text = with_text(docs, text_col, compat, labels).withColumn(HITS, by_type(F.col(type_col), schemas, hits))
     raw = by_type(F.col(type_col), schemas, found)
     fields = F.transform(F.filter(raw, lambda f: f.isNotNull()), normalize_field)
-    return with_text(docs, text_col, compat, labels).withColumn("fields", fields).drop(TEXT, LOW, LABELS, ANY_DATE, ANY_MONEY)
+    return text.withColumn("fields", fields).drop(TEXT, LOW, LABELS, ANY_DATE, ANY_MONEY, HITS)
 
 
 def normalize_field(f: Column) -> Column:

@@ -43,8 +43,8 @@ def _(spark, d):
     docs = A.order_text(A.order_docs_from(spread(read_stream(spark, d, "orders"), "o_orderkey"))).withColumn("processing_time", F.col("key") % 90 / 10.0)
     path = work_path(spark, "metrics")
     run_available(docs.transform(lambda x: D.stream_documents(x, "1999-06-01")), batch_writer(path))
-    return D.current_metrics(spark.read.parquet(path)).select(
-        "document_id", "document_type", "processing_status", "field_count", "hitl_required", "hitl_reason")
+    wanted = ["document_id", "document_type", "processing_status", "field_count", "hitl_required", "hitl_reason"]
+    return D.current_metrics(spark.read.parquet(path).select(*wanted, "batch"))
 
 
 _ROLL = f"p as (select * from dm where start_time >= timestamp '{Q.AS_OF}' - interval 24 hour and start_time < timestamp '{Q.AS_OF}')"

@@ -139,10 +139,15 @@ def order_docs_from(orders: DataFrame) -> DataFrame:
 
 
 def order_text(d: DataFrame) -> DataFrame:
-    """Adds ``full_text``: labelled lines whose labels change from document to document."""
+    """Adds ``full_text``: labelled lines whose labels change from document to document.
+
+    Amounts and dates are written in a step before the text, once each, so that both steps stay small enough for the JVM to compile.
+    """
     k = F.col("key")
-    usd = lambda c: F.concat(F.lit("$"), F.format_number(c, 2))
-    mdy = lambda c: F.date_format(c, "M/d/yyyy")
+    written = {f"__{c}": F.concat(F.lit("$"), F.format_number(c, 2)) for c in ("subtotal", "tax", "total")}
+    written |= {f"__{c}": F.date_format(c, "M/d/yyyy") for c in ("doc_date", "due_date")}
+    d = d.withColumns(written)
+    usd = mdy = lambda c: F.col(f"__{c}")
     line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("\n"))
     key = k.cast("string")
     party = F.concat(F.lit("Trader "), F.col("party").cast("string"), F.lit(" Ltd"))
@@ -175,8 +180,8 @@ def order_text(d: DataFrame) -> DataFrame:
     )
     other = F.concat(line("Note ", key, " dated ", F.date_format("doc_date", "MMMM d, yyyy")), line("value of ", usd("total"), " and ", usd("tax")))
     t = F.col("document_type")
-    return d.withColumn("full_text", F.when(t == "invoice", invoice).when(t == "receipt", receipt)
-                        .when(t == "contract", contract).when(t == "general_document", general).otherwise(other))
+    text = F.when(t == "invoice", invoice).when(t == "receipt", receipt).when(t == "contract", contract).when(t == "general_document", general)
+    return d.withColumn("full_text", text.otherwise(other)).drop(*written)
 
 
 def ocr_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
