@@ -15,12 +15,12 @@ WS = rf"[\x00-\x20\x{{85}}-\x{{3000}}&&[{WS_CHARS}]]"
 WS_TEXT = "".join(chr(c) for c in (*range(9, 14), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000))
 _CODES = {"%Y": "yyyy", "%y": "yy", "%m": "M", "%d": "d", "%B": "MMMM", "%b": "MMM", "%H": "H", "%M": "m", "%S": "s"}
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-_MONTH_RE = (r"(?i)^(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?"
-             r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\s+(\d{1,2}),?\s+(\d{4})$")
-_DAY_MONTH_RE = (r"(?i)^(\d{1,2})\s+(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?"
-                 r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?),?\s+(\d{4})$")
-_ISO_TIME = r"^(\d{4}-\d{1,2}-\d{1,2})[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?$"
-_MDY = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$"
+# One day, before or after the month's name, and then the year.
+_NAMED_RE = (r"(?i)^(?=\D*\d{1,2}\D+\d{4}$)(?:(\d{1,2})\s+)?(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?"
+             r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)(?:\s+(\d{1,2}))?,?\s+(\d{4})$")
+_ISO = r"^(\d{4}-\d{1,2}-\d{1,2})(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+# Two numbers and a year; a first number that is no month is the day.
+_NUMBERS = r"^(?:(1[3-9]|[2-9]\d)[/-](\d{1,2})|(\d{1,2})[/-](\d{1,2}))[/-](\d{4})$"
 _MDY2 = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2})$"
 
 
@@ -39,26 +39,32 @@ def to_date(c: Column) -> Column:
     Numbers are read month first, and day first where there is no such month.
     """
     v = F.trim(c)
-    names = F.array(*[F.lit(m) for m in MONTHS])
-
-    def named(pattern: str, month: int, day: int) -> Column:
-        number = F.array_position(names, F.lower(F.substring(F.regexp_extract(v, pattern, month), 1, 3)))
-        return F.concat_ws("-", F.regexp_extract(v, pattern, 3), number.cast("string"), F.regexp_extract(v, pattern, day)).try_cast("date")
-
-    return (
-        F.when(v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), v.try_cast("date"))
-        .when(v.rlike(_MDY), F.coalesce(F.regexp_replace(v, _MDY, "$3-$1-$2").try_cast("date"), F.regexp_replace(v, _MDY, "$3-$2-$1").try_cast("date")))
-        .when(v.rlike(_MDY2), F.regexp_replace(v, _MDY2, "20$3-$1-$2").try_cast("date"))
-        .when(v.rlike(_MONTH_RE), named(_MONTH_RE, 1, 2))
-        .when(v.rlike(_DAY_MONTH_RE), named(_DAY_MONTH_RE, 2, 1))
-        .when(v.rlike(_ISO_TIME), F.regexp_extract(v, _ISO_TIME, 1).try_cast("date"))
+    part = lambda form: F.regexp_replace(v, _NAMED_RE, form)
+    number = F.find_in_set(F.lower(F.substring(part("$2"), 1, 3)), F.lit(",".join(MONTHS)))
+    iso = (
+        F.when(v.rlike(_ISO), F.regexp_extract(v, _ISO, 1))
+        .when(v.rlike(_NUMBERS), F.regexp_replace(v, _NUMBERS, "$5-$2$3-$1$4"))
+        .when(v.rlike(_MDY2), F.regexp_replace(v, _MDY2, "20$3-$1-$2"))
+        .when(v.rlike(_NAMED_RE), F.concat(part("$4-"), number.cast("string"), part("-$1$3")))
     )
+    return iso.try_cast("date")
 
 
 def date_by_format(c: Column, fmt: str) -> Column:
-    """A date by a format of % codes (Y, y, m, d, B, b, H, M, S); NULL if the text does not fit."""
-    pattern = "".join(_CODES.get(part, part) if part.startswith("%") else f"'{part}'" if part.isalpha() else part for part in re.findall(r"%.|[A-Za-z]+|[^%A-Za-z]+", fmt))
-    return F.to_date(F.try_to_timestamp(F.trim(c), F.lit(pattern)))
+    """A date by a format of % codes (Y, y, m, d, B, b, H, M, S); NULL if the text does not fit.
+
+    A text that lacks the format's signs is not parsed: an attempt that fails costs far more than a look.
+    """
+    v, parts = F.trim(c), re.findall(r"%.|[A-Za-z]+|[^%A-Za-z]+", fmt)
+    pattern = "".join(_CODES.get(part, part) if part.startswith("%") else f"'{part}'" if part.isalpha() else part for part in parts)
+    return F.when(v.rlike("(?is)^" + "".join(map(_shape, parts)) + "$"), F.to_date(F.try_to_timestamp(v, F.lit(pattern))))
+
+
+def _shape(part: str) -> str:
+    """A pattern that every text of this part of a format fits."""
+    if part in _CODES:
+        return ".+" if part in ("%B", "%b") else "[+-]?[0-9]+"
+    return ".*" if re.search(r"[%\[\]{}#']", part) else re.sub(r"([^A-Za-z0-9_])", r"\\\1", part)
 
 
 def amount_text(c: Column) -> Column:

@@ -195,17 +195,20 @@ def rule_luhn(value: Column) -> Column:
 
 def rule_date_format(value: Column, expected_formats: tuple[str, ...] = ()) -> Column:
     """Any date that can be read, and then the expected formats one after the other."""
-    return date_report(value, parse.to_date(value), expected_formats)
+    return date_report(value, date_found(value, expected_formats), expected_formats)
 
 
-def date_report(value: Column, read: Column, expected_formats: tuple[str, ...] = ()) -> Column:
-    """``read`` is the value as a date where it can be read."""
-    found = [(read, "Date parsed successfully: "), *((parse.date_by_format(value, f), f"Date parsed with format {f}: ") for f in expected_formats)]
-    d = F.coalesce(*[x for x, _ in found])
-    iso = F.date_format(d, "yyyy-MM-dd")
+def date_found(value: Column, expected_formats: tuple[str, ...] = ()) -> Column:
+    """What is to be said of the date that a value holds, the date last; NULL without one."""
+    found = [(parse.to_date(value), "Date parsed successfully: "), *((parse.date_by_format(value, f), f"Date parsed with format {f}: ") for f in expected_formats)]
+    return F.coalesce(*[F.concat(F.lit(text), F.date_format(x, "yyyy-MM-dd")) for x, text in found])
+
+
+def date_report(value: Column, found: Column, expected_formats: tuple[str, ...] = ()) -> Column:
+    """``found`` is :func:`date_found` of the value. It stands where it is always asked for, so that Spark computes it once for all columns."""
     tried = f". Tried formats: {list(expected_formats)}" if expected_formats else ""
-    message = F.coalesce(*[F.when(x.isNotNull(), F.concat(F.lit(text), iso)) for x, text in found], F.lit(f"Date format validation failed{tried}"))
-    return _empty_or(value, "Empty date value", "date_format", _result("date_format", d.isNotNull(), message, iso))
+    failed = F.when(value.isNull() | (value == ""), "Empty date value").otherwise(f"Date format validation failed{tried}")
+    return _result("date_format", found.isNotNull(), F.coalesce(found, failed), F.substring_index(found, ": ", -1))
 
 
 def rule_date_range(value: Column, min_date=None, max_date=None) -> Column:

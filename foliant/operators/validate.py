@@ -159,7 +159,7 @@ def _inferred_checks(value: Column) -> dict[str, list[Column]]:
 
     checks = {k: [fits(p)] for k, p in config.TYPE_PATTERNS.items()}
     more = {
-        "date": _let(parse.to_date(value), lambda d: rules.date_report(value, d)),
+        "date": _let(rules.date_found(value), lambda found: rules.date_report(value, found)),
         "currency": _let(parse.to_money(value), lambda n: rules.range_report(value, n, *config.NUMERIC_RANGE)),
         "text": rules.rule_length(value, *config.TEXT_LENGTH),
     }

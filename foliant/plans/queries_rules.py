@@ -51,18 +51,18 @@ _V = f"case key%6 when 1 then strftime({_D},'%d/%m/%Y') when 2 then strftime({_D
 _VD = f"coalesce({Q.to_date(_V)}, try_strptime({_V},'%d.%m.%Y')::date)"
 
 
-def varied_date():
-    d, k = parse.to_date(val("due_date")), F.col("key") % 6
-    forms = {1: "dd/MM/yyyy", 2: "dd MMMM yyyy", 3: "yyyy-MM-dd'T'10:00:00", 4: "dd.MM.yyyy"}
+def with_varied_date(df):
+    """The due date is read in a step of its own, once for all forms."""
+    k, forms = F.col("key") % 6, {1: "dd/MM/yyyy", 2: "dd MMMM yyyy", 3: "yyyy-MM-dd'T'10:00:00", 4: "dd.MM.yyyy"}
     out = val("due_date")
     for n, f in forms.items():
-        out = F.when(k == n, F.date_format(d, f)).otherwise(out)
-    return out
+        out = F.when(k == n, F.date_format("due", f)).otherwise(out)
+    return df.withColumn("due", parse.to_date(val("due_date"))).withColumn("varied", out)
 
 
 result_query("rule_date_format", lambda: rules.rule_date_format(F.col("varied"), ("%Y-%m-%d", "%d.%m.%Y")), f"{_VD} is not null",
              f"case when {_V} is null then 'Empty date value' when {_VD} is null then 'Date format validation failed. Tried formats: [''%Y-%m-%d'', ''%d.%m.%Y'']' when key%6=4 then 'Date parsed with format %d.%m.%Y: '||{_VD}::varchar else 'Date parsed successfully: '||{_VD}::varchar end", f"{_VD}::varchar",
-             prepare=lambda df: df.withColumn("varied", varied_date()))
+             prepare=with_varied_date)
 result_query("rule_date_range", lambda: rules.rule_date_range(val("due_date"), "1996-01-01", "2000-12-31"),
              f"{_D} between date '1996-01-01' and date '2000-12-31'",
              f"""case when {_D} is null then 'Cannot parse date for range validation: '||due_date when {_D}<date '1996-01-01' then 'Date '||{_D}||' is before minimum 1996-01-01'
@@ -159,13 +159,13 @@ def _(spark, d):
     return A.review_tasks(spark, d).select("task_id", S.confidence_band(f["confidence"], f["violations"]).alias("total_band"))
 
 
-def norm_query(name, build, sql_expr):
+def norm_query(name, build, sql_expr, prepare=lambda df: df):
     @query(name, f"with {Q.FD} select document_id, {sql_expr} as value from fd")
     def _(spark, d):
-        return docs(spark, d).select("document_id", build().alias("value"))
+        return prepare(docs(spark, d)).select("document_id", build().alias("value"))
 
 
-norm_query("normalize_date", lambda: parse.to_date(varied_date()), Q.to_date(_V))
+norm_query("normalize_date", lambda: parse.to_date(F.col("varied")), Q.to_date(_V), with_varied_date)
 norm_query("normalize_currency", lambda: parse.to_amount(val("total_amount")).cast("double"), "try_cast(regexp_replace(total_amount,'[^0-9.-]','','g') as double)")
 norm_query("normalize_phone", lambda: parse.to_phone(val("phone")), "case when key%8=0 then phone else '+1'||regexp_replace(phone,'[^0-9]','','g') end")
 norm_query("normalize_email", lambda: parse.to_email(val("email")), "case when key%9=0 then email else 'c'||key||'@example.com' end")
